@@ -6,12 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import secrets
 from .bpe import op1_bpe
+from .decontaminate import op4_decontaminate
+from .minhash import op7_minhash
+from .secrets import op2_secrets
 from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_secrets": op2_secrets,
+    "op4_decontaminate": op4_decontaminate,
+    "op7_minhash": op7_minhash,
     "op8_toxicity": op8_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_secrets": secrets.ORACLE,
+}
