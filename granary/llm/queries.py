@@ -11,6 +11,8 @@ from .bpe import op1_bpe
 from .decontaminate import op4_decontaminate
 from .minhash import op7_minhash
 from .secrets import op2_secrets
+from .substrings import op9_substrings
+from .suffixes import op10_suffixes
 from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -19,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontaminate": op4_decontaminate,
     "op7_minhash": op7_minhash,
     "op8_toxicity": op8_toxicity,
+    "op9_substrings": op9_substrings,
+    "op10_suffixes": op10_suffixes,
 }
 
 ORACLE_SQL: dict[str, str] = {
