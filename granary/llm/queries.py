@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets
+from . import hosts, secrets
 from .bpe import op1_bpe
 from .decontaminate import op4_decontaminate
+from .hosts import op3_hosts
 from .minhash import op7_minhash
 from .secrets import op2_secrets
 from .substrings import op9_substrings
@@ -18,6 +19,7 @@ from .toxicity import op8_toxicity
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_secrets": op2_secrets,
+    "op3_hosts": op3_hosts,
     "op4_decontaminate": op4_decontaminate,
     "op7_minhash": op7_minhash,
     "op8_toxicity": op8_toxicity,
@@ -27,4 +29,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_secrets": secrets.ORACLE,
+    "op3_hosts": hosts.ORACLE,
 }
