@@ -10,6 +10,7 @@ from . import hosts, secrets
 from .bpe import op1_bpe
 from .decontaminate import op4_decontaminate
 from .hosts import op3_hosts
+from .lattice import op5_lattice
 from .minhash import op7_minhash
 from .secrets import op2_secrets
 from .substrings import op9_substrings
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secrets": op2_secrets,
     "op3_hosts": op3_hosts,
     "op4_decontaminate": op4_decontaminate,
+    "op5_lattice": op5_lattice,
     "op7_minhash": op7_minhash,
     "op8_toxicity": op8_toxicity,
     "op9_substrings": op9_substrings,
