@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import hosts, secrets
 from .bpe import op1_bpe
 from .decontaminate import op4_decontaminate
+from .extraction import op6_extraction
 from .hosts import op3_hosts
 from .lattice import op5_lattice
 from .minhash import op7_minhash
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hosts": op3_hosts,
     "op4_decontaminate": op4_decontaminate,
     "op5_lattice": op5_lattice,
+    "op6_extraction": op6_extraction,
     "op7_minhash": op7_minhash,
     "op8_toxicity": op8_toxicity,
     "op9_substrings": op9_substrings,
