@@ -11,14 +11,14 @@ With 30 bands of 5 coordinates a pair at a similarity of 0.85 is missed with a
 probability of 2.3e-8 (0.5563^30), at 0.80 with 5.5e-6; larger similarities less.
 
 Scale.  Equal sets are one class, and only its smallest id goes on.  A bucket (band,
-key) doesn't give all its pairs: it first gives each member one pair with a leader, the
-verified links are joined to components.  Members of one bucket in different components
-are compared further, at first one pair for each member and other component, then more,
-until no pair is left that could be similar enough (shingles that no other candidate has
-bound the intersection).  So every pair that shares a bucket is verified, ruled out by
-that bound, or connected already.  Hot
-buckets and leaders meet in joins of written tables whose large partitions Spark can
-split.  Nothing about links or components reaches the driver but counts.
+key) doesn't give all its pairs: it first gives each member one pair with a leader, and
+the verified links are joined to components.  Buckets whose members are in several
+components then get their members' sets, and every pair in different components is
+compared there; only links that join components come out.  So every pair that shares a
+bucket is verified or connected already.  A large bucket is dealt into blocks, and each
+two blocks are a group.  Hot buckets and leaders meet in joins of written tables whose
+large partitions Spark can split.  Nothing about links or components reaches the driver
+but counts.
 
 Defined results.  A null text, or one without words, has an empty set: n_shingles 0,
 its own component, linked with nothing.  With fewer words than `width` the whole
@@ -30,7 +30,7 @@ kept by keep_first().
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -185,64 +185,70 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return arrow_map(both.select("a", "b", "sa", "sb"), make, "a long, b long")
 
 
-def shareable(sets: DataFrame) -> DataFrame:
-    """doc_id, n, c: the size of each set, and how many of its shingles any other of the sets has."""
+def bucket_links(rep: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join the components of one bucket's members, every pair in different components compared on full sets.
 
-    def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                got = [np.frombuffer(x.as_buffer(), np.int64) for x in part["shingles"]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part["doc_id"].to_numpy(), [len(g) for g in got])), pa.array(np.concatenate(got))], names=["doc_id", "h"])
-
-        return step
-
-    alone = arrow_map(sets, make, "doc_id long, h long").groupBy("h").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).where("n = 1").groupBy("doc_id").agg(F.count("*").alias("alone"))
-    size = (F.length("shingles") / 8).cast("long")
-    return sets.select("doc_id", size.alias("n")).join(alone, "doc_id", "left").select("doc_id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("c"))
+    The largest component's members needn't be asked: each other one is compared with
+    all members at once, by the lists of documents that hold its shingles.  A document
+    of whose shingles the others have too few can't be linked.
+    """
+    size = np.array([len(s) for s in sets])
+    starts = np.cumsum(size) - size
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.bincount(token)
+    shared = np.add.reduceat((held[token] > 1).astype(np.int64), starts)
+    can = np.flatnonzero(100 * shared >= percent * size)
+    if len(can) < 2:
+        return []
+    label = np.unique(comp, return_inverse=True)[1]
+    main = np.bincount(label[can]).argmax()
+    by_token = np.argsort(token, kind="stable")
+    doc = np.repeat(np.arange(len(sets)), size)[by_token]
+    at = np.cumsum(held) - held
+    out = []
+    for x in can[np.argsort(-shared[can] / size[can], kind="stable")]:
+        if label[x] == main:
+            continue
+        mine = token[starts[x] : starts[x] + size[x]]
+        mine = mine[held[mine] > 1]
+        common = np.bincount(np.concatenate([doc[at[t] : at[t] + held[t]] for t in mine]), minlength=len(sets))
+        for y in np.flatnonzero((100 * common >= percent * (size[x] + size - common)) & (label != label[x])):
+            p, q = label[x], label[y]
+            if p != q:
+                out.append((int(min(rep[x], rep[y])), int(max(rep[x], rep[y]))))
+                label[label == (p if q == main else q)] = q if q == main else p
+    return out
 
 
-def viable(rep: np.ndarray, comp: np.ndarray, n: np.ndarray, c: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of members in different components that can be similar enough, of rows in left with rows in right.
+def open_links(placed: DataFrame, sets: DataFrame, percent: int, block: int, tasks: int) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket, of placed: band, key, size (of the bucket), rep, comp.
 
-    The intersection is at most the smaller c of the two, so a pair needs (100 +
-    percent) * min(c) >= percent * (n + n).  Of each member and each other component
-    the `most` best pairs by that bound.
-    """
-    out_a, out_b = [], []
-    right = right[np.argsort(-c[right], kind="stable")]
-    for x in left:
-        low = np.minimum(c[x], c[right])
-        ok = ((100 + percent) * low >= percent * (n[x] + n[right])) & (comp[right] != comp[x])
-        y = right[ok]
-        if len(y) > 1 and most < len(y):
-            y = y[np.argsort(-low[ok] / (n[x] + n[y]), kind="stable")]
-            order = np.argsort(comp[y], kind="stable")
-            of = comp[y][order]
-            first = np.searchsorted(of, of)
-            y = y[order[np.arange(len(y)) - first < most]]
-        out_a.append(np.minimum(rep[x], rep[y]))
-        out_b.append(np.maximum(rep[x], rep[y]))
-    a, b = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (out_a, out_b))
-    return tuple(np.unique(np.stack([a, b]), axis=1)) if len(a) else (a, b)
-
-
-def open_pairs(placed: DataFrame, percent: int, most: int, block: int) -> DataFrame:
-    """Pairs (a < b) still to verify, of placed: band, key, size (of the bucket), rep, comp, n, c.
-
-    A bucket of more than `block` members is dealt into blocks, and each two blocks are one task's group.
+    A bucket of more than `block` members is dealt into blocks, and each two of its
+    blocks are compared in one place; small buckets share a task's group.
     """
     nb = F.ceil(F.col("size") / block).cast("int")
     dealt = placed.withColumn("own", F.pmod(F.xxhash64("rep"), nb).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "n", "c")
-
-    def group(key: tuple, t: pa.Table) -> pa.Table:
-        i, j = key[2].as_py(), key[3].as_py()
-        rep, comp, n, c, own = (t[k].to_numpy() for k in ("rep", "comp", "n", "c", "own"))
-        a, b = viable(rep, comp, n, c, np.flatnonzero(own == i), np.flatnonzero(own == j), percent, most)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    return dealt.groupBy("band", "key", "i", "j").applyInArrow(group, "a long, b long").distinct()
+    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp")
+    dealt = dealt.join(sets.toDF("rep", "shingles"), "rep").withColumn("task", F.pmod(F.xxhash64("band", "key", "i", "j"), F.lit(tasks)))
+
+    def group(t: pa.Table) -> pa.Table:
+        band, key, i, j, rep, comp = (t[k].to_numpy() for k in ("band", "key", "i", "j", "rep", "comp"))
+        order = np.lexsort((rep, j, i, key, band))
+        new = np.ones(len(order), bool)
+        for v in (band, key, i, j):
+            new[1:] &= v[order][1:] == v[order][:-1]
+        new = ~new
+        new[0] = True
+        packed = t["shingles"].combine_chunks()
+        out: list[tuple[int, int]] = []
+        cuts = [*np.flatnonzero(new), len(order)]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            k = order[lo:hi]
+            if hi - lo > 1:
+                out += bucket_links(rep[k], comp[k], [np.frombuffer(packed[int(r)].as_buffer(), np.uint64) for r in k], percent)
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return dealt.groupBy("task").applyInArrow(group, "a long, b long")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -267,7 +273,7 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def classes(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, block: int = 20_000) -> DataFrame:
+def classes(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, block: int = 4_000) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; see the module's text."""
     session(docs)
     base = written(described(docs, width=width, bands=bands, rows=rows).where("doc_id is not null"), "described")
@@ -280,24 +286,15 @@ def classes(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int =
     full = full_sets(docs, written(ids, "ids"), width)
     # one leader for each member first: most links come from these
     first = members.where("rep <> leader").groupBy("rep").agg(F.min("leader").alias("leader"))
-    tried = written(first.select(F.col("leader").alias("a"), F.col("rep").alias("b")), "pairs")
-    links = written(linked(tried, full, percent), "links")
-    most, largest, bound = 1, shared.agg(F.coalesce(F.max("size"), F.lit(0)).alias("n")).first().n, None
-    while True:
-        named = written(connected(links), "named")
-        placed = members.join(named, members["rep"] == named["id"], "left").select("band", "key", "size", "rep", F.coalesce("component", "rep").alias("comp"))
-        mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("band", "key")
-        placed = placed.join(written(mixed, "mixed"), ["band", "key"], "left_semi")
-        if bound is None:
-            near = placed.select(F.col("rep").alias("doc_id")).distinct()
-            bound = written(shareable(full.join(near, "doc_id", "left_semi")), "bound")
-        placed = placed.join(bound.withColumnRenamed("doc_id", "rep"), "rep").where(100 * F.col("c") >= percent * F.col("n"))
-        found = written(open_pairs(placed, percent, most, block), "found")
-        pairs = written(found.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if most >= largest and pairs.isEmpty() or found.isEmpty():
-            break
-        more = written(linked(pairs, full, percent), "links")
-        links, tried, most = links.union(more), tried.union(pairs), most * 16
+    links = written(linked(first.select(F.col("leader").alias("a"), F.col("rep").alias("b")), full, percent), "links")
+    named = written(connected(links), "named")
+    placed = written(members.join(named, members["rep"] == named["id"], "left").select("band", "key", "size", "rep", F.coalesce("component", "rep").alias("comp")), "placed")
+    # buckets whose members are in several components, one of those with the same members
+    mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"), F.min("rep").alias("r0"), F.max("rep").alias("r1"), F.bit_xor(F.xxhash64("rep")).alias("x"))
+    mixed = mixed.where("c0 < c1").groupBy("n", "r0", "r1", "x").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key")
+    placed = placed.join(written(mixed, "mixed"), ["band", "key"], "left_semi")
+    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links = links.union(written(open_links(placed, full, percent, block, tasks), "links"))
     # ids of equal sets, and repeated ids, are linked as well
     same = base.join(sets, "set_hash").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     named = written(connected(links.union(same.distinct())), "named")
