@@ -27,31 +27,28 @@ from ._common import arrow_map, session, table
 
 #: Pieces that one recursive query works on, and pieces whose encoding a task keeps.
 QUERY_WORDS = 25_000
-CACHE_WORDS = 200_000
+CACHE_WORDS = 500_000
 #: Characters of text whose pieces a task holds at a time.
 SLICE_CHARS = 2_000_000
 
 #: Rounds of one query; a word that has pairs left then goes to the next one, so that what a query gathers stays bounded.
 QUERY_ROUNDS = 256
 
-# bp: position, nk: token that replaces it and its successor
+# best: the pair of least rank, at its leftmost position: rank and position in one number
 ENCODE_SQL = """
-WITH RECURSIVE s(w, p, tok, step) AS (
-  SELECT w, p, tok, 0 FROM ini
+WITH RECURSIVE s(w, ids, step) AS (
+  SELECT w, list(tok ORDER BY p), 0 FROM ini GROUP BY w
   UNION ALL
-  (WITH pr AS (
-     SELECT w, p, tok, step, lag(p) OVER x AS pp, lead(tok) OVER x AS nt
-     FROM s WHERE step < %d WINDOW x AS (PARTITION BY w ORDER BY p)),
+  (WITH pairs AS (
+     SELECT w, unnest(ids[:-2]) AS tok, unnest(ids[2:]) AS next, generate_subscripts(ids[2:], 1) AS p
+     FROM s WHERE step < %d),
    hit AS (
-     SELECT w, best & 4294967295 AS bp, (best >> 32)::INT AS nk
-     FROM (SELECT w, min((m.k::BIGINT << 32) + pr.p) AS best
-           FROM pr JOIN merges m ON m.lr = pr.tok::BIGINT * 1048576 + pr.nt GROUP BY w))
-   SELECT pr.w, pr.p, CASE WHEN pr.p = hit.bp THEN hit.nk ELSE pr.tok END, step + 1
-   FROM pr JOIN hit USING (w) WHERE pr.pp IS NULL OR pr.pp <> hit.bp)
+     SELECT w, best & 4294967295 AS p, (best >> 32)::INT AS k
+     FROM (SELECT w, min((m.k::BIGINT << 32) + p) AS best
+           FROM pairs JOIN merges m ON m.lr = tok::BIGINT * 1048576 + next GROUP BY w))
+   SELECT w, ids[:p - 1] || [k] || ids[p + 2:], step + 1 FROM s JOIN hit USING (w))
 )
-SELECT w, list(tok ORDER BY p) AS ids, any_value(step) AS step
-FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM s) WHERE step = last
-GROUP BY w ORDER BY w
+SELECT w, ids, step FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step) ORDER BY w
 """ % QUERY_ROUNDS
 
 DECODE_SQL = """
