@@ -1 +1 @@
-""""""
+"""Column expressions: text, keys, arrays of probabilities."""

@@ -1 +1 @@
-""""""
+"""Stateful and windowed operators on streams."""
