@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("keys_text", "dedup")
+MODULES = ("keys_text", "dedup", "mixing", "scoring")
 
 
 def _entries() -> dict[str, tuple]:
