@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("keys_text", "dedup", "mixing", "scoring")
+MODULES = ("keys_text", "dedup", "mixing", "scoring", "sequences")
 
 
 def _entries() -> dict[str, tuple]:
