@@ -2,29 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_BLOCK = W.partitionBy("block")
-_ALL = W.partitionBy()
+
+
+def _block() -> WindowSpec:
+    return W.partitionBy("block")
 
 
 def block_weights(sources: DataFrame, *, power: float = 0.5) -> DataFrame:
     """sources (source, block, share, n): weight = share of the present blocks * n^power over its block's sum."""
     first = F.row_number().over(W.partitionBy("block").orderBy("source")) == 1
     s = sources.withColumn("s", F.pow(F.col("n").cast("double"), power)).withColumn("first", first)
-    total = F.sum(F.when(F.col("first"), F.col("share"))).over(_ALL)
-    return s.withColumn("weight", F.col("share") / total * F.col("s") / F.sum("s").over(_BLOCK)).drop("s", "first")
+    total = F.sum(F.when(F.col("first"), F.col("share"))).over(W.partitionBy())
+    return s.withColumn("weight", F.col("share") / total * F.col("s") / F.sum("s").over(_block())).drop("s", "first")
 
 
 def lang_target(weighted: DataFrame, *, target: float, partly: str = "fr_share") -> DataFrame:
     """Rescales sources that are wholly of the language so that its share of each block's mass is target; the rest make room."""
     only = F.col(partly) >= 1.0
     s = (
-        weighted.withColumn("mass", F.sum("weight").over(_BLOCK))
-        .withColumn("only_mass", F.sum(F.when(only, F.col("weight")).otherwise(0.0)).over(_BLOCK))
-        .withColumn("fixed", F.sum(F.when(only, 0.0).otherwise(F.col("weight") * F.col(partly))).over(_BLOCK))
+        weighted.withColumn("mass", F.sum("weight").over(_block()))
+        .withColumn("only_mass", F.sum(F.when(only, F.col("weight")).otherwise(0.0)).over(_block()))
+        .withColumn("fixed", F.sum(F.when(only, 0.0).otherwise(F.col("weight") * F.col(partly))).over(_block()))
         .withColumn("want", F.greatest(target * F.col("mass") - F.col("fixed"), F.lit(0.0)))
     )
     ok = (F.col("want") > 0) & (F.col("want") < F.col("mass")) & (F.col("only_mass") > 0) & (F.col("only_mass") < F.col("mass"))
@@ -35,7 +37,7 @@ def lang_target(weighted: DataFrame, *, target: float, partly: str = "fr_share")
 def capped(weighted: DataFrame, cap: float) -> DataFrame:
     """Weights at most cap, what is cut off shared by the others of the block in proportion; one pass."""
     over = F.col("weight") > cap
-    s = weighted.withColumn("cut", F.sum(F.when(over, F.col("weight") - cap).otherwise(0.0)).over(_BLOCK)).withColumn("room", F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).over(_BLOCK))
+    s = weighted.withColumn("cut", F.sum(F.when(over, F.col("weight") - cap).otherwise(0.0)).over(_block())).withColumn("room", F.sum(F.when(over, 0.0).otherwise(F.col("weight"))).over(_block()))
     return s.withColumn("weight", F.when(over, cap).when(F.col("room") > 0, F.col("weight") * (1 + F.col("cut") / F.col("room"))).otherwise(F.col("weight"))).drop("cut", "room")
 
 
