@@ -169,7 +169,7 @@ def clean(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08, block_
 
             return step
 
-        docs = arrow_map(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+        docs = arrow_map(docs, make, docs.schema)
     return docs
 
 

@@ -10,7 +10,8 @@ Defined results.  A null or empty text has no match and gets the score of a text
 without matches.  A null doc_id is never held out and never learned from.  Repeated
 labels of a document count once, the larger one wins; a null label is no label.
 Without both classes among the labels the lexicon is empty and every score is 0.
-Extra columns are ignored, whatever their names.
+Extra columns are ignored by score() and kept by reject(),
+whatever their names.
 """
 
 from __future__ import annotations
@@ -95,7 +96,7 @@ def matcher(lexicon: Lexicon) -> Callable[[str], tuple[float, int]]:
         if spared and best:
             # a term within an exception phrase doesn't count
             best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
-        return sum(best.values()), max(folded.count(" ") - 1, 0)
+        return float(sum(best.values())), folded.count(" ") - 1 if folded.strip() else 0
 
     return match
 
@@ -230,22 +231,20 @@ def _totals(lexicon: Lexicon) -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     return step
 
 
-def score(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, score (0 to 1) and predicted (1 from the threshold on) of every row; text is the only input."""
+def score(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.5) -> DataFrame:
+    """doc_id, score (0 to 1) and predicted (1 from the threshold on) of every row; text is the only input of a score."""
     session(docs)
-    kept = docs.select(*keep, *([] if "text" in keep else ["text"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.select(*keep).schema) + ", score double, predicted int"
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         match = matcher(lexicon)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             s = [_score(*match(t.as_py() or ""), lexicon.coefficients) for t in batch["text"]]
-            return pa.RecordBatch.from_arrays([*(batch[k] for k in keep), pa.array(s, pa.float64()), pa.array([int(v >= threshold) for v in s], pa.int32())], names=[*keep, "score", "predicted"])
+            return pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(s, pa.float64()), pa.array([int(v >= threshold) for v in s], pa.int32())], names=["doc_id", "score", "predicted"])
 
         return step
 
-    return arrow_map(kept, make, schema)
+    return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, score double, predicted int")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,10 +253,19 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, lexicon).select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
-def reject(docs: DataFrame, lexicon: Lexicon, **options: float) -> DataFrame:
+def reject(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.5) -> DataFrame:
     """docs without the toxic ones, all columns kept."""
-    names = docs.columns
-    return score(docs, lexicon, keep=tuple(names), **options).where("predicted = 0").select(*names)
+    session(docs)
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        match = matcher(lexicon)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array([_score(*match(t.as_py() or ""), lexicon.coefficients) < threshold for t in batch["text"]], pa.bool_()))
+
+        return step
+
+    return arrow_map(docs, make, docs.schema)
 
 
 def iter_matches(text: str, lexicon: Lexicon) -> Iterator[tuple[int, int, float]]:
