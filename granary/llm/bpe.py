@@ -18,7 +18,6 @@ import base64
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +28,7 @@ from ._common import arrow_map, session, table
 QUERY_WORDS = 25_000
 CACHE_WORDS = 500_000
 #: Characters of text whose pieces a task holds at a time.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 
 #: Rounds of one query; a word that has pairs left then goes to the next one, so that what a query gathers stays bounded.
 QUERY_ROUNDS = 256
@@ -48,13 +47,19 @@ WITH RECURSIVE s(w, ids, step) AS (
            FROM pairs JOIN merges m ON m.lr = tok::BIGINT * 1048576 + next GROUP BY w))
    SELECT w, ids[:p - 1] || [k] || ids[p + 2:], step + 1 FROM s JOIN hit USING (w))
 )
-SELECT w, ids, step FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step) ORDER BY w
+SELECT w, ids, step FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step)
 """ % QUERY_ROUNDS
 
 DECODE_SQL = """
 SELECT w, string_agg(v.piece, '' ORDER BY p) AS decoded
 FROM (SELECT w, unnest(ids) AS id, generate_subscripts(ids, 1) AS p FROM encoded) e JOIN vocabulary v USING (id)
-GROUP BY w ORDER BY w
+GROUP BY w
+"""
+
+# what is kept of a word: its ids as decimals, and the bytes that they decode to
+BOTH_SQL = f"""
+WITH encoded AS MATERIALIZED (FROM done), decoded AS ({DECODE_SQL})
+SELECT w, array_to_string(ids, ',') AS ids, decoded FROM encoded JOIN decoded USING (w)
 """
 
 
@@ -97,31 +102,58 @@ class Coder:
         self.db = duckdb.connect(config={"threads": "1", "memory_limit": "256MB", "temp_directory": ""})
         keys, ks = merge_rows(self.ranks)
         self.db.register("merge_rows", pa.table({"lr": pa.array(keys, pa.int64()), "k": pa.array(ks, pa.int32())}))
-        # bytes stand as the characters U+0000 + 256 + byte, so that text aggregation keeps them
-        pieces = ["".join(chr(256 + b) for b in t) for t in self.ranks]
+        # bytes stand as the characters U+0001 to U+0100 (for byte 0), so that text aggregation keeps them
+        pieces = ["".join(chr(b or 256) for b in t) for t in self.ranks]
         self.db.register("pieces", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": pieces}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows; CREATE TABLE vocabulary AS SELECT * FROM pieces")
-        self.known: dict[str, tuple[str, bytes]] = {}
+        self.ids: dict[str, str] = {}
+        #: What a piece's ids decode to, where that isn't the piece.
+        self.decoded: dict[str, bytes] = {}
+        self.token = {k: t for t, k in self.ranks.items()}
+
+    @staticmethod
+    def _plain(text: str) -> bytes:
+        return (text.replace("\u0100", "\0") if "\u0100" in text else text).encode("latin-1")
+
+    def _keep(self, piece: str, data: bytes, ids: str, decoded: bytes) -> None:
+        self.ids[piece] = ids
+        if decoded != data:
+            self.decoded[piece] = decoded
+
+    def _rounds(self, rows: pa.Table) -> None:
+        """Encodes token-position rows (w, p, tok) to the table `done` (w, ids)."""
+        self.db.execute("CREATE OR REPLACE TABLE done (w INTEGER, ids INTEGER[])")
+        self.db.register("start", rows)
+        self.db.execute("CREATE OR REPLACE TABLE ini AS FROM start")
+        while True:
+            self.db.execute(f"CREATE OR REPLACE TABLE got AS {ENCODE_SQL}")
+            self.db.execute(f"INSERT INTO done SELECT w, ids FROM got WHERE step < {QUERY_ROUNDS}")
+            if not self.db.execute(f"SELECT count(*) FROM got WHERE step = {QUERY_ROUNDS}").fetchall()[0][0]:
+                return
+            self.db.execute(f"CREATE OR REPLACE TABLE ini AS SELECT w, generate_subscripts(ids, 1)::BIGINT AS p, unnest(ids) AS tok FROM got WHERE step = {QUERY_ROUNDS}")
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+    def learn(self, pieces: set[str]) -> None:
+        """Encodes and decodes those of the pieces that aren't known yet."""
         import numpy as np
 
-        out: list[list[int]] = [[self.ranks[p]] if p in self.ranks else [] for p in pieces]
-        rest = [i for i, x in enumerate(out) if not x]
+        rest: list[tuple[str, bytes]] = []
+        for p in pieces - self.ids.keys():
+            b = p.encode()
+            if (k := self.ranks.get(b)) is not None:
+                self._keep(p, b, str(k), self.token[k])
+            else:
+                rest.append((p, b))
+        table = np.array(self.byte, np.int32)
         for at in range(0, len(rest), QUERY_WORDS):
-            todo = rest[at : at + QUERY_WORDS]
-            for i in todo:
-                out[i] = [self.byte[b] for b in pieces[i]]
-            while todo:
-                sizes = np.array([len(out[i]) for i in todo])
-                w = np.repeat(np.arange(len(todo), dtype=np.int32), sizes)
-                p = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                self.db.register("ini", pa.table({"w": w, "p": p.astype(np.int64), "tok": np.fromiter(chain.from_iterable(out[i] for i in todo), np.int32, sizes.sum())}))
-                got = self.db.sql(ENCODE_SQL).to_arrow_table()
-                for k, ids in zip(got["w"].to_pylist(), got["ids"].to_pylist(), strict=True):
-                    out[todo[k]] = ids
-                todo = [todo[k] for k, n in zip(got["w"].to_pylist(), got["step"].to_pylist(), strict=True) if n == QUERY_ROUNDS]
-        return out
+            part = rest[at : at + QUERY_WORDS]
+            sizes = np.fromiter((len(b) for _, b in part), np.int64, len(part))
+            data = np.frombuffer(b"".join([b for _, b in part]), np.uint8)
+            w = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
+            p = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            self._rounds(pa.table({"w": w, "p": p, "tok": table[data]}))
+            got = self.db.sql(BOTH_SQL).to_arrow_table()
+            for k, ids, text in zip(got["w"].to_numpy().tolist(), got["ids"].to_numpy(), got["decoded"].to_numpy(), strict=True):
+                self._keep(*part[k], ids, self._plain(text))
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         out = [b""] * len(ids)
@@ -130,18 +162,9 @@ class Coder:
             self.db.register("encoded", pa.table({"w": pa.array(range(len(part)), pa.int32()), "ids": pa.array(part, pa.list_(pa.int32()))}))
             got = self.db.sql(DECODE_SQL).to_arrow_table()
             for k, text in zip(got["w"].to_pylist(), got["decoded"].to_pylist(), strict=True):
-                out[at + k] = bytes(ord(c) - 256 for c in text)
+                out[at + k] = self._plain(text)
         return out
 
-    def learn(self, pieces: set[str]) -> None:
-        """Encodes and decodes those of the pieces that aren't known yet."""
-        new = sorted(pieces - self.known.keys())
-        if not new:
-            return
-        ids = self.encode_pieces([p.encode() for p in new])
-        for p, i, d in zip(new, ids, self.decode(ids), strict=True):
-            self.known[p] = ",".join(map(str, i)), d
-
     def texts(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
         """Of each text its ids, as decimals joined by commas, and their decoded bytes."""
         at = 0
@@ -152,13 +175,14 @@ class Coder:
                 size += len(texts[at])
                 at += 1
             wanted = set().union(*words)
-            if len(self.known) + len(wanted) > CACHE_WORDS:
-                self.known.clear()
+            if len(self.ids) + len(wanted) > CACHE_WORDS:
+                self.ids.clear()
+                self.decoded.clear()
             self.learn(wanted)
-            known = self.known
+            ids, other = self.ids.__getitem__, self.decoded
             for w in words:
-                got = [known[x] for x in w]
-                yield ",".join([x[0] for x in got]), b"".join([x[1] for x in got])
+                decoded = b"".join([other[x] if x in other else x.encode() for x in w]) if other else "".join(w).encode()
+                yield ",".join(map(ids, w)), decoded
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", ids: bool = True) -> DataFrame:
