@@ -34,7 +34,9 @@ HOMOGLYPHS = {
     "α": "a", "β": "b", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "γ": "y", "ω": "w",
     "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "s", "ɑ": "a", "ɡ": "g", "ʟ": "l", "ꞵ": "b",
 }
-SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i"}
+SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
+#: Signs that stand for a letter only where a letter or digit follows; at a word's end they are punctuation.
+SIGNS = {"@": "a", "$": "s", "!": "i"}
 
 _MARKS = re.compile(r"[̀-ͯ​-‏⁠﻿­]+")
 _WORD = re.compile(r"[^\W_]+")
@@ -48,7 +50,8 @@ def _table() -> dict[int, str]:
 
 
 _TABLE = _table()
-_PLAIN = re.compile(r"[a-z\s.,;:'\"()\-]*")
+_SIGN = re.compile(r"[@$!]+(?=\w)")
+_SIGN_TABLE = {ord(k): v for k, v in SIGNS.items()}
 
 
 def fold(text: str) -> str:
@@ -56,6 +59,8 @@ def fold(text: str) -> str:
     text = text.casefold()
     if not text.isascii():
         text = _MARKS.sub("", unicodedata.normalize("NFKD", text))
+    if "!" in text or "$" in text or "@" in text:
+        text = _SIGN.sub(lambda m: m[0].translate(_SIGN_TABLE), text)
     text = text.translate(_TABLE)
     return f" {' '.join(_WORD.findall(text))} "
 
