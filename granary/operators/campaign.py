@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import written
+
 
 def ready(jobs: DataFrame, needs: DataFrame) -> DataFrame:
     """Jobs (job, status) not begun all of whose needs (job, after) are done."""
@@ -14,11 +16,11 @@ def ready(jobs: DataFrame, needs: DataFrame) -> DataFrame:
 
 
 def closure(needs: DataFrame, *, most: int = 64) -> DataFrame:
-    """(job, after) with all indirect needs; level by level."""
-    out = frontier = needs.select("job", "after").distinct()
+    """(job, after) with all indirect needs; level by level, each a written table."""
+    out = frontier = written(needs.select("job", "after").distinct(), "needs")
     for _ in range(most):
         step = frontier.join(needs.select(F.col("job").alias("after"), F.col("after").alias("next")), "after").select("job", F.col("next").alias("after"))
-        frontier = step.distinct().join(out, ["job", "after"], "left_anti")
+        frontier = written(step.distinct().join(out, ["job", "after"], "left_anti"), "needs")
         if frontier.isEmpty():
             break
         out = out.union(frontier)

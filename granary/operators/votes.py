@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import written
+
 
 def canonical_votes(rows: DataFrame, a: str, b: str, winner: Column) -> DataFrame:
     """(x, y, wins_x, wins_y, ties): votes on the same unordered pair; the winner, 'a', 'b' or other, turns with the sides."""
@@ -26,7 +28,8 @@ def tree_paths(messages: DataFrame, *, most: int = 64) -> DataFrame:
     for _ in range(most):
         children = messages.where("parent is not null").select("node", "parent")
         up = frontier.select("root", F.col("node").alias("parent"), "depth", "path")
-        frontier = children.join(up, "parent").select("root", "node", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("node")).alias("path"))
+        level = children.join(up, "parent").select("root", "node", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("node")).alias("path"))
+        frontier = written(level, "level")
         if frontier.isEmpty():
             break
         out = out.unionByName(frontier)
