@@ -12,8 +12,8 @@ larger document is removed whole.  Where an anchor has several phrases (at the e
 a passage), pass 2 sends the windows of these phrases' first occurrences to the anchor's
 task, which compares them one by one.  Pass 3 turns the answers into covered tokens.
 
-Blocks of documents are a bucketed table in the warehouse, dealt once; each pass joins
-its answers to it without moving texts again.  What a task gathers is a partition's
+Blocks of documents are a bucketed table in the warehouse; each pass joins its answers
+to it without moving texts.  What a task gathers is a partition's
 share of phrases: a passage that a third of all documents holds gives a row for each
 block, not for each document.
 """
@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, session, written
+from ._common import arrow_map, release_memory, session, written
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 #: Window starts that are worked on at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 #: Bytes of text in a block of documents; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
 #: The id of documents without one: larger than any other.
@@ -53,7 +53,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE^i and _BASE^-i modulo 2^64 for i < n."""
     if len(_powers.get("up", ())) < n:
         for name, b in (("up", _BASE), ("down", _INV)):
@@ -63,6 +63,10 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+#: A 64-bit number for each byte.
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
+
+
 class Phrases:
     """The phrases of a token sequence in which document d has tokens bounds[d] to bounds[d+1].
 
@@ -80,7 +84,7 @@ class Phrases:
     def _chunk(self, lo: int, hi: int, bounds: np.ndarray, group: int) -> tuple[np.ndarray, ...]:
         length, m = self.length, hi - lo
         tok = self.tokens[lo : hi + length - 1]
-        up, down = _power(CHUNK + 8 * length)
+        up, down = power(CHUNK + 8 * length)
         total = np.empty(len(tok) + 1, U)
         total[0] = 0
         np.cumsum(tok * up[: len(tok)], out=total[1:])
@@ -112,7 +116,7 @@ class Phrases:
         n = (self.last - self.first + 1)[which]
         offset = np.repeat(np.cumsum(n) - n, n)
         starts = np.repeat(self.first[which], n) + np.arange(n.sum()) - offset
-        up, _ = _power(CHUNK + 8 * self.length)
+        up, _ = power(CHUNK + 8 * self.length)
         out = np.empty(len(starts), U)
         for i in range(0, len(starts), 1 << 16):
             s = starts[i : i + (1 << 16)]
@@ -123,35 +127,62 @@ class Phrases:
         return out, n
 
 
+def bucket_of(number: int, buckets: int) -> int:
+    """The bucket of a table that Spark puts a long into: its Murmur3 hash (seed 42), modulo."""
+    mask = 0xFFFFFFFF
+    rotate = lambda x, r: ((x << r) | (x >> (32 - r))) & mask
+    h = 42
+    for part in (number & mask, (number >> 32) & mask):
+        k = rotate(part * 0xCC9E2D51 & mask, 15) * 0x1B873593 & mask
+        h = (rotate(h ^ k, 13) * 5 + 0xE6546B64) & mask
+    h ^= 8
+    for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> shift)) * factor & mask
+    h ^= h >> 16
+    return (h - (1 << 32) if h >> 31 else h) % buckets
+
+
 def blocks(docs: DataFrame, name: str) -> DataFrame:
-    """block, ids, texts: documents packed by size, in a bucketed table of as many buckets as there are shuffle partitions."""
+    """block, ids, texts: documents packed by size, in a bucketed table of as many buckets as there are shuffle partitions.
+
+    Blocks are numbered so that all of a task's blocks belong to one bucket: each task
+    writes one file, no text is shuffled, and yet each later join by block finds the
+    table dealt as it needs it.
+    """
     spark = session(docs)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), 0
+        part = TaskContext.get().partitionId()
+        number = part << 36
         ids: list[int | None] = []
         texts: list[str] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + made], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))], names=["block", "ids", "texts"])
+            nonlocal number
+            number += 1
+            while bucket_of(number, n) != part % n:
+                number += 1
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))], names=["block", "ids", "texts"])
 
         for batch in batches:
             for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 t = t or ""
                 if ids and (size + len(t) > BLOCK_BYTES or len(ids) >= 65_535):
                     yield out()
-                    ids, texts, size, made = [], [], 0, made + 1
+                    ids, texts, size = [], [], 0
                 ids.append(i)
                 texts.append(t)
                 size += len(t)
         if ids:
             yield out()
+        del ids, texts
+        release_memory()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "block long, ids array<long>, texts array<string>")
     table = f"{name}_{uuid.uuid4().hex}"
-    packed.repartition(n, "block").write.bucketBy(n, "block").option("compression", "zstd").saveAsTable(table)
+    packed.write.bucketBy(n, "block").option("compression", "zstd").option("parquet.block.size", str(32 << 20)).saveAsTable(table)
     return spark.table(table)
 
 

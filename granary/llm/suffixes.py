@@ -29,22 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
-from ._repeats import Block, U, mix, removed
+from ._repeats import BYTE, Block, U, removed
 
 LENGTH = 50
 GROUP = 20
-#: A 64-bit number for each byte.
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 
 
 def byte_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     parts = [t.encode() for t in texts]
-    return _BYTE[np.frombuffer(b"".join(parts), np.uint8)], np.cumsum([0, *map(len, parts)])
+    return BYTE[np.frombuffer(b"".join(parts), np.uint8)], np.cumsum([0, *map(len, parts)])
 
 
 def _bytes_of(tokens: np.ndarray) -> np.ndarray:
-    order = np.argsort(_BYTE)
-    return order[np.searchsorted(_BYTE[order], tokens)].astype(np.uint8)
+    order = np.argsort(BYTE)
+    return order[np.searchsorted(BYTE[order], tokens)].astype(np.uint8)
 
 
 def phrase_bytes(block: Block, which: np.ndarray) -> tuple[bytes, np.ndarray]:
