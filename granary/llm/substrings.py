@@ -29,22 +29,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, table
-from ._repeats import Phrases, Sieve, U, mix, removed
-from .minhash import _Words
+from ._repeats import BYTE, Phrases, Sieve, U, mix, power, removed
 
 WINDOW = 50
 GROUP = 25
 _SLICE = 1 << 20
+#: Bytes whose words are hashed at a time.
+HASHED_BYTES = 1 << 18
 
 
 def word_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    get = _Words().__getitem__
-    parts = [t.encode().split() for t in texts]
-    bounds = np.cumsum([0, *map(len, parts)])
-    out = np.empty(bounds[-1], np.uint64)
-    for a, b, w in zip(bounds, bounds[1:], parts, strict=False):
-        out[a:b] = np.fromiter(map(get, w), np.uint64, b - a)
-    return out, bounds
+    """The words of all texts as 64-bit hashes of their bytes, and where each text's begin."""
+    parts = [t.encode() for t in texts]
+    data = np.frombuffer(b"\n".join(parts), np.uint8)
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.diff(space.view(np.int8), prepend=np.int8(1), append=np.int8(1))
+    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)  # ends exclusive
+    out = np.empty(len(first), np.uint64)
+    at = 0
+    while at < len(first):  # as many words as lie within a stretch of bytes, one at least
+        upto = max(int(np.searchsorted(last, first[at] + HASHED_BYTES, "right")), at + 1)
+        lo, hi = first[at], last[upto - 1]
+        up, down = power(max(int(hi - lo), HASHED_BYTES))
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(BYTE[data[lo:hi]] * up[: hi - lo], out=total[1:])
+        a, b = first[at:upto] - lo, last[at:upto] - lo
+        out[at:upto] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+        at = upto
+    begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    return out, np.searchsorted(first, begins)
 
 
 def _cells(anchor: np.ndarray, row: int, width: int) -> np.ndarray:
@@ -94,7 +107,7 @@ def merged_sketch(blocks: DataFrame, *, depth: int, max_width: int) -> tuple[int
 
     merged = arrow_map(blocks, count, "depth int, slice int, data binary").groupBy("depth", "slice").applyInArrow(merge, "depth int, slice int, bits binary")
     bits = [np.zeros(width // 8, np.uint8) for _ in range(depth)]
-    for r in merged.toLocalIterator():  # depth * width / 8 bytes
+    for r in merged.collect():  # depth * width / 8 bytes
         bits[r.depth][r.slice * _SLICE // 8 : (r.slice + 1) * _SLICE // 8] = np.frombuffer(r.bits, np.uint8)
     return width, bits
 
