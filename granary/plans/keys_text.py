@@ -173,7 +173,7 @@ def bucket_shares(spark: SparkSession, d: str) -> DataFrame:
     return n.withColumn("share", F.round(F.col("n_rows") / F.sum("n_rows").over(W.partitionBy()), 6))  # a row for each bucket
 
 
-@query(r"""SELECT page_id, length(html) - length(replace(html, '&amp;', '')) AS amp_chars, regexp_matches(html, '&(?:amp|lt|gt|quot|apos|nbsp|#[0-9]{2,5}|#x[0-9a-fA-F]{2,4});') AS has_entity, regexp_matches(html, '(?i)<script') AS has_script FROM pages""")
+@query(r"""SELECT page_id, length(html) - length(replace(html, '&amp;', '')) AS amp_chars, regexp_matches(html, '(?i)&(?:amp|lt|gt|quot|apos|nbsp|#[0-9]{2,5}|#x[0-9a-f]{2,4});') AS has_entity, regexp_matches(html, '(?i)<script') AS has_script FROM pages""")
 def html_entity_pages(spark: SparkSession, d: str) -> DataFrame:
     h = F.col("html")
     return table(spark, d, "pages").select("page_id", (F.length(h) - F.length(F.replace(h, F.lit("&amp;"), F.lit("")))).cast("long").alias("amp_chars"), h.rlike(T.ARTEFACTS["html_entity"]).alias("has_entity"), h.rlike("(?i)<script").alias("has_script"))

@@ -62,48 +62,65 @@ def spike_stream(stream: DataFrame, key: str, step: str, value: str, rule: Spike
 
 @dataclass(frozen=True)
 class HealthRules:
-    """Thresholds of a run's verdict."""
+    """Thresholds of a run's verdict (fixed values)."""
 
     window: int = 20
     spikes_warn: int = 3
     spikes_kill_share: float = 0.05
-    blowup_warn: float = 5.0
-    blowup_kill: float = 20.0
+    rejected_kill: int = 3
+    blowup_warn: float = 3.0
+    blowup_kill: float = 10.0
+    cos_negative_warn: int = 50
     regress_warn: float = 0.5
     regress_kill: float = 0.75
 
 
-def verdict_of(losses: list[float], grads: list[float], rules: HealthRules = HealthRules(), spike_rule: SpikeRule = SpikeRule()) -> dict[str, dict]:
-    """The rules that fired, by name: level, step, value.  The first firing stays; a warning may turn to a kill."""
+def verdict_of(losses: list[float], grads: list[float], rules: HealthRules = HealthRules(), spike_rule: SpikeRule = SpikeRule(), cosines: list[float] | None = None, warmup: int = 0) -> dict[str, dict]:
+    """The rules that fired, by name: level, step, value.  The first firing stays; a warning may turn to a kill.
+
+    cosines: of momentum and gradient, whose run of negative values is watched.
+    Medians leave out values that aren't finite.
+    """
     fired: dict[str, dict] = {}
 
     def fire(name: str, level: str, step: int, value: float) -> None:
         if name not in fired or (fired[name]["level"], level) == ("warn", "kill"):
             fired[name] = {"level": level, "step": step, "value": value}
 
+    def middle(values: list[float]) -> float:
+        finite = [v for v in values if math.isfinite(v)]
+        return median(finite) if finite else math.nan
+
     kept: list[float] = []
-    w, n_spikes, best = rules.window, 0, math.inf
+    w, n_spikes, best, rejected, against = rules.window, 0, math.inf, 0, 0
     for i, loss in enumerate(losses, 1):
         n_spikes += spike_rule.step(kept, loss)
+        rejected += not math.isfinite(loss)
+        if rejected >= rules.rejected_kill:
+            fire("non_finite", "kill", i, rejected)
+        if cosines:
+            against = against + 1 if cosines[i - 1] < 0 else 0
+            if against >= rules.cos_negative_warn:
+                fire("momentum_against_gradient", "warn", i, against)
         if n_spikes >= rules.spikes_warn:
             fire("loss_spikes", "warn", i, n_spikes)
         if i >= 100 and n_spikes > rules.spikes_kill_share * i:
             fire("loss_spikes", "kill", i, n_spikes / i)
         if i >= w:
-            recent = median(losses[i - w : i])
+            recent = middle(losses[i - w : i])
             best = min(best, recent)
-            if i >= 2 * w:
-                first = median(losses[:w])
+            if i >= 2 * w and i > warmup + w:
+                first = middle(losses[:w])
                 if recent > first:
                     fire("loss_above_start", "kill", i, recent)
-                m = median(kept) if kept else math.nan
-                noise = 1.4826 * median(abs(v - m) for v in kept) if kept else 0.0
+                m = middle(kept)
+                noise = 1.4826 * middle([abs(v - m) for v in kept]) if kept else 0.0
                 if first - best > 0 and recent - best > noise:
                     share = (recent - best) / (first - best)
                     if share > rules.regress_warn:
                         fire("loss_regression", "kill" if share > rules.regress_kill else "warn", i, share)
         if i >= 3 * w and i <= len(grads):
-            ratio = median(grads[i - w : i]) / max(median(grads[: 2 * w]), 1e-12)
+            ratio = middle(grads[i - w : i]) / max(middle(grads[: 2 * w]), 1e-12)
             if ratio > rules.blowup_warn:
                 fire("grad_blowup", "kill" if ratio > rules.blowup_kill else "warn", i, ratio)
     return fired
