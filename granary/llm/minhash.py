@@ -15,8 +15,8 @@ key) doesn't give all its pairs: it first gives each member one pair with a lead
 the verified links are joined to components.  Buckets whose members are in several
 components then get their members' sets, and every pair in different components is
 compared there; only links that join components come out.  So every pair that shares a
-bucket is verified or connected already.  A large bucket is dealt into blocks, and each
-two blocks are a group.  Hot buckets and leaders meet in joins of written tables whose
+bucket is verified or connected already.  A large bucket is dealt into blocks, its
+largest component's apart from the others'.  Hot buckets and leaders meet in joins of written tables whose
 large partitions Spark can split.  Nothing about links or components reaches the driver
 but counts.
 
@@ -221,21 +221,29 @@ def bucket_links(rep: np.ndarray, comp: np.ndarray, sets: list[np.ndarray], perc
 
 
 def open_links(placed: DataFrame, sets: DataFrame, percent: int, block: int, tasks: int) -> DataFrame:
-    """Links (a, b) between components that meet in a bucket, of placed: band, key, size (of the bucket), rep, comp.
+    """Links (a, b) between components that meet in a bucket, of placed: band, key, rep, comp, main (the bucket's largest component), n_main, n_rest.
 
-    A bucket of more than `block` members is dealt into blocks, and each two of its
-    blocks are compared in one place; small buckets share a task's group.
+    Members of the main component are one side, the others both: each block of others
+    meets each block of the main component and each block of others in a place of its
+    own.  So a hot bucket's main component moves once for each block of others, of which
+    there is mostly one.  Small buckets share a task's group.
     """
-    nb = F.ceil(F.col("size") / block).cast("int")
-    dealt = placed.withColumn("own", F.pmod(F.xxhash64("rep"), nb).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp")
-    dealt = dealt.join(sets.toDF("rep", "shingles"), "rep").withColumn("task", F.pmod(F.xxhash64("band", "key", "i", "j"), F.lit(tasks)))
+    blocks = lambda n: F.ceil(F.greatest(F.col(n), F.lit(1)) / block).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    place = lambda i, side, j: F.struct(i.cast("int").alias("i"), F.lit(side).alias("side"), j.cast("int").alias("j"))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    x = placed.withColumn("mb", F.when(F.col("n_main") > 0, blocks("n_main")).otherwise(0)).withColumn("sb", blocks("n_rest"))
+    rest = own(F.col("sb"))
+    places = F.when(F.col("comp") == F.col("main"), F.transform(upto(F.col("sb")), lambda i: place(i, 0, own(F.col("mb"))))).otherwise(
+        F.concat(F.transform(upto(F.col("mb")), lambda j: place(rest, 0, j)), F.transform(upto(F.col("sb")), lambda j: place(F.least(rest, j), 1, F.greatest(rest, j)))))
+    dealt = x.select("band", "key", "rep", "comp", F.explode(places).alias("p")).select("band", "key", "rep", "comp", "p.*")
+    dealt = dealt.join(sets.toDF("rep", "shingles"), "rep").withColumn("task", F.pmod(F.xxhash64("band", "key", "i", "side", "j"), F.lit(tasks)))
 
     def group(t: pa.Table) -> pa.Table:
-        band, key, i, j, rep, comp = (t[k].to_numpy() for k in ("band", "key", "i", "j", "rep", "comp"))
-        order = np.lexsort((rep, j, i, key, band))
+        band, key, i, side, j, rep, comp = (t[k].to_numpy() for k in ("band", "key", "i", "side", "j", "rep", "comp"))
+        order = np.lexsort((rep, j, side, i, key, band))
         new = np.ones(len(order), bool)
-        for v in (band, key, i, j):
+        for v in (band, key, i, side, j):
             new[1:] &= v[order][1:] == v[order][:-1]
         new = ~new
         new[0] = True
@@ -273,7 +281,7 @@ def connected(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(edges.select("v", "v").distinct())
 
 
-def classes(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, block: int = 4_000) -> DataFrame:
+def classes(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, block: int = 500) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; see the module's text."""
     session(docs)
     base = written(described(docs, width=width, bands=bands, rows=rows).where("doc_id is not null"), "described")
@@ -290,9 +298,10 @@ def classes(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int =
     named = written(connected(links), "named")
     placed = written(members.join(named, members["rep"] == named["id"], "left").select("band", "key", "size", "rep", F.coalesce("component", "rep").alias("comp")), "placed")
     # buckets whose members are in several components, one of those with the same members
-    mixed = placed.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("n"), F.min("rep").alias("r0"), F.max("rep").alias("r1"), F.bit_xor(F.xxhash64("rep")).alias("x"))
-    mixed = mixed.where("c0 < c1").groupBy("n", "r0", "r1", "x").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key")
-    placed = placed.join(written(mixed, "mixed"), ["band", "key"], "left_semi")
+    parts = placed.groupBy("band", "key", "comp").agg(F.count("*").alias("n"), F.min("rep").alias("r0"), F.max("rep").alias("r1"), F.bit_xor(F.xxhash64("rep")).alias("x"))
+    mixed = parts.groupBy("band", "key").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.min("r0").alias("r0"), F.max("r1").alias("r1"), F.bit_xor("x").alias("x")).where("comps > 1")
+    mixed = mixed.groupBy("n", "r0", "r1", "x").agg(F.min(F.struct("band", "key", "main")).alias("b")).select("b.band", "b.key", F.col("b.main.comp").alias("main"), F.col("b.main.n").alias("n_main"), (F.col("n") - F.col("b.main.n")).alias("n_rest"))
+    placed = placed.select("band", "key", "rep", "comp").join(written(mixed, "mixed"), ["band", "key"])
     tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = links.union(written(open_links(placed, full, percent, block, tasks), "links"))
     # ids of equal sets, and repeated ids, are linked as well

@@ -378,7 +378,7 @@ def edited(rng, n, most):
     return out
 
 
-@pytest.mark.parametrize("block", [4000, 7])
+@pytest.mark.parametrize("block", [500, 3])
 def test_components(spark, sf_dir, block):
     rng = random.Random(11)
     planted = [(5000 + i, t) for i, t in edited(rng, 40, 9)]
