@@ -11,6 +11,10 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.keys import hash01, stable_hash
 
 PLACED = "shard long, idx long, bucket int, micro int, slot_row int, slot int, start int"
 
@@ -117,3 +121,23 @@ def pack(segments: DataFrame, *, buckets: tuple[int, ...], budget: int, slots: i
         return pd.concat([pdf[["shard", "idx"]].reset_index(drop=True), out], axis=1)
 
     return segments.select("shard", "idx", "n").groupBy("shard").applyInPandas(run, PLACED)
+
+
+def drawn_segments(lengths: DataFrame, weights: dict[str, float], draws: int, *, seed: int = 0, shards: int = 8) -> DataFrame:
+    """shard, idx, source, n of `draws` draws: a source by weight, then one of its rows (source, n), both by hash of (seed, draw).
+
+    weights is the mixture, a number for each source; lengths stays dealt.
+    """
+    total, cumulative = sum(weights.values()), 0.0
+    u, upper = hash01(F.col("id"), seed), []
+    for source in sorted(weights):
+        cumulative += weights[source]
+        upper.append((source, cumulative / total))
+    pick = F.lit(upper[-1][0])
+    for source, edge in reversed(upper[:-1]):
+        pick = F.when(u < edge, F.lit(source)).otherwise(pick)
+    rows = lengths.withColumn("k", F.row_number().over(W.partitionBy("source").orderBy("n", *[c for c in lengths.columns if c not in ("source", "n")])) - 1)
+    sizes = lengths.groupBy("source").agg(F.count("*").alias("rows"))
+    d = lengths.sparkSession.range(draws).withColumn("source", pick).join(sizes, "source")
+    d = d.withColumn("k", F.pmod(stable_hash(F.lit(seed), F.col("id"), F.lit("row")), F.col("rows")).cast("int"))
+    return d.join(rows.select("source", "k", "n"), ["source", "k"]).select(F.pmod("id", F.lit(shards)).alias("shard"), F.col("id").alias("idx"), "source", F.col("n").cast("long").alias("n"))

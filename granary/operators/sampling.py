@@ -20,11 +20,11 @@ def cap_per_group(df: DataFrame, group: str, k: int, *, ident: str = "id", seed:
     return part.withColumn("__r", F.row_number().over(W.partitionBy(group).orderBy("__o", ident))).where(F.col("__r") <= k).drop("__o", "__s", "__r")
 
 
-def take_quota(df: DataFrame, quota: DataFrame, keys: list[str], *, ident: str = "id", seed: int = 0) -> DataFrame:
-    """The first `take` rows (of quota: keys, take) of each stratum in draw order."""
-    joined = df.join(quota, keys)
-    w = W.partitionBy(*keys).orderBy(draw_order(ident, seed), ident)
-    return joined.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= F.col("take")).drop("__r", "take")
+def take_quota(df: DataFrame, quota: DataFrame, keys: list[str], *, ident: str = "id", seed: int = 0, salts: int = 16) -> DataFrame:
+    """The first `take` rows (of quota: keys, take) of each stratum in draw order; ranked within salted parts first."""
+    rows = df.join(quota, keys).withColumn("__o", draw_order(ident, seed)).withColumn("__s", F.pmod(F.xxhash64(ident), F.lit(salts)))
+    part = rows.withColumn("__r", F.row_number().over(W.partitionBy(*keys, "__s").orderBy("__o", ident))).where(F.col("__r") <= F.col("take"))
+    return part.withColumn("__r", F.row_number().over(W.partitionBy(*keys).orderBy("__o", ident))).where(F.col("__r") <= F.col("take")).drop("__o", "__s", "__r", "take")
 
 
 def largest_remainder(counts: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -51,18 +51,8 @@ def rebalance_quota(counts: DataFrame, *, hi: float = 0.7, max_loss: float = 0.6
     return counts.select("source", "yes", "no", (F.col("yes") - F.when(p > hi, drop).otherwise(0)).alias("keep_yes"), (F.col("no") - F.when(p < 1 - hi, drop).otherwise(0)).alias("keep_no"))
 
 
-def sqrt_quotas(counts: DataFrame, total: int, *, share: float = 0.15, rounds: int = 60) -> DataFrame:
-    """(key, n, quota): min(n, c * sqrt(n), share * total), c by bisection so that the quotas sum to total; one row for each key on the driver's side as aggregates only."""
-    lo, hi = 0.0, 1e6
-    for _ in range(rounds):
-        c = (lo + hi) / 2
-        got = counts.agg(F.sum(F.least(F.col("n").cast("double"), c * F.sqrt("n"), F.lit(share * total)))).first()[0] or 0.0
-        lo, hi = (c, hi) if got < total else (lo, c)
-    return counts.withColumn("quota", F.floor(F.least(F.col("n").cast("double"), hi * F.sqrt("n"), F.lit(share * total)) + 1e-6).cast("long"))
-
-
 def sqrt_quotas_grid(counts: DataFrame, total: int, *, share: float = 0.15, steps: int = 4096, top: float = 64.0) -> DataFrame:
-    """The same with c from a grid, as one query: the least c whose quotas reach total."""
+    """(key, n, quota): min(n, c * sqrt(n), share * total), c the least of a grid with which the quotas reach total."""
     grid = counts.sparkSession.range(1, steps + 1).select((F.col("id") * (top / steps)).alias("c"))
     each = F.least(F.col("n").cast("double"), F.col("c") * F.sqrt("n"), F.lit(share * total))
     # counts has a row for each source and the grid a fixed number: the product is bounded by the sources

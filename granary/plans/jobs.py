@@ -176,3 +176,19 @@ def extended_mix(spark: SparkSession, d: str) -> DataFrame:
     items = train_items(spark, d)
     out = build.extend_mix(items.where("id % 2 = 0"), items.where("id % 2 = 1"), held_items(spark, d))
     return out.groupBy("source").agg(F.count("*").alias("n"))
+
+
+@query()
+def simulated_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Draws of a weighted mixture packed best-fit: by source the draws, epochs and dropped segments."""
+    from ..functions import text as T
+    from ..operators import mixture, packing
+    from .mixing import _sources
+
+    w = {r.source: r.weight for r in mixture.block_weights(_sources(spark, d)).select("source", "weight").collect()}  # a row for each source
+    lengths = table(spark, d, "documents").select("source", F.size(T.words("text")).alias("n"), "doc_id").where("n > 0")
+    seg = packing.drawn_segments(lengths, w, 2000, seed=1)
+    placed = packing.pack(seg, buckets=(256, 1024, 4096), budget=8192, slots=32, bins=4, best_fit=True).select("shard", "idx", "bucket")
+    rows = lengths.groupBy("source").agg(F.count("*").alias("rows"))
+    g = seg.join(placed, ["shard", "idx"]).groupBy("source").agg(F.count("*").alias("draws"), F.count_if(F.col("bucket").isNull()).alias("dropped"))
+    return g.join(rows, "source").select("source", "draws", "dropped", F.round(F.col("draws") / F.col("rows"), 6).alias("epochs"))
