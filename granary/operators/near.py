@@ -41,8 +41,15 @@ def estimated_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.size(a)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores where its input has fewer partitions (a single small file); larger inputs aren't moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df  # noqa: SLF001
+
+
 def signatures(df: DataFrame, text: str, *keep: str, perms: int = 32, k: int = 3) -> DataFrame:
-    return df.select(*keep, signature(shingle_hashes(text, k), perms).alias("sig")).where(F.size("sig") > 0)
+    """keep and sig of the rows that have words."""
+    return spread(df).select(*keep, signature(shingle_hashes(text, k), perms).alias("sig")).where(F.size("sig") > 0)
 
 
 def near_pairs(sigs: DataFrame, *, bands: int = 8, threshold: float = 0.8) -> DataFrame:
