@@ -14,6 +14,9 @@ from ..functions import text as T
 from .tables import written
 
 PRIME = 2147483647
+#: Permutations and bands (of 4 rows): a pair at a similarity of 0.8 is a candidate with a probability of 1 - 5e-8, one at 0.5 with 87 %.
+PERMS = 128
+BANDS = 32
 
 
 def coefficients(perms: int) -> list[tuple[int, int]]:
@@ -25,13 +28,13 @@ def shingle_hashes(text: Column | str, k: int = 3) -> Column:
     return F.array_distinct(F.transform(T.shingles(T.words(text), k), lambda s: F.conv(F.substring(F.md5(s), 1, 7), 16, 10).cast("long")))
 
 
-def signature(hashes: Column, perms: int = 32) -> Column:
+def signature(hashes: Column, perms: int = PERMS) -> Column:
     """perms minima; empty for no hashes."""
     ab = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in coefficients(perms)])
     return F.transform(F.array(hashes), lambda hs: F.when(F.size(hs) > 0, F.transform(ab, lambda c: F.array_min(F.transform(hs, lambda h: (c["a"] * h + c["b"]) % PRIME)))).otherwise(F.array().cast("array<bigint>")))[0]
 
 
-def band_keys(sig: Column, bands: int = 8) -> Column:
+def band_keys(sig: Column, bands: int = BANDS) -> Column:
     """array<struct<band,key>>; rows of a band are size / bands."""
     rows = F.floor(F.size(sig) / bands).cast("int")
     return F.when(F.size(sig) > 0, F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.md5(F.array_join(F.transform(F.slice(sig, b * rows + 1, rows), lambda x: x.cast("string")), ",")).alias("key"))))
@@ -47,12 +50,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df  # noqa: SLF001
 
 
-def signatures(df: DataFrame, text: str, *keep: str, perms: int = 32, k: int = 3) -> DataFrame:
+def signatures(df: DataFrame, text: str, *keep: str, perms: int = PERMS, k: int = 3) -> DataFrame:
     """keep and sig of the rows that have words."""
     return spread(df).select(*keep, signature(shingle_hashes(text, k), perms).alias("sig")).where(F.size("sig") > 0)
 
 
-def near_pairs(sigs: DataFrame, *, bands: int = 8, threshold: float = 0.8) -> DataFrame:
+def near_pairs(sigs: DataFrame, *, bands: int = BANDS, threshold: float = 0.8) -> DataFrame:
     """(a, b, j): each member of a bucket with the bucket's smallest id, estimated Jaccard at the threshold or more.
 
     A star and not all pairs: a bucket of n gives n - 1.
@@ -65,7 +68,7 @@ def near_pairs(sigs: DataFrame, *, bands: int = 8, threshold: float = 0.8) -> Da
     return pairs.join(left, "a").join(right, "b").select("a", "b", estimated_jaccard(F.col("sa"), F.col("sb")).alias("j")).where(F.col("j") >= threshold)
 
 
-def near_hits(query: DataFrame, index: DataFrame, *, bands: int = 8, threshold: float = 0.8) -> DataFrame:
+def near_hits(query: DataFrame, index: DataFrame, *, bands: int = BANDS, threshold: float = 0.8) -> DataFrame:
     """(id, ref, j): rows of query near a row of index; both with id and sig.  Every candidate is verified."""
     q = query.select("id", "sig", F.explode(band_keys(F.col("sig"), bands)).alias("k"))
     i = index.select(F.col("id").alias("ref"), F.col("sig").alias("ref_sig"), F.explode(band_keys(F.col("sig"), bands)).alias("k"))

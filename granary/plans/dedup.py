@@ -84,6 +84,7 @@ def drop_reason_counts(spark: SparkSession, d: str) -> DataFrame:
     return clean_documents(spark, d).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
+#: Less than the operators' 128 permutations and 32 bands: what the SQL of these queries computes (see the README for its recall).
 P_, B_ = 32, 8
 
 
@@ -122,14 +123,14 @@ def lsh_band_keys(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {PAIRS} SELECT a, b, round(j, 6) AS j FROM pairs")
 def near_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return near.near_pairs(_signatures(spark, d)).select("a", "b", F.round("j", 6).alias("j"))
+    return near.near_pairs(_signatures(spark, d), bands=B_).select("a", "b", F.round("j", 6).alias("j"))
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 walk(id, to_id) AS (SELECT a, a FROM e UNION SELECT id, b FROM walk JOIN e ON e.a = to_id)
 SELECT id, min(to_id) AS cluster FROM walk GROUP BY id""")
 def near_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return near.components(near.near_pairs(_signatures(spark, d)))
+    return near.components(near.near_pairs(_signatures(spark, d), bands=B_))
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
@@ -140,14 +141,14 @@ kept AS (SELECT doc_id, source, row_number() OVER (PARTITION BY cluster ORDER BY
 SELECT doc_id, source FROM kept WHERE r <= 2 UNION ALL SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT id FROM cl)""")
 def cluster_cap(spark: SparkSession, d: str) -> DataFrame:
     rows = train_items(spark, d).select("id", "source")
-    return near.cluster_cap(rows, near.components(near.near_pairs(_signatures(spark, d))), cap=2, question="source").select(F.col("id").alias("doc_id"), "source")
+    return near.cluster_cap(rows, near.components(near.near_pairs(_signatures(spark, d), bands=B_)), cap=2, question="source").select(F.col("id").alias("doc_id"), "source")
 
 
 @query(f"""WITH s AS MATERIALIZED (SELECT * FROM {_sig('documents', 'doc_id')}), h AS MATERIALIZED (SELECT * FROM {_sig('benchmark', 'item_id')}),
 c AS (SELECT DISTINCT x.id AS id, y.id AS ref FROM {_bands('s')} x JOIN {_bands('h')} y USING (band, key))
 SELECT c.id AS doc_id, ref AS item_id, round({JACCARD.format(a='s.sig', b='h.sig')}, 6) AS j FROM c JOIN s ON s.id = c.id JOIN h ON h.id = ref WHERE {JACCARD.format(a='s.sig', b='h.sig')} >= 0.5""")
 def near_hits_vs_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    hits = near.near_hits(_signatures(spark, d), near.signatures(held_items(spark, d), "state", "id", perms=P_), threshold=0.5)
+    hits = near.near_hits(_signatures(spark, d), near.signatures(held_items(spark, d), "state", "id", perms=P_), bands=B_, threshold=0.5)
     return hits.select(F.col("id").alias("doc_id"), F.col("ref").alias("item_id"), F.round("j", 6).alias("j"))
 
 
@@ -165,7 +166,7 @@ SELECT coalesce(source, '(all)') AS source, count(*) AS n, sum(exact)::BIGINT AS
 def duplication_report(spark: SparkSession, d: str) -> DataFrame:
     rows = train_items(spark, d).select("id", "source", F.md5(T.norm_key("state")).alias("key"))
     g = rows.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("source").alias("ns"))
-    p = written(near.near_pairs(_signatures(spark, d)), "pairs")
+    p = written(near.near_pairs(_signatures(spark, d), bands=B_), "pairs")
     ids = p.select("a").union(p.select("b")).distinct().toDF("id").withColumn("near", F.lit(1))
     flat = rows.join(g, "key").join(ids, "id", "left").select("source", (F.col("n") > 1).cast("int").alias("exact"), (F.col("ns") > 1).cast("int").alias("shared"), F.coalesce("near", F.lit(0)).alias("near"))
     return flat.rollup("source").agg(F.count("*").alias("n"), F.sum("exact").alias("exact"), F.sum("shared").alias("shared"), F.sum("near").alias("near")).withColumn("source", F.coalesce("source", F.lit("(all)")))

@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -84,6 +85,21 @@ def test_near(spark):
     assert sorted(map(tuple, near.components(pairs).collect())) == [(1, 1), (2, 1)]
 
 
+def test_near_work_is_whole(spark):
+    """128 permutations in 32 bands by default: pairs at a similarity of 0.5 are candidates, at an error of 0.044."""
+    rng = random.Random(0)
+    base, other = [], []
+    for i in range(100):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(160)]
+        base.append((i, " ".join(words[:122])))
+        other.append((1000 + i, " ".join(words[40:])))  # 80 of 160 shingles
+    s, t = (near.signatures(spark.createDataFrame(x, "id long, state string"), "state", "id") for x in (base, other))
+    assert s.selectExpr("min(size(sig))").first()[0] == 128
+    js = [r.j for r in near.near_hits(t, s, threshold=0.3).where("id = ref + 1000").collect()]
+    assert len(js) >= 80 and abs(sum(js) / len(js) - 0.5) < 0.05
+    assert near.near_pairs(s.union(t), threshold=0.3).where("b = a + 1000").count() >= 80
+
+
 def test_components_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31)], "a long, b long")
     got = dict(map(tuple, near.components(pairs).collect()))
