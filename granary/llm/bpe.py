@@ -8,14 +8,16 @@ worked on once, however often it occurs, and nothing is shuffled.
 
 Defined results.  A null text counts as empty: no tokens, and the hashes of no bytes.
 Rows are neither dropped nor merged; repeated ids give repeated rows.  A piece of any
-length is encoded (a long one takes one round of the query for each merge).  Extra
-columns are ignored.
+length is encoded: a round of a long one's query contracts all places of its pair of
+least rank, and what a query gathers is bounded by bytes.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -32,6 +34,10 @@ SLICE_CHARS = 1_000_000
 
 #: Rounds of one query; a word that has pairs left then goes to the next one, so that what a query gathers stays bounded.
 QUERY_ROUNDS = 256
+#: Ids that one query gathers, over all its rounds.
+QUERY_IDS = 4_000_000
+#: Bytes from which a piece is long: a round contracts all places of a pair, not the leftmost alone.
+LONG_BYTES = 1_000
 
 # best: the pair of least rank, at its leftmost position: rank and position in one number
 ENCODE_SQL = """
@@ -40,15 +46,39 @@ WITH RECURSIVE s(w, ids, step) AS (
   UNION ALL
   (WITH pairs AS (
      SELECT w, unnest(ids[:-2]) AS tok, unnest(ids[2:]) AS next, generate_subscripts(ids[2:], 1) AS p
-     FROM s WHERE step < %d),
+     FROM s WHERE step < {rounds}),
    hit AS (
      SELECT w, best & 4294967295 AS p, (best >> 32)::INT AS k
      FROM (SELECT w, min((m.k::BIGINT << 32) + p) AS best
            FROM pairs JOIN merges m ON m.lr = tok::BIGINT * 1048576 + next GROUP BY w))
    SELECT w, ids[:p - 1] || [k] || ids[p + 2:], step + 1 FROM s JOIN hit USING (w))
 )
-SELECT w, ids, step FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step)
-""" % QUERY_ROUNDS
+SELECT w, ids, step, false AS early FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step)
+"""
+
+# all places of the pairs of least rank, of overlapping ones each second; early: a contraction has made a pair of lesser rank,
+# or could have made one before its next place, and then the leftmost place alone was the one to contract
+LONG_SQL = """
+WITH RECURSIVE s(w, ids, last, early, step) AS (
+  SELECT w, list(tok ORDER BY p), -1, false, 0 FROM ini GROUP BY w
+  UNION ALL
+  (WITH pairs AS (
+     SELECT w, unnest(ids[:-2]) AS tok, unnest(ids[2:]) AS next, generate_subscripts(ids[2:], 1) AS p
+     FROM s WHERE step < {rounds} AND NOT early),
+   hit AS MATERIALIZED (SELECT w, p, m.k, m.alone FROM pairs JOIN merges m ON m.lr = tok::BIGINT * 1048576 + next),
+   best AS MATERIALIZED (SELECT w, min(k) AS k FROM hit GROUP BY w),
+   run AS MATERIALIZED (SELECT w, p, k, alone, p - row_number() OVER (PARTITION BY w ORDER BY p) AS run FROM hit JOIN best USING (w, k)),
+   take AS MATERIALIZED (
+     SELECT w, p, k FROM (SELECT w, p, k, row_number() OVER (PARTITION BY w, run ORDER BY p) AS n FROM run) WHERE n % 2 = 1),
+   now AS (SELECT w, unnest(ids) AS tok, generate_subscripts(ids, 1) AS p FROM s SEMI JOIN best USING (w)),
+   new AS (
+     SELECT w, list(coalesce(t.k, tok) ORDER BY p) AS ids FROM now LEFT JOIN take t USING (w, p)
+     WHERE NOT EXISTS (FROM take u WHERE u.w = now.w AND u.p + 1 = now.p) GROUP BY w),
+   alone AS (SELECT w, bool_or(alone) AS alone FROM run GROUP BY w)
+   SELECT w, new.ids, k, k < last OR alone, step + 1 FROM s JOIN best USING (w) JOIN new USING (w) JOIN alone USING (w))
+)
+SELECT w, ids, step, early FROM s JOIN (SELECT w, max(step) AS step FROM s GROUP BY w) USING (w, step)
+"""
 
 DECODE_SQL = """
 SELECT w, string_agg(v.piece, '' ORDER BY p) AS decoded
@@ -89,6 +119,15 @@ def merge_rows(ranks: dict[bytes, int]) -> tuple[list[int], list[int]]:
     return keys, ks
 
 
+def lone_merges(keys: list[int], ks: list[int]) -> list[bool]:
+    """Of each merge, whether its token and what another place of it begins with make a token of lesser rank."""
+    lefts: dict[int, set[int]] = {}
+    for key, k in zip(keys, ks, strict=True):
+        lefts.setdefault(k, set()).add(key >> 20)
+    lone = {key >> 20 for key, k in zip(keys, ks, strict=True) if k < key >> 20 and key & 1048575 in lefts.get(key >> 20, ())}
+    return [k in lone for k in ks]
+
+
 class Coder:
     """Encodes and decodes pieces in a DuckDB database of its own, in memory."""
 
@@ -99,9 +138,10 @@ class Coder:
         self.split = regex.compile(vocabulary.pattern).findall
         self.ranks = vocabulary.ranks
         self.byte = [self.ranks[bytes([i])] for i in range(256)]
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "256MB", "temp_directory": ""})
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "256MB", "temp_directory": f"{tempfile.gettempdir()}/granary-bpe-{uuid.uuid4().hex}"})
+        self.db.execute("SET enable_progress_bar = false")
         keys, ks = merge_rows(self.ranks)
-        self.db.register("merge_rows", pa.table({"lr": pa.array(keys, pa.int64()), "k": pa.array(ks, pa.int32())}))
+        self.db.register("merge_rows", pa.table({"lr": pa.array(keys, pa.int64()), "k": pa.array(ks, pa.int32()), "alone": lone_merges(keys, ks)}))
         # bytes stand as the characters U+0001 to U+0100 (for byte 0), so that text aggregation keeps them
         pieces = ["".join(chr(b or 256) for b in t) for t in self.ranks]
         self.db.register("pieces", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": pieces}))
@@ -121,16 +161,42 @@ class Coder:
             self.decoded[piece] = decoded
 
     def _rounds(self, rows: pa.Table) -> None:
-        """Encodes token-position rows (w, p, tok) to the table `done` (w, ids)."""
+        """Encodes token-position rows (w, p, tok) of words that are all long or all short to the table `done` (w, ids)."""
         self.db.execute("CREATE OR REPLACE TABLE done (w INTEGER, ids INTEGER[])")
         self.db.register("start", rows)
         self.db.execute("CREATE OR REPLACE TABLE ini AS FROM start")
-        while True:
-            self.db.execute(f"CREATE OR REPLACE TABLE got AS {ENCODE_SQL}")
-            self.db.execute(f"INSERT INTO done SELECT w, ids FROM got WHERE step < {QUERY_ROUNDS}")
-            if not self.db.execute(f"SELECT count(*) FROM got WHERE step = {QUERY_ROUNDS}").fetchall()[0][0]:
-                return
-            self.db.execute(f"CREATE OR REPLACE TABLE ini AS SELECT w, generate_subscripts(ids, 1)::BIGINT AS p, unnest(ids) AS tok FROM got WHERE step = {QUERY_ROUNDS}")
+        if (self.db.execute("SELECT max(p) + 1 FROM start").fetchall()[0][0] or 0) < LONG_BYTES:
+            return self._contract(ENCODE_SQL, QUERY_ROUNDS)
+        rounds = max(1, min(QUERY_ROUNDS, QUERY_IDS // rows.num_rows))
+        self._contract(LONG_SQL, rounds)
+        # those whose pairs have to be contracted one at a time begin anew
+        self.db.execute("CREATE OR REPLACE TABLE ini AS FROM start WHERE w NOT IN (SELECT w FROM done)")
+        self._contract(ENCODE_SQL, rounds)
+
+    def _contract(self, sql: str, rounds: int) -> None:
+        """Encodes the words of `ini` to `done`, by queries of so many rounds; without those that come out early."""
+        while self.db.execute("SELECT count(*) FROM ini").fetchall()[0][0]:
+            self.db.execute(f"CREATE OR REPLACE TABLE got AS {sql.format(rounds=rounds)}")
+            self.db.execute(f"INSERT INTO done SELECT w, ids FROM got WHERE step < {rounds} AND NOT early")
+            self.db.execute(f"CREATE OR REPLACE TABLE ini AS SELECT w, generate_subscripts(ids, 1)::BIGINT AS p, unnest(ids) AS tok FROM got WHERE step = {rounds} AND NOT early")
+
+    @staticmethod
+    def _parts(rest: list[tuple[str, bytes]]) -> Iterator[list[tuple[str, bytes]]]:
+        """Short and long pieces apart; what a query gathers of a part stays within QUERY_IDS, or a part is one piece."""
+        for long in (False, True):
+            part, size = [], 0
+            for x in rest:
+                n = len(x[1])
+                if (n >= LONG_BYTES) != long:
+                    continue
+                n *= 32 if long else min(n, QUERY_ROUNDS)
+                if part and (len(part) == QUERY_WORDS or size + n > QUERY_IDS):
+                    yield part
+                    part, size = [], 0
+                part.append(x)
+                size += n
+            if part:
+                yield part
 
     def learn(self, pieces: set[str]) -> None:
         """Encodes and decodes those of the pieces that aren't known yet."""
@@ -144,8 +210,7 @@ class Coder:
             else:
                 rest.append((p, b))
         table = np.array(self.byte, np.int32)
-        for at in range(0, len(rest), QUERY_WORDS):
-            part = rest[at : at + QUERY_WORDS]
+        for part in self._parts(rest):
             sizes = np.fromiter((len(b) for _, b in part), np.int64, len(part))
             data = np.frombuffer(b"".join([b for _, b in part]), np.uint8)
             w = np.repeat(np.arange(len(part), dtype=np.int32), sizes)

@@ -93,6 +93,37 @@ def test_bpe_random_bytes(vocabulary, encoder):
         assert [int(x) for x in ids.split(",") if x] == encoder.encode_ordinary(t) and decoded == t.encode()
 
 
+def test_bpe_long_pieces(vocabulary, encoder):
+    """Unbroken pieces of some hundred thousand letters, and many of a few hundred bytes: within a task's memory, and the same ids."""
+    rng = random.Random(0)
+    word = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(20)]
+    texts = ["".join(rng.choice(word) for _ in range(50_000)), "a" * 200_001, "=-" * 100_000]
+    texts += ["".join(rng.choice("etaoin") for _ in range(600)) for _ in range(1_200)]
+    assert len(texts[0]) > 200_000
+    for t, (ids, decoded) in zip(texts, bpe.Coder(vocabulary).texts(texts), strict=True):
+        assert [int(x) for x in ids.split(",") if x] == encoder.encode_ordinary(t) and decoded == t.encode()
+
+
+def test_bpe_out_of_order_ranks(monkeypatch):
+    """A vocabulary whose contractions make pairs of lesser rank: long pieces are then contracted one place at a time."""
+    monkeypatch.setattr(bpe, "LONG_BYTES", 8)
+    tokens = [bytes([i]) for i in range(256)] + [b"aba", b"abab", b"cab", b"bc", b"ab", b"abc", b"ca", b"aa", b"aaa"]
+    ranks = {t: k for k, t in enumerate(tokens)}
+
+    def by_hand(text):
+        ids = [ranks[bytes([x])] for x in text.encode()]
+        while True:
+            best = min((k, i) for i in range(len(ids)) if (k := ranks.get(tokens[ids[i]] + tokens[ids[i + 1]] if i + 1 < len(ids) else None, 999)) is not None)
+            if best[0] == 999:
+                return ids
+            ids[best[1] : best[1] + 2] = [best[0]]
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randrange(2, 40))) for _ in range(300)]
+    for t, (ids, _) in zip(texts, bpe.Coder(bpe.Vocabulary(r"\w+", ranks)).texts(texts), strict=True):
+        assert [int(x) for x in ids.split(",")] == by_hand(t)
+
+
 # ---- 2 secrets
 
 def spans_by_hand(text):
