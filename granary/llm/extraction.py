@@ -40,6 +40,10 @@ HIDDEN = frozenset("script style noscript template head title svg canvas object
 APART = frozenset("nav aside footer form menu dialog".split()) | HIDDEN
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
+#: What a head can hold: the start of anything else ends it.
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+#: Elements that can hold the page's text where their end tag is missing: they then set nothing apart.
+LOOSE = frozenset("object button canvas svg".split())
 #: Elements that a sibling's start ends, and the elements that this search stays within.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Words of class, id and role that set an element apart.
@@ -52,13 +56,13 @@ _TOKENS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "tokens", "parent", "children", "chars", "link_chars", "stops", "apart")
+    __slots__ = ("tag", "tokens", "parent", "children", "chars", "link_chars", "stops", "apart", "closed")
 
     def __init__(self, tag: str, tokens: frozenset[str], parent: int) -> None:
         self.tag, self.tokens, self.parent = tag, tokens, parent
         self.children: list[int] = []
         self.chars = self.link_chars = self.stops = 0
-        self.apart = False
+        self.apart = self.closed = False
 
 
 class _Parser(HTMLParser):
@@ -72,14 +76,18 @@ class _Parser(HTMLParser):
         self.fresh = True
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag == "body" or (tag not in HEAD and self.nodes[self.open[-1]].tag == "head"):
+            self._end({"head"}, set())
+        if tag in CLOSES_P and tag != "hr":
+            self._end({"select"}, {"object"})
         if tag in CLOSES_P:
             self._end({"p"}, {"button", "td", "th", "table"})
         if tag in ENDS:
             self._end(*ENDS[tag])
         words = frozenset(w for k, v in attrs if v and k in ("class", "id", "role", "aria-label") for w in _TOKENS.findall(v.lower())) if attrs else frozenset()
         node = Node(tag, words, self.open[-1])
-        # what is within an element that is set apart is so as well; a header is the page's unless an article holds it
-        node.apart = self.nodes[self.open[-1]].apart or tag in APART or bool(words & APART_WORDS) or (tag == "header" and not any(self.nodes[k].tag in ("article", "main") for k in self.open))
+        # a header is the page's unless an article holds it
+        node.apart = bool(words & APART_WORDS) or (tag == "header" and not any(self.nodes[k].tag in ("article", "main") for k in self.open))
         self.nodes.append(node)
         n = len(self.nodes) - 1
         self.nodes[self.open[-1]].children.append(n)
@@ -93,7 +101,7 @@ class _Parser(HTMLParser):
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.nodes[self.open[-1]].tag == tag:
-            self.open.pop()
+            self.nodes[self.open.pop()].closed = True
 
     def _end(self, tags: set[str], within: set[str]) -> None:
         for k in range(len(self.open) - 1, 0, -1):
@@ -112,6 +120,7 @@ class _Parser(HTMLParser):
             if self.nodes[self.open[k]].tag == tag:
                 if any(self.nodes[n].tag not in INLINE for n in self.open[k:]):
                     self.fresh = True
+                self.nodes[self.open[k]].closed = True
                 del self.open[k:]
                 return
 
@@ -131,6 +140,8 @@ class _Parser(HTMLParser):
         self.runs[-1][1].append(data)
 
     def handle_data(self, data: str) -> None:
+        if self.nodes[self.open[-1]].tag == "head" and not data.isspace():
+            self._end({"head"}, set())
         self._text(data)
         size = len(data) - data.count(" ")
         if not size:
@@ -145,11 +156,18 @@ class _Parser(HTMLParser):
                 node.link_chars += size
 
 
+def _loose(node: Node) -> bool:
+    return node.tag in LOOSE and not node.closed
+
+
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """The page's nodes, parents first, and its runs of text by block, white space made single."""
     p = _Parser()
     p.feed(html)
     p.close()
+    # what is within an element that is set apart is so as well
+    for node in p.nodes[1:]:
+        node.apart = node.apart or p.nodes[node.parent].apart or (node.tag in APART and not _loose(node))
     runs = [(n, _SPACE.sub(" ", "".join(parts)).strip()) for n, parts in p.runs]
     return p.nodes, [(n, t) for n, t in runs if t]
 
@@ -240,7 +258,7 @@ def extract(model: Model, html: str | None) -> str:
 
 def _hidden(nodes: list[Node], i: int) -> bool:
     while i > 0:
-        if nodes[i].tag in HIDDEN:
+        if nodes[i].tag in HIDDEN and not _loose(nodes[i]):
             return True
         i = nodes[i].parent
     return False

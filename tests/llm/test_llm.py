@@ -336,6 +336,15 @@ def test_extraction_cases(page_model, name):
     assert extraction.extract(page_model, html) == "\n\n".join(blocks)
 
 
+@pytest.mark.parametrize("html", [
+    "<html><head><title>T</title><body><article><p>{0}</p></article></body></html>", "<head><meta charset=utf-8><title>T</title><article><p>{0}</p></article>",
+    "<head><noscript><style>p{{}}</style><body><article><p>{0}</p></article>", "<body><article><object data=x><p>{0}</p></article>",
+    "<body><article><button>go<p>{0}</p></article>", "<body><article><select><option>one<p>{0}</p></article>",
+])
+def test_extraction_without_end_tags(page_model, html):
+    assert SENTENCE.strip() in extraction.extract(page_model, html.format(SENTENCE)).split("\n\n")
+
+
 def test_extraction_of_all_pages(spark, sf_dir, page_model):
     import html as h
 
