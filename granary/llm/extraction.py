@@ -9,8 +9,9 @@ marginal probability of being content; the texts of blocks at 0.5 or more are th
 
 Training takes a bounded sample of pages (max_pages, by hash of page_id) that label
 themselves: pages with an <article> or <main> element, all within it content but for
-elements that HTML itself sets apart (nav, aside, footer, form, script ...) or whose class
-names comments, adverts and the like.  All parameters are smoothed counts.  Without such
+elements that HTML itself sets apart (nav, aside, footer, form, script ...).  Words of class,
+id and role label nothing and decide nothing: they are seen, each word, and whether one of a
+list (comments, adverts ...) is among them, of the element itself alone.  All parameters are smoothed counts.  Without such
 pages the model's built-in expectations are used.
 
 Defined results.  A null or empty html gives an empty text.  Malformed and cut-off pages
@@ -46,7 +47,12 @@ HEAD = frozenset("html head base basefont bgsound link meta title noscript nofra
 LOOSE = frozenset("object button canvas svg".split())
 #: Elements that a sibling's start ends, and the elements that this search stays within.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Words of class, id and role that set an element apart.
+#: What an observation counts at most (others: 1.2), and what it counts where training hasn't seen it.
+BOUND = {"beside": 3.5}
+EXPECTED = {"beside": -3.5}
+#: Elements that hold the main text whatever their class says.
+WHOLE = frozenset("html body main article".split())
+#: Words of class, id and role that elements beside the main text often have.
 APART_WORDS = frozenset(
     "ad ads advert advertisement advertising adsense banner sponsor sponsored promo promotion comment comments reply replies disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login "
     "sidebar aside widget menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar share sharing social related recommended recommendations search pagination pager tags copyright legal disclaimer skip".split()
@@ -87,7 +93,7 @@ class _Parser(HTMLParser):
         words = frozenset(w for k, v in attrs if v and k in ("class", "id", "role", "aria-label") for w in _TOKENS.findall(v.lower())) if attrs else frozenset()
         node = Node(tag, words, self.open[-1])
         # a header is the page's unless an article holds it
-        node.apart = bool(words & APART_WORDS) or (tag == "header" and not any(self.nodes[k].tag in ("article", "main") for k in self.open))
+        node.apart = tag == "header" and not any(self.nodes[k].tag in ("article", "main") for k in self.open)
         self.nodes.append(node)
         n = len(self.nodes) - 1
         self.nodes[self.open[-1]].children.append(n)
@@ -129,11 +135,6 @@ class _Parser(HTMLParser):
         while k and self.nodes[self.open[k]].tag in INLINE:
             k -= 1
         block = self.open[k]
-        # an inline element that is set apart keeps its text to itself
-        for n in self.open[k + 1 :]:
-            if self.nodes[n].apart:
-                block = n
-                break
         if self.fresh or not self.runs or self.runs[-1][0] != block:
             self.runs.append((block, []))
             self.fresh = False
@@ -178,6 +179,8 @@ def seen(node: Node) -> list[str]:
     out = [f"tag:{node.tag}", f"links:{min(int(share * 4), 3)}" if node.chars else "links:none", f"size:{min(int(math.log2(node.chars + 1)), 12)}", f"stops:{min(int(40 * node.stops / node.chars), 4)}" if node.chars else "stops:none"]
     out.append("apart" if node.apart else "plain")
     out += [f"word:{w}" for w in node.tokens]
+    if node.tokens & APART_WORDS and node.tag not in WHOLE:
+        out.append("beside")
     return out
 
 
@@ -216,7 +219,7 @@ def marginals(model: Model, nodes: list[Node]) -> list[float]:
     own = [1.0] * n  # likelihood ratio content : not, of what is seen
     for i, node in enumerate(nodes):
         if i:
-            own[i] = math.exp(max(-30.0, min(30.0, sum(model.weight.get(s, 0.0) for s in seen(node)))))
+            own[i] = math.exp(max(-30.0, min(30.0, sum(model.weight.get(s, EXPECTED.get(s, 0.0)) for s in seen(node)))))
     tie = [model.tie[group(x)] for x in nodes]
     up = [(1.0, 1.0)] * n  # a node's message to its parent, for the parent's labels 0 and 1
     down_in = [(1.0, 1.0)] * n  # the product of the children's messages
@@ -306,7 +309,8 @@ def train(pages: DataFrame, *, max_pages: int = 2_000) -> Model:
     for name in {k[1] for k in c if k[0] == "seen"}:
         p1, p0 = (c.get(("seen", name, "1"), 0) + 1) / (n1 + 2), (c.get(("seen", name, "0"), 0) + 1) / (n0 + 2)
         # what is seen of one node depends on each other, and pages of other kinds differ: each counts in part
-        model.weight[name] = max(-1.2, min(1.2, 0.5 * math.log(p1 / p0)))
+        most, part = BOUND.get(name, 1.2), 1.0 if name in BOUND else 0.5
+        model.weight[name] = max(-most, min(most, part * math.log(p1 / p0)))
     return model
 
 

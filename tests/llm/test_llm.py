@@ -336,6 +336,17 @@ def test_extraction_cases(page_model, name):
     assert extraction.extract(page_model, html) == "\n\n".join(blocks)
 
 
+@pytest.mark.parametrize(("html", "want"), [
+    ("<body class='has-sidebar'><article><h1>Title</h1><p>{0}</p></article><div class=sidebar><a href=x>more</a></div>", "Title\n\n{0}"),
+    ("<html class='no-cookie'><body><main class='with-sidebar'><article><p>{0}</p></article></main>", "{0}"), ("<body id=search><main role=search class=social><p>{0}</p></main>", "{0}"),
+    ("<body><article class='tags notice'><div class='entry-header'><h1>Title</h1></div><p>{0}</p></article>", "Title\n\n{0}"), ("<body><article><div class=legal><p>{0}</p></div></article>", "{0}"),
+])
+def test_extraction_class_words_decide_nothing(page_model, html, want):
+    assert extraction.extract(page_model, html.format(SENTENCE)) == want.format(SENTENCE.strip())
+    nodes, _ = extraction.parse(html)
+    assert 1 in extraction.self_labels(nodes) and not any(n.apart for n in nodes)
+
+
 @pytest.mark.parametrize("html", [
     "<html><head><title>T</title><body><article><p>{0}</p></article></body></html>", "<head><meta charset=utf-8><title>T</title><article><p>{0}</p></article>",
     "<head><noscript><style>p{{}}</style><body><article><p>{0}</p></article>", "<body><article><object data=x><p>{0}</p></article>",
