@@ -311,7 +311,10 @@ def classes(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int =
 
 
 def keep_first(docs: DataFrame, **options: int) -> DataFrame:
-    """docs with one row of each class, the smallest doc_id; rows without doc_id and all columns are kept."""
+    """docs without the rows of a class whose doc_id isn't its smallest, with all columns.
+
+    All rows of the smallest doc_id stay where that is repeated; rows without doc_id are compared with nothing and all stay.
+    """
     drop = classes(docs, **options).where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(written(drop, "drop"), docs["doc_id"] == F.col("__id"), "left_anti")
 
