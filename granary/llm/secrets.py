@@ -51,8 +51,10 @@ BASE_RULES = (
 )
 #: Further kinds: key blocks, signed web tokens, tokens of hosting and chat services.
 MORE_RULES = (
-    Rule("pem", "-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1, False, "-----BEGIN "),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, False, "eyJ"),
+    # no repeated group, for which Java's engine recurses once a word
+    Rule("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 1, False, "-----BEGIN "),
+    # where a run's first eyJ begins no token, no later one does: the other branch takes the run, as a match that doesn't count
+    Rule("jwt", r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})|eyJ[A-Za-z0-9_-]*", 1, 1, False, "eyJ"),
     Rule("github", "gh[pousr]_[A-Za-z0-9]{36,}", 0, 1, False, "gh"),
     Rule("chat", "xox[abprs]-[A-Za-z0-9-]{10,}", 0, 1, False, "xox"),
 )
@@ -67,20 +69,30 @@ def _quoted(text: str) -> str:
     return "r'" + text.replace("'", "\\x27") + "'"
 
 
+def _runs(items: str, first: str, value: str, make: str, out: str) -> str:
+    """SQL: array<out> that make extends, x.out to the next x.out, for each item i; x.at is a running value over the items before it.
+
+    value is the running value after item i, from `a`, the one before it.  Items are
+    dealt into blocks of about the square root of their number, whose first values come
+    from one pass, so that arrays that grow by one item at a time stay short.
+    """
+    return f"""
+      transform(array(named_struct('items', {items}, 'step', cast(ceil(sqrt(size({items}))) AS int))), z -> if(size(z.items) = 0, cast(array() AS array<{out}>), flatten(transform(
+        aggregate(sequence(0, size(z.items) - 1, z.step), named_struct('at', {first}, 'out', cast(array() AS array<struct<i:int,at:int>>)),
+          (s, i) -> named_struct('at', aggregate(slice(z.items, i + 1, z.step), s.at, (a, i) -> {value}), 'out', concat(s.out, array(named_struct('i', i, 'at', s.at)))), s -> s.out),
+        b -> aggregate(slice(z.items, b.i + 1, z.step), named_struct('at', b.at, 'out', cast(array() AS array<{out}>)),
+          (x, i) -> named_struct('at', transform(array(x.at), a -> {value})[0], 'out', {make}), x -> x.out)))))[0]"""
+
+
 def spans_sql(rule: Rule, text: str = "text") -> str:
     """SQL: array<struct<start,end>> of the matches that count.  The pieces between matches give the positions."""
     rx = _quoted(rule.pattern)
-    size = "length(z.g[i])" if rule.group else "length(z.m[i])"
-    found = f"regexp_extract_all({text}, {rx}, 0)"
-    groups = f", regexp_extract_all({text}, {rx}, {rule.group}) AS g" if rule.group else ""
-    walk = f"""
-      transform(array(named_struct('m', m, 'p', split({text}, {rx}, -1){groups.replace(' AS g', '').replace(', ', ", 'g', ", 1) if rule.group else ''})), z ->
-        aggregate(sequence(0, size(z.m) - 1), named_struct('at', 0, 'out', cast(array() AS array<struct<start:int,end:int>>)),
-          (a, i) -> named_struct('at', a.at + length(z.p[i]) + length(z.m[i]),
-            'out', if({size} >= {rule.least}, concat(a.out, array(named_struct('start', a.at + length(z.p[i]), 'end', a.at + length(z.p[i]) + length(z.m[i])))), a.out)),
-          a -> a.out))[0]"""
     none = "cast(array() AS array<struct<start:int,end:int>>)"
-    sql = f"transform(array({found}), m -> if(size(m) = 0, {none}, {walk}))[0]"
+    counted = f"regexp_extract_all({text}, {rx}, {rule.group})" if rule.group else "m"
+    sizes = f"zip_with(zip_with(m, slice(split({text}, {rx}, -1), 1, size(m)), (m, p) -> named_struct('p', length(p), 'm', length(m))), {counted}, (s, g) -> named_struct('p', s.p, 'm', s.m, 'g', length(g)))"
+    span = "array(named_struct('start', x.at + i.p, 'end', x.at + i.p + i.m))"
+    walk = _runs("y", "0", "a + i.p + i.m", f"if(i.g >= {rule.least}, concat(x.out, {span}), x.out)", "struct<start:int,end:int>")
+    sql = f"transform(array(regexp_extract_all({text}, {rx}, 0)), m -> if(size(m) = 0, {none}, transform(array({sizes}), y -> {walk})[0]))[0]"
     return f"if(contains({text}, {_quoted(rule.hint)}), {sql}, {none})" if rule.hint else sql
 
 
@@ -91,6 +103,7 @@ def findings_sql(rules: tuple[Rule, ...], text: str = "text") -> str:
 
 
 FINDINGS = "array<struct<start:int,ord:int,end:int>>"
+PIECE = "struct<`from`:int,start:int,`end`:int,ord:int>"
 
 
 def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
@@ -101,6 +114,12 @@ def _ledger(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.schema(f"blob string, rule_version string, findings {FINDINGS}").parquet(path)
 
 
+def _found(spark: SparkSession, path: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """blob and findings of the blobs with any; a pair that two scans at the same time have appended twice counts once."""
+    rows = _ledger(spark, path).where((F.col("rule_version") == rule_version(rules)) & (F.size("findings") > 0))
+    return rows.groupBy("blob").agg(F.first("findings").alias("findings"))
+
+
 def update_ledger(docs: DataFrame, ledger_path: str, rules: tuple[Rule, ...] = RULES, *, path: str = "doc_id") -> None:
     """Scans the blobs of docs that the ledger at ledger_path doesn't have under these rules, and appends their findings."""
     spark = session(docs)
@@ -120,7 +139,7 @@ def scan(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, ...
     spark = session(docs)
     ledger_path = ledger_path or work_path(spark, "ledger")
     update_ledger(docs, ledger_path, rules, path=path)
-    found = _ledger(spark, ledger_path).where((F.col("rule_version") == rule_version(rules)) & (F.size("findings") > 0)).select("blob", "findings")
+    found = _found(spark, ledger_path, rules)
     rows = docs.select(F.col(path), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
     return rows.join(found, "blob", "left").select(path, F.coalesce("findings", F.expr(f"cast(array() AS {FINDINGS})")).alias("findings"))
 
@@ -133,13 +152,17 @@ def redact(docs: DataFrame, ledger_path: str | None = None, rules: tuple[Rule, .
     session(docs)
     ledger_path = ledger_path or work_path(docs.sparkSession, "ledger")
     update_ledger(docs, ledger_path, rules, path=path)
-    found = _ledger(docs.sparkSession, ledger_path).where((F.col("rule_version") == rule_version(rules)) & (F.size("findings") > 0)).select(F.col("blob").alias("__blob"), F.col("findings").alias("__findings"))
+    found = _found(docs.sparkSession, ledger_path, rules).toDF("__blob", "__findings")
     kinds = "array(" + ", ".join(f"'{r.kind}'" for r in rules) + ")"
+    # blocks of findings, each with the stretch of text from the last end before it: a character is passed over once for each block, not for each finding
+    pieces = _runs("__findings", "0", "greatest(a, i.end)", "concat(x.out, array(named_struct('from', x.at, 'start', i.start, 'end', i.end, 'ord', i.ord)))", PIECE)
+    block = f"""
+      transform(array(substring(text, w[0].from + 1, array_max(transform(w, s -> greatest(s.start, s.end))) - w[0].from)), part ->
+        array_join(transform(w, s -> if(s.start < s.from, '', concat(substring(part, s.from - w[0].from + 1, s.start - s.from), '[', {kinds}[s.ord], ']'))), ''))[0]"""
     cut = f"""
-      aggregate(__findings, named_struct('at', 0, 'out', ''),
-        (a, s) -> if(s.start < a.at, named_struct('at', greatest(a.at, s.end), 'out', a.out),
-          named_struct('at', s.end, 'out', concat(a.out, substring(text, a.at + 1, s.start - a.at), '[', {kinds}[s.ord], ']'))),
-        a -> concat(a.out, substring(text, a.at + 1)))"""
+      transform(array(named_struct('p', {pieces}, 'step', cast(ceil(sqrt(size(__findings))) AS int))), q ->
+        concat(array_join(transform(transform(sequence(1, size(q.p), q.step), i -> slice(q.p, i, q.step)), w -> {block}), ''),
+          substring(text, array_max(transform(q.p, s -> greatest(s.from, s.end))) + 1)))[0]"""
     joined = docs.join(found, F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == F.col("__blob"), "left")
     text = F.when(F.col("__findings").isNull(), docs["text"]).otherwise(F.expr(cut))
     out = joined.withColumn("text", text)

@@ -142,6 +142,44 @@ SECRETS = [
 ]
 
 
+def all_spans(text):
+    """The matches of all rules that count, as (start, ord, end)."""
+    out = []
+    for k, r in enumerate(secrets.RULES):
+        for m in re.finditer(r.pattern, text, re.ASCII):
+            if len(m[r.group] or "") >= r.least:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
+def test_secrets_of_all_kinds_and_hostile_texts(spark):
+    rng = random.Random(3)
+    bits = ["-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "-----BEGIN ", "eyJ", "eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl", "abcdefgh.", ".ijklmnop", "ghp_" + "a1" * 20, "gho_short", "xoxb-1234567890-ab", "xoxb-1",
+            "AKIA" + "Z" * 16, "token=abc123 ", "0123456789abcdef" * 2, " ", "é", "🎉"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(60))) for _ in range(300)]
+    # one word after another, a run of eyJ, very many matches: none may end the JVM, nor take time with the square of its length
+    texts += ["-----BEGIN " + "AB " * 40_000, "eyJ" * 100_000, "eyJ" * 50_000 + ".abcdefgh.abcdefgh", "token=abc123 é " * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.scan(df).collect():
+        assert sorted((f.start, f.ord, f.end) for f in r.findings) == all_spans(texts[r.doc_id])
+    for r in secrets.redact(df).collect():
+        out, at = "", 0
+        for start, k, end in all_spans(texts[r.doc_id]):
+            if start >= at:
+                out += texts[r.doc_id][at:start] + f"[{secrets.RULES[k].kind}]"
+            at = max(at, end)
+        assert r.text == out + texts[r.doc_id][at:]
+
+
+def test_ledger_with_a_pair_twice(spark, tmp_path):
+    df = spark.createDataFrame([(1, "token=abc123"), (2, "token=abc123")], "doc_id long, text string")
+    at = f"file://{tmp_path}/ledger"
+    secrets.update_ledger(df, at)
+    spark.read.parquet(at).write.mode("append").parquet(f"{at}2")
+    spark.read.parquet(at).write.mode("append").parquet(f"{at}2")
+    assert secrets.scan(df, f"{at}2").count() == 2 and secrets.redact(df, f"{at}2").count() == 2
+
+
 def test_secrets_by_hand(spark, sf_dir):
     df = documents(spark, sf_dir).select("doc_id", "text").union(spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(SECRETS)], "doc_id long, text string")).union(odd(spark).select("doc_id", "text"))
     got = sorted((str(r.doc_id), sorted((f.start, f.ord, f.end) for f in r.findings if f.ord < 3)) for r in secrets.scan(df).collect())
