@@ -13,18 +13,26 @@ give repeated rows.  Of several matches of an item in a document the one of leas
 distance counts, of those the first to end.  Extra columns are ignored by contaminated()
 and kept by clean(), whatever their names.
 
-The items are sent to the tasks in blocks of at most block_chars characters (a longer
-item is a block of its own); the documents are read once for each block.
+An item of less than 1 / error_rate characters has no budget and is one piece; it
+matches whole words only, as its letters within a longer word say nothing.
+
+Items and documents meet in blocks: a stated set of items is dealt by hash into blocks
+of about block_chars characters, each of which is sent to the tasks.  Neither the driver
+nor a task's machine holds more than a block at a time, however many items there are;
+contaminated() reads the documents once for each block, of which benchmarks of up to
+block_chars characters have one.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ._common import arrow_map, session, table
 
@@ -64,10 +72,15 @@ def myers(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
     return best, end
 
 
+def _inside(text: str, at: int) -> bool:
+    """Whether a place lies within a word."""
+    return 0 < at < len(text) and text[at - 1].isalnum() and text[at].isalnum()
+
+
 class Matcher:
     """Finds the items of one block in texts."""
 
-    def __init__(self, items: list[tuple[int | None, str]], error_rate: float) -> None:
+    def __init__(self, items: list[tuple[int | str | None, str]], error_rate: float) -> None:
         import ahocorasick
 
         self.items, at = [], defaultdict(list)
@@ -93,7 +106,7 @@ class Matcher:
             self.masks[i] = masks
         return self.masks[i]
 
-    def matches(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
+    def matches(self, text: str | None) -> list[tuple[int | str | None, int, int, int]]:
         """(item_id, distance, characters of the item, end of the match in the normalized text) of each item that the text holds."""
         if self.machine is None or not text:
             return []
@@ -105,7 +118,12 @@ class Matcher:
         out = []
         for i, begins in starts.items():
             item_id, p, k = self.items[i]
-            m, exact = len(p), text.find(p)
+            m = len(p)
+            if not k:  # the piece is the item
+                if ends := [b + m for b in begins if not (_inside(text, b) or _inside(text, b + m))]:
+                    out.append((item_id, 0, m, min(ends)))
+                continue
+            exact = text.find(p)
             if exact >= 0:
                 out.append((item_id, 0, m, exact + m))
                 continue
@@ -125,18 +143,21 @@ class Matcher:
         return out
 
 
-def blocks(items: DataFrame, block_chars: int) -> list[list[tuple[int | None, str]]]:
-    """The benchmark's items, dealt by hash into lists of about block_chars characters; each is collected on its own."""
+def blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[int | str | None, str]]]:
+    """The benchmark's items, dealt by hash into lists of about block_chars characters; the driver holds one at a time."""
     rows = items.select("item_id", "text").where("text is not null").distinct()
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
     n = total // block_chars + 1
-    return [[(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").collect()] for b in range(n)]
+    for b in range(n):
+        yield [(r.item_id, r.text) for r in rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).orderBy("item_id", "text").toLocalIterator()]
 
 
-def contaminated(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08, block_chars: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08, block_chars: int = 4_000_000) -> DataFrame:
     """doc_id, item_id, distance, item_chars, match_end: a row for each item that a document holds."""
     spark = session(docs)
     kept = docs.select("doc_id", "text")
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("item_id", items.schema["item_id"].dataType), *(StructField(n, LongType()) for n in ("distance", "item_chars", "match_end"))])
+    types = to_arrow_schema(schema)
     out = None
     for block in blocks(items, block_chars):
         sent = spark.sparkContext.broadcast(block)
@@ -146,17 +167,17 @@ def contaminated(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08,
 
             def step(batch: pa.RecordBatch) -> pa.RecordBatch:
                 got = [(d, *m) for d, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True) for m in matcher.matches(t)]
-                return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.int64()) for i in range(5)], names=["doc_id", "item_id", "distance", "item_chars", "match_end"])
+                return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], f.type) for i, f in enumerate(types)], schema=types)
 
             return step
 
-        hits = arrow_map(kept, make, "doc_id long, item_id long, distance long, item_chars long, match_end long")
+        hits = arrow_map(kept, make, schema)
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
-def clean(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08, block_chars: int = 1_000_000) -> DataFrame:
-    """docs without those that hold an item, all columns kept."""
+def clean(docs: DataFrame, items: DataFrame, *, error_rate: float = 0.08, block_chars: int = 4_000_000) -> DataFrame:
+    """docs without those that hold an item, all columns kept; read once, whatever the number of blocks."""
     spark = session(docs)
     for block in blocks(items, block_chars):
         sent = spark.sparkContext.broadcast(block)

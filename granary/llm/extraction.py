@@ -9,8 +9,9 @@ marginal probability of being content; the texts of blocks at 0.5 or more are th
 
 Training takes a bounded sample of pages (max_pages, by hash of page_id) that label
 themselves: pages with an <article> or <main> element, all within it content but for
-elements that HTML itself sets apart (nav, aside, footer, form, script ...).  Words of class,
-id and role label nothing and decide nothing: they are seen, each word, and whether one of a
+elements that HTML itself sets apart (nav, aside, footer, form, script ...) and for blocks
+whose text other pages of the same host have as well: what pages agree on is the host's
+template, not the article.  Words of class, id and role label nothing and decide nothing: they are seen, each word, and whether one of a
 list (comments, adverts ...) is among them, of the element itself alone.  All parameters are smoothed counts.  Without such
 pages the model's built-in expectations are used.
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, session, table
+from ._common import arrow_map, session, table, written
 
 # HTML's element classes.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,13 +63,14 @@ _TOKENS = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "tokens", "parent", "children", "chars", "link_chars", "stops", "apart", "closed")
+    """block: the nearest element from here up that isn't inline; chars, link_chars, stops: of the text within, once the page is parsed."""
 
-    def __init__(self, tag: str, tokens: frozenset[str], parent: int) -> None:
-        self.tag, self.tokens, self.parent = tag, tokens, parent
-        self.children: list[int] = []
+    __slots__ = ("tag", "tokens", "parent", "block", "chars", "link_chars", "stops", "apart", "hidden", "closed")
+
+    def __init__(self, tag: str, tokens: frozenset[str], parent: int, block: int) -> None:
+        self.tag, self.tokens, self.parent, self.block = tag, tokens, parent, block
         self.chars = self.link_chars = self.stops = 0
-        self.apart = self.closed = False
+        self.apart = self.hidden = self.closed = False
 
 
 class _Parser(HTMLParser):
@@ -76,8 +78,9 @@ class _Parser(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.nodes = [Node("#root", frozenset(), -1)]
+        self.nodes = [Node("#root", frozenset(), -1, 0)]
         self.open = [0]
+        self.count: Counter = Counter()  # open elements by tag, so that no search climbs in vain
         self.runs: list[tuple[int, list[str]]] = []
         self.fresh = True
 
@@ -91,50 +94,59 @@ class _Parser(HTMLParser):
         if tag in ENDS:
             self._end(*ENDS[tag])
         words = frozenset(w for k, v in attrs if v and k in ("class", "id", "role", "aria-label") for w in _TOKENS.findall(v.lower())) if attrs else frozenset()
-        node = Node(tag, words, self.open[-1])
+        n = len(self.nodes)
+        node = Node(tag, words, self.open[-1], self.nodes[self.open[-1]].block if tag in INLINE else n)
         # a header is the page's unless an article holds it
-        node.apart = tag == "header" and not any(self.nodes[k].tag in ("article", "main") for k in self.open)
+        node.apart = tag == "header" and not (self.count["article"] or self.count["main"])
         self.nodes.append(node)
-        n = len(self.nodes) - 1
-        self.nodes[self.open[-1]].children.append(n)
         if tag == "br":
             self._text(" ")
         if tag not in INLINE:
             self.fresh = True
         if tag not in VOID:
             self.open.append(n)
+            self.count[tag] += 1
+
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """What begins with <![ is a comment in HTML, whatever follows."""
+        return self.parse_bogus_comment(i, report)
+
+    def _close(self, k: int) -> None:
+        for n in self.open[k:]:
+            self.count[self.nodes[n].tag] -= 1
+        del self.open[k:]
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
         if tag not in VOID and self.nodes[self.open[-1]].tag == tag:
-            self.nodes[self.open.pop()].closed = True
+            self.nodes[self.open[-1]].closed = True
+            self._close(len(self.open) - 1)
 
     def _end(self, tags: set[str], within: set[str]) -> None:
+        if not any(self.count[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             tag = self.nodes[self.open[k]].tag
             if tag in tags:
-                del self.open[k:]
+                self._close(k)
                 self.fresh = True
                 return
             if tag in within:
                 return
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in VOID:
+        if tag in VOID or not self.count[tag]:
             return
         for k in range(len(self.open) - 1, 0, -1):
             if self.nodes[self.open[k]].tag == tag:
                 if any(self.nodes[n].tag not in INLINE for n in self.open[k:]):
                     self.fresh = True
                 self.nodes[self.open[k]].closed = True
-                del self.open[k:]
+                self._close(k)
                 return
 
     def _text(self, data: str) -> None:
-        k = len(self.open) - 1
-        while k and self.nodes[self.open[k]].tag in INLINE:
-            k -= 1
-        block = self.open[k]
+        block = self.nodes[self.open[-1]].block
         if self.fresh or not self.runs or self.runs[-1][0] != block:
             self.runs.append((block, []))
             self.fresh = False
@@ -147,14 +159,11 @@ class _Parser(HTMLParser):
         size = len(data) - data.count(" ")
         if not size:
             return
-        link = any(self.nodes[n].tag == "a" for n in self.open)
-        stops = data.count(".") + data.count(",") + data.count("!") + data.count("?")
-        for n in self.open:
-            node = self.nodes[n]
-            node.chars += size
-            node.stops += stops
-            if link:
-                node.link_chars += size
+        node = self.nodes[self.open[-1]]
+        node.chars += size
+        node.stops += data.count(".") + data.count(",") + data.count("!") + data.count("?")
+        if self.count["a"]:
+            node.link_chars += size
 
 
 def _loose(node: Node) -> bool:
@@ -166,9 +175,14 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     p = _Parser()
     p.feed(html)
     p.close()
-    # what is within an element that is set apart is so as well
+    # what is within an element that is set apart, or hidden, is so as well
     for node in p.nodes[1:]:
-        node.apart = node.apart or p.nodes[node.parent].apart or (node.tag in APART and not _loose(node))
+        up = p.nodes[node.parent]
+        node.apart = node.apart or up.apart or (node.tag in APART and not _loose(node))
+        node.hidden = up.hidden or (node.tag in HIDDEN and not _loose(node))
+    for node in reversed(p.nodes[1:]):
+        up = p.nodes[node.parent]
+        up.chars, up.link_chars, up.stops = up.chars + node.chars, up.link_chars + node.link_chars, up.stops + node.stops
     runs = [(n, _SPACE.sub(" ", "".join(parts)).strip()) for n, parts in p.runs]
     return p.nodes, [(n, t) for n, t in runs if t]
 
@@ -202,13 +216,13 @@ class Model:
     weight: dict[str, float] = field(default_factory=dict)
 
 
-def self_labels(nodes: list[Node]) -> list[int] | None:
-    """1 for nodes within the page's article or main that nothing sets apart; None for a page without either."""
+def self_labels(nodes: list[Node], template: frozenset[int] = frozenset()) -> list[int] | None:
+    """1 for nodes within the page's article or main that nothing sets apart, and that aren't in template; None for a page without either element."""
     if not any(n.tag in ("article", "main") for n in nodes):
         return None
     out = [0] * len(nodes)
     for i, n in enumerate(nodes):
-        if i and not n.apart and (out[n.parent] or n.tag in ("article", "main")):
+        if i and not n.apart and i not in template and (out[n.parent] or n.tag in ("article", "main")):
             out[i] = 1
     return out
 
@@ -256,30 +270,37 @@ def extract(model: Model, html: str | None) -> str:
     if not runs:
         return ""
     p = marginals(model, nodes)
-    return "\n\n".join(t for n, t in runs if p[n] >= 0.5 and not _hidden(nodes, n))
-
+    return "\n\n".join(t for n, t in runs if p[n] >= 0.5 and not nodes[n].hidden)
 
-def _hidden(nodes: list[Node], i: int) -> bool:
-    while i > 0:
-        if nodes[i].tag in HIDDEN and not _loose(nodes[i]):
-            return True
-        i = nodes[i].parent
-    return False
 
+def train(pages: DataFrame, *, max_pages: int = 2_000, agreeing: int = 3) -> Model:
+    """Smoothed counts over at most max_pages pages that label themselves, the first by hash of page_id.
 
-def train(pages: DataFrame, *, max_pages: int = 2_000) -> Model:
-    """Smoothed counts over at most max_pages pages that label themselves, the first by hash of page_id."""
-    session(pages)
+    A block's text is the host's template if `agreeing` pages of the sample or more have it.
+    """
+    spark = session(pages)
     sample = pages.select("page_id", "html").where("html is not null and (html ilike '%<article%' or html ilike '%<main%')").select("page_id", F.xxhash64("page_id").alias("h"))
     picked = sample.orderBy("h", "page_id").limit(max_pages).select("page_id").distinct()
-    rows = pages.select("page_id", "html").join(F.broadcast(picked), "page_id")
+    host = F.coalesce(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1), F.lit("")) if "url" in pages.columns else F.lit("")
+    rows = written(pages.select("page_id", host.alias("host"), "html").join(F.broadcast(picked), "page_id"), "labelled")
+
+    def texts() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            got = [(host, t) for host, html in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True) for t in {t for _, t in parse(html or "")[1]}]
+            return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], pa.string()) for i in range(2)], names=["host", "text"])
+
+        return step
+
+    agreed = arrow_map(rows, texts, "host string, text string").groupBy("host", "text").agg(F.count("*").alias("n")).where(F.col("n") >= agreeing)
+    sent = spark.sparkContext.broadcast({(r.host, r.text) for r in agreed.collect()})  # bounded by max_pages
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             c: Counter = Counter()
-            for html in batch["html"].to_pylist():
-                nodes, _ = parse(html or "")
-                if (labels := self_labels(nodes)) is None:
+            for host, html in zip(batch["host"].to_pylist(), batch["html"].to_pylist(), strict=True):
+                nodes, runs = parse(html or "")
+                template = frozenset(n for n, t in runs if (host, t) in sent.value)
+                if (labels := self_labels(nodes, template)) is None:
                     continue
                 for i, node in enumerate(nodes):
                     if not i:

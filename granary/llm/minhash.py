@@ -22,9 +22,9 @@ but counts.
 
 Defined results.  A null text, or one without words, has an empty set: n_shingles 0,
 its own component, linked with nothing.  With fewer words than `width` the whole
-sequence is the one shingle.  Rows with a null doc_id are dropped from the result of
-classes() (they can't be named) and kept by keep_first().  Repeated ids: the rows of an
-id share the component of all their texts.  Extra columns are ignored by classes() and
+sequence is the one shingle.  Rows with a null doc_id can't be named: they are linked
+with nothing, have a null component, and are kept.  Repeated ids: the rows of an id
+share the component of all their texts.  Extra columns are ignored by classes() and
 kept by keep_first().
 """
 
@@ -284,9 +284,10 @@ def connected(links: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 30, rows: int = 5, block: int = 500) -> DataFrame:
     """doc_id, n_shingles, component_id of each row; see the module's text."""
     session(docs)
-    base = written(described(docs, width=width, bands=bands, rows=rows).where("doc_id is not null"), "described")
-    sets = written(base.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "sets_of")
-    reps = base.join(sets.where("rep is not null").select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"]).dropDuplicates(["set_hash"])
+    everything = written(described(docs, width=width, bands=bands, rows=rows), "described")
+    base = everything.where("doc_id is not null")
+    sets = written(base.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("rep")), "sets_of")
+    reps = base.join(sets.select("set_hash", F.col("rep").alias("doc_id")), ["set_hash", "doc_id"]).dropDuplicates(["set_hash"])
     buckets = reps.select(F.col("doc_id").alias("rep"), F.posexplode("keys").alias("band", "key"))
     shared = written(buckets.groupBy("band", "key").agg(F.min("rep").alias("leader"), F.count("*").alias("size")).where("size > 1"), "leaders")
     members = written(buckets.join(shared, ["band", "key"]), "members")  # band, key, rep, leader, size; only buckets of two or more
@@ -307,7 +308,7 @@ def classes(docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int =
     # ids of equal sets, and repeated ids, are linked as well
     same = base.join(sets, "set_hash").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     named = written(connected(links.union(same.distinct())), "named")
-    return base.join(named, base["doc_id"] == named["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return everything.join(named, everything["doc_id"] == named["id"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, **options: int) -> DataFrame:
@@ -320,4 +321,4 @@ def keep_first(docs: DataFrame, **options: int) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classes(table(spark, sf_dir, "documents"), width=3, percent=85).select("*", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return classes(table(spark, sf_dir, "documents"), width=3, percent=85).select("*", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

@@ -9,7 +9,8 @@ length.
 Defined results.  A null or empty text has no match and gets the score of a text
 without matches.  A null doc_id is never held out and never learned from.  Repeated
 labels of a document count once, the larger one wins; a null label is no label.
-Without both classes among the labels the lexicon is empty and every score is 0.
+Without both classes among the labels the lexicon is empty and every score is the same,
+about 2e-9.
 Extra columns are ignored by score() and kept by reject(),
 whatever their names.
 """
@@ -19,14 +20,16 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, crc_mod, session, table
+from ._common import arrow_map, crc_mod, session, table, written
 
 #: Homoglyphs of Latin letters, and signs and digits in place of letters.
 HOMOGLYPHS = {
@@ -99,8 +102,10 @@ def matcher(lexicon: Lexicon) -> Callable[[str], tuple[float, int]]:
             elif weight > best.get(start, 0.0):
                 best[start] = weight
         if spared and best:
-            # a term within an exception phrase doesn't count
-            best = {s: w for s, w in best.items() if not any(a <= s < b for a, b in spared)}
+            # a term that begins within an exception phrase doesn't count; of the phrases that begin before it the one that reaches furthest decides
+            spared.sort()
+            begins, reach = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+            best = {s: w for s, w in best.items() if not (k := bisect_right(begins, s)) or reach[k - 1] <= s}
         return float(sum(best.values())), folded.count(" ") - 1 if folded.strip() else 0
 
     return match
@@ -133,7 +138,6 @@ def train(
     folds: int = 5,
     held_fold: int = 0,
     max_rows: int = 20_000,
-    max_terms: int = 2_000,
     min_docs: int = 5,
     min_log_odds: float = 4.0,
     max_false_share: float = 0.02,
@@ -142,7 +146,8 @@ def train(
 ) -> Lexicon:
     """Learns the lexicon from at most max_rows labelled rows (the first by hash of doc_id) outside the held-out fold.
 
-    A term is kept if at least min_docs toxic rows hold it, its smoothed log odds are
+    Terms are whole words and word beginnings of stem[0] to stem[1] letters; what bounds
+    the lexicon is the sample.  A term is kept if at least min_docs toxic rows hold it, its smoothed log odds are
     min_log_odds or more, and at most max_false_share of its rows are not toxic; the
     weight is the log odds.  Exception phrases: those given, and the word pairs around a
     term that are in three or more rows, none toxic.
@@ -163,7 +168,7 @@ def train(
     if not n_pos or not n_neg:
         return Lexicon(exceptions=tuple(exceptions))
     small = spark.createDataFrame(picked, "doc_id long, toxic int")
-    sample = docs.select("doc_id", "text").join(F.broadcast(small), "doc_id")
+    sample = written(docs.select("doc_id", "text").join(F.broadcast(small), "doc_id"), "labelled")
 
     def terms() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -185,7 +190,7 @@ def train(
         counted.where(F.col("pos") >= min_docs)
         .withColumn("w", odds)
         .where((F.col("w") >= min_log_odds) & (F.col("neg") <= max_false_share * (F.col("pos") + F.col("neg"))))
-        .orderBy(F.desc("pos"), "term").limit(max_terms).collect()
+        .orderBy("term").collect()
     )
     lexicon = Lexicon({r.term: float(r.w) for r in best}, tuple(exceptions))
 
@@ -205,7 +210,7 @@ def train(
     if lexicon.terms:
         spared = (
             arrow_map(sample, context, "pair string, pos long, neg long").groupBy("pair").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-            .where("pos = 0 and neg >= 3").orderBy(F.desc("neg"), "pair").limit(max_terms).collect()
+            .where("pos = 0 and neg >= 3").orderBy("pair").collect()
         )
         lexicon = Lexicon(lexicon.terms, (*exceptions, *(r.pair for r in spared)))
     seen = arrow_map(sample, lambda: _totals(lexicon), "doc_id long, total double, words long").collect()
@@ -271,16 +276,3 @@ def reject(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.5) -> Data
         return step
 
     return arrow_map(docs, make, docs.schema)
-
-
-def iter_matches(text: str, lexicon: Lexicon) -> Iterator[tuple[int, int, float]]:
-    """Matches in the folded text: start, end, weight; for inspection."""
-    import ahocorasick
-
-    machine = ahocorasick.Automaton()
-    for term, weight in lexicon.terms.items():
-        machine.add_word(term, (len(term), weight))
-    if len(machine):
-        machine.make_automaton()
-        for end, (size, weight) in machine.iter(fold(text)):
-            yield end - size + 1, end + 1, weight

@@ -285,6 +285,14 @@ def test_pigeonhole_finds_all(spark):
     assert decontaminate.clean(o, b).count() == o.count() and decontaminate.clean(o, b).columns == o.columns
 
 
+def test_short_items_match_whole_words(spark):
+    items = spark.createDataFrame([("a", "yes"), ("b", "forty two")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "Yesterday eyes"), (2, "oh, YES!"), (3, "forty  two"), (4, "forty twos"), (5, None)], "doc_id long, text string")
+    assert sorted(map(tuple, decontaminate.contaminated(docs, items).select("doc_id", "item_id", "distance").collect())) == [(2, "a", 0), (3, "b", 0)]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [1, 4, 5]
+    assert decontaminate.contaminated(docs.limit(0), items).count() == decontaminate.contaminated(docs, items.limit(0)).count() == 0
+
+
 # ---- 5 lattice
 
 @pytest.fixture(scope="module")
@@ -405,6 +413,37 @@ def test_extraction_of_all_pages(spark, sf_dir, page_model):
         assert got[r.page_id] == "\n\n".join(b for b in blocks if b)
 
 
+@pytest.mark.parametrize("odd_part", ["<![foo[x]]>", "<![ 1 ]>", "<![CDATA[x]]>", "<![if !IE]>", "<!>", "<!doctype", "</>", "<?php x ?>"])
+def test_extraction_of_declarations(page_model, odd_part):
+    assert SENTENCE.strip() in extraction.extract(page_model, f"<body><article>{odd_part}<p>{SENTENCE}</p></article>")
+    assert extraction.extract(page_model, f"<body><article><p>{SENTENCE}</p></article>{odd_part}") == SENTENCE.strip()
+    extraction.extract(page_model, odd_part[:-1])
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "p", "li", "a", "header"])
+def test_extraction_of_deep_pages(page_model, tag):
+    import time
+
+    page = lambda n: f"<body><article>{f'<{tag}>x ' * n}<p>{SENTENCE}</p>"
+    began = time.time()
+    assert extraction.extract(page_model, page(40_000)) is not None
+    assert time.time() - began < 20  # in proportion to the page
+
+
+def test_extraction_learns_what_pages_agree_on(spark):
+    rows = [(i, f"https://h{i % 2}.example/{i}", f"<body><article><p>Own sentence number {i}, which is here alone.</p><section>Read our other stories too.</section></article>") for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    model = extraction.train(pages)
+    assert model.weight["tag:section"] < 0 < model.weight["tag:p"]
+    nodes, runs = extraction.parse(rows[0][2])
+    template = frozenset(n for n, t in runs if t.startswith("Read"))
+    assert [nodes[i].tag for i, y in enumerate(extraction.self_labels(nodes, template)) if y] == ["article", "p"]
+    empty = pages.limit(0)
+    assert extraction.extracted(empty, extraction.train(empty)).count() == 0
+    nulls = spark.createDataFrame([(None, None, None), (1, None, ""), (1, "u", rows[0][2])], "page_id long, url string, html string")
+    assert sorted(r.n_chars > 0 for r in extraction.extracted(nulls, extraction.train(nulls)).collect()) == [False, False, True]
+
+
 def test_sum_product_is_exact():
     """Marginals of a small tree against the sum over all labelings."""
     from itertools import product
@@ -476,6 +515,31 @@ def test_components(spark, sf_dir, block):
     assert got == components_by_hand(texts_of(df), 3, 85)
 
 
+def test_components_of_rows_without_id(spark):
+    o = odd(spark)
+    got = minhash.classes(o).collect()
+    assert len(got) == o.count()
+    assert sorted((r.n_shingles, r.component_id) for r in got if r.doc_id is None) == [(0, None), (2, None)]
+    assert all(r.component_id is not None for r in got if r.doc_id is not None)
+
+
+def test_recall_of_bands(spark, sf_dir):
+    """Of all pairs at the threshold or above, found by comparing all, those that the bands alone let meet."""
+    rng = random.Random(12)
+    texts = [t for _, t in edited(rng, 300, 9)]
+    sets = [s for s in minhash.shingle_sets(texts, 3) if len(s)]
+    keys = minhash.band_keys(minhash.signatures(sets, 150), 30, 5)
+    found = total = 0
+    plain = [set(s.tolist()) for s in sets]
+    for i, a in enumerate(plain):
+        for j in range(i):
+            both = len(a & plain[j])
+            if 100 * both >= 85 * (len(a) + len(plain[j]) - both):
+                total += 1
+                found += bool((keys[i] == keys[j]).any())
+    assert total > 100 and found >= 0.99 * total
+
+
 def test_bucket_links_join_what_is_linked():
     import numpy as np
 
@@ -517,6 +581,23 @@ def test_exceptions_and_length():
     assert toxicity._score(*match("clown"), lx.coefficients) > toxicity._score(*match("clown" + " word" * 500), lx.coefficients)
 
 
+def test_matches_against_a_plain_scan():
+    rng = random.Random(8)
+    words = ["clown", "clownfish", "fish", "stupid", "stupidly", "st", "cl0wn", "a", "the", "crown"]
+    lx = toxicity.Lexicon({" clown ": 5.0, " clow": 2.0, " stup": 3.0, " stupid ": 4.0, " fish ": 1.0}, ("clown fish", "the stupid", "fish the clown fish"))
+    match = toxicity.matcher(lx)
+    for _ in range(500):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(12)))
+        folded = toxicity.fold(text)
+        at = lambda t: [i for i in range(len(folded)) if folded.startswith(t, i)]
+        spared = [range(i, i + len(toxicity.fold(p)) - 1) for p in lx.exceptions for i in at(toxicity.fold(p))]
+        best = {}
+        for t, w in lx.terms.items():
+            for i in at(t):
+                best[i] = max(w, best.get(i, 0.0))
+        assert match(text) == (sum(w for i, w in best.items() if not any(i in r for r in spared)), len(folded.split()))
+
+
 def test_held_out_labels(spark):
     d = "/root/testdata/sf0.1"
     got = registered.QUERIES["op8_toxicity"](spark, d).where("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").toPandas()
