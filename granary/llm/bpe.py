@@ -147,18 +147,17 @@ class Coder:
         self.db.register("pieces", pa.table({"id": pa.array(list(self.ranks.values()), pa.int32()), "piece": pieces}))
         self.db.execute("CREATE TABLE merges AS SELECT * FROM merge_rows; CREATE TABLE vocabulary AS SELECT * FROM pieces")
         self.ids: dict[str, str] = {}
-        #: What a piece's ids decode to, where that isn't the piece.
-        self.decoded: dict[str, bytes] = {}
+        #: What a piece's ids, as decimals, decode to: texts are decoded from the ids that are given out, and never from their own pieces.
+        self.bytes: dict[str, bytes] = {}
         self.token = {k: t for t, k in self.ranks.items()}
 
     @staticmethod
     def _plain(text: str) -> bytes:
         return (text.replace("\u0100", "\0") if "\u0100" in text else text).encode("latin-1")
 
-    def _keep(self, piece: str, data: bytes, ids: str, decoded: bytes) -> None:
+    def _keep(self, piece: str, ids: str, decoded: bytes) -> None:
         self.ids[piece] = ids
-        if decoded != data:
-            self.decoded[piece] = decoded
+        self.bytes[ids] = decoded
 
     def _rounds(self, rows: pa.Table) -> None:
         """Encodes token-position rows (w, p, tok) of words that are all long or all short to the table `done` (w, ids)."""
@@ -206,7 +205,7 @@ class Coder:
         for p in pieces - self.ids.keys():
             b = p.encode()
             if (k := self.ranks.get(b)) is not None:
-                self._keep(p, b, str(k), self.token[k])
+                self._keep(p, str(k), self.token[k])
             else:
                 rest.append((p, b))
         table = np.array(self.byte, np.int32)
@@ -218,7 +217,7 @@ class Coder:
             self._rounds(pa.table({"w": w, "p": p, "tok": table[data]}))
             got = self.db.sql(BOTH_SQL).to_arrow_table()
             for k, ids, text in zip(got["w"].to_numpy().tolist(), got["ids"].to_numpy(), got["decoded"].to_numpy(), strict=True):
-                self._keep(*part[k], ids, self._plain(text))
+                self._keep(part[k][0], ids, self._plain(text))
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         out = [b""] * len(ids)
@@ -242,12 +241,12 @@ class Coder:
             wanted = set().union(*words)
             if len(self.ids) + len(wanted) > CACHE_WORDS:
                 self.ids.clear()
-                self.decoded.clear()
+                self.bytes.clear()
             self.learn(wanted)
-            ids, other = self.ids.__getitem__, self.decoded
+            ids, decoded = self.ids.__getitem__, self.bytes.__getitem__
             for w in words:
-                decoded = b"".join([other[x] if x in other else x.encode() for x in w]) if other else "".join(w).encode()
-                yield ",".join(map(ids, w)), decoded
+                given = list(map(ids, w))
+                yield ",".join(given), b"".join(map(decoded, given))
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, *, key: str = "doc_id", ids: bool = True) -> DataFrame:
