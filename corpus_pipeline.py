@@ -31,7 +31,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode(docs, bpe.production_vocabulary(), ids=False)
+    return bpe.encode(docs, bpe.production_vocabulary())
 
 
 STAGES = [
