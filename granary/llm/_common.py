@@ -28,9 +28,11 @@ def session(df: DataFrame) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a temporary folder where that is unset and all is one machine (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='granary_shared_')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -40,15 +42,16 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage is cut, and a lost executor costs no more than a read."""
+def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+    """df as a table in the shared folder (in `folder` there): its lineage is cut, and a lost executor costs no more than a read."""
     spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.options(**options).parquet(path)
+    path = f"{folder}/{name}-{uuid.uuid4().hex}" if folder else work_path(spark, name)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
+    """Removes a folder of intermediate tables that nothing reads any more."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -1,4 +1,4 @@
-"""Finds windows of `length` consecutive tokens that also start in a document with a smaller id; exact, in three passes.
+"""Finds windows of `length` consecutive tokens that also start in a document with a smaller id, in four passes.
 
 Anchors.  A window's anchor is its token group of `group` tokens with the least hash
 (the leftmost of those).  It depends on the window alone, so equal windows have equal
@@ -6,22 +6,31 @@ anchors; consecutive windows mostly share one, and such a run with all the token
 its windows cover is a *phrase*.  Phrases stand for their windows: about 2 / (length -
 group + 2) of them for each token.
 
-Pass 1 sends each different phrase of a block of documents once, as two hashes, to its
-anchor's task, which finds the smallest document of each phrase.  An occurrence in a
-larger document is removed whole.  Where an anchor has several phrases (at the ends of
-a passage), pass 2 sends the windows of these phrases' first occurrences to the anchor's
-task, which compares them one by one.  Pass 3 turns the answers into covered tokens.
+The sketch.  Each block of documents sends its anchors, dealt by hash; a task merges its
+share in a count-min sketch, which never counts too little, and answers each block how
+often its anchors occur.  A window is in no more documents than its anchor, so windows
+whose anchor is counted in one document only are done with, and none is lost.
 
-Blocks of documents are a bucketed table in the warehouse; each pass joins its answers
-to it without moving texts.  What a task gathers is a partition's
-share of phrases: a passage that a third of all documents holds gives a row for each
-block, not for each document.
+Phrases.  Each different phrase that is left, as a 128-bit hash of its bytes, is dealt by
+that hash; an occurrence in a larger document than the smallest is removed whole.  Where
+an anchor occurs in other phrases too (at the ends of a passage), the windows of the
+phrase's first occurrence are compared one by one: dealt by anchor, or each on its own
+where the sketch counts an anchor HOT times or more.  The last pass turns the answers
+into covered tokens.
+
+What a task gathers is its share of hashes: each block sends an anchor, phrase or hot
+window once, so a passage that a third of all documents holds gives a row for each
+block, not for each document, and a hot anchor's neighbours are dealt over all tasks.
+
+Blocks of documents are a bucketed table in the warehouse, dropped at the end; each
+pass joins its answers to it without moving texts.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, release_memory, session, written
+from ._common import arrow_map, delete_path, release_memory, session, work_path, written
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -38,6 +47,10 @@ _INV = pow(_BASE, -1, 1 << 64)
 CHUNK = 1 << 18
 #: Bytes of text in a block of documents; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
+#: Occurrences of an anchor from which its windows are dealt each on its own.
+HOT = 1024
+#: Counts beyond this are not told apart.
+MANY = 65_535
 #: The id of documents without one: larger than any other.
 NO_ID = np.iinfo(np.int64).max
 
@@ -67,23 +80,40 @@ def power(n: int) -> tuple[np.ndarray, np.ndarray]:
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 
 
+@dataclass(frozen=True)
+class Tokens:
+    """Tokens as 64-bit numbers (for anchors only), the first of each document, and each one's place in data (ends exclusive)."""
+
+    numbers: np.ndarray
+    bounds: np.ndarray
+    data: bytes
+    starts: np.ndarray
+    ends: np.ndarray
+
+    def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """[n, 2] 128-bit hashes of the bytes of tokens first to last."""
+        import xxhash
+
+        view, digest = memoryview(self.data), xxhash.xxh3_128_digest
+        got = b"".join([digest(view[a:b]) for a, b in zip(self.starts[first].tolist(), self.ends[last].tolist(), strict=True)])
+        return np.frombuffer(got, U).reshape(-1, 2)
+
+
 class Phrases:
     """The phrases of a token sequence in which document d has tokens bounds[d] to bounds[d+1].
 
-    first, last: the first and last window start; anchor, content: hashes; doc: the document.
+    first, last: the first and last window start; anchor: its hash; doc: the document.
     """
 
-    def __init__(self, tokens: np.ndarray, bounds: np.ndarray, length: int, group: int) -> None:
-        self.tokens, self.length = tokens, length
-        parts: list[tuple[np.ndarray, ...]] = []
-        m = len(tokens) - length + 1
-        for at in range(0, max(m, 0), CHUNK):
-            parts.append(self._chunk(at, min(at + CHUNK, m), bounds, group))
-        self.first, self.last, self.anchor, self.content, self.doc = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, U if i in (2, 3) else np.int64) for i in range(5))
+    def __init__(self, numbers: np.ndarray, bounds: np.ndarray, length: int, group: int) -> None:
+        self.length = length
+        m = len(numbers) - length + 1
+        parts = [self._chunk(numbers, at, min(at + CHUNK, m), bounds, group) for at in range(0, max(m, 0), CHUNK)]
+        self.first, self.last, self.anchor, self.doc = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, U if i == 2 else np.int64) for i in range(4))
 
-    def _chunk(self, lo: int, hi: int, bounds: np.ndarray, group: int) -> tuple[np.ndarray, ...]:
+    def _chunk(self, numbers: np.ndarray, lo: int, hi: int, bounds: np.ndarray, group: int) -> tuple[np.ndarray, ...]:
         length, m = self.length, hi - lo
-        tok = self.tokens[lo : hi + length - 1]
+        tok = numbers[lo : hi + length - 1]
         up, down = power(CHUNK + 8 * length)
         total = np.empty(len(tok) + 1, U)
         total[0] = 0
@@ -107,24 +137,7 @@ class Phrases:
         last = np.append(first[1:], m) - 1
         keep = fits[first]
         first, last = first[keep], last[keep]
-        content = (total[last + length] - total[first]) * down[first]
-        content = mix(content ^ mix(((at[first] - first).astype(U) << U(32)) + (last - first).astype(U)))
-        return first + lo, last + lo, h[at[first]], content, doc[first]
-
-    def window_hashes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The hashes of all windows of some phrases, one after another, and how many each has."""
-        n = (self.last - self.first + 1)[which]
-        offset = np.repeat(np.cumsum(n) - n, n)
-        starts = np.repeat(self.first[which], n) + np.arange(n.sum()) - offset
-        up, _ = power(CHUNK + 8 * self.length)
-        out = np.empty(len(starts), U)
-        for i in range(0, len(starts), 1 << 16):
-            s = starts[i : i + (1 << 16)]
-            acc = np.zeros(len(s), U)
-            for j in range(self.length):
-                acc += self.tokens[s + j] * up[self.length - j]
-            out[i : i + (1 << 16)] = mix(acc)
-        return out, n
+        return first + lo, last + lo, h[at[first]], doc[first]
 
 
 def bucket_of(number: int, buckets: int) -> int:
@@ -143,7 +156,7 @@ def bucket_of(number: int, buckets: int) -> int:
 
 
 def blocks(docs: DataFrame, name: str) -> DataFrame:
-    """block, ids, texts: documents packed by size, in a bucketed table of as many buckets as there are shuffle partitions.
+    """block, ids, texts: documents packed by size, in a bucketed table `name` of as many buckets as there are shuffle partitions.
 
     Blocks are numbered so that all of a task's blocks belong to one bucket: each task
     writes one file, no text is shuffled, and yet each later join by block finds the
@@ -181,243 +194,329 @@ def blocks(docs: DataFrame, name: str) -> DataFrame:
         release_memory()
 
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "block long, ids array<long>, texts array<string>")
-    table = f"{name}_{uuid.uuid4().hex}"
-    packed.write.bucketBy(n, "block").option("compression", "zstd").option("parquet.block.size", str(32 << 20)).saveAsTable(table)
-    return spark.table(table)
-
-
-#: make(texts) -> (tokens as 64-bit numbers, bounds of the documents)
-Tokens = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
-#: phrases that can be repeated, as a mask; None: all
-Sieve = Callable[[Phrases], np.ndarray] | None
+    packed.write.bucketBy(n, "block").option("compression", "zstd").option("parquet.block.size", str(32 << 20)).saveAsTable(name)
+    return spark.table(name)
 
 
-class Block:
-    """A block's phrases, the different ones (anchor, content) among them, and the task of each."""
-
-    def __init__(self, ids: list[int | None], texts: list[str], tokens: Tokens, length: int, group: int, tasks: int, sieve: Sieve) -> None:
-        self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
-        tok, self.bounds = tokens(texts)
-        self.phrases = p = Phrases(tok, self.bounds, length, group)
-        mask = sieve(p) if sieve else None
-        self.of = np.arange(len(p.doc)) if mask is None else np.flatnonzero(mask)
-        anchor, content, doc = p.anchor[self.of], p.content[self.of], self.ids[p.doc[self.of]]
-        task = (mix(anchor ^ U(0x5851F42D4C957F2D)) % U(tasks)).astype(np.int64)
-        order = np.lexsort((doc, content, anchor, task))
-        new = np.ones(len(order), bool)
-        new[1:] = (anchor[order][1:] != anchor[order][:-1]) | (content[order][1:] != content[order][:-1])
-        cls = np.cumsum(new) - 1
-        self.class_of = np.empty(len(order), np.int64)  # of each phrase in `of`: its class, by task
-        self.class_of[order] = cls
-        self.rep = self.of[order[new]]  # of each class: a phrase in its smallest document
-        self.doc = doc[order[new]]
-        self.larger = doc > self.doc[self.class_of] if len(order) else np.empty(0, bool)
-        self.task = task[order[new]]
-        self.starts = np.searchsorted(self.task, np.arange(tasks + 1))
-
-    def classes_of(self, task: int) -> slice:
-        return slice(self.starts[task], self.starts[task + 1])
-
-
-def _pack48(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _unpack48(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    return out.view("<u8")[:, 0]
+_SENT = pa.schema([("task", pa.int32()), ("block", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
+_SENT_SQL = "task int, block long, docs binary, keys binary, counts binary"
+_ANSWER = pa.schema([("block", pa.int64()), ("task", pa.int32()), ("round", pa.int32()), ("data", pa.binary())])
+_ANSWER_SQL = "block long, task int, round int, data binary"
 
 
 def _deltas(doc: np.ndarray) -> bytes:
     return np.diff(doc, prepend=np.int64(0)).tobytes()  # small numbers, which Spark's shuffle compresses
 
 
-_SENT = pa.schema([("task", pa.int32()), ("block", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary()), ("more", pa.binary())])
-_SENT_SQL = "task int, block long, docs binary, keys binary, more binary"
-_ANSWER = pa.schema([("block", pa.int64()), ("task", pa.int32()), ("round", pa.int32()), ("data", pa.binary())])
-_ANSWER_SQL = "block long, task int, round int, data binary"
+def _by_task(task: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order by task, and where each task's part of it begins."""
+    order = np.argsort(task, kind="stable")
+    return order, np.searchsorted(task[order], np.arange(tasks + 1))
 
 
-def _gather(t: pa.Table, column: str) -> tuple[list[bytes], np.ndarray]:
-    got = [x.as_buffer().to_pybytes() for x in t[column]]
-    return got, np.array([len(x) for x in got])
+class Block:
+    """A block's anchors, phrases and windows as the passes need them, each dealt to tasks; answers: what the earlier passes said."""
+
+    def __init__(self, ids: list[int | None], tokens: Tokens, length: int, group: int, tasks: int) -> None:
+        self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
+        self.tokens, self.tasks, self.length = tokens, tasks, length
+        self.phrases = Phrases(tokens.numbers, tokens.bounds, length, group)
+
+    # -- anchors
+
+    def deal_anchors(self) -> None:
+        """anchor: the different ones, anchor_of: of each phrase its own; by task."""
+        self.anchor, self.anchor_of = np.unique(self.phrases.anchor, return_inverse=True)
+        self.anchor_order, self.anchor_starts = _by_task((mix(self.anchor ^ U(0x5851F42D4C957F2D)) % U(self.tasks)).astype(np.int64), self.tasks)
+
+    def sent_anchors(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """task, (none), of each anchor a 31-bit cell and whether several documents of the block have it, how often it occurs."""
+        n = np.minimum(np.bincount(self.anchor_of, minlength=len(self.anchor)), MANY)
+        several = np.zeros(len(self.anchor), U)
+        if len(self.anchor):
+            order = np.argsort(self.anchor_of, kind="stable")
+            doc, starts = self.ids[self.phrases.doc[order]], np.searchsorted(self.anchor_of[order], np.arange(len(self.anchor)))
+            several = (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts)).astype(U)
+        cell = ((mix(self.anchor + U(0x9E3779B97F4A7C15)) >> U(33)) << U(1) | several).astype(np.uint32)
+        for k in range(self.tasks):
+            x = self.anchor_order[self.anchor_starts[k] : self.anchor_starts[k + 1]]
+            if len(x):
+                yield k, b"", cell[x].tobytes(), n[x].astype(np.uint16).tobytes()
+
+    # -- phrases
+
+    def deal_phrases(self, answers: list[dict]) -> None:
+        """The phrases whose anchor may be in several documents (`of`) and their classes of equal ones; a class stands for its first occurrence, in `rep`."""
+        self.deal_anchors()
+        count = np.zeros(len(self.anchor), np.int64)
+        for x in answers:
+            if x["round"] == 0:
+                count[self.anchor_order[self.anchor_starts[x["task"]] : self.anchor_starts[x["task"] + 1]]] = np.frombuffer(x["data"], np.uint16)
+        p = self.phrases
+        self.of = np.flatnonzero(count[self.anchor_of] > 0)
+        h = self.tokens.hashes(p.first[self.of], p.last[self.of] + self.length - 1)
+        doc = self.ids[p.doc[self.of]]
+        task = (h[:, 0] % U(self.tasks)).astype(np.int64)
+        order = np.lexsort((doc, h[:, 1], h[:, 0], task))
+        new = np.ones(len(order), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]).any(axis=1)
+        self.class_of = np.empty(len(order), np.int64)
+        self.class_of[order] = np.cumsum(new) - 1
+        self.rep, self.hash = self.of[order[new]], h[order[new]]
+        self.doc = self.ids[p.doc[self.rep]]
+        self.occurs = np.bincount(self.class_of, minlength=len(self.rep))
+        self.anchor_count = count[self.anchor_of[self.rep]]
+        self.larger = doc > self.doc[self.class_of] if len(order) else np.empty(0, bool)
+        self.starts = np.searchsorted(task[order[new]], np.arange(self.tasks + 1))
+
+    def sent_phrases(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """task, documents, hashes, occurrences of the different phrases."""
+        n = np.minimum(self.occurs, MANY).astype(np.uint16)
+        for k in range(self.tasks):
+            s = slice(self.starts[k], self.starts[k + 1])
+            if s.start < s.stop:
+                yield k, _deltas(self.doc[s]), self.hash[s].tobytes(), n[s].tobytes()
+
+    # -- windows
+
+    def deal_windows(self, answers: list[dict], wide: bool) -> None:
+        """Units of windows: whole phrases (only if wide), or single windows; unit_first, unit_n: their windows; window: of each class that is asked about, the (unit, place) of its windows."""
+        self.deal_phrases(answers)
+        seen = np.zeros(len(self.rep), np.int64)
+        for x in answers:
+            if x["round"] == 1:
+                seen[self.starts[x["task"]] : self.starts[x["task"] + 1]] = np.frombuffer(x["data"], np.uint16)
+        self.gone = seen == 0  # a smaller document has the phrase
+        p = self.phrases
+        asked = np.flatnonzero(~self.gone & ((seen < self.anchor_count) | (self.anchor_count >= MANY)))
+        whole = (self.anchor_count[asked] < HOT) & wide
+        self.asked = np.concatenate([asked[whole], asked[~whole]])
+        a, b = p.first[self.rep[asked[whole]]], p.last[self.rep[asked[whole]]]
+        task_a = (mix(p.anchor[self.rep[asked[whole]]] ^ U(0x2545F4914F6CDD1D)) % U(self.tasks)).astype(np.int64)
+        # single windows, the different ones with their smallest document
+        f, n = p.first[self.rep[asked[~whole]]], (p.last - p.first + 1)[self.rep[asked[~whole]]]
+        start = np.repeat(f, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        doc = np.repeat(self.doc[asked[~whole]], n)
+        h = self.tokens.hashes(start, start + self.length - 1)
+        order = np.lexsort((doc, h[:, 1], h[:, 0]))
+        new = np.ones(len(order), bool)
+        new[1:] = (h[order][1:] != h[order][:-1]).any(axis=1)
+        one = order[new]
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        self.unit_first, self.unit_n = np.concatenate([a, start[one]]), np.concatenate([b - a + 1, np.ones(len(one), np.int64)])
+        self.unit_doc = np.concatenate([self.doc[asked[whole]], doc[one]])
+        self.unit_hash = np.concatenate([np.zeros((len(a), 2), U), h[one]])
+        task = np.concatenate([task_a, ((h[one, 0] ^ h[one, 1]) % U(self.tasks)).astype(np.int64)])
+        self.unit_order, self.unit_starts = _by_task(task, self.tasks)
+        # the windows of the asked classes one after another: their unit, their place in it, and whether a smaller document of the block has them
+        wide_n = b - a + 1
+        self.window_unit = np.concatenate([np.repeat(np.arange(len(a)), wide_n), len(a) + of])
+        self.window_place = np.concatenate([np.arange(wide_n.sum()) - np.repeat(np.cumsum(wide_n) - wide_n, wide_n), np.zeros(len(of), np.int64)])
+        self.window_gone = np.concatenate([np.zeros(wide_n.sum(), bool), doc > doc[one][of] if len(of) else np.empty(0, bool)])
+        self.window_start = np.concatenate([np.repeat(a, wide_n) + self.window_place[: wide_n.sum()], start])
+        self.window_class = np.concatenate([np.repeat(asked[whole], wide_n), np.repeat(asked[~whole], n)])
+
+    def sent_windows(self, wide: bool) -> Iterator[tuple[int, bytes, bytes, bytes]]:
+        """task, documents, contents (bytes if wide, else hashes), windows of the units."""
+        t = self.tokens
+        for k in range(self.tasks):
+            u = self.unit_order[self.unit_starts[k] : self.unit_starts[k + 1]]
+            if not len(u):
+                continue
+            if wide:
+                lo, hi = t.starts[self.unit_first[u]].tolist(), t.ends[self.unit_first[u] + self.unit_n[u] + self.length - 2].tolist()
+                keys = b"".join([t.data[i:j] for i, j in zip(lo, hi, strict=True)])
+            else:
+                keys = self.unit_hash[u].tobytes()
+            yield k, _deltas(self.unit_doc[u]), keys, self.unit_n[u].astype(np.uint8).tobytes()
+
+    def covered(self, answers: list[dict], wide: bool) -> np.ndarray:
+        """Of each token whether it goes."""
+        self.deal_windows(answers, wide)
+        p, length = self.phrases, self.length
+        n, begin = self.unit_n, np.zeros(len(self.unit_n) + 1, np.int64)
+        np.cumsum(n, out=begin[1:])
+        bit = np.zeros(begin[-1], bool)
+        for x in answers:
+            if x["round"] == 2:
+                u = self.unit_order[self.unit_starts[x["task"]] : self.unit_starts[x["task"] + 1]]
+                size = n[u]
+                at = np.repeat(begin[u], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                bit[at] = np.unpackbits(np.frombuffer(x["data"], np.uint8), count=int(size.sum())).astype(bool)
+        change = np.zeros(len(self.tokens.numbers) + 1, np.int64)
+        whole = self.of[self.larger | self.gone[self.class_of]] if len(self.of) else self.of
+        np.add.at(change, p.first[whole], 1)
+        np.add.at(change, p.last[whole] + length, -1)
+        gone = np.flatnonzero(self.window_gone | bit[begin[self.window_unit] + self.window_place])
+        if len(gone):
+            # the same windows of the class's other occurrences in its document
+            place, cls = self.window_start[gone] - p.first[self.rep[self.window_class[gone]]], self.window_class[gone]
+            rest = np.flatnonzero(~self.larger)
+            rest = rest[np.argsort(self.class_of[rest], kind="stable")]
+            lo, hi = np.searchsorted(self.class_of[rest], cls), np.searchsorted(self.class_of[rest], cls, "right")
+            size = hi - lo
+            which = rest[np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+            s = p.first[self.of[which]] + np.repeat(place, size)
+            np.add.at(change, s, 1)
+            np.add.at(change, s + length, -1)
+        return np.cumsum(change[:-1]) > 0
+
+
+def _joined(t: pa.Table, column: str, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' numbers one after another, and how many each row has."""
+    got = [np.frombuffer(x.as_buffer(), kind) for x in t[column]]
+    return np.concatenate(got), np.array([len(x) for x in got])
+
+
+def _documents(t: pa.Table) -> np.ndarray:
+    return np.concatenate([np.cumsum(np.frombuffer(x.as_buffer(), np.int64)) for x in t["docs"]])
+
+
+def _answered(key: tuple, t: pa.Table, number: int, parts: list[bytes]) -> pa.Table:
+    return pa.Table.from_arrays([t["block"].combine_chunks().cast(pa.int64()), pa.array([key[0].as_py()] * len(parts), pa.int32()), pa.array([number] * len(parts), pa.int32()), pa.array(parts, pa.binary())], schema=_ANSWER)
+
+
+def _split(x: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return np.split(x, np.cumsum(sizes)[:-1])
+
+
+def sketched(cell: np.ndarray, several: np.ndarray, n: np.ndarray, depth: int = 3) -> np.ndarray:
+    """Of each cell how often it occurs at least, by a count-min sketch of what all blocks send; 0 where it is in one document only.
+
+    A row of the sketch has at least two counters for each cell that was sent.  Blocks
+    hold different documents, so a cell of two blocks is in several.
+    """
+    width = 1 << max(10, int(2 * len(cell) - 1).bit_length())
+    occurs, docs = np.full(len(cell), np.iinfo(np.int64).max), np.full(len(cell), 255, np.uint8)
+    for d in range(depth):
+        at = (mix(cell.astype(U) + U((0x9E3779B97F4A7C15 * (d + 1)) & 0xFFFFFFFFFFFFFFFF)) & U(width - 1)).astype(np.int64)
+        row = np.zeros(width, np.uint32)
+        np.add.at(row, at, n.astype(np.uint32))
+        occurs = np.minimum(occurs, row[at])
+        row[:] = 0
+        np.add.at(row, at, several.astype(np.uint32) + np.uint32(1))
+        docs = np.minimum(docs, np.minimum(row[at], 2).astype(np.uint8))
+    return np.where(docs > 1, occurs, 0)
+
+
+def _anchor_answers(key: tuple, t: pa.Table) -> pa.Table:
+    cells, sizes = _joined(t, "keys", np.uint32)
+    n, _ = _joined(t, "counts", np.uint16)
+    count = np.minimum(sketched(cells >> np.uint32(1), cells & np.uint32(1), n), MANY).astype(np.uint16)
+    return _answered(key, t, 0, [x.tobytes() for x in _split(count, sizes)])
 
 
 def _phrase_answers(key: tuple, t: pa.Table) -> pa.Table:
-    """Of each sent phrase 1 if a smaller document has it, 2 if its windows are to be compared; phrases with neither are left out."""
-    docs, _ = _gather(t, "docs")
-    keys, n = _gather(t, "keys")
-    n = n // 12
-    doc = np.concatenate([np.cumsum(np.frombuffer(d, np.int64)) for d in docs])
-    both = [_unpack48(k) for k in keys]
-    anchor, content = np.concatenate([b[: len(b) // 2] for b in both]), np.concatenate([b[len(b) // 2 :] for b in both])
-    order = np.lexsort((doc, content, anchor))
-    a, c, d = anchor[order], content[order], doc[order]
-    new_a = np.ones(len(a), bool)
-    new_a[1:] = a[1:] != a[:-1]
-    new_c = new_a.copy()
-    new_c[1:] |= c[1:] != c[:-1]
-    least = d[new_c]  # the smallest document of each phrase
-    cls = np.cumsum(new_c) - 1
-    groups = np.flatnonzero(new_a[new_c])
-    several = np.minimum.reduceat(least, groups) < np.maximum.reduceat(least, groups)
-    code = np.where(d > least[cls], 1, np.where(several[np.cumsum(new_a) - 1], 2, 0))
-    answer = np.empty(len(a), np.int64)
-    answer[order] = code
-    out, at = [], 0
-    blocks_ = t["block"].to_pylist()
-    for b, k in zip(blocks_, n, strict=True):
-        part = answer[at : at + k]
-        at += k
-        j = np.flatnonzero(part)
-        if len(j):
-            out.append((b, (j.astype(np.uint32) * np.uint32(4) + part[j].astype(np.uint32)).tobytes()))
-    task = key[0].as_py()
-    return pa.Table.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([task] * len(out), pa.int32()), pa.array([1] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], schema=_ANSWER)
-
-
-def hashed_windows(windows: list[bytes]) -> np.ndarray:
-    """Group numbers of windows that were sent as 64-bit hashes."""
-    return np.unique(np.frombuffer(b"".join(windows), U), return_inverse=True)[1]
-
-
-def _window_answers(same: Callable[[list[bytes], list[bytes]], np.ndarray]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """Of each sent phrase 0 if a smaller document has it, else how often it occurs in all."""
+    doc = _documents(t)
+    keys, sizes = _joined(t, "keys", U)
+    keys, sizes = keys.reshape(-1, 2), sizes // 2
+    n, _ = _joined(t, "counts", np.uint16)
+    order = np.lexsort((doc, keys[:, 1], keys[:, 0]))
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[order][1:] != keys[order][:-1]).any(axis=1)
+    cls, first = np.cumsum(new) - 1, np.flatnonzero(new)
+    total = np.minimum(np.add.reduceat(n[order].astype(np.int64), first), MANY)
+    answer = np.empty(len(order), np.uint16)
+    answer[order] = np.where(doc[order] > doc[order][first][cls], 0, total[cls])
+    return _answered(key, t, 1, [x.tobytes() for x in _split(answer, sizes)])
+
+
+def _window_answers(same: Callable[[list[bytes], np.ndarray], np.ndarray] | None) -> Callable[[tuple, pa.Table], pa.Table]:
     def answers(key: tuple, t: pa.Table) -> pa.Table:
-        """Of each sent phrase the windows that a smaller document has, as bits."""
-        docs, _ = _gather(t, "docs")
-        counts, n = _gather(t, "keys")
-        more, _ = _gather(t, "more")
-        doc = np.concatenate([np.cumsum(np.frombuffer(d, np.int64)) for d in docs])
-        sizes = np.frombuffer(b"".join(counts), np.uint8).astype(np.int64)
-        group = same(more, counts)
-        doc_of = np.repeat(doc, sizes)
+        """Of each sent window whether a smaller document has it, as bits."""
+        doc = _documents(t)
+        n, sizes = _joined(t, "counts", np.uint8)
+        n = n.astype(np.int64)
+        if same:
+            group = same([x.as_buffer() for x in t["keys"]], n)
+        else:
+            group = np.unique(_joined(t, "keys", U)[0].view("V16"), return_inverse=True)[1]
+        doc_of = np.repeat(doc, n)
         order = np.lexsort((doc_of, group))
         g = group[order]
         new = np.ones(len(g), bool)
         new[1:] = g[1:] != g[:-1]
         gone = np.empty(len(g), bool)
         gone[order] = doc_of[order] > doc_of[order][new][np.cumsum(new) - 1]
-        offset = np.arange(len(g)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        bits = np.bitwise_or.reduceat(gone.astype(U) << offset.astype(U), np.cumsum(sizes) - sizes)
-        out, at = [], 0
-        for b, k in zip(t["block"].to_pylist(), n, strict=True):
-            out.append((b, bits[at : at + k].tobytes()))
-            at += k
-        task = key[0].as_py()
-        return pa.Table.from_arrays([pa.array([b for b, _ in out], pa.int64()), pa.array([task] * len(out), pa.int32()), pa.array([2] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], schema=_ANSWER)
+        windows = [int(x.sum()) for x in _split(n, sizes)]
+        return _answered(key, t, 2, [np.packbits(x).tobytes() for x in _split(gone, np.array(windows))])
 
     return answers
 
 
-def _codes(block: Block, answers: list[dict]) -> np.ndarray:
-    code = np.zeros(len(block.rep), np.int64)
-    for x in answers:
-        if x["round"] == 1:
-            got = np.frombuffer(x["data"], np.uint32)
-            code[block.starts[x["task"]] + (got >> np.uint32(2)).astype(np.int64)] = got & np.uint32(3)
-    return code
-
-
 def removed(
     docs: DataFrame,
     *,
     name: str,
-    tokens: Tokens,
+    tokens: Callable[[list[str]], Tokens],
     length: int,
     group: int,
     finish: Callable[[list[int | None], list[str], np.ndarray, np.ndarray], pa.RecordBatch],
     schema: str,
-    sieve: Callable[[DataFrame], Sieve] | None = None,
-    contents: Callable[[Block, np.ndarray], tuple[bytes, np.ndarray]] | None = None,
-    same: Callable[[list[bytes], list[bytes]], np.ndarray] | None = None,
+    same: Callable[[list[bytes], np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
     """Applies finish(ids, texts, bounds, gone) to each block; gone marks the tokens to remove.
 
-    sieve: what, from the blocks, rules phrases out before they are sent.  contents and
-    same: how the windows of phrases are sent and compared; by hash without them.
+    same(contents, windows of each unit): numbers of groups of equal windows; without it
+    windows are sent and compared as 128-bit hashes.
     """
     spark = session(docs)
-    table = blocks(docs, name)
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    table = blocks(docs, table_name)
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    passed = sieve(table) if sieve else None
-
-    def load(ids: list[int | None], texts: list[str]) -> Block:
-        return Block(ids, texts, tokens, length, group, tasks, passed)
+    folder, wide = work_path(spark, name), same is not None
 
-    def rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, list, list[str], list[dict], Block]]:
         for i in range(batch.num_rows):
-            yield batch.slice(i, 1)
+            r = batch.slice(i, 1)
+            ids, texts = r["ids"][0].as_py(), r["texts"][0].as_py()
+            answers = r["answers"][0].as_py() or [] if "answers" in batch.schema.names else []
+            yield r["block"][0].as_py(), ids, texts, answers, Block(ids, tokens(texts), length, group, tasks)
 
-    def send() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+    def sent(what: Callable[[Block, list[dict]], Iterator[tuple[int, bytes, bytes, bytes]]]) -> Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]:
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for r in rows(batch):
-                number = r["block"][0].as_py()
-                b = load(r["ids"][0].as_py(), r["texts"][0].as_py())
-                anchor, content = b.phrases.anchor[b.rep], b.phrases.content[b.rep]
-                cols: list[list] = [[], [], [], [], []]
-                for k in range(tasks):
-                    s = b.classes_of(k)
-                    if s.start < s.stop:
-                        for c, v in zip(cols, (k, number, _deltas(b.doc[s]), _pack48(anchor[s]) + _pack48(content[s]), b""), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SENT, strict=True)], schema=_SENT)
-
-        return step
-
-    first = written(arrow_map(table, send, _SENT_SQL).groupBy("task").applyInArrow(_phrase_answers, _ANSWER_SQL), f"{name}-first")
-
-    def per_block(answers: DataFrame) -> DataFrame:
-        got = answers.groupBy("block").agg(F.collect_list(F.struct("task", "round", "data")).alias("answers"))
+            for number, _, _, answers, block in rows(batch):
+                got = [(k, number, d, x, n) for k, d, x, n in what(block, answers)]
+                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], f.type) for i, f in enumerate(_SENT)], schema=_SENT)
+
+        return lambda: step
+
+    def anchors(block: Block, answers: list[dict]) -> Iterator:
+        block.deal_anchors()
+        return block.sent_anchors()
+
+    def phrases(block: Block, answers: list[dict]) -> Iterator:
+        block.deal_phrases(answers)
+        return block.sent_phrases()
+
+    def windows(block: Block, answers: list[dict]) -> Iterator:
+        block.deal_windows(answers, wide)
+        return block.sent_windows(wide)
+
+    def per_block(answers: list[DataFrame]) -> DataFrame:
+        if not answers:
+            return table
+        every = answers[0]
+        for a in answers[1:]:
+            every = every.unionByName(a)
+        got = every.groupBy("block").agg(F.collect_list(F.struct("task", "round", "data")).alias("answers"))
         return table.join(got.hint("shuffle_hash"), "block", "left")
 
-    def ask() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for r in rows(batch):
-                b = load(r["ids"][0].as_py(), r["texts"][0].as_py())
-                asked = np.flatnonzero(_codes(b, r["answers"][0].as_py() or []) == 2)
-                cols: list[list] = [[], [], [], [], []]
-                for k in np.unique(b.task[asked]):
-                    c = asked[b.task[asked] == k]
-                    if contents:
-                        data, n = contents(b, b.rep[c])
-                    else:
-                        h, n = b.phrases.window_hashes(b.rep[c])
-                        data = h.tobytes()
-                    for into, v in zip(cols, (int(k), r["block"][0].as_py(), _deltas(b.doc[c]), n.astype(np.uint8).tobytes(), data), strict=True):
-                        into.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _SENT, strict=True)], schema=_SENT)
-
-        return step
-
-    compare = _window_answers(same or (lambda more, counts: hashed_windows(more)))
-    second = written(arrow_map(per_block(first), ask, _SENT_SQL).groupBy("task").applyInArrow(compare, _ANSWER_SQL), f"{name}-second")
+    answers: list[DataFrame] = []
+    for what, reply in ((anchors, _anchor_answers), (phrases, _phrase_answers), (windows, _window_answers(same))):
+        dealt = arrow_map(per_block(answers), sent(what), _SENT_SQL).groupBy("task").applyInArrow(reply, _ANSWER_SQL)
+        answers.append(written(dealt, f"round-{len(answers)}", folder))
 
     def end() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for r in rows(batch):
-                ids, texts, answers = r["ids"][0].as_py(), r["texts"][0].as_py(), r["answers"][0].as_py() or []
-                b = load(ids, texts)
-                p = b.phrases
-                code = _codes(b, answers)
-                bits = np.zeros(len(b.rep), U)
-                asked = np.flatnonzero(code == 2)
-                for x in answers:
-                    if x["round"] == 2:
-                        bits[asked[b.task[asked] == x["task"]]] = np.frombuffer(x["data"], U)
-                change = np.zeros(len(p.tokens) + 1, np.int64)
-                whole = b.of[b.larger | (code[b.class_of] == 1)] if len(b.of) else b.of
-                np.add.at(change, p.first[whole], 1)
-                np.add.at(change, p.last[whole] + length, -1)
-                some = np.flatnonzero(~b.larger & (bits[b.class_of] != 0)) if len(b.of) else b.of
-                if len(some):
-                    f, m = p.first[b.of[some]], bits[b.class_of[some]]
-                    for i in range(length - group + 1):
-                        s = f[(m >> U(i)) & U(1) == 1] + i
-                        np.add.at(change, s, 1)
-                        np.add.at(change, s + length, -1)
-                yield finish(ids, texts, b.bounds, np.cumsum(change[:-1]) > 0)
+            for _, ids, texts, got, block in rows(batch):
+                yield finish(ids, texts, block.tokens.bounds, block.covered(got, wide))
 
         return step
 
-    return arrow_map(per_block(first.unionByName(second)), end, schema)
+    out = written(arrow_map(per_block(answers), end, schema), f"{name}-removed")
+    delete_path(spark, folder)
+    spark.sql(f"DROP TABLE {table_name}")
+    return out

@@ -1,16 +1,14 @@
 """Substring dedup over words, with a count-min prefilter.
 
-Pass one counts, in each block of documents, the anchors of all windows (see _repeats:
-equal windows have equal anchors, so an anchor is in at least as many documents as any
-of its windows) in a count-min sketch; the sketches of the blocks are merged slice by
-slice.  The merged counters never underestimate, so a window whose anchor is estimated
-in one document only is in one document only.  Pass two exactly groups the rest, and
-loses none.
-
-The merged sketch, reduced to one bit for each counter ("two or more"), is sent to the
-tasks.  Its width follows the corpus up to max_width counters in each of `depth` rows
-(depth * max_width / 8 bytes); beyond that it lets more windows through to pass two,
-which is exact and in proportion to the input anyhow.
+A first pass counts, in a count-min sketch that is merged from all blocks' counts and
+dealt over the tasks, the anchors of all windows (see _repeats).  A window is in no more
+documents than its anchor, so the merged counters overestimate what each window counts;
+windows that are estimated in one document only are done with.  The second step exactly
+groups the rest, and loses none: phrases and then windows are compared as 128-bit hashes
+of their words, joined by one space.
+
+Each task sizes its part of the sketch by the anchors that it gets: nothing of it is
+broadcast or collected, and it filters alike at every size.
 
 Defined results.  A null or blank text has no words; texts of fewer words than the
 window keep all.  A null doc_id counts as larger than all others (its windows remove
@@ -21,109 +19,60 @@ remove nothing from each other.  Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ._common import arrow_map, table
-from ._repeats import BYTE, Phrases, Sieve, U, mix, power, removed
+from ._common import table
+from ._repeats import Tokens, removed
 
 WINDOW = 50
 GROUP = 25
-_SLICE = 1 << 20
-#: Bytes whose words are hashed at a time.
-HASHED_BYTES = 1 << 18
-
-
-def word_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The words of all texts as 64-bit hashes of their bytes, and where each text's begin."""
-    parts = [t.encode() for t in texts]
-    data = np.frombuffer(b"\n".join(parts), np.uint8)
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.diff(space.view(np.int8), prepend=np.int8(1), append=np.int8(1))
-    first, last = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)  # ends exclusive
-    out = np.empty(len(first), np.uint64)
-    at = 0
-    while at < len(first):  # as many words as lie within a stretch of bytes, one at least
-        upto = max(int(np.searchsorted(last, first[at] + HASHED_BYTES, "right")), at + 1)
-        lo, hi = first[at], last[upto - 1]
-        up, down = power(max(int(hi - lo), HASHED_BYTES))
-        total = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(BYTE[data[lo:hi]] * up[: hi - lo], out=total[1:])
-        a, b = first[at:upto] - lo, last[at:upto] - lo
-        out[at:upto] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
-        at = upto
-    begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
-    return out, np.searchsorted(first, begins)
-
-
-def _cells(anchor: np.ndarray, row: int, width: int) -> np.ndarray:
-    return (mix(anchor + U((0x9E3779B97F4A7C15 * (row + 1)) & 0xFFFFFFFFFFFFFFFF)) & U(width - 1)).astype(np.int64)
-
-
-def block_sketch(phrases: Phrases) -> tuple[np.ndarray, np.ndarray]:
-    """The anchors of a block, and in how many of its documents each is (2 for more)."""
-    pairs = np.unique(np.stack([phrases.anchor, phrases.doc.astype(np.uint64)]), axis=1)[0] if len(phrases.doc) else np.empty(0, np.uint64)
-    anchors, n = np.unique(pairs, return_counts=True)
-    return anchors, np.minimum(n, 2)
-
-
-def merged_sketch(blocks: DataFrame, *, depth: int, max_width: int) -> tuple[int, list[np.ndarray]]:
-    """The width, and of each row the bits of the counters of two or more."""
-    chars = blocks.select(F.coalesce(F.sum(F.expr("aggregate(texts, 0L, (a, t) -> a + length(t))")), F.lit(0)).alias("n")).first().n
-    width = _SLICE
-    while width < max_width and width < chars // 8:  # about four counters for each anchor of prose
-        width *= 2
-
-    def count() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for i in range(batch.num_rows):
-                anchors, n = block_sketch(Phrases(*word_tokens(batch["texts"][i].as_py()), WINDOW, GROUP))
-                rows, slices, data = [], [], []
-                for d in range(depth):
-                    cells = _cells(anchors, d, width)
-                    order = np.argsort(cells, kind="stable")
-                    cells, packed = cells[order], ((cells[order] % _SLICE) * 4 + n[order]).astype(np.uint32)
-                    cuts = np.searchsorted(cells, np.arange(0, width + 1, _SLICE))
-                    for s in range(width // _SLICE):
-                        if cuts[s] < cuts[s + 1]:
-                            rows.append(d)
-                            slices.append(s)
-                            data.append(packed[cuts[s] : cuts[s + 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(slices, pa.int32()), pa.array(data, pa.binary())], names=["depth", "slice", "data"])
-
-        return step
-
-    def merge(key: tuple, t: pa.Table) -> pa.Table:
-        counters = np.zeros(_SLICE, np.uint8)
-        for x in t["data"]:
-            got = np.frombuffer(x.as_buffer(), np.uint32)
-            np.add.at(counters, got >> np.uint32(2), (got & np.uint32(3)).astype(np.uint8))
-            np.minimum(counters, 2, out=counters)
-        return pa.table({"depth": pa.array([key[0].as_py()], pa.int32()), "slice": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([np.packbits(counters >= 2).tobytes()], pa.binary())})
-
-    merged = arrow_map(blocks, count, "depth int, slice int, data binary").groupBy("depth", "slice").applyInArrow(merge, "depth int, slice int, bits binary")
-    bits = [np.zeros(width // 8, np.uint8) for _ in range(depth)]
-    for r in merged.collect():  # depth * width / 8 bytes
-        bits[r.depth][r.slice * _SLICE // 8 : (r.slice + 1) * _SLICE // 8] = np.frombuffer(r.bits, np.uint8)
-    return width, bits
-
-
-def sketch_sieve(blocks: DataFrame, *, depth: int = 3, max_width: int = 1 << 27) -> Sieve:
-    width, bits = merged_sketch(blocks, depth=depth, max_width=max_width)
-    sent = blocks.sparkSession.sparkContext.broadcast(bits)
-
-    def repeated(phrases: Phrases) -> np.ndarray:
-        ok = np.ones(len(phrases.doc), bool)
-        for d, row in enumerate(sent.value):
-            cells = _cells(phrases.anchor, d, width)
-            ok &= (row[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8)) & 1 == 1
-        return ok
-
-    return repeated
+#: Bytes whose words are held one by one at a time.
+HASHED_BYTES = 1 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
+
+
+class _Numbers(dict):
+    """Word -> 64-bit number, kept until there are many."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        n = xxhash.xxh3_64_intdigest(word)
+        if len(self) >= 300_000:
+            self.clear()
+        self[word] = n
+        return n
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().split()  # of bytes: at the six ASCII white space characters
+
+
+def word_tokens(texts: list[str]) -> Tokens:
+    """The words of all texts, joined by one space each."""
+    number = _Numbers().__getitem__
+    numbers, sizes, data, bounds = [], [], [], [0]
+    total = 0
+    for text in texts:
+        raw, at = text.encode(), 0
+        while at < len(raw):
+            # a stretch that ends at white space
+            end = len(raw) if at + HASHED_BYTES >= len(raw) or not (m := _SPACE.search(raw, at + HASHED_BYTES)) else m.start()
+            words = raw[at:end].split()
+            numbers.append(np.fromiter(map(number, words), np.uint64, len(words)))
+            sizes.append(np.fromiter(map(len, words), np.int64, len(words)))
+            data.append(b" ".join(words))
+            total += len(words)
+            at = end
+        bounds.append(total)
+    size = np.concatenate([*sizes, np.empty(0, np.int64)])
+    ends = np.cumsum(size + 1) - 1
+    # stretches without a word leave no space between those around them
+    return Tokens(np.concatenate([*numbers, np.empty(0, np.uint64)]), np.array(bounds), b" ".join([d for d in data if d]), ends - size, ends)
 
 
 def dedup(docs: DataFrame, *, text: bool = False) -> DataFrame:
@@ -133,7 +82,7 @@ def dedup(docs: DataFrame, *, text: bool = False) -> DataFrame:
     def finish(ids: list[int | None], texts: list[str], bounds: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
         n, cut, sha, kept = [], [], [], []
         for a, b, t in zip(bounds, bounds[1:], texts, strict=False):
-            words, out = t.encode().split(), gone[a:b]
+            words, out = words_of(t), gone[a:b]
             k = int(out.sum())
             left = b" ".join(words if not k else [w for w, g in zip(words, out.tolist(), strict=True) if not g])
             n.append(int(b - a))
@@ -145,7 +94,7 @@ def dedup(docs: DataFrame, *, text: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * text
-    return removed(docs, name="substrings", tokens=word_tokens, length=WINDOW, group=GROUP, finish=finish, schema=schema, sieve=sketch_sieve)
+    return removed(docs, name="substrings", tokens=word_tokens, length=WINDOW, group=GROUP, finish=finish, schema=schema)
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,19 +1,22 @@
 """Suffix-array dedup over bytes, by prefix-free parsing.
 
-A rolling hash of GROUP bytes triggers phrases: a position is a trigger if its hash is
-the least of some window of 50 bytes, which puts a trigger into every such window (see
-_repeats).  A phrase reaches over its windows' ends, so phrases overlap and each suffix
-that matters starts inside one.  The dictionary holds each different phrase once; the
-parse is what documents hold in place of it: their phrases' numbers.  Where the
-dictionary alone decides (a phrase that a smaller document has), nothing else is
-compared.  Where different phrases share a trigger, the suffixes of the dictionary
-phrases are put in order (a suffix array of the dictionary, over the 50 bytes that the
-order is asked for), with the parse's documents merged in; neighbours with equal windows
-are the repeated ones.  Since a phrase holds all bytes of its windows, ties never reach
-the next phrase, and the order of the parse itself isn't needed beyond that.
-
-corpus_order() is the whole combination for texts that fit one task: dictionary and
-parse suffix arrays joined to the order of all suffixes.
+Corpus order.  corpus_order() puts the suffixes of many texts in order.  A rolling hash
+of WIDTH bytes triggers phrases: a text is cut where the hash is 0 modulo MODULUS, and a
+phrase reaches over the trigger that ends it.  The dictionary holds each different
+phrase once, the parse is what texts hold in place of them: the phrases' numbers in the
+dictionary's order.  No phrase's suffix of more than WIDTH bytes begins another, so a
+text's suffix is placed by the suffix of the phrase that it begins in (the dictionary's
+suffix array) and, among equal ones, by the phrases that follow (the parse's suffix
+array).  Highly repetitive texts have small dictionaries, which is all that is sorted
+byte by byte.  Neighbours in corpus order with the same first LENGTH bytes are the
+repeated strings; their bytes are compared.
+
+The corpus.  Suffixes are dealt over tasks so that equal strings of LENGTH bytes meet:
+by anchors, the triggers of the first level (see _repeats).  Strings whose anchor a
+sketch counts in one document only are done with, and stretches that a smaller document
+has as a whole (by 128-bit hashes) are removed whole.  What is left, where different
+stretches share an anchor, is put in corpus order, each task's share by itself; the
+documents of neighbours decide.
 
 Defined results.  A null text counts as empty: no bytes, the hash of none.  Texts under
 50 bytes keep all.  A null doc_id counts as larger than all others.  Rows of the same id
@@ -29,49 +32,110 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
-from ._repeats import BYTE, Block, U, removed
+from ._repeats import BYTE, Tokens, U, mix, removed
 
 LENGTH = 50
 GROUP = 20
+#: Bytes of a trigger, and one in how many places is one.
+WIDTH = 6
+MODULUS = 16
 
 
-def byte_tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def byte_tokens(texts: list[str]) -> Tokens:
     parts = [t.encode() for t in texts]
-    return BYTE[np.frombuffer(b"".join(parts), np.uint8)], np.cumsum([0, *map(len, parts)])
-
-
-def _bytes_of(tokens: np.ndarray) -> np.ndarray:
-    order = np.argsort(BYTE)
-    return order[np.searchsorted(BYTE[order], tokens)].astype(np.uint8)
-
-
-def phrase_bytes(block: Block, which: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bytes of some phrases, one after another, and how many windows each has."""
-    p = block.phrases
-    n = (p.last - p.first + 1)[which]
-    size = n + LENGTH - 1
-    at = np.repeat(p.first[which], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    return _bytes_of(p.tokens[at]).tobytes(), n
-
-
-def suffix_groups(phrases: list[bytes], counts: list[bytes]) -> np.ndarray:
-    """Sorts the suffixes of phrases by their first LENGTH bytes; of each, in the order of the phrases, the number of its group of equal ones."""
-    data = np.frombuffer(b"".join(phrases), np.uint8)
-    n = np.frombuffer(b"".join(counts), np.uint8).astype(np.int64)
-    size = n + LENGTH - 1
-    begin = np.repeat(np.cumsum(size) - size, n)
-    starts = begin + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    # 8 bytes at each position as one big-endian number
-    padded = np.concatenate([data, np.zeros(8, np.uint8)]).astype(U)
-    eight = np.zeros(len(data) + 1, U)
-    for j in range(8):
-        eight = (eight << U(8)) | padded[j : j + len(data) + 1]
-    keys = [eight[starts + j] for j in range(0, LENGTH - 8, 8)] + [eight[starts + LENGTH - 8]]
-    order = np.lexsort(keys[::-1])
+    data = b"".join(parts)
+    at = np.arange(len(data) + 1)
+    return Tokens(BYTE[np.frombuffer(data, np.uint8)], np.cumsum([0, *map(len, parts)]), data, at[:-1], at[1:])
+
+
+def _spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each of several runs, one after another: the run's number, and the place within it."""
+    run = np.repeat(np.arange(len(lengths)), lengths)
+    return run, np.arange(len(run)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def _ranked(rank: np.ndarray, left: np.ndarray, step: int, until: int) -> np.ndarray:
+    """Doubles ranks of the first `step` signs of suffixes, `left` signs long each, up to `until` signs; an ended suffix comes before all that go on."""
+    while step < until and int(rank.max()) + 1 < len(rank):
+        after = np.zeros(len(rank), np.int64)
+        on = np.flatnonzero(left > step)
+        after[on] = rank[on + step] + 1
+        rank = np.unique(rank * (len(rank) + 1) + after, return_inverse=True)[1]
+        step *= 2
+    return rank
+
+
+def cuts(data: np.ndarray, bounds: np.ndarray, width: int, modulus: int) -> np.ndarray:
+    """Where phrases begin: at each text's first byte, and at each trigger that lies in a text and leaves bytes after it."""
+    begins = bounds[:-1][np.diff(bounds) > 0]
+    n = len(data) - width + 1
+    if n <= 0:
+        return begins
+    h = np.zeros(n, U)
+    for j in range(width):
+        h = (h << U(8)) | data[j : j + n].astype(U)
+    at = np.flatnonzero(mix(h) % U(modulus) == 0)
+    end = bounds[np.searchsorted(bounds, at, "right")]
+    return np.unique(np.concatenate([begins, at[at + width < end]]))
+
+
+def corpus_order(data: bytes, bounds: np.ndarray, *, width: int = WIDTH, modulus: int = MODULUS) -> np.ndarray:
+    """The suffix array of texts (text i is data[bounds[i]:bounds[i + 1]], each ended by a sign below all bytes), ties by position."""
+    import xxhash
+
+    text = np.frombuffer(data, np.uint8)
+    if not len(text):
+        return np.empty(0, np.int64)
+    cut = cuts(text, bounds, width, modulus)
+    own_end = bounds[np.searchsorted(bounds, cut, "right")]  # of the phrase's text
+    following = np.append(cut[1:], len(text))
+    final = following >= own_end
+    end = np.where(final, own_end, following + width)
+    # the dictionary: one of each phrase; a text's final phrases are told from others by the sign that ends them
+    view, digest = memoryview(data), xxhash.xxh3_128_digest
+    names = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(cut.tolist(), end.tolist(), strict=True)]), U).reshape(-1, 2).copy()
+    names[final, 0] ^= U(0x9E3779B97F4A7C15)
+    _, first, phrase = np.unique(names.view("V16").ravel(), return_index=True, return_inverse=True)
+    size = (end - cut)[first]
+    word, place = _spread(size)
+    begin = np.cumsum(size) - size
+    sign = text[cut[first][word] + place].astype(np.int64) + 1
+    left = size[word] - place
+    # its suffix array: seven signs in one number, then by doubling
+    key, padded = np.zeros(len(sign), np.int64), np.concatenate([sign, np.zeros(7, np.int64)])
+    for j in range(7):
+        key = (key << 9) | np.where(left > j, padded[j : j + len(sign)], 0)
+    rank = _ranked(np.unique(key, return_inverse=True)[1], left, 7, int(size.max()))
+    # the parse, and its suffix array
+    parse = np.unique(rank[begin], return_inverse=True)[1][phrase]
+    count = np.diff(np.append(np.flatnonzero(np.append(True, final[:-1])), len(cut)))
+    which, nth = _spread(count)
+    after = _ranked(parse, count[which] - nth, 1, int(count.max()))
+    # a suffix: the dictionary's suffix that it begins with, then the phrases after it
+    p, offset = _spread(following - cut)
+    begins = rank[begin[phrase[p]] + offset]
+    then = np.where(final[p], 0, np.append(after[1:], 0)[p] + 1)
+    return np.lexsort((np.arange(len(p)), then, begins))
+
+
+def equal_strings(contents: list[bytes], windows: np.ndarray) -> np.ndarray:
+    """Of all strings of LENGTH bytes that begin at each unit's first places, `windows` of them: numbers of groups of equal ones, from the units' corpus order."""
+    data = b"".join(contents)
+    size = windows + LENGTH - 1
+    begin = np.cumsum(size) - size
+    unit, place = _spread(windows)
+    starts = begin[unit] + place
+    number = np.full(len(data), -1)
+    number[starts] = np.arange(len(starts))
+    order = number[corpus_order(data, np.append(begin, len(data)))]
+    order = order[order >= 0]
+    text = np.frombuffer(data, np.uint8)
     new = np.zeros(len(order), bool)
-    for k in keys:
-        x = k[order]
-        new[1:] |= x[1:] != x[:-1]
+    at = starts[order]
+    for lo in range(0, len(order), 1 << 18):  # neighbours' bytes, some at a time
+        hi = min(lo + (1 << 18), len(order) - 1)
+        a, b = at[lo:hi, None] + np.arange(LENGTH), at[lo + 1 : hi + 1, None] + np.arange(LENGTH)
+        new[lo + 1 : hi + 1] = (text[a] != text[b]).any(axis=1)
     out = np.empty(len(order), np.int64)
     out[order] = np.cumsum(new)
     return out
@@ -97,56 +161,8 @@ def dedup(docs: DataFrame, *, text: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * text
-    return removed(docs, name="suffixes", tokens=byte_tokens, length=LENGTH, group=GROUP, finish=finish, schema=schema, contents=phrase_bytes, same=suffix_groups)
+    return removed(docs, name="suffixes", tokens=byte_tokens, length=LENGTH, group=GROUP, finish=finish, schema=schema, same=equal_strings)
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
-
-
-def parse(text: bytes, width: int, modulus: int) -> list[tuple[int, int]]:
-    """Prefix-free parsing: phrases (start, end), cut at each trigger (a rolling hash of `width` bytes that is 0 modulo `modulus`), whose bytes the next phrase repeats."""
-    cuts, h, top = [], 0, pow(257, width - 1, (1 << 61) - 1)
-    for i, c in enumerate(text):
-        if i >= width:
-            h = (h - (text[i - width] + 1) * top) % ((1 << 61) - 1)
-        h = (h * 257 + c + 1) % ((1 << 61) - 1)
-        if i + 1 >= width and h % modulus == 0:
-            cuts.append(i + 1)
-    if not cuts or cuts[-1] != len(text):
-        cuts.append(len(text))
-    out, start = [], 0
-    for c in cuts:
-        out.append((start, c))
-        start = max(c - width, 0)
-    return out
-
-
-def corpus_order(text: bytes, *, width: int = 4, modulus: int = 11) -> list[int]:
-    """The suffix array of text (ended by a sign below all bytes) from its dictionary and its parse."""
-    if not text:
-        return []
-    spans = parse(text, width, modulus)
-    phrases = [text[a:b] for a, b in spans]
-    rank = {p: i for i, p in enumerate(sorted(set(phrases)))}
-    ids = [rank[p] for p in phrases]
-    # the parse's suffix array, by doubling
-    n, order = len(ids), ids[:]
-    step = 1
-    while True:
-        keys = [(order[i], order[i + step] if i + step < n else -1) for i in range(n)]
-        names = {k: r for r, k in enumerate(sorted(set(keys)))}
-        order = [names[k] for k in keys]
-        if len(names) == n:
-            break
-        step *= 2
-    # the dictionary's suffixes longer than the overlap; equal ones are told apart by what follows in the parse
-    rows = []
-    for i, (a, b) in enumerate(spans):
-        final = i == n - 1
-        for s in range(a, b if final else b - width):
-            if i and s < spans[i - 1][1] - width:
-                continue
-            rows.append((text[s:b], -1 if final else order[i + 1], s))
-    rows.sort(key=lambda r: (r[0], r[1]))
-    return [s for _, _, s in rows]

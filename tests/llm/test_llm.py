@@ -667,17 +667,58 @@ def test_suffixes(spark, sf_dir, blocks):
     assert suffixes.dedup(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 3])
+def test_hot_anchors(spark, monkeypatch, hot):
+    """Windows dealt each on its own give what windows dealt by anchor give."""
+    df = passages(spark)
+    want = [sorted(map(tuple, f(df).collect())) for f in (substrings.dedup, suffixes.dedup)]
+    assert all(any(r[2] for r in w) for w in want)
+    monkeypatch.setattr(_repeats, "HOT", hot)
+    assert [sorted(map(tuple, f(df).collect())) for f in (substrings.dedup, suffixes.dedup)] == want
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """A Thue-Morse word of two letters, and the word with both exchanged."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{rest} {word}"), (2, f"{rest} {word.translate(str.maketrans('ab', 'ba'))}"), (3, f"{rest} {word}")]
+    got = {r.doc_id: r.n_removed for r in substrings.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 50}
+
+
+def test_tables_are_dropped(spark):
+    df = passages(spark)
+    before = spark.catalog.listTables()
+    assert substrings.dedup(df).count() == df.count()
+    assert [t.name for t in spark.catalog.listTables()] == [t.name for t in before]
+
+
+def test_word_tokens(monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab  \n\té\x85\u2003") for _ in range(rng.randrange(80))) for _ in range(50)] + ["", " ", "x" * 100]
+    want = [WORD.findall(t.encode()) for t in texts]
+    for size in (1 << 20, 7):
+        monkeypatch.setattr(substrings, "HASHED_BYTES", size)
+        t = substrings.word_tokens(texts)
+        assert [t.data[a:b] for a, b in zip(t.starts, t.ends, strict=True)] == [w for ws in want for w in ws]
+        assert t.bounds.tolist() == [sum(map(len, want[:i])) for i in range(len(want) + 1)]
+
+
 def test_sketch_never_underestimates():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    words = rng.integers(0, 3, 4000).astype(np.uint64)
-    p = _repeats.Phrases(words, np.array([0, 1000, 1000, 4000]), 50, 25)
-    anchors, n = substrings.block_sketch(p)
-    docs = {}
-    for a, d in zip(p.anchor.tolist(), p.doc.tolist(), strict=True):
-        docs.setdefault(a, set()).add(d)
-    assert dict(zip(anchors.tolist(), n.tolist(), strict=True)) == {a: min(len(d), 2) for a, d in docs.items()}
+    cell = rng.integers(0, 2**31, 3000).astype(np.uint32)[rng.integers(0, 3000, 5000)]
+    n, several = rng.integers(1, 9, 5000).astype(np.uint16), (rng.random(5000) < 0.2).astype(np.uint32)
+    got = _repeats.sketched(cell, several, n)
+    true, docs = Counter(), Counter()
+    for c, k, s in zip(cell.tolist(), n.tolist(), several.tolist(), strict=True):
+        true[c] += k
+        docs[c] += 1 + s
+    assert all(g >= true[c] if docs[c] > 1 else g == 0 or g >= true[c] for c, g in zip(cell.tolist(), got.tolist(), strict=True))
+    assert sum(g > 0 for c, g in zip(cell.tolist(), got.tolist(), strict=True) if docs[c] == 1) < 0.1 * len(cell)
 
 
 def test_phrases_cover_all_windows():
@@ -692,11 +733,17 @@ def test_phrases_cover_all_windows():
 
 
 def test_corpus_order():
+    import numpy as np
+
     rng = random.Random(6)
-    for k in range(60):
-        t = bytes(rng.choice(b"ab" if k % 2 else b"abcdefgh ") for _ in range(rng.randrange(1, 150))) * (1 + k % 3)
-        assert suffixes.corpus_order(t) == sorted(range(len(t)), key=lambda i: t[i:])  # noqa: B023
-    assert suffixes.corpus_order(b"") == []
+    for k in range(80):
+        texts = [bytes(rng.choice(b"ab" if k % 2 else b"abcdefgh ") for _ in range(rng.randrange(0, 90))) * (1 + k % 3) for _ in range(1 + k % 5)]
+        bounds = np.cumsum([0, *map(len, texts)])
+        end = {int(bounds[i]) + j: texts[i][j:] for i in range(len(texts)) for j in range(len(texts[i]))}
+        data = b"".join(texts)
+        for width, modulus in ((6, 16), (2, 3), (4, 1)):
+            assert suffixes.corpus_order(data, bounds, width=width, modulus=modulus).tolist() == sorted(range(len(data)), key=lambda i: (end[i], i))  # noqa: B023
+    assert not len(suffixes.corpus_order(b"", np.array([0, 0])))
 
 
 # ---- the pipeline
