@@ -47,10 +47,12 @@ _INV = pow(_BASE, -1, 1 << 64)
 CHUNK = 1 << 18
 #: Bytes of text in a block of documents; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
-#: Occurrences of an anchor from which its windows are dealt each on its own.
-HOT = 1024
 #: Counts beyond this are not told apart.
 MANY = 65_535
+#: Occurrences of an anchor from which its windows are dealt each on its own: fewer are some MB of a task.
+HOT = MANY
+#: Bytes of phrases whose windows a task compares at a time.
+COMPARED_BYTES = 1 << 20
 #: The id of documents without one: larger than any other.
 NO_ID = np.iinfo(np.int64).max
 
@@ -82,34 +84,39 @@ BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
 
 @dataclass(frozen=True)
 class Tokens:
-    """Tokens as 64-bit numbers (for anchors only), the first of each document, and each one's place in data (ends exclusive)."""
+    """Tokens as 64-bit numbers (for anchors only), the first of each document, and each one's place in data (ends exclusive; None: a byte each)."""
 
     numbers: np.ndarray
     bounds: np.ndarray
     data: bytes
-    starts: np.ndarray
-    ends: np.ndarray
+    starts: np.ndarray | None = None
+    ends: np.ndarray | None = None
+
+    def places(self, first: np.ndarray, last: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Where the bytes of tokens first to last begin and end."""
+        a, b = (first, last + 1) if self.starts is None else (self.starts[first], self.ends[last])
+        return zip(a.tolist(), b.tolist(), strict=True)
 
     def hashes(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """[n, 2] 128-bit hashes of the bytes of tokens first to last."""
         import xxhash
 
         view, digest = memoryview(self.data), xxhash.xxh3_128_digest
-        got = b"".join([digest(view[a:b]) for a, b in zip(self.starts[first].tolist(), self.ends[last].tolist(), strict=True)])
-        return np.frombuffer(got, U).reshape(-1, 2)
+        got = [b"".join([digest(view[a:b]) for a, b in self.places(first[i : i + CHUNK], last[i : i + CHUNK])]) for i in range(0, len(first), CHUNK)]
+        return np.frombuffer(b"".join(got), U).reshape(-1, 2)
 
 
 class Phrases:
     """The phrases of a token sequence in which document d has tokens bounds[d] to bounds[d+1].
 
-    first, last: the first and last window start; anchor: its hash; doc: the document.
+    first, last: the first and last window start; anchor, at: its hash and place; doc: the document.
     """
 
     def __init__(self, numbers: np.ndarray, bounds: np.ndarray, length: int, group: int) -> None:
         self.length = length
         m = len(numbers) - length + 1
         parts = [self._chunk(numbers, at, min(at + CHUNK, m), bounds, group) for at in range(0, max(m, 0), CHUNK)]
-        self.first, self.last, self.anchor, self.doc = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, U if i == 2 else np.int64) for i in range(4))
+        self.first, self.last, self.anchor, self.doc, self.at = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, U if i == 2 else np.int64) for i in range(5))
 
     def _chunk(self, numbers: np.ndarray, lo: int, hi: int, bounds: np.ndarray, group: int) -> tuple[np.ndarray, ...]:
         length, m = self.length, hi - lo
@@ -126,9 +133,10 @@ class Phrases:
             have *= 2
         low = np.minimum(low[:m], low[span - have : span - have + m])
         at = (low & U(0xFFFFFF)).astype(np.int64)
-        starts = np.arange(lo, hi)
-        doc = np.searchsorted(bounds, starts, "right") - 1
-        fits = starts + length <= bounds[doc + 1]
+        d0, d1 = np.searchsorted(bounds, (lo, hi - 1), "right") - 1
+        own = np.clip(bounds[d0 : d1 + 2], lo, hi)
+        doc = np.repeat(np.arange(d0, d1 + 1), np.diff(own))
+        fits = np.arange(lo, hi) <= np.repeat(bounds[d0 + 1 : d1 + 2] - length, np.diff(own))
         cut = np.empty(m, bool)
         cut[0] = True
         cut[1:] = (at[1:] != at[:-1]) | (fits[1:] != fits[:-1])
@@ -137,7 +145,7 @@ class Phrases:
         last = np.append(first[1:], m) - 1
         keep = fits[first]
         first, last = first[keep], last[keep]
-        return first + lo, last + lo, h[at[first]], doc[first]
+        return first + lo, last + lo, h[at[first]], doc[first], at[first] + lo
 
 
 def bucket_of(number: int, buckets: int) -> int:
@@ -308,6 +316,9 @@ class Block:
         self.unit_doc = np.concatenate([self.doc[asked[whole]], doc[one]])
         self.unit_hash = np.concatenate([np.zeros((len(a), 2), U), h[one]])
         task = np.concatenate([task_a, ((h[one, 0] ^ h[one, 1]) % U(self.tasks)).astype(np.int64)])
+        # where a unit's anchor is (63: not said); units of equal windows are in one lane, and a task compares lanes one after another
+        self.unit_offset = np.concatenate([p.at[self.rep[asked[whole]]] - a, np.full(len(one), 63)]).astype(np.uint32)
+        self.unit_lane = np.concatenate([mix(p.anchor[self.rep[asked[whole]]] ^ U(0x9FB21C651E98DF25)) & U(1023), h[one, 0] >> U(54)]).astype(np.uint32)
         self.unit_order, self.unit_starts = _by_task(task, self.tasks)
         # the windows of the asked classes one after another: their unit, their place in it, and whether a smaller document of the block has them
         wide_n = b - a + 1
@@ -318,18 +329,17 @@ class Block:
         self.window_class = np.concatenate([np.repeat(asked[whole], wide_n), np.repeat(asked[~whole], n)])
 
     def sent_windows(self, wide: bool) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-        """task, documents, contents (bytes if wide, else hashes), windows of the units."""
+        """task, documents, contents (bytes if wide, else hashes), windows of the units (6 bits), their lanes (10 bits) and where their anchors are."""
         t = self.tokens
         for k in range(self.tasks):
             u = self.unit_order[self.unit_starts[k] : self.unit_starts[k + 1]]
             if not len(u):
                 continue
             if wide:
-                lo, hi = t.starts[self.unit_first[u]].tolist(), t.ends[self.unit_first[u] + self.unit_n[u] + self.length - 2].tolist()
-                keys = b"".join([t.data[i:j] for i, j in zip(lo, hi, strict=True)])
+                keys = b"".join([t.data[i:j] for i, j in t.places(self.unit_first[u], self.unit_first[u] + self.unit_n[u] + self.length - 2)])
             else:
                 keys = self.unit_hash[u].tobytes()
-            yield k, _deltas(self.unit_doc[u]), keys, self.unit_n[u].astype(np.uint8).tobytes()
+            yield k, _deltas(self.unit_doc[u]), keys, (self.unit_n[u].astype(np.uint32) | self.unit_lane[u] << np.uint32(6) | self.unit_offset[u] << np.uint32(16)).tobytes()
 
     def covered(self, answers: list[dict], wide: bool) -> np.ndarray:
         """Of each token whether it goes."""
@@ -344,7 +354,7 @@ class Block:
                 size = n[u]
                 at = np.repeat(begin[u], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 bit[at] = np.unpackbits(np.frombuffer(x["data"], np.uint8), count=int(size.sum())).astype(bool)
-        change = np.zeros(len(self.tokens.numbers) + 1, np.int64)
+        change = np.zeros(len(self.tokens.numbers) + 1, np.int32)
         whole = self.of[self.larger | self.gone[self.class_of]] if len(self.of) else self.of
         np.add.at(change, p.first[whole], 1)
         np.add.at(change, p.last[whole] + length, -1)
@@ -423,19 +433,58 @@ def _phrase_answers(key: tuple, t: pa.Table) -> pa.Table:
     return _answered(key, t, 1, [x.tobytes() for x in _split(answer, sizes)])
 
 
-def _window_answers(same: Callable[[list[bytes], np.ndarray], np.ndarray] | None) -> Callable[[tuple, pa.Table], pa.Table]:
+def _alike(contents: bytes, begin: np.ndarray, n: np.ndarray, offset: np.ndarray, length: int, group: int) -> np.ndarray:
+    """Of each unit whether it can have a window of another one.
+
+    Each window holds its anchor and, before or after it, half of what is left of its
+    length: a unit shares this with another, or has no window of another's.
+    """
+    import xxhash
+
+    view, digest, side = memoryview(contents), xxhash.xxh3_64_intdigest, (length - group) // 2
+    out = offset == 63
+    for some, lo in ((offset >= side, begin + offset - side), (offset - n + 1 <= side, begin + offset)):
+        u = np.flatnonzero(some & (offset < 63))
+        h = np.fromiter((digest(view[i : i + group + side]) for i in lo[u].tolist()), U, len(u))
+        _, of, count = np.unique(h, return_inverse=True, return_counts=True)
+        out[u[count[of] > 1]] = True
+    return out
+
+
+def _groups(contents: bytes, counts: np.ndarray, length: int, group: int, same: Callable[[list[bytes], np.ndarray], np.ndarray]) -> np.ndarray:
+    """Numbers of groups of equal windows, of each unit's one after another, some lanes at a time."""
+    n, lane, offset = (counts & np.uint32(63)).astype(np.int64), counts >> np.uint32(6) & np.uint32(1023), (counts >> np.uint32(16)).astype(np.int64)
+    size = n + length - 1
+    end, at = np.cumsum(size), np.cumsum(n) - n
+    out = np.arange(int(n.sum()))  # each in a group of its own
+    number = len(out)
+    some = np.flatnonzero(_alike(contents, end - size, n, offset, length, group))
+    if not len(some):
+        return out
+    lanes = np.bincount(lane[some], weights=size[some])
+    part = ((np.cumsum(lanes) - lanes) // COMPARED_BYTES).astype(np.int64)[lane[some]]
+    order = np.argsort(part, kind="stable")
+    for k in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+        u = some[k]
+        got = same([contents[i:j] for i, j in zip((end - size)[u].tolist(), end[u].tolist(), strict=True)], n[u])
+        out[np.repeat(at[u], n[u]) + np.arange(len(got)) - np.repeat(np.cumsum(n[u]) - n[u], n[u])] = got + number
+        number += int(got.max()) + 1
+    return out
+
+
+def _window_answers(length: int, group: int, same: Callable[[list[bytes], np.ndarray], np.ndarray] | None) -> Callable[[tuple, pa.Table], pa.Table]:
     def answers(key: tuple, t: pa.Table) -> pa.Table:
         """Of each sent window whether a smaller document has it, as bits."""
         doc = _documents(t)
-        n, sizes = _joined(t, "counts", np.uint8)
-        n = n.astype(np.int64)
+        counts, sizes = _joined(t, "counts", np.uint32)
+        n = (counts & np.uint32(63)).astype(np.int64)
         if same:
-            group = same([x.as_buffer() for x in t["keys"]], n)
+            number = _groups(b"".join([x.as_buffer() for x in t["keys"]]), counts, length, group, same)
         else:
-            group = np.unique(_joined(t, "keys", U)[0].view("V16"), return_inverse=True)[1]
+            number = np.unique(_joined(t, "keys", U)[0].view("V16"), return_inverse=True)[1]
         doc_of = np.repeat(doc, n)
-        order = np.lexsort((doc_of, group))
-        g = group[order]
+        order = np.lexsort((doc_of, number))
+        g = number[order]
         new = np.ones(len(g), bool)
         new[1:] = g[1:] != g[:-1]
         gone = np.empty(len(g), bool)
@@ -453,11 +502,11 @@ def removed(
     tokens: Callable[[list[str]], Tokens],
     length: int,
     group: int,
-    finish: Callable[[list[int | None], list[str], np.ndarray, np.ndarray], pa.RecordBatch],
+    finish: Callable[[list[int | None], Tokens, np.ndarray], pa.RecordBatch],
     schema: str,
     same: Callable[[list[bytes], np.ndarray], np.ndarray] | None = None,
 ) -> DataFrame:
-    """Applies finish(ids, texts, bounds, gone) to each block; gone marks the tokens to remove.
+    """Applies finish(ids, tokens, gone) to each block; gone marks the tokens to remove.
 
     same(contents, windows of each unit): numbers of groups of equal windows; without it
     windows are sent and compared as 128-bit hashes.
@@ -468,21 +517,27 @@ def removed(
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     folder, wide = work_path(spark, name), same is not None
 
-    def rows(batch: pa.RecordBatch) -> Iterator[tuple[int, list, list[str], list[dict], Block]]:
-        for i in range(batch.num_rows):
-            r = batch.slice(i, 1)
+    def each(what: Callable[[int, list, list[str], list[dict], Block], pa.RecordBatch]) -> Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]:
+        """A function of blocks, one of which is held at a time."""
+
+        def one(r: pa.RecordBatch) -> pa.RecordBatch:
             ids, texts = r["ids"][0].as_py(), r["texts"][0].as_py()
-            answers = r["answers"][0].as_py() or [] if "answers" in batch.schema.names else []
-            yield r["block"][0].as_py(), ids, texts, answers, Block(ids, tokens(texts), length, group, tasks)
+            answers = r["answers"][0].as_py() or [] if "answers" in r.schema.names else []
+            return what(r["block"][0].as_py(), ids, texts, answers, Block(ids, tokens(texts), length, group, tasks))
 
-    def sent(what: Callable[[Block, list[dict]], Iterator[tuple[int, bytes, bytes, bytes]]]) -> Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]:
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for number, _, _, answers, block in rows(batch):
-                got = [(k, number, d, x, n) for k, d, x, n in what(block, answers)]
-                yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], f.type) for i, f in enumerate(_SENT)], schema=_SENT)
+            for i in range(batch.num_rows):
+                yield one(batch.slice(i, 1))
 
         return lambda: step
 
+    def sent(what: Callable[[Block, list[dict]], Iterator[tuple[int, bytes, bytes, bytes]]]) -> Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]:
+        def run(number: int, ids: list, texts: list[str], answers: list[dict], block: Block) -> pa.RecordBatch:
+            got = [(k, number, d, x, n) for k, d, x, n in what(block, answers)]
+            return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], f.type) for i, f in enumerate(_SENT)], schema=_SENT)
+
+        return each(run)
+
     def anchors(block: Block, answers: list[dict]) -> Iterator:
         block.deal_anchors()
         return block.sent_anchors()
@@ -505,18 +560,14 @@ def removed(
         return table.join(got.hint("shuffle_hash"), "block", "left")
 
     answers: list[DataFrame] = []
-    for what, reply in ((anchors, _anchor_answers), (phrases, _phrase_answers), (windows, _window_answers(same))):
+    for what, reply in ((anchors, _anchor_answers), (phrases, _phrase_answers), (windows, _window_answers(length, group, same))):
         dealt = arrow_map(per_block(answers), sent(what), _SENT_SQL).groupBy("task").applyInArrow(reply, _ANSWER_SQL)
         answers.append(written(dealt, f"round-{len(answers)}", folder))
 
-    def end() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-            for _, ids, texts, got, block in rows(batch):
-                yield finish(ids, texts, block.tokens.bounds, block.covered(got, wide))
-
-        return step
+    def end(_: int, ids: list, texts: list[str], got: list[dict], block: Block) -> pa.RecordBatch:
+        return finish(ids, block.tokens, block.covered(got, wide))
 
-    out = written(arrow_map(per_block(answers), end, schema), f"{name}-removed")
+    out = written(arrow_map(per_block(answers), each(end), schema), f"{name}-removed")
     delete_path(spark, folder)
     spark.sql(f"DROP TABLE {table_name}")
     return out

@@ -19,73 +19,62 @@ remove nothing from each other.  Extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import table
-from ._repeats import Tokens, removed
+from ._repeats import BYTE, Tokens, mix, power, removed
 
 WINDOW = 50
 GROUP = 25
-#: Bytes whose words are held one by one at a time.
-HASHED_BYTES = 1 << 20
-_SPACE = re.compile(rb"[\x20\x09-\x0D]")
-
-
-class _Numbers(dict):
-    """Word -> 64-bit number, kept until there are many."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        n = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 300_000:
-            self.clear()
-        self[word] = n
-        return n
-
-
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().split()  # of bytes: at the six ASCII white space characters
+#: Bytes whose words are hashed at a time.
+HASHED_BYTES = 1 << 18
 
 
 def word_tokens(texts: list[str]) -> Tokens:
-    """The words of all texts, joined by one space each."""
-    number = _Numbers().__getitem__
-    numbers, sizes, data, bounds = [], [], [], [0]
-    total = 0
-    for text in texts:
-        raw, at = text.encode(), 0
-        while at < len(raw):
-            # a stretch that ends at white space
-            end = len(raw) if at + HASHED_BYTES >= len(raw) or not (m := _SPACE.search(raw, at + HASHED_BYTES)) else m.start()
-            words = raw[at:end].split()
-            numbers.append(np.fromiter(map(number, words), np.uint64, len(words)))
-            sizes.append(np.fromiter(map(len, words), np.int64, len(words)))
-            data.append(b" ".join(words))
-            total += len(words)
-            at = end
-        bounds.append(total)
-    size = np.concatenate([*sizes, np.empty(0, np.int64)])
-    ends = np.cumsum(size + 1) - 1
-    # stretches without a word leave no space between those around them
-    return Tokens(np.concatenate([*numbers, np.empty(0, np.uint64)]), np.array(bounds), b" ".join([d for d in data if d]), ends - size, ends)
+    """The words of all texts, joined by one space each; the numbers are polynomial hashes, which only choose anchors."""
+    parts = [t.encode() for t in texts]
+    raw = np.frombuffer(b"\n".join(parts), np.uint8)
+    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    # each run of white space one space, none at the start
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    words = (~space).astype(np.int8)
+    edge = np.diff(words, prepend=np.int8(0))
+    begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
+    bounds = np.searchsorted(np.flatnonzero(edge == 1), begins)
+    data = np.where(space, np.uint8(32), raw)[keep]
+    edge = np.diff((data != 32).astype(np.int8), prepend=np.int8(0), append=np.int8(0))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    numbers = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # as many words as lie within a stretch of bytes, one at least
+        upto = max(int(np.searchsorted(ends, starts[at] + HASHED_BYTES, "right")), at + 1)
+        lo, hi = starts[at], ends[upto - 1]
+        up, down = power(max(int(hi - lo), HASHED_BYTES))
+        total = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(BYTE[data[lo:hi]] * up[: hi - lo], out=total[1:])
+        a, b = starts[at:upto] - lo, ends[at:upto] - lo
+        numbers[at:upto] = mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+        at = upto
+    return Tokens(numbers, bounds, data.tobytes(), starts, ends)
 
 
 def dedup(docs: DataFrame, *, text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text: the words that no earlier document's window covers."""
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *["kept_text"] * text]
 
-    def finish(ids: list[int | None], texts: list[str], bounds: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
+    def finish(ids: list[int | None], tokens: Tokens, gone: np.ndarray) -> pa.RecordBatch:
         n, cut, sha, kept = [], [], [], []
-        for a, b, t in zip(bounds, bounds[1:], texts, strict=False):
-            words, out = words_of(t), gone[a:b]
+        for a, b in zip(tokens.bounds[:-1].tolist(), tokens.bounds[1:].tolist(), strict=True):
+            out = gone[a:b]
             k = int(out.sum())
-            left = b" ".join(words if not k else [w for w, g in zip(words, out.tolist(), strict=True) if not g])
-            n.append(int(b - a))
+            left = tokens.data[tokens.starts[a] : tokens.ends[b - 1]] if a < b else b""
+            if k:
+                left = b" ".join([w for w, g in zip(left.split(b" "), out.tolist(), strict=True) if not g])
+            n.append(b - a)
             cut.append(k)
             sha.append(hashlib.sha256(left).hexdigest())
             if text:

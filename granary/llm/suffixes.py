@@ -44,8 +44,7 @@ MODULUS = 16
 def byte_tokens(texts: list[str]) -> Tokens:
     parts = [t.encode() for t in texts]
     data = b"".join(parts)
-    at = np.arange(len(data) + 1)
-    return Tokens(BYTE[np.frombuffer(data, np.uint8)], np.cumsum([0, *map(len, parts)]), data, at[:-1], at[1:])
+    return Tokens(BYTE[np.frombuffer(data, np.uint8)], np.cumsum([0, *map(len, parts)]), data)
 
 
 def _spread(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,8 +78,8 @@ def cuts(data: np.ndarray, bounds: np.ndarray, width: int, modulus: int) -> np.n
     return np.unique(np.concatenate([begins, at[at + width < end]]))
 
 
-def corpus_order(data: bytes, bounds: np.ndarray, *, width: int = WIDTH, modulus: int = MODULUS) -> np.ndarray:
-    """The suffix array of texts (text i is data[bounds[i]:bounds[i + 1]], each ended by a sign below all bytes), ties by position."""
+def corpus_order(data: bytes, bounds: np.ndarray, wanted: np.ndarray | None = None, *, width: int = WIDTH, modulus: int = MODULUS) -> np.ndarray:
+    """The suffix array of texts (text i is data[bounds[i]:bounds[i + 1]], each ended by a sign below all bytes), ties by position; of the wanted places only."""
     import xxhash
 
     text = np.frombuffer(data, np.uint8)
@@ -112,10 +111,11 @@ def corpus_order(data: bytes, bounds: np.ndarray, *, width: int = WIDTH, modulus
     which, nth = _spread(count)
     after = _ranked(parse, count[which] - nth, 1, int(count.max()))
     # a suffix: the dictionary's suffix that it begins with, then the phrases after it
-    p, offset = _spread(following - cut)
-    begins = rank[begin[phrase[p]] + offset]
+    at = np.arange(len(text)) if wanted is None else wanted
+    p = np.searchsorted(cut, at, "right") - 1
+    begins = rank[begin[phrase[p]] + at - cut[p]]
     then = np.where(final[p], 0, np.append(after[1:], 0)[p] + 1)
-    return np.lexsort((np.arange(len(p)), then, begins))
+    return at[np.lexsort((at, then, begins))]
 
 
 def equal_strings(contents: list[bytes], windows: np.ndarray) -> np.ndarray:
@@ -125,15 +125,14 @@ def equal_strings(contents: list[bytes], windows: np.ndarray) -> np.ndarray:
     begin = np.cumsum(size) - size
     unit, place = _spread(windows)
     starts = begin[unit] + place
-    number = np.full(len(data), -1)
+    number = np.zeros(len(data), np.int64)
     number[starts] = np.arange(len(starts))
-    order = number[corpus_order(data, np.append(begin, len(data)))]
-    order = order[order >= 0]
+    order = number[corpus_order(data, np.append(begin, len(data)), starts)]
     text = np.frombuffer(data, np.uint8)
     new = np.zeros(len(order), bool)
     at = starts[order]
-    for lo in range(0, len(order), 1 << 18):  # neighbours' bytes, some at a time
-        hi = min(lo + (1 << 18), len(order) - 1)
+    for lo in range(0, len(order), 1 << 14):  # neighbours' bytes, some at a time
+        hi = min(lo + (1 << 14), len(order) - 1)
         a, b = at[lo:hi, None] + np.arange(LENGTH), at[lo + 1 : hi + 1, None] + np.arange(LENGTH)
         new[lo + 1 : hi + 1] = (text[a] != text[b]).any(axis=1)
     out = np.empty(len(order), np.int64)
@@ -145,13 +144,13 @@ def dedup(docs: DataFrame, *, text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary): the bytes that no earlier document's string covers."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * text]
 
-    def finish(ids: list[int | None], texts: list[str], bounds: np.ndarray, gone: np.ndarray) -> pa.RecordBatch:
+    def finish(ids: list[int | None], tokens: Tokens, gone: np.ndarray) -> pa.RecordBatch:
         n, cut, spans, sha, kept = [], [], [], [], []
-        for a, b, t in zip(bounds, bounds[1:], texts, strict=False):
-            out, data = gone[a:b], t.encode()
+        for a, b in zip(tokens.bounds[:-1].tolist(), tokens.bounds[1:].tolist(), strict=True):
+            out, data = gone[a:b], tokens.data[a:b]
             k = int(out.sum())
             left = data if not k else np.frombuffer(data, np.uint8)[~out].tobytes()
-            n.append(int(b - a))
+            n.append(b - a)
             cut.append(k)
             spans.append(int(out[0]) + int(np.count_nonzero(out[1:] & ~out[:-1])) if k else 0)
             sha.append(hashlib.sha256(left).hexdigest())

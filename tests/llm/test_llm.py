@@ -667,13 +667,14 @@ def test_suffixes(spark, sf_dir, blocks):
     assert suffixes.dedup(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("hot", [1, 3])
+@pytest.mark.parametrize("hot", [1, 3, 1 << 30])
 def test_hot_anchors(spark, monkeypatch, hot):
     """Windows dealt each on its own give what windows dealt by anchor give."""
     df = passages(spark)
     want = [sorted(map(tuple, f(df).collect())) for f in (substrings.dedup, suffixes.dedup)]
     assert all(any(r[2] for r in w) for w in want)
     monkeypatch.setattr(_repeats, "HOT", hot)
+    monkeypatch.setattr(_repeats, "COMPARED_BYTES", 500)
     assert [sorted(map(tuple, f(df).collect())) for f in (substrings.dedup, suffixes.dedup)] == want
 
 
