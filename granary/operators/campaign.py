@@ -15,16 +15,15 @@ def ready(jobs: DataFrame, needs: DataFrame) -> DataFrame:
     return jobs.where("status = 'new'").join(open_, "job", "left_anti")
 
 
-def closure(needs: DataFrame, *, most: int = 64) -> DataFrame:
-    """(job, after) with all indirect needs; level by level, each a written table."""
+def closure(needs: DataFrame) -> DataFrame:
+    """(job, after) with all indirect needs; level by level, each a written table, until nothing is new, which a cycle also comes to."""
     out = frontier = written(needs.select("job", "after").distinct(), "needs")
-    for _ in range(most):
+    while True:
         step = frontier.join(needs.select(F.col("job").alias("after"), F.col("after").alias("next")), "after").select("job", F.col("next").alias("after"))
         frontier = written(step.distinct().join(out, ["job", "after"], "left_anti"), "needs")
         if frontier.isEmpty():
-            break
+            return out
         out = out.union(frontier)
-    return out
 
 
 def retained(checkpoints: DataFrame, keep: int, protect: Column) -> DataFrame:

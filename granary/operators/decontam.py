@@ -1,7 +1,13 @@
-"""N-gram decontamination against named reference sets."""
+"""N-gram decontamination against named reference sets.
+
+Grams are 64-bit hashes of their words: no gram's text is built, moved or compared, but
+that of grams that a result names.
+"""
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,33 +15,51 @@ from ..functions import text as T
 
 
 def grams(df: DataFrame, *keep: str, n: int = 8, text: str = "state") -> DataFrame:
-    """keep and gram: the distinct word n-grams of each row."""
-    return df.select(*keep, F.explode(T.ngrams(T.words(text), n)).alias("gram"))
+    """keep and gram: the hashes of the distinct word n-grams of each row."""
+    return df.select(*keep, F.explode(T.gram_hashes(T.words(text), n)).alias("gram"))
 
 
-def template_grams(df: DataFrame, *, n: int = 8, share: float = 0.01, least: int = 5) -> DataFrame:
+def template_hashes(df: DataFrame, *, n: int = 8, share: float = 0.01, least: int = 5) -> DataFrame:
     """(gram, df): grams in max(least, ceil(share * rows)) rows or more; they say nothing about a source."""
-    rows = df.count()
-    limit = max(least, -int(-(rows * share) // 1))
-    return grams(df, "id", n=n).groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= limit)
+    limit = F.greatest(F.lit(least), F.ceil(F.lit(share) * df.agg(F.count("*")).scalar()))
+    return grams(df, n=n).groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= limit)
+
+
+def template_grams(df: DataFrame, *, n: int = 8, share: float = 0.01, least: int = 5) -> DataFrame:
+    """template_hashes with the grams' texts, each read from one row that has it."""
+    at = df.select("id", F.explode(T.gram_hashes(T.words("state"), n)).alias("gram"))
+    one = at.join(template_hashes(df, n=n, share=share, least=least), "gram").groupBy("gram", "df").agg(F.min("id").alias("id"))
+    wanted = one.groupBy("id").agg(F.collect_list(F.struct("gram", "df")).alias("wanted"))
+    w = df.select("id", T.words("state").alias("w")).join(wanted, "id")
+    place = lambda x: F.array_position(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n))), x["gram"])
+    found = w.select(F.explode(F.transform("wanted", lambda x: F.struct(x["gram"].alias("hash"), x["df"].alias("df"), F.when(place(x) > 0, F.array_join(F.slice("w", F.greatest(place(x), F.lit(1)).cast("int"), n), " ")).alias("text")))).alias("x"))
+    return found.where("x.text is not null").groupBy("x.hash", "x.df").agg(F.min("x.text").alias("gram")).select("gram", "df")
 
 
 def ref_grams(refs: DataFrame, *, n: int = 8, share: float = 0.01, least: int = 5) -> DataFrame:
     """(ref, gram) of reference rows without the set's templates."""
-    return grams(refs.withColumnRenamed("id", "ref"), "ref", n=n).join(template_grams(refs, n=n, share=share, least=least), "gram", "left_anti")
+    return grams(refs.withColumnRenamed("id", "ref"), "ref", n=n).join(template_hashes(refs, n=n, share=share, least=least), "gram", "left_anti")
+
+
+def named_ref_grams(sets: dict[str, DataFrame], *, n: int = 8, share: float = 0.01, least: int = 5) -> DataFrame:
+    """(set, ref, gram) of several reference sets, each without its own templates."""
+    parts = [ref_grams(df, n=n, share=share, least=least).withColumn("set", F.lit(name)) for name, df in sorted(sets.items())]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def gram_hits(df: DataFrame, reference: DataFrame, *, n: int = 8, need: int = 1) -> DataFrame:
-    """(id, ref, shared): rows that share `need` or more grams with one reference row.
+    """(id, ref, shared): rows that share `need` or more grams with one reference row; by set, too, where reference has that column.
 
     The reference grams are the small side; Spark sends them to the tasks where it knows
     their size to be under its limit.
     """
-    return grams(df, "id", n=n).join(reference, "gram").groupBy("id", "ref").agg(F.count("*").alias("shared")).where(F.col("shared") >= need)
+    by = ["set"] if "set" in reference.columns else []
+    return grams(df, "id", n=n).join(reference, "gram").groupBy("id", *by, "ref").agg(F.count("*").alias("shared")).where(F.col("shared") >= need)
 
 
 def loose_hits(df: DataFrame, reference: DataFrame, *, n: int = 8, min_shared: int = 25, min_share: float = 0.2) -> DataFrame:
     """(id, shared, n): rows with min_shared grams of the whole set, or min_share of their own."""
-    own = df.select("id", F.size(T.ngrams(T.words("state"), n)).alias("n"))
-    shared = grams(df, "id", n=n).join(reference.select("gram").distinct(), "gram", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
-    return shared.join(own, "id").where((F.col("shared") >= min_shared) | (F.col("shared") >= min_share * F.col("n")))
+    own = df.select("id", T.gram_hashes(T.words("state"), n).alias("grams"))
+    rows = own.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    shared = rows.join(reference.select("gram").distinct(), "gram", "left_semi").groupBy("id", "n").agg(F.count("*").alias("shared"))
+    return shared.where((F.col("shared") >= min_shared) | (F.col("shared") >= min_share * F.col("n"))).select("id", "shared", "n")

@@ -1,4 +1,4 @@
-"""Row drops: the first reason that holds counts, then exact duplicates keep their first row."""
+"""Row drops: the first reason that holds counts, then exact and near duplicates keep their first row."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import decontam
+from . import decontam, near
+from .tables import written
 
 
 def reason(rules: list[tuple[str, Column]]) -> Column:
@@ -17,6 +18,16 @@ def reason(rules: list[tuple[str, Column]]) -> Column:
     return out
 
 
+def token_pieces(text: Column | str) -> Column:
+    """The default token counter: runs of letters and digits, and each other sign."""
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"))
+
+
+def too_long(text: Column | str, limit: int, count: Column | None = None) -> Column:
+    """More than limit tokens; a token has one byte at least, so texts of up to limit bytes are never counted."""
+    return F.when(F.octet_length(text) <= limit, F.lit(False)).otherwise((token_pieces(text) if count is None else count) > limit)
+
+
 def reasons(train: DataFrame, held: DataFrame, *, min_chars: int = 40, need: int = 1) -> DataFrame:
     """train with key and reason: equals_heldout, shares_8gram, too_short, damaged, or null."""
     rows = train.withColumn("key", F.md5(T.norm_key("state")))
@@ -27,9 +38,42 @@ def reasons(train: DataFrame, held: DataFrame, *, min_chars: int = 40, need: int
     return flagged.withColumn("reason", reason([("equals_heldout", F.col("equal").isNotNull()), ("shares_8gram", F.col("hit").isNotNull()), ("too_short", bare < min_chars), ("damaged", T.damaged("state"))])).drop("equal", "hit")
 
 
-def clean(train: DataFrame, held: DataFrame, **options: int) -> DataFrame:
-    """train with key and reason; among rows without one all but a key's first are `duplicate`."""
-    rows = reasons(train, held, **options)
+def without_duplicates(rows: DataFrame) -> DataFrame:
+    """rows with key and reason; among rows without a reason all but a key's first are `duplicate`."""
     first = rows.where("reason is null").groupBy("key").agg(F.min("ordinal").alias("first"))
     again = F.col("reason").isNull() & (F.col("ordinal") > F.col("first"))
     return rows.join(first, "key", "left").withColumn("reason", F.when(again, "duplicate").otherwise(F.col("reason"))).drop("first")
+
+
+def clean(train: DataFrame, held: DataFrame, **options: int) -> DataFrame:
+    """train with key and reason; among rows without one all but a key's first are `duplicate`."""
+    return without_duplicates(reasons(train, held, **options))
+
+
+def clean_near(train: DataFrame, held: DataFrame, *, limit: int = 4096, threshold: float = 0.8, question: str | None = None, min_chars: int = 40, need: int = 1) -> DataFrame:
+    """The whole chain: clean() with train_near_heldout, prompt_too_long, train_near_duplicate and train_cross_source_state.
+
+    question: a column of both frames that has to be equal for a near held-out row, e.g. a
+    hash of the instructions.  Near duplicates of train go to the bucket's smallest id
+    (see near.near_pairs): in its own source a row is a duplicate, in another's the same
+    state from elsewhere.
+    """
+    keep = ["id", "source", *([question] if question else [])]
+    mine = written(near.signatures(train, "state", *keep), "signatures")
+    theirs = near.signatures(held, "state", "id", *([question] if question else []))
+    close = near.near_hits(mine, theirs, threshold=threshold, key=question).select("id").distinct().withColumn("close", F.lit(True))
+    of = mine.select(F.col("id").alias("a"), F.col("source").alias("first_source"))
+    pairs = near.near_pairs(mine.select("id", "sig"), threshold=threshold).join(of, "a").groupBy(F.col("b").alias("id")).agg(F.min(F.struct("a", "first_source")).alias("leader"))
+    rows = reasons(train, held, min_chars=min_chars, need=need).join(close, "id", "left").join(pairs, "id", "left")
+    old = F.col("reason")
+    chained = reason([
+        ("equals_heldout", old == "equals_heldout"), ("train_near_heldout", F.col("close").isNotNull()), ("shares_8gram", old == "shares_8gram"),
+        ("prompt_too_long", too_long("state", limit)), ("too_short", old == "too_short"), ("damaged", old == "damaged"),
+    ])
+    rows = without_duplicates(rows.withColumn("reason", chained))
+    again = F.when(F.col("leader.first_source").eqNullSafe(F.col("source")), "train_near_duplicate").otherwise("train_cross_source_state")
+    return rows.withColumn("reason", F.when(F.col("reason").isNull() & F.col("leader").isNotNull(), again).otherwise(F.col("reason"))).drop("close", "leader")
+
+
+def drop_counts(cleaned: DataFrame, *groups: str) -> DataFrame:
+    return cleaned.groupBy(*groups, F.coalesce("reason", F.lit("kept")).alias("verdict")).agg(F.count("*").alias("n"))

@@ -77,9 +77,30 @@ def intelligence(df: DataFrame) -> DataFrame:
     return cells.withColumn("w", w).groupBy("type").agg((F.sum(F.col("w") * F.col("cc")) / F.sum("w")).alias("cc"), F.sum("n").alias("n"))
 
 
-def equal_mass(df: DataFrame, groups: Sequence[str], bins: int, conf: str = "conf", ident: str = "id", salts: int = 0) -> DataFrame:
-    """Adds bin: `bins` bins of equal size by conf within each group (the first bins get what is over)."""
-    return df.withColumn("bin", F.ntile(bins).over(W.partitionBy(*groups).orderBy(conf, ident)))
+def ranked(df: DataFrame, groups: Sequence[str], *, conf: str = "conf", ident: str = "id", descending: bool = False, slices: int = 1024, ends: str = "hit") -> DataFrame:
+    """Adds rank (from 0, by conf, ties by ident) and before (the sum of `ends` over the rows before), both within each group, and rows, the group's size.
+
+    conf lies in 0 to 1 and is cut into slices; a slice is ranked by itself, and what comes
+    before it is added from the slices' counts, so that no group meets in one task.
+    """
+    at = F.least(F.floor(F.col(conf) * slices), F.lit(slices - 1)).cast("int")
+    rows = df.withColumn("__slice", -at if descending else at)
+    counts = rows.groupBy(*groups, "__slice").agg(F.count("*").alias("n"), F.sum(ends).alias("s"))
+    earlier = W.partitionBy(*groups).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)  # over at most `slices` rows of a group
+    counts = counts.select(*groups, "__slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__n"), F.coalesce(F.sum("s").over(earlier), F.lit(0.0)).alias("__s"), F.sum("n").over(W.partitionBy(*groups)).alias("rows"))
+    own = W.partitionBy(*groups, "__slice").orderBy(F.desc(conf) if descending else conf, ident)
+    upto = own.rowsBetween(W.unboundedPreceding, -1)
+    j = rows.join(counts, [*groups, "__slice"])
+    return j.withColumn("rank", F.col("__n") + F.row_number().over(own) - 1).withColumn("before", F.col("__s") + F.coalesce(F.sum(ends).over(upto), F.lit(0.0))).drop("__slice", "__n", "__s")
+
+
+def equal_mass(df: DataFrame, groups: Sequence[str], bins: int, conf: str = "conf", ident: str = "id") -> DataFrame:
+    """Adds bin, from 1: `bins` bins of equal size by conf within each group (the first bins get what is over)."""
+    r = ranked(df, groups, conf=conf, ident=ident)
+    small, over = F.floor(F.col("rows") / bins), F.col("rows") % bins
+    large = over * (small + 1)
+    bin_ = F.when(F.col("rank") < large, F.floor(F.col("rank") / (small + 1))).otherwise(over + F.floor((F.col("rank") - large) / F.greatest(small, F.lit(1))))
+    return r.withColumn("bin", (bin_ + 1).cast("int")).drop("rank", "before", "rows")
 
 
 def brier_parts(binned: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -96,13 +117,15 @@ def brier_parts(binned: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 def aurc(df: DataFrame, groups: Sequence[str]) -> DataFrame:
     """groups, aurc, e_aurc: the mean over k of the error rate of the k most confident, less that of a perfect order."""
-    w = W.partitionBy(*groups).orderBy(F.desc("conf"), "id").rowsBetween(W.unboundedPreceding, 0)
-    best = W.partitionBy(*groups).orderBy(F.desc("hit"), "id").rowsBetween(W.unboundedPreceding, 0)
-    r = df.withColumn("risk", F.avg(1 - F.col("hit")).over(w)).withColumn("ideal", F.avg(1 - F.col("hit")).over(best))
+    hits = df.groupBy(*groups).agg(F.sum("hit").alias("hits"))
+    r = ranked(df, groups, descending=True).join(hits, list(groups))
+    k = F.col("rank") + 1
+    # a perfect order has its errors last
+    r = r.withColumn("risk", (k - F.col("before") - F.col("hit")) / k).withColumn("ideal", F.greatest(k - F.col("hits"), F.lit(0.0)) / k)
     return r.groupBy(*groups).agg(F.avg("risk").alias("aurc"), (F.avg("risk") - F.avg("ideal")).alias("e_aurc"))
 
 
-def smooth_ece(df: DataFrame, *, bandwidth: float = 0.05, grid: int = 101) -> DataFrame:
+def smooth_ece(df: DataFrame, *, bandwidth: float = 0.05, grid: int = 1001) -> DataFrame:
     """smece: residuals smoothed by a Gaussian kernel reflected at 0 and 1, over a grid; exact conf values are pre-summed."""
     pre = df.groupBy(F.round("conf", 6).alias("f")).agg(F.sum(F.col("hit") - F.col("conf")).alias("r"), F.count("*").alias("n"))
     g = pre.select("*", F.explode(F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: i / F.lit(float(grid - 1)))).alias("t"))

@@ -1,14 +1,19 @@
 """MinHash signatures, band keys, near pairs and hits, components, cluster caps.
 
 The hashes are 28 bits of an MD5 and (a * h + b) modulo 2^31 - 1, which stay within a
-64-bit integer in any engine.
+64-bit integer in any engine.  Signatures are made in Arrow batches; all else are joins.
 """
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..functions import text as T
 from .tables import written
@@ -17,27 +22,63 @@ PRIME = 2147483647
 #: Permutations and bands (of 4 rows): a pair at a similarity of 0.8 is a candidate with a probability of 1 - 5e-8, one at 0.5 with 87 %.
 PERMS = 128
 BANDS = 32
+#: Hashes that the permutations are applied to at a time: what fits a core's cache.
+CHUNK = 16_384
 
 
 def coefficients(perms: int) -> list[tuple[int, int]]:
     return [(48271 + 15838 * j, 104729 * j) for j in range(perms)]
 
 
-def shingle_hashes(text: Column | str, k: int = 3) -> Column:
-    """Distinct 28-bit hashes of word k-grams."""
-    return F.array_distinct(F.transform(T.shingles(T.words(text), k), lambda s: F.conv(F.substring(F.md5(s), 1, 7), 16, 10).cast("long")))
+def _hashes(words: np.ndarray, k: int) -> list[int]:
+    md5, n = hashlib.md5, len(words)
+    grams = [" ".join(words[i : i + k]) for i in range(n - k + 1)] if n >= k else [" ".join(words)]
+    return [int.from_bytes(md5(g.encode(), usedforsecurity=False).digest()[:4], "big") >> 4 for g in set(grams)]
+
+
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo 2^31 - 1 for x under 2^62, without a division."""
+    x = (x & PRIME) + (x >> 31)
+    x = (x & PRIME) + (x >> 31)
+    return np.where(x >= PRIME, x - PRIME, x)
+
 
+def minima(sets: list[list[int]], perms: int) -> np.ndarray:
+    """[sets, perms]; the sets mustn't be empty."""
+    out, at, ab = np.empty((len(sets), perms), np.int64), 0, coefficients(perms)
+    while at < len(sets):
+        upto, n = at, 0
+        while upto < len(sets) and (upto == at or n + len(sets[upto]) <= CHUNK):
+            n += len(sets[upto])
+            upto += 1
+        h = np.concatenate([np.array(s, np.int64) for s in sets[at:upto]])
+        starts = np.cumsum([0, *(len(s) for s in sets[at : upto - 1])])
+        for j, (a, b) in enumerate(ab):
+            out[at:upto, j] = np.minimum.reduceat(_modulo(a * h + b), starts)
+        at = upto
+    return out
 
-def signature(hashes: Column, perms: int = PERMS) -> Column:
-    """perms minima; empty for no hashes."""
-    ab = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in coefficients(perms)])
-    return F.transform(F.array(hashes), lambda hs: F.when(F.size(hs) > 0, F.transform(ab, lambda c: F.array_min(F.transform(hs, lambda h: (c["a"] * h + c["b"]) % PRIME)))).otherwise(F.array().cast("array<bigint>")))[0]
 
+def signature(words: Column, perms: int = PERMS, k: int = 3) -> Column:
+    """perms minima over the distinct k-grams of an array of words (of the whole, where it has fewer); empty for no words."""
 
-def band_keys(sig: Column, bands: int = BANDS) -> Column:
-    """array<struct<band,key>>; rows of a band are size / bands."""
+    @F.pandas_udf(ArrayType(LongType()))
+    def sign(batch: pd.Series) -> pd.Series:
+        full = [i for i, w in enumerate(batch) if w is not None and len(w)]
+        out: list = [[]] * len(batch)
+        if full:
+            for i, s in zip(full, minima([_hashes(batch.iloc[i], k) for i in full], perms), strict=True):
+                out[i] = s
+        return pd.Series(out)
+
+    return sign(words)
+
+
+def band_keys(sig: Column, bands: int = BANDS, key: Column | None = None) -> Column:
+    """array<struct<band,key>>; rows of a band are size / bands.  A key, mixed in, keeps rows of other keys out of a bucket."""
     rows = F.floor(F.size(sig) / bands).cast("int")
-    return F.when(F.size(sig) > 0, F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.md5(F.array_join(F.transform(F.slice(sig, b * rows + 1, rows), lambda x: x.cast("string")), ",")).alias("key"))))
+    more = [] if key is None else [key.cast("string")]
+    return F.when(F.size(sig) > 0, F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.md5(F.concat_ws("|", F.array_join(F.transform(F.slice(sig, b * rows + 1, rows), lambda x: x.cast("string")), ","), *more)).alias("key"))))
 
 
 def estimated_jaccard(a: Column, b: Column) -> Column:
@@ -52,7 +93,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 def signatures(df: DataFrame, text: str, *keep: str, perms: int = PERMS, k: int = 3) -> DataFrame:
     """keep and sig of the rows that have words."""
-    return spread(df).select(*keep, signature(shingle_hashes(text, k), perms).alias("sig")).where(F.size("sig") > 0)
+    return spread(df).select(*keep, signature(T.words(text), perms, k).alias("sig")).where(F.size("sig") > 0)
 
 
 def near_pairs(sigs: DataFrame, *, bands: int = BANDS, threshold: float = 0.8) -> DataFrame:
@@ -62,17 +103,31 @@ def near_pairs(sigs: DataFrame, *, bands: int = BANDS, threshold: float = 0.8) -
     """
     sigs = written(sigs, "signatures")
     keys = sigs.select("id", F.explode(band_keys(F.col("sig"), bands)).alias("k")).select("id", "k.band", "k.key")
-    first = written(keys.groupBy("band", "key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").drop("z"), "first")
+    first = keys.groupBy("band", "key").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").drop("z")
     pairs = keys.join(first, ["band", "key"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
     left, right = sigs.select(F.col("id").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("sb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", estimated_jaccard(F.col("sa"), F.col("sb")).alias("j")).where(F.col("j") >= threshold)
 
 
-def near_hits(query: DataFrame, index: DataFrame, *, bands: int = BANDS, threshold: float = 0.8) -> DataFrame:
-    """(id, ref, j): rows of query near a row of index; both with id and sig.  Every candidate is verified."""
-    q = query.select("id", "sig", F.explode(band_keys(F.col("sig"), bands)).alias("k"))
-    i = index.select(F.col("id").alias("ref"), F.col("sig").alias("ref_sig"), F.explode(band_keys(F.col("sig"), bands)).alias("k"))
-    return q.join(i, "k").select("id", "ref", estimated_jaccard(F.col("sig"), F.col("ref_sig")).alias("j")).where(F.col("j") >= threshold).distinct()
+def near_hits(query: DataFrame, index: DataFrame, *, bands: int = BANDS, threshold: float = 0.8, key: str | None = None, tag: str | None = None) -> DataFrame:
+    """(id, ref, j): rows of query near a row of index; both with id and sig.  Every candidate is verified.
+
+    key: a column of both that has to be equal, e.g. a hash of the question.  tag: a
+    column of both that has to differ, e.g. the source.  Rows of equal signature (and key
+    and tag) are compared as one, so copies multiply the result alone and no bucket.
+    """
+    same = ["sig", *([key] if key else []), *([tag] if tag else [])]
+    q = query.groupBy(*same).agg(F.min("id").alias("q"))
+    i = index.groupBy(*same).agg(F.min("id").alias("r"))
+    mixed = F.col(key) if key else None
+    left = q.select("q", F.col("sig").alias("qs"), *([F.col(tag).alias("qt")] if tag else []), F.explode(band_keys(F.col("sig"), bands, mixed)).alias("k"))
+    right = i.select("r", F.col("sig").alias("rs"), *([F.col(tag).alias("rt")] if tag else []), F.explode(band_keys(F.col("sig"), bands, mixed)).alias("k"))
+    found = left.join(right, "k")
+    if tag:
+        found = found.where(~F.col("qt").eqNullSafe(F.col("rt")))
+    found = found.select("q", "r", estimated_jaccard(F.col("qs"), F.col("rs")).alias("j")).where(F.col("j") >= threshold).distinct()
+    whole = lambda df, rep, name: df.select(F.col("id").alias(name), *same).join(df.groupBy(*same).agg(F.min("id").alias(rep)), same).select(name, rep)
+    return found.join(whole(query, "q", "id"), "q").join(whole(index, "r", "ref"), "r").select("id", "ref", "j")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -90,19 +145,37 @@ def components(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def cluster_cap(df: DataFrame, clusters: DataFrame, *, cap: int, question: str) -> DataFrame:
-    """At most cap rows of each cluster: first one of each question, then any, both by id.  Rows without cluster stay."""
+def cluster_cap(df: DataFrame, clusters: DataFrame, *, cap: int, question: str, salts: int = 16) -> DataFrame:
+    """At most cap rows of each cluster: first one of each question, then any, both by id.  Rows without cluster stay.
+
+    A question's first row is a partial aggregate, and ranks are taken within salted
+    parts first: a cluster meets in one task with salts * cap rows at most.
+    """
     joined = df.join(clusters, "id", "left")
-    free = joined.where("cluster is null").drop("cluster")
-    w = W.partitionBy("cluster", question).orderBy("id")
-    ranked = joined.where("cluster is not null").withColumn("again", (F.row_number().over(w) > 1).cast("int"))
-    kept = ranked.withColumn("r", F.row_number().over(W.partitionBy("cluster").orderBy("again", "id"))).where(F.col("r") <= cap)
-    return free.unionByName(kept.drop("cluster", "again", "r"))
+    inside = joined.where("cluster is not null")
+    first = inside.groupBy("cluster", question).agg(F.min("id").alias("__first")).toDF("__cluster", "__question", "__first")
+    ranked = inside.join(first, (F.col("cluster") == F.col("__cluster")) & F.col(question).eqNullSafe(F.col("__question")))
+    ranked = ranked.select(*inside.columns, (F.col("id") > F.col("__first")).cast("int").alias("__again"), F.pmod(F.xxhash64("id"), F.lit(salts)).alias("__salt"))
+    best = lambda df, *by: df.withColumn("__r", F.row_number().over(W.partitionBy(*by).orderBy("__again", "id"))).where(F.col("__r") <= cap)
+    kept = best(best(ranked, "cluster", "__salt"), "cluster")
+    return joined.where("cluster is null").drop("cluster").unionByName(kept.drop("cluster", "__again", "__salt", "__r"))
 
 
 def exact_jaccard(left: DataFrame, right: DataFrame, *, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """(id, ref, j) of all pairs with shared shingles at the threshold or more, by an inverted index."""
-    a = left.select("id", T.shingles(T.words("state"), n).alias("s")).withColumn("na", F.size("s"))
-    b = right.select(F.col("id").alias("ref"), T.shingles(T.words("state"), n).alias("s")).withColumn("nb", F.size("s"))
-    shared = a.select("id", "na", F.explode("s").alias("g")).join(b.select("ref", "nb", F.explode("s").alias("g")), "g").groupBy("id", "ref", "na", "nb").agg(F.count("*").alias("both"))
-    return shared.withColumn("j", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("j") >= threshold).select("id", "ref", "j")
+    """(id, ref, j) of all pairs at the threshold or more.
+
+    Two sets at the threshold share one of each one's size - ceil(threshold * size) + 1
+    rarest shingles: only these meet, so a shingle that is common joins no rows, and
+    candidates are verified on the whole sets.
+    """
+    a = written(left.select("id", T.gram_hashes(T.words("state"), n, whole=True).alias("s")).where(F.size("s") > 0), "left")
+    b = written(right.select(F.col("id").alias("ref"), T.gram_hashes(T.words("state"), n, whole=True).alias("s")).where(F.size("s") > 0), "right")
+    often = a.select(F.explode("s").alias("g")).union(b.select(F.explode("s").alias("g"))).groupBy("g").agg(F.count("*").alias("n"))
+
+    def rare(df: DataFrame, name: str) -> DataFrame:
+        ranked = df.select(name, F.size("s").alias("size"), F.explode("s").alias("g")).join(often, "g").groupBy(name, "size").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("s"))
+        return ranked.select(name, F.explode(F.slice("s", 1, F.col("size") - F.ceil(F.round(threshold * F.col("size"), 9)).cast("int") + 1)).alias("x")).select(name, "x.g")
+
+    met = rare(a, "id").join(rare(b, "ref"), "g").select("id", "ref").distinct()
+    both = met.join(a, "id").join(b.withColumnRenamed("s", "t"), "ref").select("id", "ref", F.size("s").alias("na"), F.size("t").alias("nb"), F.size(F.array_intersect("s", "t")).alias("both"))
+    return both.withColumn("j", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("j") >= threshold).select("id", "ref", "j")

@@ -123,7 +123,7 @@ def pack(segments: DataFrame, *, buckets: tuple[int, ...], budget: int, slots: i
     return segments.select("shard", "idx", "n").groupBy("shard").applyInPandas(run, PLACED)
 
 
-def drawn_segments(lengths: DataFrame, weights: dict[str, float], draws: int, *, seed: int = 0, shards: int = 8) -> DataFrame:
+def drawn_segments(lengths: DataFrame, weights: dict[str, float], draws: int, *, seed: int = 0, shards: int = 8, parts: int = 64) -> DataFrame:
     """shard, idx, source, n of `draws` draws: a source by weight, then one of its rows (source, n), both by hash of (seed, draw).
 
     weights is the mixture, a number for each source; lengths stays dealt.
@@ -136,8 +136,15 @@ def drawn_segments(lengths: DataFrame, weights: dict[str, float], draws: int, *,
     pick = F.lit(upper[-1][0])
     for source, edge in reversed(upper[:-1]):
         pick = F.when(u < edge, F.lit(source)).otherwise(pick)
-    rows = lengths.withColumn("k", F.row_number().over(W.partitionBy("source").orderBy("n", *[c for c in lengths.columns if c not in ("source", "n")])) - 1)
-    sizes = lengths.groupBy("source").agg(F.count("*").alias("rows"))
+    # rows are numbered within parts of a source, so that no source meets in one task
+    others = [c for c in lengths.columns if c != "source"]
+    dealt = lengths.withColumn("part", F.pmod(F.xxhash64(*others), F.lit(parts)))
+    rows = dealt.withColumn("k", F.row_number().over(W.partitionBy("source", "part").orderBy(*others)) - 1)
+    counts = dealt.groupBy("source", "part").agg(F.count("*").alias("c"))  # `parts` rows for each source
+    edges = counts.select("source", "part", (F.sum("c").over(W.partitionBy("source").orderBy("part")) - F.col("c")).alias("lo"), "c", F.sum("c").over(W.partitionBy("source")).alias("rows"))
+    sizes = edges.groupBy("source").agg(F.max("rows").alias("rows"), F.sort_array(F.collect_list(F.struct("lo", "c", "part"))).alias("edges"))
     d = lengths.sparkSession.range(draws).withColumn("source", pick).join(sizes, "source")
-    d = d.withColumn("k", F.pmod(stable_hash(F.lit(seed), F.col("id"), F.lit("row")), F.col("rows")).cast("int"))
-    return d.join(rows.select("source", "k", "n"), ["source", "k"]).select(F.pmod("id", F.lit(shards)).alias("shard"), F.col("id").alias("idx"), "source", F.col("n").cast("long").alias("n"))
+    d = d.withColumn("k", F.pmod(stable_hash(F.lit(seed), F.col("id"), F.lit("row")), F.col("rows")))
+    d = d.withColumn("e", F.filter("edges", lambda e: (F.col("k") >= e["lo"]) & (F.col("k") < e["lo"] + e["c"]))[0])
+    d = d.select("id", "source", F.col("e.part").alias("part"), (F.col("k") - F.col("e.lo")).cast("int").alias("k"))
+    return d.join(rows.select("source", "part", "k", "n"), ["source", "part", "k"]).select(F.pmod("id", F.lit(shards)).alias("shard"), F.col("id").alias("idx"), "source", F.col("n").cast("long").alias("n"))

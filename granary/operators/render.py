@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import probs as P
+from ..functions.keys import sha_int
 
 
 def shown_order(labels: Column, ident: Column, kind: Column, seed: int = 0) -> Column:
@@ -27,8 +29,21 @@ def prompt(state: Column, instructions: Column, labels: Column, order: Column) -
     return F.concat_ws("\n", state, instructions, F.array_join(lines, "\n"))
 
 
+def numbered(names: DataFrame) -> DataFrame:
+    """name and number (from 0) of the distinct names, in order of (the first two signs of its MD5, name): 256 parts are numbered apart."""
+    p = names.select("name").distinct().withColumn("part", F.substring(F.md5("name"), 1, 2))
+    before = p.groupBy("part").agg(F.count("*").alias("n")).select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("lo"))  # 256 rows
+    return p.withColumn("r", F.row_number().over(W.partitionBy("part").orderBy("name")) - 1).join(before, "part").select("name", (F.col("lo") + F.col("r")).alias("number"))
+
+
 def distractors(items: DataFrame, pool: DataFrame, k: int) -> DataFrame:
-    """items with `others`: k names of the pool that aren't the item's own, by hash; the pool is a dimension table."""
-    p = pool.agg(F.collect_set("name").alias("names"))
-    ranked = F.transform(F.array_except("names", F.array("name")), lambda x: F.struct(F.md5(F.concat_ws("|", F.col("id").cast("string"), x)).alias("h"), x.alias("x")))
-    return items.join(F.broadcast(p)).withColumn("others", F.transform(F.slice(F.array_sort(ranked), 1, k), lambda s: s["x"])).drop("names")
+    """items (id, name) with `others`: the first k names of the numbered pool, from a place that a hash of the id gives on, that aren't the item's own.
+
+    An item meets k + 1 names whatever the pool's size.
+    """
+    p = numbered(pool)
+    x = items.select("id", "name", p.agg(F.count("*")).scalar().alias("size"))
+    start = x.select("id", "name", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(k)), lambda j: F.when(j < F.col("size"), (sha_int(F.col("id")) + j) % F.col("size")))).alias("j", "number"))
+    met = start.join(p.withColumnRenamed("name", "other"), "number").where("other <> name")
+    others = met.groupBy("id").agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("j", "other"))), 1, k), lambda s: s["other"]).alias("others"))
+    return items.join(others, "id")

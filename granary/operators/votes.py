@@ -21,16 +21,20 @@ def rater_share(ratings: DataFrame, item: str, yes: Column, unsure: Column, *, l
     return ratings.groupBy(item).agg(F.count("*").alias("n"), ((F.count_if(yes) + 0.5 * F.count_if(unsure)) / F.count("*")).alias("share")).where(F.col("n") >= least)
 
 
-def tree_paths(messages: DataFrame, *, most: int = 64) -> DataFrame:
-    """(root, node, depth, path) of messages (node, parent) down from the roots, level by level; `most` levels guard against cycles."""
-    frontier = messages.where("parent is null").select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.array("node").alias("path"))
-    out = frontier
-    for _ in range(most):
-        children = messages.where("parent is not null").select("node", "parent")
+def tree_paths(messages: DataFrame) -> DataFrame:
+    """(root, node, depth, path) of messages (node, parent) down from the roots, level by level, each a written table.
+
+    Any depth; a node that is below itself raises ValueError, as its paths have no end.
+    """
+    children = messages.where("parent is not null").select("node", "parent")
+    out = frontier = messages.where("parent is null").select(F.col("node").alias("root"), "node", F.lit(0).alias("depth"), F.array("node").alias("path"))
+    while True:
         up = frontier.select("root", F.col("node").alias("parent"), "depth", "path")
-        level = children.join(up, "parent").select("root", "node", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("node")).alias("path"))
+        level = children.join(up, "parent").select("root", "node", (F.col("depth") + 1).alias("depth"), F.array_contains("path", F.col("node")).alias("again"), F.concat("path", F.array("node")).alias("path"))
         frontier = written(level, "level")
         if frontier.isEmpty():
-            break
+            return out
+        if (r := frontier.where("again").select("node").first()) is not None:
+            raise ValueError(f"message {r.node} is below itself")
+        frontier = frontier.drop("again")
         out = out.unionByName(frontier)
-    return out

@@ -84,8 +84,7 @@ def drop_reason_counts(spark: SparkSession, d: str) -> DataFrame:
     return clean_documents(spark, d).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
-#: Less than the operators' 128 permutations and 32 bands: what the SQL of these queries computes (see the README for its recall).
-P_, B_ = 32, 8
+P_, B_ = near.PERMS, near.BANDS
 
 
 def _sig(relation: str, ident: str) -> str:
@@ -96,18 +95,22 @@ def _sig(relation: str, ident: str) -> str:
 
 
 def _bands(sig: str) -> str:
-    return f"(SELECT id, b AS band, md5(array_to_string(sig[b * 4 + 1:b * 4 + 4], ',')) AS key FROM (SELECT id, sig, unnest(range(8)) AS b FROM {sig}))"
+    return f"(SELECT id, b AS band, md5(array_to_string(sig[b * 4 + 1:b * 4 + 4], ',')) AS key FROM (SELECT id, sig, unnest(range({B_})) AS b FROM {sig}))"
 
 
-JACCARD = "len(list_filter(range(1, 33), lambda i: {a}[i] = {b}[i])) / 32.0"
+JACCARD = f"len(list_filter(range(1, {P_ + 1}), lambda i: {{a}}[i] = {{b}}[i])) / {P_}.0"
 PAIRS = f"""s AS MATERIALIZED (SELECT * FROM {_sig('documents', 'doc_id')}), k AS MATERIALIZED (SELECT * FROM {_bands('s')}),
 f AS (SELECT band, key, min(id) AS a FROM k GROUP BY 1, 2),
 c AS (SELECT DISTINCT a, id AS b FROM k JOIN f USING (band, key) WHERE id <> a),
 pairs AS (SELECT a, b, {JACCARD.format(a='x.sig', b='y.sig')} AS j FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b WHERE {JACCARD.format(a='x.sig', b='y.sig')} >= 0.8)"""
 
 
+#: The same beside other names.
+PAIRS_TOO = PAIRS.replace("\nf AS (", "\npf AS (").replace("JOIN f USING", "JOIN pf USING").replace("\nc AS (", "\npc AS (").replace("FROM c JOIN", "FROM pc JOIN")
+
+
 def _signatures(spark: SparkSession, d: str) -> DataFrame:
-    return near.signatures(train_items(spark, d), "state", "id", perms=P_)
+    return near.signatures(train_items(spark, d), "state", "id")
 
 
 @query(f"SELECT id AS doc_id, md5(array_to_string(sig, ',')) AS sig_md5, sig[1] AS first FROM {_sig('documents', 'doc_id')}")
@@ -117,20 +120,20 @@ def minhash_signatures(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"SELECT band::BIGINT AS band, key, count(*) AS n FROM {_bands(_sig('documents', 'doc_id'))} GROUP BY 1, 2 HAVING count(*) > 1")
 def lsh_band_keys(spark: SparkSession, d: str) -> DataFrame:
-    k = _signatures(spark, d).select(F.explode(near.band_keys(F.col("sig"), B_)).alias("k"))
+    k = _signatures(spark, d).select(F.explode(near.band_keys(F.col("sig"))).alias("k"))
     return k.groupBy(F.col("k.band").cast("long").alias("band"), F.col("k.key").alias("key")).agg(F.count("*").alias("n")).where("n > 1")
 
 
 @query(f"WITH {PAIRS} SELECT a, b, round(j, 6) AS j FROM pairs")
 def near_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return near.near_pairs(_signatures(spark, d), bands=B_).select("a", "b", F.round("j", 6).alias("j"))
+    return near.near_pairs(_signatures(spark, d)).select("a", "b", F.round("j", 6).alias("j"))
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
 walk(id, to_id) AS (SELECT a, a FROM e UNION SELECT id, b FROM walk JOIN e ON e.a = to_id)
 SELECT id, min(to_id) AS cluster FROM walk GROUP BY id""")
 def near_clusters(spark: SparkSession, d: str) -> DataFrame:
-    return near.components(near.near_pairs(_signatures(spark, d), bands=B_))
+    return near.components(near.near_pairs(_signatures(spark, d)))
 
 
 @query(f"""WITH RECURSIVE {PAIRS}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
@@ -141,17 +144,69 @@ kept AS (SELECT doc_id, source, row_number() OVER (PARTITION BY cluster ORDER BY
 SELECT doc_id, source FROM kept WHERE r <= 2 UNION ALL SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT id FROM cl)""")
 def cluster_cap(spark: SparkSession, d: str) -> DataFrame:
     rows = train_items(spark, d).select("id", "source")
-    return near.cluster_cap(rows, near.components(near.near_pairs(_signatures(spark, d), bands=B_)), cap=2, question="source").select(F.col("id").alias("doc_id"), "source")
+    return near.cluster_cap(rows, near.components(near.near_pairs(_signatures(spark, d))), cap=2, question="source").select(F.col("id").alias("doc_id"), "source")
 
 
 @query(f"""WITH s AS MATERIALIZED (SELECT * FROM {_sig('documents', 'doc_id')}), h AS MATERIALIZED (SELECT * FROM {_sig('benchmark', 'item_id')}),
 c AS (SELECT DISTINCT x.id AS id, y.id AS ref FROM {_bands('s')} x JOIN {_bands('h')} y USING (band, key))
 SELECT c.id AS doc_id, ref AS item_id, round({JACCARD.format(a='s.sig', b='h.sig')}, 6) AS j FROM c JOIN s ON s.id = c.id JOIN h ON h.id = ref WHERE {JACCARD.format(a='s.sig', b='h.sig')} >= 0.5""")
 def near_hits_vs_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    hits = near.near_hits(_signatures(spark, d), near.signatures(held_items(spark, d), "state", "id", perms=P_), bands=B_, threshold=0.5)
+    hits = near.near_hits(_signatures(spark, d), near.signatures(held_items(spark, d), "state", "id"), threshold=0.5)
     return hits.select(F.col("id").alias("doc_id"), F.col("ref").alias("item_id"), F.round("j", 6).alias("j"))
 
 
+@query(f"""WITH s AS MATERIALIZED (SELECT x.*, source AS tag FROM {_sig('documents', 'doc_id')} x JOIN documents ON doc_id = id), h AS MATERIALIZED (SELECT * FROM s WHERE id % 10 = 3), q AS MATERIALIZED (SELECT * FROM s WHERE id % 10 <> 3),
+c AS (SELECT DISTINCT x.id AS id, y.id AS ref FROM {_bands('q')} x JOIN {_bands('h')} y USING (band, key))
+SELECT c.id AS doc_id, ref, round({JACCARD.format(a='q.sig', b='h.sig')}, 6) AS j FROM c JOIN q ON q.id = c.id JOIN h ON h.id = ref WHERE {JACCARD.format(a='q.sig', b='h.sig')} >= 0.8 AND q.tag = h.tag""")
+def near_hits_keyed(spark: SparkSession, d: str) -> DataFrame:
+    """Rows near a held-out row (a tenth of the ids) of the same key; the key keeps other rows out of its buckets."""
+    s = written(near.signatures(train_items(spark, d), "state", "id", "source"), "signatures")
+    hits = near.near_hits(s.where("id % 10 <> 3"), s.where("id % 10 = 3"), key="source")
+    return hits.select(F.col("id").alias("doc_id"), "ref", F.round("j", 6).alias("j"))
+
+
+@query(f"""WITH s AS MATERIALIZED (SELECT x.*, source AS tag FROM {_sig('documents', 'doc_id')} x JOIN documents ON doc_id = id), h AS MATERIALIZED (SELECT * FROM s WHERE id % 10 = 3), q AS MATERIALIZED (SELECT * FROM s WHERE id % 10 <> 3),
+c AS (SELECT DISTINCT x.id AS id, y.id AS ref FROM {_bands('q')} x JOIN {_bands('h')} y USING (band, key))
+SELECT c.id AS doc_id, min(ref) AS ref FROM c JOIN q ON q.id = c.id JOIN h ON h.id = ref WHERE {JACCARD.format(a='q.sig', b='h.sig')} >= 0.8 AND q.tag IS DISTINCT FROM h.tag GROUP BY 1""")
+def state_elsewhere(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose state is near one of another origin in the index."""
+    s = written(near.signatures(train_items(spark, d), "state", "id", "source"), "signatures")
+    hits = near.near_hits(s.where("id % 10 <> 3"), s.where("id % 10 = 3"), tag="source")
+    return hits.groupBy(F.col("id").alias("doc_id")).agg(F.min("ref").alias("ref"))
+
+
+TOKENS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\s]'))"
+
+
+@query(f"SELECT doc_id, {TOKENS.format('text')} > 400 AS too_long FROM documents")
+def too_long(spark: SparkSession, d: str) -> DataFrame:
+    return train_items(spark, d).select(F.col("id").alias("doc_id"), hygiene.too_long("state", 400).alias("too_long"))
+
+
+@query(f"""{CLEAN.replace('WITH', 'WITH ' + PAIRS_TOO + ',', 1)}, h AS MATERIALIZED (SELECT * FROM {_sig('benchmark', 'item_id')}),
+hb AS MATERIALIZED (SELECT * FROM {_bands('h')}), hc AS (SELECT DISTINCT x.id AS id, y.id AS ref FROM k x JOIN hb y USING (band, key)),
+nh AS (SELECT DISTINCT hc.id FROM hc JOIN s ON s.id = hc.id JOIN h ON h.id = ref WHERE {JACCARD.format(a='s.sig', b='h.sig')} >= 0.8),
+r2 AS (SELECT doc_id, source, key, CASE WHEN reason = 'equals_heldout' THEN reason WHEN doc_id IN (SELECT id FROM nh) THEN 'train_near_heldout' WHEN reason = 'shares_8gram' THEN reason
+  WHEN strlen(d.text) > 600 AND {TOKENS.format('d.text')} > 600 THEN 'prompt_too_long' ELSE reason END AS reason FROM r JOIN documents d USING (doc_id, source)),
+f2 AS (SELECT key, min(doc_id) AS first FROM r2 WHERE reason IS NULL GROUP BY key), np AS (SELECT b, min(a) AS a FROM pairs GROUP BY b)
+SELECT r2.doc_id, r2.source, CASE WHEN reason IS NOT NULL THEN reason WHEN r2.doc_id > first THEN 'duplicate' WHEN np.a IS NULL THEN 'kept' WHEN o.source = r2.source THEN 'train_near_duplicate' ELSE 'train_cross_source_state' END AS verdict
+FROM r2 LEFT JOIN f2 USING (key) LEFT JOIN np ON np.b = r2.doc_id LEFT JOIN documents o ON o.doc_id = np.a""")
+def clean_v7(spark: SparkSession, d: str) -> DataFrame:
+    """The whole cleaning chain with its near-duplicate reasons, and a limit of 600 tokens."""
+    c = hygiene.clean_near(train_items(spark, d), held_items(spark, d), limit=600)
+    return c.select(F.col("id").alias("doc_id"), "source", F.coalesce("reason", F.lit("kept")).alias("verdict"))
+
+
+@query(f"""WITH {REF}, e AS (SELECT id, ref, 'even' AS set FROM tg JOIN ref USING (gram) WHERE ref % 2 = 0 UNION ALL SELECT id, ref, 'odd' FROM tg JOIN ref USING (gram) WHERE ref % 2 = 1)
+SELECT set, count(DISTINCT id) AS rows_hit, count(DISTINCT ref) AS items_hit, count(*) AS shared FROM e GROUP BY set""")
+def named_set_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits by named reference set; the templates are those of all sets together."""
+    held = held_items(spark, d)
+    ref = decontam.ref_grams(held).withColumn("set", F.when(F.col("ref") % 2 == 0, "even").otherwise("odd"))
+    hits = decontam.gram_hits(train_items(spark, d), ref)
+    return hits.groupBy("set").agg(F.countDistinct("id").alias("rows_hit"), F.countDistinct("ref").alias("items_hit"), F.sum("shared").alias("shared"))
+
+
 @query(f"""WITH a AS (SELECT * FROM {_grams('documents', 'doc_id', 5)}), b AS (SELECT * FROM {_grams('benchmark', 'item_id', 5)}),
 na AS (SELECT id, count(*) AS n FROM a GROUP BY id), nb AS (SELECT id, count(*) AS n FROM b GROUP BY id),
 s AS (SELECT a.id, b.id AS ref, count(*) AS both_n FROM a JOIN b USING (gram) GROUP BY 1, 2)
@@ -166,7 +221,7 @@ SELECT coalesce(source, '(all)') AS source, count(*) AS n, sum(exact)::BIGINT AS
 def duplication_report(spark: SparkSession, d: str) -> DataFrame:
     rows = train_items(spark, d).select("id", "source", F.md5(T.norm_key("state")).alias("key"))
     g = rows.groupBy("key").agg(F.count("*").alias("n"), F.countDistinct("source").alias("ns"))
-    p = written(near.near_pairs(_signatures(spark, d), bands=B_), "pairs")
+    p = written(near.near_pairs(_signatures(spark, d)), "pairs")
     ids = p.select("a").union(p.select("b")).distinct().toDF("id").withColumn("near", F.lit(1))
     flat = rows.join(g, "key").join(ids, "id", "left").select("source", (F.col("n") > 1).cast("int").alias("exact"), (F.col("ns") > 1).cast("int").alias("shared"), F.coalesce("near", F.lit(0)).alias("near"))
     return flat.rollup("source").agg(F.count("*").alias("n"), F.sum("exact").alias("exact"), F.sum("shared").alias("shared"), F.sum("near").alias("near")).withColumn("source", F.coalesce("source", F.lit("(all)")))

@@ -132,7 +132,7 @@ def brier_decomposition(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(M.brier_parts(M.equal_mass(predictions(spark, d), ["type"], 15), ["type"]))
 
 
-@query(f"""{WITH}, pre AS (SELECT round(conf, 6) AS f, sum(hit - conf) AS r, count(*) AS n FROM pred GROUP BY 1), g AS (SELECT i / 100.0::DOUBLE AS t FROM range(101) x(i)),
+@query(f"""{WITH}, pre AS (SELECT round(conf, 6) AS f, sum(hit - conf) AS r, count(*) AS n FROM pred GROUP BY 1), g AS (SELECT i / 1000.0::DOUBLE AS t FROM range(1001) x(i)),
 k AS (SELECT t, r, n, exp(-0.5 * ((t - f) / 0.05) ** 2) + exp(-0.5 * ((t + f) / 0.05) ** 2) + exp(-0.5 * ((t - 2 + f) / 0.05) ** 2) AS k FROM pre, g)
 SELECT round(sum(abs(a)) / sum(b), 6) AS smece FROM (SELECT t, sum(k * r) AS a, sum(k * n) AS b FROM k GROUP BY t)""")
 def smooth_ece(spark: SparkSession, d: str) -> DataFrame:

@@ -248,11 +248,13 @@ def return_window_pairs(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("label", F.when(F.col("days") < 0, "unknown").when(F.col("days") <= 30, "yes").otherwise("no"))
 
 
-@query("""WITH p AS (SELECT DISTINCT n_name AS name FROM nation), r AS (SELECT c_custkey AS id, n_name, name, row_number() OVER (PARTITION BY c_custkey ORDER BY md5(c_custkey || '|' || name), name) AS r FROM customer JOIN nation ON c_nationkey = n_nationkey, p WHERE name <> n_name)
-SELECT id, string_agg(name, ',' ORDER BY r) AS others FROM r WHERE r <= 3 GROUP BY id""")
+@query("""WITH p AS (SELECT name, row_number() OVER (ORDER BY substr(md5(name), 1, 2), name) - 1 AS number FROM (SELECT DISTINCT n_name AS name FROM nation)), m AS (SELECT count(*) AS m FROM p),
+x AS (SELECT c_custkey AS id, n_name, j, (('0x' || substr(sha256(c_custkey::VARCHAR), 1, 8))::BIGINT + j) % m AS number FROM customer JOIN nation ON c_nationkey = n_nationkey, range(4) r(j), m),
+y AS (SELECT id, name, row_number() OVER (PARTITION BY id ORDER BY j) AS r FROM x JOIN p USING (number) WHERE name <> n_name)
+SELECT id, string_agg(name, ',' ORDER BY r) AS others FROM y WHERE r <= 3 GROUP BY id""")
 def distractor_rows(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation")
-    c = table(spark, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.col("n_name").alias("name"))
+    c = table(spark, d, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("id"), F.col("n_name").alias("name"))
     return render.distractors(c, n.select(F.col("n_name").alias("name")), 3).select("id", F.array_join("others", ",").alias("others"))
 
 

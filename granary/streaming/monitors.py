@@ -1,4 +1,4 @@
-"""Stateful monitors: loss spikes by rolling median and MAD, and the verdict of a run; batch and stream from one fold."""
+"""Stateful monitors: loss spikes by rolling median and MAD, in batch and on a stream from one fold, and the verdict of a run, by window functions."""
 
 from __future__ import annotations
 
@@ -10,9 +10,12 @@ from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.series import median as median_of
+
 
 @dataclass(frozen=True)
 class SpikeRule:
@@ -75,68 +78,57 @@ class HealthRules:
     regress_kill: float = 0.75
 
 
-def verdict_of(losses: list[float], grads: list[float], rules: HealthRules = HealthRules(), spike_rule: SpikeRule = SpikeRule(), cosines: list[float] | None = None, warmup: int = 0) -> dict[str, dict]:
-    """The rules that fired, by name: level, step, value.  The first firing stays; a warning may turn to a kill.
+def fired(df: DataFrame, run: str, step: str, loss: str, grad: str, rules: HealthRules = HealthRules(), spike_rule: SpikeRule = SpikeRule(), *, cosine: str | None = None, warmup: int = 0) -> DataFrame:
+    """run, rule, level, at, value: what fired in each run, and at which of its steps (counted from 1).
 
-    cosines: of momentum and gradient, whose run of negative values is watched.
-    Medians leave out values that aren't finite.
+    A rule's first kill counts, else its first warning.  Each rule is a condition on
+    running values of the run (window functions over its steps; frames of medians are
+    bounded).  Medians leave out values that aren't finite; spikes are those of spikes().
+    cosine: of momentum and gradient, whose run of negative values is watched.
     """
-    fired: dict[str, dict] = {}
-
-    def fire(name: str, level: str, step: int, value: float) -> None:
-        if name not in fired or (fired[name]["level"], level) == ("warn", "kill"):
-            fired[name] = {"level": level, "step": step, "value": value}
-
-    def middle(values: list[float]) -> float:
-        finite = [v for v in values if math.isfinite(v)]
-        return median(finite) if finite else math.nan
-
-    kept: list[float] = []
-    w, n_spikes, best, rejected, against = rules.window, 0, math.inf, 0, 0
-    for i, loss in enumerate(losses, 1):
-        n_spikes += spike_rule.step(kept, loss)
-        rejected += not math.isfinite(loss)
-        if rejected >= rules.rejected_kill:
-            fire("non_finite", "kill", i, rejected)
-        if cosines:
-            against = against + 1 if cosines[i - 1] < 0 else 0
-            if against >= rules.cos_negative_warn:
-                fire("momentum_against_gradient", "warn", i, against)
-        if n_spikes >= rules.spikes_warn:
-            fire("loss_spikes", "warn", i, n_spikes)
-        if i >= 100 and n_spikes > rules.spikes_kill_share * i:
-            fire("loss_spikes", "kill", i, n_spikes / i)
-        if i >= w:
-            recent = middle(losses[i - w : i])
-            best = min(best, recent)
-            if i >= 2 * w and i > warmup + w:
-                first = middle(losses[:w])
-                if recent > first:
-                    fire("loss_above_start", "kill", i, recent)
-                m = middle(kept)
-                noise = 1.4826 * middle([abs(v - m) for v in kept]) if kept else 0.0
-                if first - best > 0 and recent - best > noise:
-                    share = (recent - best) / (first - best)
-                    if share > rules.regress_warn:
-                        fire("loss_regression", "kill" if share > rules.regress_kill else "warn", i, share)
-        if i >= 3 * w and i <= len(grads):
-            ratio = middle(grads[i - w : i]) / max(middle(grads[: 2 * w]), 1e-12)
-            if ratio > rules.blowup_warn:
-                fire("grad_blowup", "kill" if ratio > rules.blowup_kill else "warn", i, ratio)
-    return fired
+    flags = spikes(df, run, step, loss, spike_rule).select(run, step, "spike")
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    x = df.select(run, step, F.col(loss).cast("double").alias("loss"), F.col(grad).cast("double").alias("grad"), (F.col(cosine) if cosine else F.lit(None)).cast("double").alias("cos")).join(flags, [run, step])
+    by, w = W.partitionBy(run).orderBy(step), rules.window
+    upto, last = by.rowsBetween(W.unboundedPreceding, 0), lambda n: by.rowsBetween(-(n - 1), 0)
+    every = W.partitionBy(run)
+    mid = lambda c, frame: median_of(F.collect_list(F.when(finite(c), c)).over(frame))
+    i = F.row_number().over(by)
+    x = x.withColumn("i", i).withColumn("kept", ~F.col("spike") & finite(F.col("loss")))
+    # noise of the values that were no spikes, carried on to those that were
+    history = x.where("kept").withColumn("h", F.collect_list("loss").over(last(spike_rule.history))).withColumn("m", median_of(F.col("h")))
+    history = history.select(run, step, (1.4826 * median_of(F.transform("h", lambda v: F.abs(v - F.col("m"))))).alias("noise"))
+    x = x.join(history, [run, step], "left").withColumn("noise", F.coalesce(F.last("noise", ignorenulls=True).over(upto), F.lit(0.0)))
+    x = x.withColumn("spiked", F.sum(F.col("spike").cast("int")).over(upto)).withColumn("rejected", F.sum((~finite(F.col("loss"))).cast("int")).over(upto))
+    forward = F.last(F.when(~(F.col("cos") < 0), F.col("i")), ignorenulls=True).over(upto)
+    x = x.withColumn("against", F.when(F.col("cos").isNotNull(), F.col("i") - F.coalesce(forward, F.lit(0))))
+    x = x.withColumn("recent", F.when(F.col("i") >= w, mid(F.col("loss"), last(w)))).withColumn("grads", mid(F.col("grad"), last(w))).withColumn("long", mid(F.col("grad"), last(2 * w)))
+    x = x.withColumn("best", F.min("recent").over(upto)).withColumn("start", F.max(F.when(F.col("i") == w, F.col("recent"))).over(every)).withColumn("start_grad", F.max(F.when(F.col("i") == 2 * w, F.col("long"))).over(every))
+    settled = (F.col("i") >= 2 * w) & (F.col("i") > warmup + w)
+    lost = F.when((F.col("start") > F.col("best")) & (F.col("recent") - F.col("best") > F.col("noise")), (F.col("recent") - F.col("best")) / (F.col("start") - F.col("best")))
+    ratio = F.when(F.col("i") >= 3 * w, F.col("grads") / F.greatest(F.col("start_grad"), F.lit(1e-12)))
+    share = F.col("spiked") / F.col("i")
+    checks = [
+        ("non_finite", "kill", F.col("rejected") >= rules.rejected_kill, F.col("rejected")),
+        ("momentum_against_gradient", "warn", F.col("against") >= rules.cos_negative_warn, F.col("against")),
+        ("loss_spikes", "warn", F.col("spiked") >= rules.spikes_warn, F.col("spiked")),
+        ("loss_spikes", "kill", (F.col("i") >= 100) & (share > rules.spikes_kill_share), share),
+        ("loss_above_start", "kill", settled & (F.col("recent") > F.col("start")), F.col("recent")),
+        ("loss_regression", "warn", settled & (lost > rules.regress_warn), lost),
+        ("loss_regression", "kill", settled & (lost > rules.regress_kill), lost),
+        ("grad_blowup", "warn", ratio > rules.blowup_warn, ratio),
+        ("grad_blowup", "kill", ratio > rules.blowup_kill, ratio),
+    ]
+    each = F.array_compact(F.array(*[F.when(holds, F.struct(F.lit(name).alias("rule"), F.lit(level).alias("level"), F.col("i").cast("long").alias("at"), value.cast("double").alias("value"))) for name, level, holds, value in checks]))
+    first = x.select(run, F.explode(each).alias("f")).groupBy(run, F.col("f.rule").alias("rule")).agg(F.min(F.struct("f.level", "f.at", "f.value")).alias("f"))  # kill comes before warn
+    return first.select(run, "rule", "f.level", "f.at", "f.value")
 
 
 def health(df: DataFrame, run: str, step: str, loss: str, grad: str, rules: HealthRules = HealthRules()) -> DataFrame:
-    """run, status, rules (JSON) of each run; a run's numbers meet in one task, in order of step."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(step)
-        fired = verdict_of(pdf[loss].astype(float).tolist(), pdf[grad].astype(float).tolist(), rules)
-        levels = {f["level"] for f in fired.values()}
-        return pd.DataFrame({run: [pdf[run].iloc[0]], "status": ["kill" if "kill" in levels else "warn" if levels else "ok"], "rules": [json.dumps({k: v["level"] for k, v in sorted(fired.items())})]})
-
-    kind = dict(df.dtypes)[run]
-    return df.select(run, step, loss, grad).groupBy(run).applyInPandas(fold, f"{run} {kind}, status string, rules string")
+    """run, status (kill, warn or ok), rules (JSON of level by rule) of each run."""
+    found = fired(df, run, step, loss, grad, rules).groupBy(run).agg(F.min("level").alias("status"), F.sort_array(F.collect_list(F.struct("rule", "level"))).alias("found"))
+    runs = df.select(run).distinct().join(found, run, "left")
+    return runs.select(run, F.coalesce("status", F.lit("ok")).alias("status"), F.coalesce(F.to_json(F.map_from_entries("found")), F.lit("{}")).alias("rules"))
 
 
 def microbatches(df: DataFrame, order: str, size: int, seconds: int, at: str, shard: str) -> DataFrame:

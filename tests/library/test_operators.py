@@ -183,11 +183,22 @@ def test_spikes_stay_out_of_history():
     assert flags[-3:] == [True, True, False] and 50.0 not in kept and len(kept) == 21
 
 
-def test_health():
-    falling = [5 - i * 0.02 for i in range(120)]
-    assert monitors.verdict_of(falling, [1.0] * 120) == {}
-    assert monitors.verdict_of(falling[::-1], [1.0] * 120)["loss_above_start"]["level"] == "kill"
-    assert monitors.verdict_of(falling, [1.0] * 60 + [30.0] * 60)["grad_blowup"]["level"] == "kill"
+def test_health(spark):
+    falling, ones = [5 - i * 0.02 for i in range(120)], [1.0] * 120
+    runs = {
+        "falling": (falling, ones), "rising": (falling[::-1], ones), "blowup": (falling, [1.0] * 60 + [30.0] * 60), "nan": (falling[:50] + [float("nan")] * 5 + falling[55:], ones),
+        "spiky": ([v + (40 if i % 10 == 9 and i > 20 else 0) for i, v in enumerate(falling)], ones), "back": (falling[:100] + [4.3] * 20, ones), "short": ([1.0, 2.0], [1.0, 1.0]),
+    }
+    df = spark.createDataFrame([(n, i, x, g, -1.0 if n == "falling" and i >= 60 else 1.0) for n, (xs, gs) in runs.items() for i, (x, g) in enumerate(zip(xs, gs, strict=True))], "run string, step long, loss double, grad double, cos double")
+    got = {(r.run, r.rule): (r.level, r["at"]) for r in monitors.fired(df, "run", "step", "loss", "grad", cosine="cos").collect()}
+    assert got[("falling", "momentum_against_gradient")] == ("warn", 110)
+    assert {k for k in got if k[0] == "falling"} == {("falling", "momentum_against_gradient")}
+    assert got[("rising", "loss_above_start")] == ("kill", 40)
+    assert got[("blowup", "grad_blowup")] == ("kill", 70)
+    assert got[("nan", "non_finite")] == ("kill", 53)
+    assert got[("spiky", "loss_spikes")] == ("kill", 100) and got[("back", "loss_regression")][0] == "warn"
+    status = {r.run: (r.status, r.rules) for r in monitors.health(df, "run", "step", "loss", "grad").collect()}
+    assert status["short"] == status["falling"] == ("ok", "{}") and status["blowup"] == ("kill", '{"grad_blowup":"kill"}')
 
 
 def test_as_of(spark):
