@@ -10,7 +10,8 @@ all segmentations, so the score of a text is its marginal log10 probability:
 
     sum over words of log10((1 - e) * marginal(word)) + log10(e),
 
-e the share of ends among the training tokens.  What is kept of the pieces is bounded by
+e the share of ends among the training tokens; vocabulary_score is the same with the
+vocabulary's own scores as weights, as they were before training.  What is kept of the pieces is bounded by
 the vocabulary; word counts are a written table that grows with the corpus.
 
 The base score needs each token's training count.  The most frequent words (at most
@@ -43,6 +44,8 @@ _B = np.uint64(0x9E3779B97F4A7C15 | 1)
 U = np.uint64
 #: Cells of the matrices that are worked on at a time.
 CELLS = 1 << 19
+#: Characters of a word that are worked on at a time; expected counts of a longer one are taken stretch by stretch.
+STRETCH = 1 << 15
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -79,14 +82,6 @@ def load_pieces(path: str) -> Pieces:
     return Pieces(tuple(names), np.log(w / w.sum()), byte)
 
 
-def _hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    """Of each row of code points the hashes of all its runs of `size`."""
-    h = np.zeros((codes.shape[0], codes.shape[1] - size + 1), U)
-    for i in range(size):
-        h = h * _B + codes[:, i : codes.shape[1] - size + 1 + i]
-    return h
-
-
 class Lattice:
     """The lattices of many words at once; words of one length are a matrix."""
 
@@ -111,7 +106,7 @@ class Lattice:
             t[slot] = rest
             self.tables.append((bits, t))
             rest, bits = rest[t[slot] != rest], max(bits - 4, 10) if len(self.tables) < 3 else 14
-        self.unknown: dict[int, float] = {}
+        self.unknown: dict[tuple[int, int], float] = {}
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """The number of the piece of each hash, or -1."""
@@ -122,39 +117,54 @@ class Lattice:
             out = np.where((got >= 0) & (self.keys[got] == h), got, out)
         return out
 
-    def edges(self, codes: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each piece length its edges' numbers (-1: none) and log probabilities, by start."""
-        index, log_p = [], []
+    def edges(self, codes: np.ndarray, *weights: np.ndarray) -> tuple[list[np.ndarray], list[list[np.ndarray]]]:
+        """For each piece length its edges' numbers (-1: none) by start, and, by weights (log probabilities of the pieces), their log probabilities."""
+        index, log_p = [], [[] for _ in weights]
         shifted = codes.astype(U) + U(1)
         h = np.zeros(codes.shape, U)
         for size in range(1, min(self.longest, codes.shape[1]) + 1):
             h = (h[:, : codes.shape[1] - size + 1] * _B) + shifted[:, size - 1 :]
             k = self.find(h)
-            p = np.where(k >= 0, self.pieces.log_p[k], -np.inf)
-            if size == 1 and (k < 0).any():
-                at = k < 0
-                p[at] = [self._bytes(c) for c in codes[at].tolist()]
             index.append(k)
-            log_p.append(p)
+            for of, weight in zip(log_p, weights, strict=True):
+                p = np.where(k >= 0, weight[k], -np.inf)
+                if size == 1 and (k < 0).any():
+                    at = k < 0
+                    p[at] = [self._bytes(c, weight) for c in codes[at].tolist()]
+                of.append(p)
         return index, log_p
 
-    def _bytes(self, code: int) -> float:
-        if code not in self.unknown:
+    def _bytes(self, code: int, weight: np.ndarray) -> float:
+        if (code, id(weight)) not in self.unknown:
             b = self.pieces.byte[list(chr(code).encode("utf-8", "surrogatepass"))]
-            self.unknown[code] = float(self.pieces.log_p[b].sum()) if (b >= 0).all() else -700.0
-        return self.unknown[code]
+            self.unknown[code, id(weight)] = float(weight[b].sum()) if (b >= 0).all() else -700.0
+        return self.unknown[code, id(weight)]
 
     @staticmethod
-    def forward(log_p: list[np.ndarray], n: int) -> np.ndarray:
+    def forward(log_p: list[np.ndarray], n: int, begun: np.ndarray | None = None) -> np.ndarray:
+        """alpha by place; begun: its first rows, where they are known."""
         m = log_p[0].shape[0]
         alpha = np.full((n + 1, m), -np.inf)
         alpha[0] = 0.0
-        for j in range(1, n + 1):
+        if begun is not None:
+            alpha[: len(begun)] = begun
+        for j in range(1 if begun is None else len(begun), n + 1):
             terms = np.stack([alpha[j - s] + log_p[s - 1][:, j - s] for s in range(1, min(len(log_p), j) + 1)])
             top = terms.max(axis=0)
             alpha[j] = top + np.log(np.exp(terms - top).sum(axis=0))
         return alpha
 
+    def last(self, codes: np.ndarray, *weights: np.ndarray) -> list[np.ndarray]:
+        """alpha at the words' end, by weights; long words go by in stretches that overlap by a piece."""
+        begun: list[np.ndarray | None] = [None] * len(weights)
+        lo, n = 0, codes.shape[1]
+        while lo < n:
+            hi, back = min(lo + STRETCH, n), min(lo, self.longest - 1)
+            _, log_p = self.edges(codes[:, lo - back : hi], *weights)
+            begun = [self.forward(p, hi - lo + back, None if b is None else b[-back - 1 :]) for p, b in zip(log_p, begun, strict=True)]
+            lo = hi
+        return [b[-1] for b in begun]
+
     @staticmethod
     def backward(log_p: list[np.ndarray], n: int) -> np.ndarray:
         m = log_p[0].shape[0]
@@ -181,19 +191,21 @@ class Lattice:
                 data = np.frombuffer("".join([words[i] for i in at]).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(at), n)
                 yield at, np.concatenate([np.full((len(at), 1), ord(MARK), np.uint32), data], axis=1)
 
-    def marginals(self, words: list[str]) -> np.ndarray:
-        """The natural log of each word's probability, over all its segmentations."""
-        out = np.zeros(len(words))
+    def marginals(self, words: list[str], *weights: np.ndarray) -> np.ndarray:
+        """[weights, words] the natural log of each word's probability, over all its segmentations; the pieces' own weights, where none are given, alone."""
+        use = weights or (self.pieces.log_p,)
+        out = np.zeros((len(use), len(words)))
         for at, codes in self.by_length(words):
-            out[at] = self.forward(self.edges(codes)[1], codes.shape[1])[-1]
-        return out
+            out[:, at] = self.last(codes, *use)
+        return out if weights else out[0]
 
     def expected(self, words: list[str], counts: np.ndarray) -> np.ndarray:
         """Expected counts of the pieces in all segmentations of the words."""
         out = np.zeros(len(self.pieces.names) + 1)
-        for at, codes in self.by_length(words):
+        stretches = ((at, codes[:, lo : lo + STRETCH]) for at, codes in self.by_length(words) for lo in range(0, codes.shape[1], STRETCH))
+        for at, codes in stretches:
             n = codes.shape[1]
-            index, log_p = self.edges(codes)
+            index, (log_p,) = self.edges(codes, self.pieces.log_p)
             alpha, beta = self.forward(log_p, n), self.backward(log_p, n)
             for s in range(1, len(log_p) + 1):
                 k = index[s - 1]
@@ -280,7 +292,7 @@ def _frequent(counts: DataFrame, most: int) -> tuple[int, dict[bytes, int]]:
 
 
 def score(docs: DataFrame, pieces: Pieces, *, folds: int = 5, held_fold: int = 1, rounds: int = 2, max_frequent: int = 200_000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row; see the module's text."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, vocabulary_score of each row; see the module's text."""
     spark = session(docs)
     counts = word_counts(docs, folds=folds, held_fold=held_fold)
     ends = docs.where(crc_mod("doc_id", folds) != held_fold).count()
@@ -288,12 +300,12 @@ def score(docs: DataFrame, pieces: Pieces, *, folds: int = 5, held_fold: int = 1
     n, v = total.n + ends, total.v + (ends > 0)
     denominator = n + 0.5 * (v + 1)
     end_share = ends / n if ends else 0.5
-    pieces = estimate(pieces, counts, rounds=rounds)
+    own, pieces = pieces.log_p, estimate(pieces, counts, rounds=rounds)
     _, frequent = _frequent(counts, max_frequent)
-    sent = spark.sparkContext.broadcast((pieces, frequent))
+    sent = spark.sparkContext.broadcast((pieces, frequent, own))
 
     def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
-        lattice, frequent = Lattice(sent.value[0]), sent.value[1]
+        lattice, frequent, own = Lattice(sent.value[0]), sent.value[1], sent.value[2]
         made = [TaskContext.get().partitionId() << 40]
         inside, end = math.log10(1 - end_share) if end_share < 1 else 0.0, math.log10(end_share)
         base_end = math.log10((ends + 0.5) / denominator)
@@ -309,7 +321,7 @@ def score(docs: DataFrame, pieces: Pieces, *, folds: int = 5, held_fold: int = 1
             key, mult = np.unique(np.concatenate([np.empty(0, np.int64), *numbered]) * len(texts) + doc, return_counts=True)
             word, doc = key // len(texts), key % len(texts)
             words = list(local)
-            log_m = lattice.marginals([w.decode() for w in words]) / math.log(10)
+            log_m, own_m = lattice.marginals([w.decode() for w in words], lattice.pieces.log_p, own) / math.log(10)
             c = np.fromiter((frequent.get(w, -1) for w in words), np.int64, len(words))
             known = np.where(c > 0, 1, 0)
             base = np.log10((np.maximum(c, 0) + 0.5) / denominator) * (c >= 0)
@@ -331,12 +343,12 @@ def score(docs: DataFrame, pieces: Pieces, *, folds: int = 5, held_fold: int = 1
                 pa.concat_arrays([pa.array(size + 1), none(pa.int64())]),
                 pa.concat_arrays([pa.array(total(known).astype(np.int64) + int(ends > 0)), none(pa.int64())]),
                 pa.concat_arrays([pa.array(total(base) + base_end), none(pa.float64())]),
-                pa.concat_arrays([pa.array(total(log_m) + size * inside + end), none(pa.float64())]),
+                *[pa.concat_arrays([pa.array(total(x) + size * inside + end), none(pa.float64())]) for x in (log_m, own_m)],
                 pa.concat_arrays([pa.nulls(len(texts), pa.binary()), pa.array([words[i] for i in w[new].tolist()], pa.binary())]),
                 lists(row[d], pa.int64()),
                 lists(k, pa.int64()),
             ]
-            return pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "rows", "times"])
+            return pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "vocabulary_score", "word", "rows", "times"])
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             texts = batch["text"].to_pylist()
@@ -352,7 +364,7 @@ def score(docs: DataFrame, pieces: Pieces, *, folds: int = 5, held_fold: int = 1
         return step
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(crc_mod("doc_id", folds) == held_fold, F.lit(False)).alias("held_out"))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, rows array<long>, times array<long>"
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, vocabulary_score double, word binary, rows array<long>, times array<long>"
     parts = written(arrow_map(rows, make, schema), "scored")
     of_words = parts.where("word is not null").select("word", "rows", "times").join(counts.select("word", "c").hint("shuffle_hash"), "word", "left")
     more = (
@@ -362,7 +374,7 @@ def score(docs: DataFrame, pieces: Pieces, *, folds: int = 5, held_fold: int = 1
     )
     return parts.where("word is null").drop("word", "rows", "times").join(more, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
-        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score", "vocabulary_score",
     )
 
 

@@ -354,6 +354,31 @@ def test_scores(spark, sf_dir, pieces, frequent):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+@pytest.mark.parametrize("stretch", [1 << 15, 4])
+def test_scores_by_enumeration(spark, pieces, monkeypatch, stretch):
+    """Both scores against the sum over all segmentations of each word; words cut into stretches come out alike."""
+    monkeypatch.setattr(lattice, "STRETCH", stretch)
+    texts = ["the cat sat", "a niño", "", None, "xyzzy 日本 the", "hello"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    e = 1 - sum(len((t or "").split()) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1) / (sum(len((t or "").split()) + 1 for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 5 != 1))
+    counts = lattice.word_counts(df, folds=5, held_fold=1)
+    trained = lattice.estimate(pieces, counts, rounds=2)
+    by_hand = lambda p, t: sum(math.log10((1 - e) * all_paths(p, w)[0]) for w in (t or "").split()) + math.log10(e)
+    # with stretches of four characters expected counts are taken by stretch, so the weights are compared as they came out
+    for r in lattice.score(df, pieces).collect():
+        assert r.vocabulary_score == pytest.approx(by_hand(pieces, texts[r.doc_id])) and r.score == pytest.approx(by_hand(trained, texts[r.doc_id]))
+
+
+def test_very_long_words(pieces):
+    la = lattice.Lattice(pieces)
+    word = "".join(random.Random(1).choice("abcdé") for _ in range(100_000))
+    whole = la.marginals([word])[0]
+    assert math.isfinite(whole) and la.expected([word], __import__("numpy").array([1.0])).sum() > 20_000
+    short = word[:300]
+    one = la.forward(la.edges(next(la.by_length([short]))[1], pieces.log_p)[1][0], 301)[-1][0]
+    assert la.marginals([short])[0] == pytest.approx(one)
+
+
 def test_training_helps(spark, sf_dir, pieces):
     df = documents(spark, sf_dir)
     mean = lambda rounds: lattice.score(df, pieces, rounds=rounds).where("held_out").selectExpr("sum(score) / sum(n_tokens)").first()[0]
