@@ -123,6 +123,40 @@ def pack(segments: DataFrame, *, buckets: tuple[int, ...], budget: int, slots: i
     return segments.select("shard", "idx", "n").groupBy("shard").applyInPandas(run, PLACED)
 
 
+def pack_part(segments: DataFrame, *, buckets: tuple[int, ...], budget: int, slots: int, bins: int = 1, best_fit: bool = False, state: DataFrame | None = None) -> DataFrame:
+    """pack() of a part of each shard's stream, with state: a row without idx that holds what the next part goes on from (shard, state)."""
+
+    def run(key: tuple, pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        packer = Packer(buckets, budget, slots, bins=bins, best_fit=best_fit)
+        if len(before):
+            packer.restore(before["state"].iloc[0])
+        pdf = pdf.sort_values("idx")
+        at = [packer.place(int(n)) or (None,) * 5 for n in pdf["n"]]
+        out = pd.DataFrame(at, columns=["bucket", "micro", "slot_row", "slot", "start"], dtype="Int32")
+        out = pd.concat([pdf[["shard", "idx"]].reset_index(drop=True).astype("Int64"), out], axis=1).assign(state=None)
+        return pd.concat([out, pd.DataFrame({"shard": [key[0]], "state": [packer.state()]})], ignore_index=True)
+
+    none = segments.sparkSession.createDataFrame([], "shard long, state string")
+    rows = segments.select(F.col("shard").cast("long").alias("shard"), "idx", "n").groupBy("shard")
+    return rows.cogroup((none if state is None else state).groupBy("shard")).applyInPandas(run, f"{PLACED}, state string")
+
+
+def accumulated(placed: DataFrame, accumulation: int) -> DataFrame:
+    """shard, bucket, step, micros: steps of `accumulation` microbatches of one bucket, in order of their numbers; what is left waits."""
+    m = placed.where("micro is not null").select("shard", "bucket", "micro").distinct()
+    step = F.floor((F.row_number().over(W.partitionBy("shard", "bucket").orderBy("micro")) - 1) / accumulation)
+    g = m.withColumn("step", step).groupBy("shard", "bucket", "step").agg(F.sort_array(F.collect_list("micro")).alias("micros"))
+    return g.where(F.size("micros") == accumulation)
+
+
+def broken_rows(tokens: DataFrame) -> DataFrame:
+    """Of tokens (row, pos, segment) the rows whose segments aren't runs of 1, 2, ... with padding (0) last."""
+    before = F.lag("segment").over(W.partitionBy("row").orderBy("pos"))
+    x = tokens.withColumn("was", F.coalesce(before, F.lit(0))).withColumn("first", before.isNull())
+    ok = F.when(F.col("segment") == 0, True).when(F.col("first"), F.col("segment") == 1).otherwise((F.col("was") > 0) & (F.col("segment") - F.col("was")).isin(0, 1))
+    return x.where(~ok).select("row").distinct()
+
+
 def drawn_segments(lengths: DataFrame, weights: dict[str, float], draws: int, *, seed: int = 0, shards: int = 8, parts: int = 64) -> DataFrame:
     """shard, idx, source, n of `draws` draws: a source by weight, then one of its rows (source, n), both by hash of (seed, draw).
 

@@ -59,3 +59,9 @@ def sqrt_quotas_grid(counts: DataFrame, total: int, *, share: float = 0.15, step
     best = counts.select("n").withColumn("g", F.lit(1)).join(F.broadcast(grid.withColumn("g", F.lit(1))), "g").groupBy("c").agg(F.sum(each).alias("s")).where(F.col("s") >= total).agg(F.coalesce(F.min("c"), F.lit(top)).alias("c"))
     c = best.first().c
     return counts.withColumn("quota", F.floor(F.least(F.col("n").cast("double"), c * F.sqrt("n"), F.lit(share * total)) + 1e-9).cast("long"))
+
+
+def epoch_quota(sources: DataFrame, *, least: float, below: float = 0.9) -> DataFrame:
+    """Adds keep to (source, n, epochs): n * epochs / least rows where epochs are under below * least (one at least), else n."""
+    k = F.greatest(F.bround(F.col("n") * F.col("epochs") / least).cast("long"), F.lit(1))
+    return sources.withColumn("keep", F.when((F.col("epochs") < below * least) & (F.col("n") > 1), k).otherwise(F.col("n")))

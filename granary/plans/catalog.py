@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("keys_text", "dedup", "mixing", "scoring", "sequences", "jobs", "adapted")
+MODULES = ("keys_text", "dedup", "mixing", "scoring", "sequences", "jobs", "adapted", "solved")
 
 
 def _entries() -> dict[str, tuple]:
