@@ -10,8 +10,8 @@ from ..functions import keys as K
 from ..functions import rules as R
 from ..functions import structured as S
 from ..operators import calibration as C
-from ..operators import mixture, packing, sampling
-from ..sources.tables import PRED, predictions, table
+from ..operators import fixes, packing, sampling
+from ..sources.tables import PRED, predictions, table, train_items
 from .sequences import LOG, metric_log
 
 Q: dict[str, tuple] = {}
@@ -246,6 +246,18 @@ def label_names(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("source").distinct().agg(F.array_join(F.array_sort(F.collect_list("source")), ",").alias("labels")).select(F.lit("documents").alias("name"), "labels")
 
 
+@query()
+def fixed_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Texts with planted damage mended: control characters, references, literals, the language tag."""
+    x = train_items(spark, d).withColumn("state", F.concat(F.lit("\u0001"), "state", F.when(F.col("id") % 2 == 0, " &amp;amp; {'a': None, 'b': 'c'}").otherwise("")))
+    return fixes.fixed_items(x, retag=True).select(F.col("id").alias("doc_id"), F.md5("state").alias("md5"), "lang", F.array_join("fixes", ",").alias("fixes"))
+
+
+@query()
+def fix_report(spark: SparkSession, d: str) -> DataFrame:
+    return fixes.fix_counts(fixes.fixed_items(train_items(spark, d), retag=True))
+
+
 # ---- reports
 
 @query(f"""WITH {PRED}, a AS (SELECT type, lang, avg(hit) AS accuracy, count(*) AS n FROM pred GROUP BY 1, 2)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import rules as R
 from granary.functions import structured as S
-from granary.operators import calibration, decontam, hygiene, metrics, near, packing, render, votes
+from granary.operators import calibration, decontam, fixes, hygiene, metrics, near, packing, render, votes
 
 
 def one(spark, *columns):
@@ -153,3 +153,12 @@ def test_named_sets_and_numbering(spark):
         assert len(set(r.others)) == 3 and r.name not in r.others
     few = render.distractors(items.withColumn("name", F.lit("n0")), spark.createDataFrame([("n0",), ("n1",)], "name string"), 3)
     assert {tuple(r.others) for r in few.collect()} == {("n1",)}
+
+
+def test_fixes(spark):
+    french = "le chat est dans la maison et il ne veut pas que je sois avec lui pour la nuit"
+    rows = [(1, "a\x01b &amp;#39;c&amp;#39;", "en"), (2, "say {'a': None, 'b': [1]} now", "en"), (3, french, "en"), (4, "plain", "en"), (5, None, None)]
+    got = {r.id: (r.state, r.lang, r.fixes) for r in fixes.fixed_items(spark.createDataFrame(rows, "id long, state string, lang string"), retag=True).collect()}
+    assert got == {1: ("ab 'c'", "en", ["state"]), 2: ('say {"a": null, "b": [1]} now', "en", ["state"]), 3: (french, "fr", ["lang:en->fr"]), 4: ("plain", "en", []), 5: (None, None, [])}
+    texts = spark.createDataFrame([("{'level': 'low', 'definition': 'none of it'}",), ("['a', None, 'b']",), ("[not] one",), (None,)], "t string")
+    assert [r[0] for r in texts.select(fixes.literal_text_udf("t")).collect()] == ["low: none of it", "a; b", "[not] one", None]
