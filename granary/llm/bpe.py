@@ -8,7 +8,8 @@ worked on once, however often it occurs, and nothing is shuffled.
 
 Defined results.  A null text counts as empty: no tokens, and the hashes of no bytes.
 Rows are neither dropped nor merged; repeated ids give repeated rows.  A piece of any
-length is encoded: a round of a long one's query contracts all places of its pair of
+length is encoded: a long one is cut between bytes that stand side by side in no token,
+which no merge crosses, a round of what is still long contracts all places of its pair of
 least rank, and what a query gathers is bounded by bytes.  Extra columns are ignored.
 """
 
@@ -133,6 +134,7 @@ class Coder:
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         import duckdb
+        import numpy as np
         import regex
 
         self.split = regex.compile(vocabulary.pattern).findall
@@ -150,6 +152,12 @@ class Coder:
         #: What a piece's ids, as decimals, decode to: texts are decoded from the ids that are given out, and never from their own pieces.
         self.bytes: dict[str, bytes] = {}
         self.token = {k: t for t, k in self.ranks.items()}
+        # bytes that stand side by side in some token: no merge joins others
+        self.joined = np.zeros((256, 256), bool)
+        for t in self.ranks:
+            if len(t) > 1:
+                a = np.frombuffer(t, np.uint8)
+                self.joined[a[:-1], a[1:]] = True
 
     @staticmethod
     def _plain(text: str) -> bytes:
@@ -180,12 +188,12 @@ class Coder:
             self.db.execute(f"CREATE OR REPLACE TABLE ini AS SELECT w, generate_subscripts(ids, 1)::BIGINT AS p, unnest(ids) AS tok FROM got WHERE step = {rounds} AND NOT early")
 
     @staticmethod
-    def _parts(rest: list[tuple[str, bytes]]) -> Iterator[list[tuple[str, bytes]]]:
+    def _parts(rest: list[bytes]) -> Iterator[list[bytes]]:
         """Short and long pieces apart; what a query gathers of a part stays within QUERY_IDS, or a part is one piece."""
         for long in (False, True):
             part, size = [], 0
             for x in rest:
-                n = len(x[1])
+                n = len(x)
                 if (n >= LONG_BYTES) != long:
                     continue
                 n *= 32 if long else min(n, QUERY_ROUNDS)
@@ -197,27 +205,43 @@ class Coder:
             if part:
                 yield part
 
+    def _segments(self, data: bytes) -> list[bytes]:
+        """A piece's stretches that no merge crosses; a short piece is one."""
+        import numpy as np
+
+        if len(data) < LONG_BYTES:
+            return [data]
+        x = np.frombuffer(data, np.uint8)
+        cuts = [0, *(np.flatnonzero(~self.joined[x[:-1], x[1:]]) + 1).tolist(), len(data)]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
     def learn(self, pieces: set[str]) -> None:
         """Encodes and decodes those of the pieces that aren't known yet."""
         import numpy as np
 
-        rest: list[tuple[str, bytes]] = []
-        for p in pieces - self.ids.keys():
-            b = p.encode()
+        segments = {p: self._segments(p.encode()) for p in pieces - self.ids.keys()}
+        known: dict[bytes, tuple[str, bytes]] = {}
+        rest: list[bytes] = []
+        for b in {b for parts in segments.values() for b in parts}:
             if (k := self.ranks.get(b)) is not None:
-                self._keep(p, str(k), self.token[k])
-            else:
-                rest.append((p, b))
+                known[b] = str(k), self.token[k]
+            elif b:
+                rest.append(b)
         table = np.array(self.byte, np.int32)
         for part in self._parts(rest):
-            sizes = np.fromiter((len(b) for _, b in part), np.int64, len(part))
-            data = np.frombuffer(b"".join([b for _, b in part]), np.uint8)
+            sizes = np.fromiter(map(len, part), np.int64, len(part))
+            data = np.frombuffer(b"".join(part), np.uint8)
             w = np.repeat(np.arange(len(part), dtype=np.int32), sizes)
             p = np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             self._rounds(pa.table({"w": w, "p": p, "tok": table[data]}))
             got = self.db.sql(BOTH_SQL).to_arrow_table()
             for k, ids, text in zip(got["w"].to_numpy().tolist(), got["ids"].to_numpy(), got["decoded"].to_numpy(), strict=True):
-                self._keep(part[k][0], ids, self._plain(text))
+                known[part[k]] = ids, self._plain(text)
+        for p, parts in segments.items():
+            if len(parts) == 1:
+                self._keep(p, *known[parts[0]])
+            else:
+                self._keep(p, ",".join([known[b][0] for b in parts]), b"".join([known[b][1] for b in parts]))
 
     def decode(self, ids: list[list[int]]) -> list[bytes]:
         out = [b""] * len(ids)

@@ -104,6 +104,20 @@ def test_bpe_long_pieces(vocabulary, encoder):
         assert [int(x) for x in ids.split(",") if x] == encoder.encode_ordinary(t) and decoded == t.encode()
 
 
+def test_bpe_a_million_letters(vocabulary, encoder):
+    import base64
+    import time
+
+    rng = random.Random(1)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000)), base64.b64encode(rng.randbytes(750_000)).decode()]
+    coder = bpe.Coder(vocabulary)
+    for t in texts:
+        began = time.time()
+        ((ids, decoded),) = coder.texts([t])
+        assert time.time() - began < 60
+        assert decoded == t.encode() and sha(ids) == sha(",".join(map(str, encoder.encode_ordinary(t))))
+
+
 def test_bpe_out_of_order_ranks(monkeypatch):
     """A vocabulary whose contractions make pairs of lesser rank: long pieces are then contracted one place at a time."""
     monkeypatch.setattr(bpe, "LONG_BYTES", 8)
