@@ -13,6 +13,8 @@ from ..operators import metrics as M
 from ..sources import store
 from ..sources.tables import PRED, held_items, predictions, table, train_items
 from . import build
+from ..functions.text import ARTEFACTS
+from .dedup import CLEAN, JACCARD, REF, _bands, _sig
 from .keys_text import DOC_KEY, WORDS
 from .scoring import GRID
 from .sequences import LOG, metric_log
@@ -155,12 +157,26 @@ def quality_report(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(r.select("source", "n_rows", "duplicates", "short", "p50", "p99"))
 
 
-@query()
+@query(f"""WITH {REF}, hit AS (SELECT DISTINCT id FROM tg JOIN ref USING (gram)),
+k AS (SELECT doc_id, source, {DOC_KEY} AS key, len({WORDS}) AS n, contains(text, '�') OR regexp_matches(text, '{ARTEFACTS['mojibake']}') AS damaged, {' OR '.join(f"regexp_matches(text, '{p.replace(chr(39), chr(39) * 2)}')" for p in ARTEFACTS.values())} AS flagged FROM documents),
+f AS (SELECT key, min(doc_id) AS first FROM k GROUP BY key),
+r AS (SELECT source, count(*) AS n, count(*) FILTER (doc_id > first) AS duplicates, count(*) FILTER (doc_id IN (SELECT id FROM hit)) AS hits, count(*) FILTER (n < 10) AS short, count(*) FILTER (damaged) AS damaged, count(*) FILTER (flagged) AS flagged FROM k JOIN f USING (key) GROUP BY source),
+a AS (SELECT source, 5.0 AS w, hits / n AS share, 0.0 AS least, 'drop rows that hold benchmark text' AS advice FROM r UNION ALL SELECT source, 3, duplicates / n, 0.05, 'remove duplicates' FROM r UNION ALL SELECT source, 3, damaged / n, 0, 'repair or drop damaged texts' FROM r
+  UNION ALL SELECT source, 2, flagged / n, 0.02, 'clean artefacts' FROM r UNION ALL SELECT source, 1, short / n, 0.1, 'check short texts' FROM r)
+SELECT source, round(w * (1 + share), 6)::DOUBLE AS severity, advice FROM a WHERE share > least""")
 def report_recommendations(spark: SparkSession, d: str) -> DataFrame:
     return build.recommendations(build.quality_report(train_items(spark, d), held_items(spark, d)))
 
 
-@query()
+@query(f"""WITH u AS (SELECT *, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM documents), refs AS (SELECT 'd' || doc_id AS rid, doc_id AS ref, text FROM u WHERE h % 1000 < 100 UNION ALL SELECT 'b' || item_id, item_id, text FROM benchmark),
+bg AS (SELECT DISTINCT rid, unnest([array_to_string(w[i:i + 7], ' ') FOR i IN range(1, len(w) - 6)]) AS gram FROM (SELECT rid, {WORDS} AS w FROM refs)),
+ref AS (SELECT DISTINCT gram FROM bg WHERE gram NOT IN (SELECT gram FROM bg GROUP BY gram HAVING count(*) >= greatest(5, ceil(0.01 * (SELECT count(*) FROM refs))))),
+x AS (SELECT doc_id, source, text, {DOC_KEY} AS key, {WORDS} AS w FROM u WHERE h % 1000 >= 100), hit AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest([array_to_string(w[i:i + 7], ' ') FOR i IN range(1, len(w) - 6)]) AS gram FROM x) JOIN ref USING (gram)),
+r AS (SELECT doc_id, source, key, CASE WHEN key IN (SELECT {DOC_KEY} FROM refs) THEN 'equals_heldout' WHEN doc_id IN (SELECT doc_id FROM hit) THEN 'shares_8gram'
+  WHEN length(regexp_replace(text, '[^\p{{L}}\p{{N}}_]', '', 'g')) < 40 THEN 'too_short' WHEN contains(text, '�') OR regexp_matches(text, '{ARTEFACTS['mojibake']}') THEN 'damaged' END AS reason FROM x),
+f AS (SELECT key, min(doc_id) AS first FROM r WHERE reason IS NULL GROUP BY key), c AS (SELECT source, CASE WHEN reason IS NULL AND doc_id > first THEN 'duplicate' ELSE reason END AS reason FROM r LEFT JOIN f USING (key))
+SELECT 'train' AS part, source, least(count(*), 1000) AS n FROM c WHERE reason IS NULL GROUP BY source UNION ALL SELECT 'dropped:' || reason, source, count(*) FROM c WHERE reason IS NOT NULL GROUP BY reason, source
+UNION ALL SELECT (['validation', 'calibration', 'test'])[h % 3 + 1], source, count(*) FROM u WHERE h % 1000 < 100 GROUP BY 1, 2""")
 def built_mix(spark: SparkSession, d: str) -> DataFrame:
     """A mix built from documents against benchmark: rows by part, and the drops by reason."""
     m = build.build_mix(train_items(spark, d), held_items(spark, d), cap=1000)
@@ -170,7 +186,11 @@ def built_mix(spark: SparkSession, d: str) -> DataFrame:
     return train.unionByName(held).unionByName(drops)
 
 
-@query()
+@query(f"""{CLEAN.replace('FROM documents),\nf AS', 'FROM documents WHERE doc_id % 2 = 1),\nf AS')}, s AS MATERIALIZED (SELECT * FROM {_sig('documents', 'doc_id')}), kb AS MATERIALIZED (SELECT * FROM {_bands('s')}),
+nc AS (SELECT DISTINCT x.id AS id, y.id AS ref FROM kb x JOIN kb y USING (band, key) WHERE x.id % 2 = 1 AND y.id % 2 = 0),
+near AS (SELECT DISTINCT nc.id FROM nc JOIN s a ON a.id = nc.id JOIN s b ON b.id = nc.ref WHERE {JACCARD.format(a='a.sig', b='b.sig')} >= 0.8),
+fresh AS (SELECT c.doc_id, c.source FROM c JOIN r USING (doc_id, source) WHERE c.reason IS NULL AND r.key NOT IN (SELECT {DOC_KEY} FROM documents WHERE doc_id % 2 = 0) AND c.doc_id NOT IN (SELECT id FROM near))
+SELECT source, count(*) AS n FROM (SELECT source FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT source FROM fresh) GROUP BY source""")
 def extended_mix(spark: SparkSession, d: str) -> DataFrame:
     """The even documents extended by the odd ones: exact and near duplicates of the base stay out."""
     items = train_items(spark, d)

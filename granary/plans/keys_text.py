@@ -220,7 +220,11 @@ def ngram_diversity(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy("source").agg(F.sum("c").alias("n"), F.count("*").alias("n_distinct")).withColumn("ratio", F.round(F.col("n_distinct") / F.col("n"), 6))
 
 
-@query()
+@query("""WITH t AS (SELECT item_id, regexp_replace(text, '[ \\t\\r\\n]+', '', 'g') AS t FROM benchmark), x AS (SELECT a.item_id, a.t AS h, b.t AS r FROM t a JOIN t b ON a.item_id = b.item_id + 1),
+g AS (SELECT item_id, n, 'h' AS side, unnest([substr(h, i, n) FOR i IN range(1, length(h) - n + 2)]) AS gram FROM x, range(1, 7) q(n) UNION ALL SELECT item_id, n, 'r', unnest([substr(r, i, n) FOR i IN range(1, length(r) - n + 2)]) FROM x, range(1, 7) q(n)),
+c AS (SELECT item_id, n, gram, count(*) FILTER (side = 'h') AS a, count(*) FILTER (side = 'r') AS b FROM g GROUP BY 1, 2, 3),
+s AS (SELECT item_id, n, sum(least(a, b)) / sum(a) AS p, sum(least(a, b)) / sum(b) AS q FROM c GROUP BY 1, 2 HAVING sum(a) > 0 AND sum(b) > 0)
+SELECT item_id, round(100 * avg(CASE WHEN p + q > 0 THEN 5 * p * q / (4 * p + q) ELSE 0 END), 6) AS chrf FROM s GROUP BY item_id""")
 def chrf_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """chrF of each benchmark item against the one before it."""
     b = table(spark, d, "benchmark")
@@ -228,7 +232,7 @@ def chrf_neighbours(spark: SparkSession, d: str) -> DataFrame:
     return b.join(prior, "item_id").select("item_id", F.round(T.chrf_udf("text", "before"), 6).alias("chrf"))
 
 
-@query()
+@query("""SELECT event_id, 'see ' || props AS fixed FROM events""")
 def repr_to_json(spark: SparkSession, d: str) -> DataFrame:
     """Python reprs within texts as JSON; made from the events' properties."""
     e = table(spark, d, "events")

@@ -182,7 +182,10 @@ def fitted_temperature(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(round(t, 4),)], "t double")
 
 
-@query()
+@query(f"""{WITH}, b AS (SELECT type, floor(conf * 200) AS bin, avg(conf) AS x, avg(hit) AS y, count(*)::DOUBLE AS w FROM pred GROUP BY 1, 2),
+s AS (SELECT type, x, w, y * w AS v, row_number() OVER (PARTITION BY type ORDER BY x) AS i, sum(w) OVER (PARTITION BY type ORDER BY x) AS sw, sum(y * w) OVER (PARTITION BY type ORDER BY x) AS sv FROM b),
+m AS (SELECT l.type, l.i AS lo, h.i AS hi, min((h.sv - l.sv + l.v) / (h.sw - l.sw + l.w)) OVER (PARTITION BY l.type, l.i ORDER BY h.i DESC) AS least FROM s l JOIN s h ON l.type = h.type AND l.i <= h.i)
+SELECT s.type, round(any_value(s.x), 6) AS x, round(max(least), 6) AS fit FROM s JOIN m ON m.type = s.type AND m.hi = s.i GROUP BY s.type, s.i""")
 def isotonic_by_type(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(M.isotonic(predictions(spark, d), ["type"]))
 

@@ -64,7 +64,11 @@ def line_fit(spark: SparkSession, d: str) -> DataFrame:
     return p.groupBy("g").agg(F.round(F.regr_slope("y", "x"), 6).alias("slope"), F.round(F.regr_intercept("y", "x"), 6).alias("intercept"), F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH p AS (SELECT l_linenumber::DOUBLE AS x, l_returnflag AS g, avg(l_extendedprice) / 10000 AS y FROM lineitem GROUP BY 1, 2),
+s AS (SELECT g, count(*)::DOUBLE AS n, sum(x) AS x1, sum(x ** 2) AS x2, sum(x ** 3) AS x3, sum(x ** 4) AS x4, sum(y) AS y0, sum(x * y) AS y1, sum(x ** 2 * y) AS y2 FROM p GROUP BY g),
+d AS (SELECT *, n * (x2 * x4 - x3 * x3) - x1 * (x1 * x4 - x2 * x3) + x2 * (x1 * x3 - x2 * x2) AS d FROM s),
+f AS (SELECT g, (y0 * (x2 * x4 - x3 * x3) - x1 * (y1 * x4 - y2 * x3) + x2 * (y1 * x3 - y2 * x2)) / d AS a, (n * (y1 * x4 - y2 * x3) - y0 * (x1 * x4 - x2 * x3) + x2 * (x1 * y2 - x2 * y1)) / d AS b, (n * (x2 * y2 - x3 * y1) - x1 * (x1 * y2 - x2 * y1) + y0 * (x1 * x3 - x2 * x2)) / d AS c FROM d)
+SELECT g, round(a, 6) AS a, round(b, 6) AS b, round(c, 6) AS c, round(-b / (2 * c), 6) AS vertex FROM f""")
 def lr_curve_fit(spark: SparkSession, d: str) -> DataFrame:
     """A parabola in a knob and its vertex, by sums."""
     p = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").cast("double").alias("x"), F.col("l_returnflag").alias("g")).agg((F.avg("l_extendedprice") / 10000).alias("y"))

@@ -226,7 +226,7 @@ def tool_texts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), S.tool_text(F.col("p_name"), F.concat_ws(" ", "p_type", "p_brand"), params, description_chars=20).alias("text"))
 
 
-@query()
+@query("""SELECT n_nationkey, '{"name":"' || CASE WHEN n_name = 'FRANCE' THEN 'Frankreich' ELSE n_name END || '","key":' || n_nationkey || ',"inner":{"name":"' || CASE WHEN n_name = 'FRANCE' THEN 'Frankreich' ELSE n_name END || '"}}' AS json FROM nation""")
 def substituted_json(spark: SparkSession, d: str) -> DataFrame:
     """String values of JSON texts exchanged by a table, the rest byte for byte."""
     j = F.to_json(F.struct(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"), F.struct(F.col("n_name").alias("name")).alias("inner")))
