@@ -168,7 +168,7 @@ def report_recommendations(spark: SparkSession, d: str) -> DataFrame:
     return build.recommendations(build.quality_report(train_items(spark, d), held_items(spark, d)))
 
 
-@query(f"""WITH u AS (SELECT *, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM documents), refs AS (SELECT 'd' || doc_id AS rid, doc_id AS ref, text FROM u WHERE h % 1000 < 100 UNION ALL SELECT 'b' || item_id, item_id, text FROM benchmark),
+@query(rf"""WITH u AS (SELECT *, ('0x' || substr(sha256(doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM documents), refs AS (SELECT 'd' || doc_id AS rid, doc_id AS ref, text FROM u WHERE h % 1000 < 100 UNION ALL SELECT 'b' || item_id, item_id, text FROM benchmark),
 bg AS (SELECT DISTINCT rid, unnest([array_to_string(w[i:i + 7], ' ') FOR i IN range(1, len(w) - 6)]) AS gram FROM (SELECT rid, {WORDS} AS w FROM refs)),
 ref AS (SELECT DISTINCT gram FROM bg WHERE gram NOT IN (SELECT gram FROM bg GROUP BY gram HAVING count(*) >= greatest(5, ceil(0.01 * (SELECT count(*) FROM refs))))),
 x AS (SELECT doc_id, source, text, {DOC_KEY} AS key, {WORDS} AS w FROM u WHERE h % 1000 >= 100), hit AS (SELECT DISTINCT doc_id FROM (SELECT doc_id, unnest([array_to_string(w[i:i + 7], ' ') FOR i IN range(1, len(w) - 6)]) AS gram FROM x) JOIN ref USING (gram)),
