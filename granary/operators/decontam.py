@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .near import spread
 
 
 def grams(df: DataFrame, *keep: str, n: int = 8, text: str = "state") -> DataFrame:
     """keep and gram: the hashes of the distinct word n-grams of each row."""
-    return df.select(*keep, F.explode(T.gram_hashes(T.words(text), n)).alias("gram"))
+    return spread(df).select(*keep, F.explode(T.gram_hashes(T.words(text), n)).alias("gram"))
 
 
 def template_hashes(df: DataFrame, *, n: int = 8, share: float = 0.01, least: int = 5) -> DataFrame:

@@ -30,6 +30,7 @@ def too_long(text: Column | str, limit: int, count: Column | None = None) -> Col
 
 def reasons(train: DataFrame, held: DataFrame, *, min_chars: int = 40, need: int = 1) -> DataFrame:
     """train with key and reason: equals_heldout, shares_8gram, too_short, damaged, or null."""
+    train = near.spread(train)
     rows = train.withColumn("key", F.md5(T.norm_key("state")))
     equal = held.select(F.md5(T.norm_key("state")).alias("key")).distinct().withColumn("equal", F.lit(True))
     hit = decontam.gram_hits(train, decontam.ref_grams(held), need=need).select("id").distinct().withColumn("hit", F.lit(True))

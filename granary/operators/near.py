@@ -71,7 +71,7 @@ def signature(words: Column, perms: int = PERMS, k: int = 3) -> Column:
                 out[i] = s
         return pd.Series(out)
 
-    return sign(words)
+    return sign.asNondeterministic()(words)  # so that a filter on the result isn't pushed below it, which would make each signature twice
 
 
 def band_keys(sig: Column, bands: int = BANDS, key: Column | None = None) -> Column:
