@@ -16,6 +16,7 @@ from .minhash import op7_minhash
 from .secrets import op2_secrets
 from .substrings import op9_substrings
 from .suffixes import op10_suffixes
+from .token_files import op13_token_files
 from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_substrings": op9_substrings,
     "op10_suffixes": op10_suffixes,
+    "op13_token_files": op13_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
