@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, secrets
+from . import hosts, phrases, secrets
 from .bpe import op1_bpe
 from .decontaminate import op4_decontaminate
 from .extraction import op6_extraction
 from .hosts import op3_hosts
 from .lattice import op5_lattice
 from .minhash import op7_minhash
+from .periodic import op12_periodic
+from .phrases import op11_collocations
 from .secrets import op2_secrets
 from .substrings import op9_substrings
 from .suffixes import op10_suffixes
@@ -30,10 +32,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_substrings": op9_substrings,
     "op10_suffixes": op10_suffixes,
+    "op11_collocations": op11_collocations,
+    "op12_periodic": op12_periodic,
     "op13_token_files": op13_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_secrets": secrets.ORACLE,
     "op3_hosts": hosts.ORACLE,
+    "op11_collocations": phrases.ORACLE,
 }
