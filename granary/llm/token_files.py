@@ -394,7 +394,9 @@ class _Reader(DataSourceReader):
 
         return [_Part(s["file"], s["start"]) for s in Shards(self.path).manifest["shards"] if may(s)]
 
-    def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
+    def read(self, part: _Part | None) -> Iterator[pa.RecordBatch]:
+        if part is None:  # Spark's way to read without partitions
+            return
         shards = Shards(self.path)
         index = shards.index(part.file)
         for f in self.filters:  # null ids meet no filter
