@@ -9,15 +9,17 @@ the one with the smallest k.  A candidate goes if a longer one (itself dropped o
 holds its words contiguously and is at least half as frequent.
 
 Counting is suffix-sigma.  Each word begins a suffix of at most max_n words; a task
-counts equal suffixes of its documents before anything moves, and the counted suffixes
-are written as a table.  They are dealt by language and first word, sorted in
-reverse-lexicographic order, and one stack, carried from batch to batch, counts all
-prefixes: as suffixes come, those prefixes that the next one doesn't share are closed.
-
-Hot words.  Prefixes of at least 1 / (2 * partitions) of the table's rows are hot, so there
-are at most 2 * partitions of each length, which is why they may be broadcast.  Suffixes
-under a hot prefix are dealt by one more word, the last words by hash.  The counts of hot
-prefixes (and of languages) then come in parts; only those are added up by a second
+counts equal suffixes of a slice of its documents before anything moves, deals them by
+language and first word to parts, sorts each part's and packs it: a list of its words and
+numbers into that list, compressed.  So a row that moves is a part's share of a slice (at
+most one for each suffix).  A part unpacks its rows, numbers its words in reverse
+lexicographic order, sorts by that, and counts all prefixes with one stack: equal
+prefixes stand side by side, and one is closed where the next suffix doesn't share it.
+
+Hot words.  The parts' suffixes are counted before they are sorted.  A part with more than
+`LARGE` and four times the mean is unpacked row by row and dealt anew by the next word,
+and what is still too large by the one after that.  In a part dealt by m words, counts of
+prefixes of fewer than m words are partial; only those are added up by a second
 aggregation.  Others are complete where they are counted, and go there if under min_count.
 
 The scores join written tables by phrase, whose skewed partitions Spark splits.  Products
@@ -31,6 +33,7 @@ both descending, then the phrase's UTF-8 bytes.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,164 +43,192 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import release_memory, session, table, written
+from ._common import arrow_map, release_memory, session, table, written
 
-#: Bytes of text whose suffixes are counted at once, and counted suffixes after which a task gives them out.
-SLICE_BYTES, HELD = 6 << 20, 1_000_000
-PIECES, SPACES = "[.,;:!?\\n\\x0B\\f\\r]", "[ \\t]+"
+#: Bytes of text whose suffixes are counted at once, and suffixes that any part may have.
+SLICE_BYTES, LARGE = 12 << 20, 200_000
+PIECES, SPACES = "[.,;:!?\n\x0B\f\r]", "[ \t]+"
+PACKED = "part string, level int, lang string, suffixes long, words long, packed binary"
 
 
-# ---- suffixes of a task
+# ---- suffixes of a slice
 
-def _slice_suffixes(texts: pa.Array, langs: pa.Array, max_n: int) -> pa.Table:
-    """lang, w1 .. w<max_n> (null where the piece ends), n: the different truncated suffixes of some texts."""
-    lower = pc.ascii_lower(texts)
-    pieces = pc.split_pattern_regex(lower, PIECES)
+def _counted(texts: pa.Array, langs: pa.Array, max_n: int) -> Iterator[tuple[str, np.ndarray, list[np.ndarray], np.ndarray]]:
+    """Of each language: its words, the different truncated suffixes as columns of word numbers (0: none, i: word i - 1), and how often each occurs."""
+    pieces = pc.split_pattern_regex(pc.ascii_lower(texts), PIECES)
     words = pc.split_pattern_regex(pieces.flatten(), SPACES)
     flat = words.flatten()
-    real = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    before = np.r_[0, np.cumsum(real)]
+    real = pc.greater(pc.binary_length(flat), 0)
+    before = np.r_[0, np.cumsum(real.to_numpy(zero_copy_only=False))]
     piece_at = before[words.offsets.to_numpy()]  # where pieces begin among the real words
-    coded = flat.filter(pa.array(real)).dictionary_encode()
-    code, n = coded.indices.to_numpy().astype(np.int64), len(coded)
+    text_at = piece_at[pieces.offsets.to_numpy()]
+    coded = flat.filter(real).dictionary_encode()
+    code, n = coded.indices.to_numpy().astype(np.int64) + 1, len(coded)
     if not n:
-        return _table(pa.array([], pa.string()), [pa.array([], pa.string())] * max_n, np.empty(0, np.int64))
-    sizes = np.diff(piece_at)
-    end = np.repeat(piece_at[1:], sizes)
+        return
+    end = np.repeat(piece_at[1:], np.diff(piece_at))
     lang = langs.dictionary_encode()
-    text_words = np.diff(piece_at[pieces.offsets.to_numpy()])
-    key = np.repeat(lang.indices.to_numpy().astype(np.int64), text_words)
-    base = len(coded.dictionary) + 1
-    columns = [key]
-    for d in range(max_n):
-        at = np.arange(n) + d
-        columns.append(np.where(at < end, code[np.minimum(at, n - 1)] + 1, 0))
-        # numbers of the different prefixes so far, so that the key never outgrows 64 bits
-        key = key * base + columns[-1]
-        _, first, key = np.unique(key, return_index=True, return_inverse=True)
-    counts = np.bincount(key)
-    names = pa.concat_arrays([pa.array([None], pa.string()), coded.dictionary])
-    return _table(lang.dictionary.take(pa.array(columns[0][first])), [names.take(pa.array(c[first])) for c in columns[1:]], counts)
-
-
-def _table(lang: pa.Array, words: list[pa.Array], n: np.ndarray) -> pa.Table:
-    return pa.table({"lang": lang, **{f"w{i + 1}": w for i, w in enumerate(words)}, "n": pa.array(n, pa.int64())})
-
-
-def suffixes(docs: DataFrame, max_n: int) -> DataFrame:
-    """The counted suffixes of each task: lang, w1 .. w<max_n>, n."""
-    names = ["lang", *[f"w{i + 1}" for i in range(max_n)]]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-
-        def given() -> Iterator[pa.RecordBatch]:
-            if held:
-                merged = pa.concat_tables(held).group_by(names, use_threads=False).aggregate([("n", "sum")]).rename_columns([*names, "n"])
-                held.clear()
-                yield from merged.combine_chunks().to_batches(max_chunksize=100_000)
-
-        for batch in batches:
+    of = np.repeat(lang.indices.to_numpy(), np.diff(text_at))
+    names = coded.dictionary
+    for g, name in enumerate(lang.dictionary.to_pylist()):
+        at = np.flatnonzero(of == g)
+        key, columns = np.zeros(len(at), np.int64), []
+        for d in range(max_n):
+            columns.append(np.where(at + d < end[at], code[np.minimum(at + d, n - 1)], 0))
+            # numbers of the different prefixes so far, so that the key never outgrows 64 bits
+            _, first, key = np.unique(key * (len(names) + 1) + columns[-1], return_index=True, return_inverse=True)
+        if len(at):
+            yield name, names, [c[first] for c in columns], np.bincount(key)
+
+
+def _hashes(names: pa.Array) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w) for w in names.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint32, len(names))
+
+
+def _pack(names: pa.Array, columns: list[np.ndarray], n: np.ndarray) -> bytes:
+    """Sorted suffixes: used words on end with their sizes, then the columns, compressed."""
+    import zstandard
+
+    used = np.unique(np.concatenate(columns))
+    used = used[used > 0]
+    words = names.take(pa.array(used - 1)).cast(pa.binary())
+    number = lambda c: np.where(c > 0, np.searchsorted(used, np.maximum(c, 1)) + 1, 0).astype("<u4")
+    spelled = b"".join(words.to_numpy(zero_copy_only=False))
+    head = np.array([len(used), len(spelled), len(n)], "<u8")
+    body = [head.tobytes(), pc.binary_length(words).to_numpy().astype("<u4").tobytes(), spelled, *[number(c).tobytes() for c in columns], n.astype("<u8").tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(body))
+
+
+def _unpack(packed: bytes, max_n: int) -> tuple[pa.Array, list[np.ndarray], np.ndarray]:
+    import zstandard
+
+    x = zstandard.ZstdDecompressor().decompress(packed)
+    words, spelled, m = (int(v) for v in np.frombuffer(x, "<u8", 3))
+    at = 24 + 4 * words
+    offsets = np.r_[0, np.cumsum(np.frombuffer(x, "<u4", words, 24))].astype(np.int32)
+    names = pa.Array.from_buffers(pa.binary(), words, [None, pa.py_buffer(offsets), pa.py_buffer(x[at : at + spelled])])
+    at += spelled
+    columns = [np.frombuffer(x, "<u4", m, at + 4 * m * d).astype(np.int64) for d in range(max_n)]
+    return names.cast(pa.string()), columns, np.frombuffer(x, "<u8", m, at + 4 * m * max_n).astype(np.int64)
+
+
+def _rows(above: list[str], level: int, lang: str, names: pa.Array, columns: list[np.ndarray], n: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """A row for each place: the suffixes dealt there, sorted."""
+    order = np.lexsort([*columns[::-1], places])
+    cuts = np.flatnonzero(np.r_[True, np.diff(places[order]) != 0, True])
+    groups = [order[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    return pa.RecordBatch.from_arrays([
+        pa.array(["/".join([*above, str(places[k[0]])]) for k in groups]), pa.array([level] * len(groups), pa.int32()), pa.array([lang] * len(groups)), pa.array([len(k) for k in groups], pa.int64()),
+        pa.array([int(n[k].sum()) for k in groups], pa.int64()), pa.array([_pack(names, [c[k] for c in columns], n[k]) for k in groups], pa.binary())],
+        names=["part", "level", "lang", "suffixes", "words", "packed"])
+
+
+def suffixes(docs: DataFrame, max_n: int, parts: int) -> DataFrame:
+    """PACKED: the suffixes of each slice, dealt by language and first word."""
+
+    def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             texts, langs = pc.fill_null(batch["text"], ""), pc.fill_null(batch["lang"], "und")
             place = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64)) // SLICE_BYTES
             cuts = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(texts)]
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 if hi > lo:
-                    held.append(_slice_suffixes(texts[lo:hi], langs[lo:hi], max_n))
-                    if sum(map(len, held)) > HELD:
-                        yield from given()
-        yield from given()
-        release_memory()
-
-    return docs.select("text", F.col("lang").cast("string").alias("lang")).mapInArrow(run, ", ".join(f"{c} string" for c in names) + ", n long")
-
-
-# ---- dealing and the stack
-
-def _dealt(rows: DataFrame, max_n: int, parts: int) -> DataFrame:
-    """rows with `hot`, the length of their longest hot prefix (0: none), dealt; see the module's text."""
-    names = [f"w{i + 1}" for i in range(max_n)]
-    least = max(1, rows.count() // (2 * parts))
-    out = rows.withColumn("hot", F.lit(0))
-    scan = rows
-    for d in range(1, max_n):
-        key = ["lang", *names[:d]]
-        hot = written(scan.where(F.col(names[d - 1]).isNotNull()).groupBy(*key).count().where(F.col("count") > least).select(*key), "hot")
-        out = out.join(F.broadcast(hot.withColumn("__d", F.lit(d))), key, "left").withColumn("hot", F.coalesce("__d", "hot")).drop("__d")
-        scan = scan.join(F.broadcast(hot), key, "left_semi")
-    bucket = F.xxhash64("lang", "w1", *[F.when(F.col("hot") >= d, F.coalesce(names[d], F.lit(""))) for d in range(1, max_n)])
-    order = [F.col("w1").desc(), F.col("lang").desc(), *[F.col(w).desc_nulls_last() for w in names[1:]]]
-    return out.repartition(parts, bucket).sortWithinPartitions(*order)
-
-
-def _stack(max_n: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of all prefixes of sorted suffixes: lang, words (array), n, partial (more of it is counted elsewhere)."""
-    names = [f"w{i + 1}" for i in range(max_n)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of each depth the open prefix: (lang, words, hot) and its count
-        top: list[tuple[tuple, int] | None] = [None] * max_n
-        kind = pa.list_(pa.string())
-
-        def closed(rows: list[tuple[tuple, int]]) -> pa.RecordBatch:
-            keys = [k for k, _ in rows]
-            return pa.RecordBatch.from_arrays([
-                pa.array([k[0] for k in keys], pa.string()), pa.array([list(k[1]) for k in keys], kind), pa.array([n for _, n in rows], pa.int64()), pa.array([len(k[1]) <= k[2] for k in keys], pa.bool_())],
-                names=["lang", "words", "n", "partial"])
-
-        for batch in batches:
-            m = len(batch)
-            if not m:
-                continue
-            n = batch["n"].to_numpy()
-            changed = np.zeros(m, bool)
-            changed[0] = True
-            changed[1:] = pc.not_equal(batch["lang"][1:], batch["lang"][:-1]).to_numpy(zero_copy_only=False)
-            hot = batch["hot"].to_numpy()
-            for d in range(max_n):
-                w = pc.fill_null(batch[names[d]], "")  # no word is empty
-                changed[1:] |= pc.not_equal(w[1:], w[:-1]).to_numpy(zero_copy_only=False)
-                starts = np.flatnonzero(changed)
-                sums = np.add.reduceat(n, starts)
-                there = pc.is_valid(batch[names[d]]).to_numpy(zero_copy_only=False)[starts]
-                starts, sums = starts[there], sums[there]
-                if not len(starts):
-                    continue
-                at = pa.array(starts)
-                langs, words = batch["lang"].take(at), [batch[x].take(at) for x in names[: d + 1]]
-                key = lambda i: (langs[i].as_py(), tuple(x[i].as_py() for x in words), int(hot[starts[i]]))  # noqa: E731, B023
-                totals = sums.astype(np.int64)
-                done: list[tuple[tuple, int]] = []
-                if top[d]:
-                    if top[d][0][:2] == key(0)[:2]:
-                        totals[0] += top[d][1]
-                    else:
-                        done.append(top[d])
-                last = len(starts) - 1
-                top[d] = (key(last), int(totals[last]))
-                if done:
-                    yield closed(done)
-                if last:
-                    # each word list: the words of a prefix side by side
-                    flat = pa.concat_arrays(words).take(pa.array((np.arange(last)[:, None] + (last + 1) * np.arange(d + 1)[None, :]).ravel()))
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, last * (d + 1) + 1, d + 1), pa.int32()), flat)
-                    yield pa.RecordBatch.from_arrays([langs[:last], lists, pa.array(totals[:last]), pa.array(d + 1 <= hot[starts[:last]])], names=["lang", "words", "n", "partial"])
-        rest = [t for t in top if t]
-        if rest:
-            yield closed(rest)
-        release_memory()
-
-    return run
+                    for lang, names, columns, n in _counted(texts[lo:hi], langs[lo:hi], max_n):
+                        dealt = (_hashes(names) ^ np.uint32(zlib.crc32(lang.encode())))[columns[0] - 1].astype(np.int64) % parts
+                        yield _rows([], 1, lang, names, columns, n, dealt)
+
+        return step
+
+    return arrow_map(docs.select("text", F.col("lang").cast("string").alias("lang")), make, PACKED)
+
+
+def _dealt_anew(large: DataFrame, max_n: int) -> DataFrame:
+    """The rows of large parts (with `ways`, into how many), dealt by one more word."""
+
+    def make() -> Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]:
+        def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            for r in batch.to_pylist():
+                names, columns, n = _unpack(r["packed"], max_n)
+                h = np.r_[np.uint32(0), _hashes(names)][columns[r["level"]]].astype(np.int64)
+                yield _rows([r["part"]], r["level"] + 1, r["lang"], names, columns, n, h % r["ways"])
+
+        return step
+
+    return arrow_map(large, make, PACKED)
+
+
+def balanced(rows: DataFrame, max_n: int, parts: int) -> DataFrame:
+    """rows with large parts dealt by more words; see the module's text."""
+    done = []
+    for _ in range(max_n - 1):
+        sizes = written(rows.groupBy("part").agg(F.sum("suffixes").alias("size")), "sizes")
+        limit = max(LARGE, 4 * (sizes.agg(F.sum("size")).first()[0] or 0) // parts)
+        large = sizes.where(F.col("size") > limit).select("part", F.ceil(F.col("size") / limit).cast("long").alias("ways"))
+        if large.isEmpty():
+            break
+        done.append(rows.join(large, "part", "left_anti"))
+        rows = written(_dealt_anew(rows.join(large, "part"), max_n), "suffixes")
+    for d in done:
+        rows = rows.unionByName(d)
+    return rows
+
+
+# ---- the stack
+
+def prefix_counts(names: pa.Array, columns: list[np.ndarray], n: np.ndarray) -> Iterator[tuple[list[pa.Array], np.ndarray]]:
+    """Words and counts of all prefixes, by length; columns are numbers of names (0: none)."""
+    # numbers by reverse lexicographic order, so that sorting numbers sorts suffixes so; none comes last
+    order = pc.array_sort_indices(names, order="descending").to_numpy()
+    rank = np.empty(len(names) + 1, np.int64)
+    rank[order + 1] = np.arange(len(names))
+    rank[0] = len(names)
+    ranked = [rank[c] for c in columns]
+    by = np.lexsort(ranked[::-1])
+    n, changed = n[by], np.zeros(len(by), bool)
+    changed[0] = True
+    named = names.take(pa.array(order))
+    words: list[np.ndarray] = []
+    for c in ranked:
+        c = c[by]
+        words.append(c)
+        changed[1:] |= c[1:] != c[:-1]  # here the stack closes the open prefix of this length, and all longer ones
+        at = np.flatnonzero(changed)
+        sums = np.add.reduceat(n, at)
+        there = c[at] < len(names)
+        at, sums = at[there], sums[there]
+        yield [named.take(pa.array(w[at])) for w in words], sums
+
+
+def _counts_of_part(table: pa.Table, max_n: int, min_count: int) -> pa.Table:
+    """lang, words, n, partial of one part: all prefixes that are partial or frequent."""
+    kind = pa.schema([("lang", pa.string()), ("words", pa.list_(pa.string())), ("n", pa.int64()), ("partial", pa.bool_())])
+    out = []
+    for lang in table["lang"].unique().to_pylist():
+        mine = table.filter(pc.equal(table["lang"], lang))
+        level = mine["level"][0].as_py()
+        rows = [_unpack(x.as_py(), max_n) for x in mine["packed"]]
+        merged = pa.chunked_array([r[0] for r in rows]).combine_chunks().dictionary_encode()
+        to = merged.indices.to_numpy().astype(np.int64) + 1
+        starts = np.cumsum([0, *[len(r[0]) for r in rows]])
+        columns = [np.concatenate([np.r_[0, to[s : s + len(r[0])]][r[1][d]] for s, r in zip(starts, rows, strict=False)]) for d in range(max_n)]
+        for d, (words, sums) in enumerate(prefix_counts(merged.dictionary, columns, np.concatenate([r[2] for r in rows])), 1):
+            keep = np.ones(len(sums), bool) if d < level else sums >= min_count
+            m = int(keep.sum())
+            where = pa.array(np.flatnonzero(keep))
+            flat = pa.concat_arrays([w.take(where) for w in words]).take(pa.array((np.arange(m)[:, None] + m * np.arange(d)[None, :]).ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, m * d + 1, d), pa.int32()), flat)
+            out.append(pa.table([pa.array([lang] * m, pa.string()), lists, pa.array(sums[keep].astype(np.int64)), pa.array([d < level] * m, pa.bool_())], schema=kind))
+    release_memory()
+    return pa.concat_tables(out) if out else kind.empty_table()
 
 
 def phrase_counts(docs: DataFrame, *, max_n: int = 3, min_count: int = 10) -> tuple[DataFrame, DataFrame]:
     """Two tables: lang, words (1 to max_n), n of all phrases that occur min_count times or more; and lang, total (all words)."""
     spark = session(docs)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = written(suffixes(docs, max_n), "suffixes")
-    totals = written(rows.groupBy("lang").agg(F.sum("n").alias("total")), "totals")
-    dealt = _dealt(rows, max_n, parts)
-    counted = dealt.mapInArrow(_stack(max_n), "lang string, words array<string>, n long, partial boolean").where(F.col("partial") | (F.col("n") >= min_count))
+    rows = written(suffixes(docs, max_n, 2 * parts), "suffixes")
+    totals = written(rows.groupBy("lang").agg(F.sum("words").alias("total")), "totals")
+    counted = balanced(rows, max_n, 2 * parts).groupBy("part").applyInArrow(lambda t: _counts_of_part(t, max_n, min_count), "lang string, words array<string>, n long, partial boolean")
     counted = written(counted, "counted")
     joined = counted.where("partial").groupBy("lang", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
     return written(counted.where("not partial").select("lang", "words", "n").union(joined), "phrases"), totals

@@ -61,13 +61,11 @@ def test_phrases(spark, monkeypatch, options, hot):
     words = ["The", "of", "a", "B", "c\x01", "é", "x"]
     docs = [(" ".join(rng.choice(words[:4] if rng.random() < 0.6 else words) + rng.choice(["", "", "", ".", ",\n"]) for _ in range(rng.randrange(40))), rng.choice(["en", "en", None, "de"])) for _ in range(60)]
     docs += [(None, "en"), ("", None), ("of a x " * 60, "en")]
-    if hot:  # everything is hot, and each task gives out its suffixes often
-        monkeypatch.setattr(phrases, "HELD", 5)
-        spark.conf.set("spark.sql.shuffle.partitions", "50")
-    try:
-        got = rows_of(phrases.collocations(spark.createDataFrame(docs, "text string, lang string").repartition(3), **options))
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    monkeypatch.setattr(phrases, "SLICE_BYTES", 700)
+    if hot:  # parts of some suffixes are large already
+        monkeypatch.setattr(phrases, "LARGE", 4)
+        monkeypatch.setattr(phrases, "max", lambda a, b: a, raising=False)
+    got = rows_of(phrases.collocations(spark.createDataFrame(docs, "text string, lang string").repartition(3), **options))
     assert got and got == brute_phrases(docs, *(options.get(k, d) for k, d in (("max_n", 3), ("min_count", 10), ("inside_percent", 50), ("first", 2000))))
 
 
