@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import decontam, near
+from ..functions.keys import SEP
+from . import decontam, keepfirst, near
 from .tables import written
 
 
@@ -51,29 +52,84 @@ def clean(train: DataFrame, held: DataFrame, **options: int) -> DataFrame:
     return without_duplicates(reasons(train, held, **options))
 
 
-def clean_near(train: DataFrame, held: DataFrame, *, limit: int = 4096, threshold: float = 0.8, question: str | None = None, min_chars: int = 40, need: int = 1) -> DataFrame:
-    """The whole chain: clean() with train_near_heldout, prompt_too_long, train_near_duplicate and train_cross_source_state.
+def set_hits(train: DataFrame, refs: DataFrame, *, frames: DataFrame | None = None, own_share: float = 0.0005, own_least: int = 20, need: int = 1) -> DataFrame:
+    """(id, set): the first reference set, by name, of which one row shares `need` grams or more with a row of train.
 
-    question: a column of both frames that has to be equal for a near held-out row, e.g. a
-    hash of the instructions.  Near duplicates of train go to the bucket's smallest id
-    (see near.near_pairs): in its own source a row is a duplicate, in another's the same
-    state from elsewhere.
+    A gram in max(own_least, own_share * rows) rows or more of a row's own source is that
+    source's frame, and no hit.  refs: set, ref, gram, as of decontam.named_ref_grams.
+    frames: the rows that tell frames, if not train (all of a source, where train is a batch of it).
     """
-    keep = ["id", "source", *([question] if question else [])]
-    mine = written(near.signatures(train, "state", *keep), "signatures")
-    theirs = near.signatures(held, "state", "id", *([question] if question else []))
-    close = near.near_hits(mine, theirs, threshold=threshold, key=question).select("id").distinct().withColumn("close", F.lit(True))
-    of = mine.select(F.col("id").alias("a"), F.col("source").alias("first_source"))
-    pairs = near.near_pairs(mine.select("id", "sig"), threshold=threshold).join(of, "a").groupBy(F.col("b").alias("id")).agg(F.min(F.struct("a", "first_source")).alias("leader"))
-    rows = reasons(train, held, min_chars=min_chars, need=need).join(close, "id", "left").join(pairs, "id", "left")
-    old = F.col("reason")
+    limits = (train if frames is None else frames).groupBy("source").agg(F.greatest(F.lit(own_least), F.ceil(F.lit(own_share) * F.count("*"))).alias("limit"))
+    shared = written(decontam.grams(train, "id", "source").join(refs, "gram"), "shared")
+    told = shared if frames is None else decontam.grams(frames, "id", "source").join(refs.select("gram").distinct(), "gram")
+    common = told.select("id", "source", "gram").distinct().groupBy("source", "gram").agg(F.count("*").alias("n")).join(limits, "source").where("n >= limit")
+    common = common.select(F.col("source").alias("__s"), F.col("gram").alias("__g"))
+    left = shared.join(common, shared["source"].eqNullSafe(F.col("__s")) & (F.col("gram") == F.col("__g")), "left_anti")
+    return left.groupBy("id", "set", "ref").agg(F.count("*").alias("n")).where(F.col("n") >= need).groupBy("id").agg(F.min("set").alias("set"))
+
+
+def clean_near(
+    train: DataFrame, held: DataFrame, *, limit: int = 4096, threshold: float = 0.8, question: str | None = None, min_chars: int = 40, need: int = 1,
+    refs: DataFrame | None = None, index: keepfirst.KeptIndex | None = None, within: bool = True, count: Column | None = None, frames: DataFrame | None = None,
+) -> DataFrame:
+    """The whole chain, train with key and reason.  The first that holds counts:
+
+    equals_heldout                     equal to a held-out row, question included
+    train_near_heldout                 near a held-out row of the same question
+    train_state_in_heldout             the state alone is a held-out row's, whatever it asks
+    train_state_near_heldout           the state is near one's
+    shares_8gram, prompt_too_long, too_short, damaged
+    decontam_8gram:<set>               a gram of a reference set (see set_hits), where refs are given
+    duplicate                          state and question equal a kept earlier row's
+    train_near_duplicate               near a kept earlier row of the same question
+    train_cross_source_state           equal or near to a kept earlier row of another source, whatever it asks
+
+    question: a column of both frames, e.g. a hash of the instructions; without one, all
+    rows ask the same.  Earlier is by ordinal, then id; only rows that stay block others
+    (see keepfirst).  index: rows kept of earlier batches, which come before all; the kept
+    rows of this batch are added to it.  within=False compares with the index alone.
+    count: the tokens of a prompt, if not token_pieces().  frames: see set_hits.
+    """
+    ask = F.col(question).cast("string") if question else F.lit(None).cast("string")
+    asked = lambda df: df.withColumn("__q", F.coalesce(F.concat(F.lit("="), ask), F.lit("")))
+    train, held = asked(train), asked(held)
+    mine = written(near.signatures(train, "state", "id", "__q"), "signatures")
+    theirs = written(near.signatures(held, "state", "id", "__q"), "signatures")
+    close = near.near_hits(mine, theirs, threshold=threshold, key="__q").select("id").distinct().withColumn("close", F.lit(True))
+    rows = reasons(train, held, min_chars=min_chars, need=need).withColumnRenamed("reason", "old")
+    equal = held.select(F.md5(T.norm_key("state")).alias("key"), "__q").distinct().withColumn("equal", F.lit(True))
+    rows = rows.join(close, "id", "left").join(equal, ["key", "__q"], "left")
+    if question:
+        state = near.near_hits(mine, theirs, threshold=threshold).select("id").distinct().withColumn("state_close", F.lit(True))
+        rows = rows.join(state, "id", "left")
+    else:
+        rows = rows.withColumn("state_close", F.lit(None).cast("boolean"))
+    rows = rows.join(set_hits(train, refs, frames=frames, need=need), "id", "left") if refs is not None else rows.withColumn("set", F.lit(None).cast("string"))
+    old = F.col("old")
     chained = reason([
-        ("equals_heldout", old == "equals_heldout"), ("train_near_heldout", F.col("close").isNotNull()), ("shares_8gram", old == "shares_8gram"),
-        ("prompt_too_long", too_long("state", limit)), ("too_short", old == "too_short"), ("damaged", old == "damaged"),
+        ("equals_heldout", F.col("equal").isNotNull()), ("train_near_heldout", F.col("close").isNotNull()),
+        ("train_state_in_heldout", old == "equals_heldout"), ("train_state_near_heldout", F.col("state_close").isNotNull()),
+        ("shares_8gram", old == "shares_8gram"), ("prompt_too_long", too_long("state", limit, count)), ("too_short", old == "too_short"), ("damaged", old == "damaged"),
     ])
-    rows = without_duplicates(rows.withColumn("reason", chained))
-    again = F.when(F.col("leader.first_source").eqNullSafe(F.col("source")), "train_near_duplicate").otherwise("train_cross_source_state")
-    return rows.withColumn("reason", F.when(F.col("reason").isNull() & F.col("leader").isNotNull(), again).otherwise(F.col("reason"))).drop("close", "leader")
+    rows = rows.withColumn("reason", F.coalesce(chained, F.concat(F.lit("decontam_8gram:"), F.col("set")))).drop("old", "close", "equal", "state_close", "set")
+    rows = written(rows.withColumn("ord", F.struct(F.col("ordinal").cast("long").alias("ord"), "id")).withColumn("exact", F.md5(F.concat_ws(SEP, "key", "__q"))), "reasons")
+    open_rows = rows.where("reason is null").select("id", F.col("ordinal").alias("ord"), F.col("__q").alias("question"), F.col("source").alias("origin"))
+    found = written(keepfirst.decide(open_rows.join(mine.select("id", "sig"), "id", "left"), index=index, threshold=threshold, within=within), "near")
+    rows = rows.join(found, "id", "left")
+    stays = rows.where("reason is null and near is null").groupBy("exact").agg(F.min("ord").alias("first"))
+    rows = rows.join(stays, "exact", "left")
+    if index is not None:
+        seen = index.table("rows").select("exact").distinct().withColumn("seen", F.lit(True))
+        rows = rows.join(seen, "exact", "left")
+    again = F.coalesce(F.col("ord") > F.col("first"), F.lit(False)) if index is None else F.coalesce(F.col("ord") > F.col("first"), F.lit(False)) | F.col("seen").isNotNull()
+    late = reason([("duplicate", again), ("train_near_duplicate", F.col("near") == "same"), ("train_cross_source_state", F.col("near") == "cross")])
+    out = rows.withColumn("reason", F.coalesce("reason", late))
+    if index is not None:
+        out = written(out, "decided")
+        kept = out.where("reason is null").join(mine.select("id", "sig"), "id", "left")
+        text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+        index.append(kept.select(near.signature_id(F.col("sig")).alias("sid"), "sig", text("__q").alias("question"), text("source").alias("origin"), "exact"))
+    return out.drop("__q", "ord", "exact", "near", "first", "seen")
 
 
 def drop_counts(cleaned: DataFrame, *groups: str) -> DataFrame:

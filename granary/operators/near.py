@@ -81,6 +81,11 @@ def band_keys(sig: Column, bands: int = BANDS, key: Column | None = None) -> Col
     return F.when(F.size(sig) > 0, F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.md5(F.concat_ws("|", F.array_join(F.transform(F.slice(sig, b * rows + 1, rows), lambda x: x.cast("string")), ","), *more)).alias("key"))))
 
 
+def signature_id(sig: Column) -> Column:
+    """128 bits of a signature; null for an empty one."""
+    return F.when(F.size(sig) > 0, F.md5(F.array_join(F.transform(sig, lambda x: x.cast("string")), ",")))
+
+
 def estimated_jaccard(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.size(a)
 
@@ -116,18 +121,23 @@ def near_hits(query: DataFrame, index: DataFrame, *, bands: int = BANDS, thresho
     column of both that has to differ, e.g. the source.  Rows of equal signature (and key
     and tag) are compared as one, so copies multiply the result alone and no bucket.
     """
-    same = ["sig", *([key] if key else []), *([tag] if tag else [])]
-    q = query.groupBy(*same).agg(F.min("id").alias("q"))
-    i = index.groupBy(*same).agg(F.min("id").alias("r"))
+    more = [c for c in (key, tag) if c]
+    q, i = (written(df.select("id", "sig", *more, signature_id(F.col("sig")).alias("sid")).where("sid is not null"), "signed") for df in (query, index))
+    same = ["sid", *more]
+    reps = lambda df: df.groupBy(*same).agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
+    reps_q, reps_i = written(reps(q), "query"), written(reps(i), "index")
     mixed = F.col(key) if key else None
-    left = q.select("q", F.col("sig").alias("qs"), *([F.col(tag).alias("qt")] if tag else []), F.explode(band_keys(F.col("sig"), bands, mixed)).alias("k"))
-    right = i.select("r", F.col("sig").alias("rs"), *([F.col(tag).alias("rt")] if tag else []), F.explode(band_keys(F.col("sig"), bands, mixed)).alias("k"))
-    found = left.join(right, "k")
+    tagged = [F.col(tag).alias("tag")] if tag else []
+    banded = lambda df, name: df.select(F.col("rep").alias(name), *tagged, F.explode(band_keys(F.col("sig"), bands, mixed)).alias("k")).select(name, *(["tag"] if tag else []), "k.band", "k.key")
+    met = banded(reps_q, "q").alias("x").join(banded(reps_i, "r").alias("y"), ["band", "key"])
     if tag:
-        found = found.where(~F.col("qt").eqNullSafe(F.col("rt")))
-    found = found.select("q", "r", estimated_jaccard(F.col("qs"), F.col("rs")).alias("j")).where(F.col("j") >= threshold).distinct()
-    whole = lambda df, rep, name: df.select(F.col("id").alias(name), *same).join(df.groupBy(*same).agg(F.min("id").alias(rep)), same).select(name, rep)
-    return found.join(whole(query, "q", "id"), "q").join(whole(index, "r", "ref"), "r").select("id", "ref", "j")
+        met = met.where(~F.col("x.tag").eqNullSafe(F.col("y.tag")))
+    pairs = written(met.select("q", "r").distinct(), "candidates")  # ids alone; signatures are fetched once for each candidate
+    both = pairs.join(reps_q.select(F.col("rep").alias("q"), F.col("sig").alias("qs")), "q").join(reps_i.select(F.col("rep").alias("r"), F.col("sig").alias("rs")), "r")
+    found = both.select("q", "r", estimated_jaccard(F.col("qs"), F.col("rs")).alias("j")).where(F.col("j") >= threshold)
+    equal = lambda df: [df[c].eqNullSafe(F.col(f"__{c}")) for c in same]
+    whole = lambda df, r, rep, name: df.join(r.select("rep", *[F.col(c).alias(f"__{c}") for c in same]), equal(df)).select(F.col("id").alias(name), F.col("rep").alias(rep))
+    return found.join(whole(q, reps_q, "q", "id"), "q").join(whole(i, reps_i, "r", "ref"), "r").select("id", "ref", "j")
 
 
 def components(pairs: DataFrame) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import decontam, hygiene, near
-from ..operators.tables import written
+from ..operators import decontam, hygiene, keepfirst, near
+from ..operators.tables import work_path, written
 from ..sources.tables import held_items, table, train_items
 from .keys_text import DOC_KEY, NORM, WORDS
 
@@ -183,27 +185,78 @@ def too_long(spark: SparkSession, d: str) -> DataFrame:
     return train_items(spark, d).select(F.col("id").alias("doc_id"), hygiene.too_long("state", 400).alias("too_long"))
 
 
-@query(f"""{CLEAN.replace('WITH', 'WITH ' + PAIRS_TOO + ',', 1)}, h AS MATERIALIZED (SELECT * FROM {_sig('benchmark', 'item_id')}),
-hb AS MATERIALIZED (SELECT * FROM {_bands('h')}), hc AS (SELECT DISTINCT x.id AS id, y.id AS ref FROM k x JOIN hb y USING (band, key)),
-nh AS (SELECT DISTINCT hc.id FROM hc JOIN s ON s.id = hc.id JOIN h ON h.id = ref WHERE {JACCARD.format(a='s.sig', b='h.sig')} >= 0.8),
-r2 AS (SELECT doc_id, source, key, CASE WHEN reason = 'equals_heldout' THEN reason WHEN doc_id IN (SELECT id FROM nh) THEN 'train_near_heldout' WHEN reason = 'shares_8gram' THEN reason
-  WHEN strlen(d.text) > 600 AND {TOKENS.format('d.text')} > 600 THEN 'prompt_too_long' ELSE reason END AS reason FROM r JOIN documents d USING (doc_id, source)),
-f2 AS (SELECT key, min(doc_id) AS first FROM r2 WHERE reason IS NULL GROUP BY key), np AS (SELECT b, min(a) AS a FROM pairs GROUP BY b)
-SELECT r2.doc_id, r2.source, CASE WHEN reason IS NOT NULL THEN reason WHEN r2.doc_id > first THEN 'duplicate' WHEN np.a IS NULL THEN 'kept' WHEN o.source = r2.source THEN 'train_near_duplicate' ELSE 'train_cross_source_state' END AS verdict
-FROM r2 LEFT JOIN f2 USING (key) LEFT JOIN np ON np.b = r2.doc_id LEFT JOIN documents o ON o.doc_id = np.a""")
+HELD_Q = "CASE WHEN item_id % 4 = 0 THEN 'en' ELSE 'fr' END"
+
+
+def _refs(name: str, rest: int) -> str:
+    """Grams of the benchmark items whose id leaves `rest` modulo 2, as the set `name`, without that set's templates."""
+    rows = f"(SELECT * FROM benchmark WHERE item_id % 2 = {rest})"
+    return f"""{name}_g AS (SELECT id AS ref, gram FROM {_grams(rows, 'item_id')}),
+{name} AS (SELECT '{name}' AS set, ref, gram FROM {name}_g WHERE gram NOT IN (SELECT gram FROM {name}_g GROUP BY gram HAVING count(*) >= greatest(5, ceil(0.01 * (SELECT count(*) FROM {rows})))))"""
+
+
+#: The chain: reasons of the held-out rows and lengths first, then a walk through the rows that are left, in order, with the list of kept ids.
+CHAIN = f"""WITH RECURSIVE tg AS MATERIALIZED (SELECT * FROM {_grams('documents', 'doc_id')}), {_refs('even', 0)}, {_refs('odd', 1)},
+hit AS (SELECT DISTINCT id FROM tg JOIN even USING (gram)),
+own AS (SELECT source, gram FROM tg JOIN documents ON doc_id = id WHERE gram IN (SELECT gram FROM odd) GROUP BY source, gram HAVING count(*) >= greatest(20, ceil(0.0005 * any_value((SELECT count(*) FROM documents o WHERE o.source = documents.source))))),
+named AS (SELECT DISTINCT id FROM tg JOIN documents ON doc_id = id JOIN odd USING (gram) WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.source = documents.source AND own.gram = tg.gram)),
+held AS (SELECT item_id, text, {HELD_Q} AS q, {NORM.format('text')} AS key FROM benchmark WHERE item_id % 2 = 0),
+s AS MATERIALIZED (SELECT * FROM {_sig('documents', 'doc_id')}), h AS MATERIALIZED (SELECT * FROM {_sig('held', 'item_id')}),
+k AS MATERIALIZED (SELECT * FROM {_bands('s')}), hb AS MATERIALIZED (SELECT * FROM {_bands('h')}),
+hc AS (SELECT DISTINCT x.id AS id, y.id AS ref FROM k x JOIN hb y USING (band, key)),
+nh AS (SELECT hc.id, bool_or(d.lang = i.q) AS asked FROM hc JOIN s ON s.id = hc.id JOIN h ON h.id = ref JOIN documents d ON d.doc_id = hc.id JOIN held i ON i.item_id = ref WHERE {JACCARD.format(a='s.sig', b='h.sig')} >= 0.8 GROUP BY hc.id),
+r AS MATERIALIZED (SELECT doc_id, source, lang, {DOC_KEY} AS key, CASE
+  WHEN EXISTS (SELECT 1 FROM held WHERE held.key = {NORM.format('documents.text')} AND held.q = lang) THEN 'equals_heldout'
+  WHEN doc_id IN (SELECT id FROM nh WHERE asked) THEN 'train_near_heldout' WHEN {DOC_KEY} IN (SELECT key FROM held) THEN 'train_state_in_heldout' WHEN doc_id IN (SELECT id FROM nh) THEN 'train_state_near_heldout'
+  WHEN doc_id IN (SELECT id FROM hit) THEN 'shares_8gram' WHEN strlen(text) > 600 AND {TOKENS.format('text')} > 600 THEN 'prompt_too_long'
+  WHEN length(regexp_replace(text, '[^\\p{{L}}\\p{{N}}_]', '', 'g')) < 40 THEN 'too_short' WHEN contains(text, '�') OR regexp_matches(text, '{T.ARTEFACTS['mojibake']}') THEN 'damaged'
+  WHEN doc_id IN (SELECT id FROM named) THEN 'decontam_8gram:odd' END AS reason FROM documents),
+o AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY doc_id) AS i FROM r WHERE reason IS NULL),
+ko AS MATERIALIZED (SELECT * FROM k WHERE id IN (SELECT doc_id FROM o)),
+c AS (SELECT DISTINCT x.id AS a, y.id AS b FROM ko x JOIN ko y USING (band, key) WHERE x.id < y.id),
+e AS MATERIALIZED (SELECT a, b, oa.lang = ob.lang AS asked FROM c JOIN s x ON x.id = a JOIN s y ON y.id = b JOIN o oa ON oa.doc_id = a JOIN o ob ON ob.doc_id = b
+  WHERE {JACCARD.format(a='x.sig', b='y.sig')} >= 0.8 AND (oa.lang = ob.lang OR oa.source <> ob.source)),
+g AS MATERIALIZED (SELECT o.i, o.doc_id, coalesce(list(e.a) FILTER (e.a IS NOT NULL), []) AS before FROM o LEFT JOIN e ON e.b = o.doc_id GROUP BY o.i, o.doc_id),
+walk(i, kept) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT g.i, CASE WHEN list_has_any(kept, before) THEN kept ELSE list_append(kept, doc_id) END FROM walk JOIN g ON g.i = walk.i + 1),
+kept AS MATERIALIZED (SELECT unnest(kept) AS doc_id FROM walk WHERE i = (SELECT count(*) FROM o)),
+blocked AS (SELECT e.b, bool_or(asked) AS asked FROM e JOIN kept ON kept.doc_id = e.a GROUP BY e.b),
+firsts AS (SELECT o.key, o.lang, min(o.doc_id) AS first FROM o JOIN kept USING (doc_id) GROUP BY ALL)
+SELECT r.doc_id, r.source, coalesce(r.reason, CASE WHEN r.doc_id IN (SELECT doc_id FROM kept) THEN 'kept' WHEN first < r.doc_id THEN 'duplicate' WHEN asked THEN 'train_near_duplicate' ELSE 'train_cross_source_state' END) AS verdict
+FROM r LEFT JOIN blocked ON b = r.doc_id LEFT JOIN firsts ON firsts.key = r.key AND firsts.lang = r.lang"""
+
+
+def _chain_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """documents with their language as the question; half of the benchmark as held-out rows, the other half as a reference set."""
+    b = held_items(spark, d)
+    held = b.where("id % 2 = 0").withColumn("lang", F.when(F.col("id") % 4 == 0, "en").otherwise("fr"))
+    return train_items(spark, d), held, decontam.named_ref_grams({"odd": b.where("id % 2 = 1")})
+
+
+@query(CHAIN)
 def clean_v7(spark: SparkSession, d: str) -> DataFrame:
-    """The whole cleaning chain with its near-duplicate reasons, and a limit of 600 tokens."""
-    c = hygiene.clean_near(train_items(spark, d), held_items(spark, d), limit=600)
+    """The whole cleaning chain, and a limit of 600 tokens: near duplicates against kept rows only, in order."""
+    train, held, refs = _chain_parts(spark, d)
+    c = hygiene.clean_near(train, held, limit=600, question="lang", refs=refs)
     return c.select(F.col("id").alias("doc_id"), "source", F.coalesce("reason", F.lit("kept")).alias("verdict"))
 
 
-@query(f"""WITH {REF}, e AS (SELECT id, ref, 'even' AS set FROM tg JOIN ref USING (gram) WHERE ref % 2 = 0 UNION ALL SELECT id, ref, 'odd' FROM tg JOIN ref USING (gram) WHERE ref % 2 = 1)
+@query(CHAIN)
+def clean_v7_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same, each third of the rows a batch that is compared with a growing index of the kept rows of those before."""
+    train, held, refs = _chain_parts(spark, d)
+    index = keepfirst.KeptIndex(spark, work_path(spark, "kept"))
+    cut = [r[0] for r in train.agg(F.percentile_approx("ordinal", F.array(F.lit(1 / 3), F.lit(2 / 3)))).collect()][0] or [0, 0]
+    edges = [F.lit(True), F.col("ordinal") > cut[0], F.col("ordinal") > cut[1], F.lit(False)]
+    parts = [hygiene.clean_near(train.where(a & ~b), held, limit=600, question="lang", refs=refs, index=index, frames=train) for a, b in zip(edges, edges[1:], strict=False)]
+    return functools.reduce(DataFrame.unionByName, parts).select(F.col("id").alias("doc_id"), "source", F.coalesce("reason", F.lit("kept")).alias("verdict"))
+
+
+@query(f"""WITH tg AS (SELECT * FROM {_grams('documents', 'doc_id')}), {_refs('even', 0)}, {_refs('odd', 1)}, e AS (SELECT id, ref, set FROM tg JOIN (SELECT * FROM even UNION ALL SELECT * FROM odd) USING (gram))
 SELECT set, count(DISTINCT id) AS rows_hit, count(DISTINCT ref) AS items_hit, count(*) AS shared FROM e GROUP BY set""")
 def named_set_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Hits by named reference set; the templates are those of all sets together."""
-    held = held_items(spark, d)
-    ref = decontam.ref_grams(held).withColumn("set", F.when(F.col("ref") % 2 == 0, "even").otherwise("odd"))
-    hits = decontam.gram_hits(train_items(spark, d), ref)
+    """Hits by named reference set; each set has its own templates."""
+    b = held_items(spark, d)
+    hits = decontam.gram_hits(train_items(spark, d), decontam.named_ref_grams({"even": b.where("id % 2 = 0"), "odd": b.where("id % 2 = 1")}))
     return hits.groupBy("set").agg(F.countDistinct("id").alias("rows_hit"), F.countDistinct("ref").alias("items_hit"), F.sum("shared").alias("shared"))
 
 
