@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # German words, and free bags by membership and cabin.
-GERMAN = r"(?i)\b(der|die|und|nicht|ist|ich|ein|eine|mit|für|auf|sie|wie|was)\b"
+GERMAN = ("der", "die", "und", "nicht", "ist", "ich", "ein", "eine", "mit", "für", "auf", "sie", "wie", "was")
 FREE_BAGS = {"regular": (0, 1, 2), "silver": (1, 2, 3), "gold": (2, 3, 3)}
 CABINS = ("basic economy", "economy", "business")
 BAG_FEE = 50
@@ -22,8 +22,9 @@ def choose(c: Column, values: dict, default: object = None) -> Column:
 
 def looks_german(text: Column) -> Column:
     """Three words or more, of which max(2, a twelfth) are German function words."""
-    words = F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+"))
-    return (words >= 3) & (F.regexp_count(text, F.lit(GERMAN)) >= F.greatest(F.lit(2), F.floor(words / 12)))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), 0)
+    n = F.transform(F.array(words), lambda w: F.struct(F.size(w).alias("all"), F.size(F.filter(w, lambda x: x.isin(*GERMAN))).alias("german")))[0]
+    return (n["all"] >= 3) & (n["german"] >= F.greatest(F.lit(2), F.floor(n["all"] / 12)))
 
 
 def model_size(name: Column) -> Column:
@@ -81,10 +82,15 @@ def compensation(event: Column, passengers: Column) -> Column:
     return choose(event, {"cancelled": 100, "delayed": 50}, 0) * passengers
 
 
-def invoice_matches(lines: Column, discount: Column, shown: Column) -> Column:
-    """Whether the shown total is the sum of quantity * price less a discount in percent; lines: array<struct<qty,price>> of decimals."""
+def invoice_due(lines: Column, discount: Column) -> Column:
+    """The sum of quantity * price less a discount in percent, to the cent; lines: array<struct<qty,price>> of decimals."""
     total = F.aggregate(lines, F.lit(0).cast("decimal(28,4)"), lambda s, x: (s + x["qty"] * x["price"]).cast("decimal(28,4)"))
-    return F.abs(F.round(total * (100 - discount) / 100, 2) - shown) < 0.005
+    return F.round(total * (100 - discount) / 100, 2)
+
+
+def invoice_matches(lines: Column, discount: Column, shown: Column) -> Column:
+    """Whether the shown total is what is due."""
+    return F.abs(invoice_due(lines, discount) - shown) < 0.005
 
 
 # ---- a run's schedule

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import difflib
 import json
 import re
 
@@ -46,22 +45,43 @@ def substituted_udf(table: dict[str, str]) -> object:
     return run
 
 
-@F.pandas_udf(IntegerType())
-def edit_words_udf(old: pd.Series, new: pd.Series) -> pd.Series:
-    """Tokens (words and signs) that are put in, taken out or exchanged between two texts."""
+def token_distance(x: list[str], y: list[str]) -> int:
+    """The least number of tokens put in, taken out or exchanged that turns x into y.
+
+    One bit for each token of x: a step for each token of y moves all rows of the table of
+    distances at once, by an addition.  What both begin and end with is left out first.
+    """
+    a = 0
+    while a < min(len(x), len(y)) and x[a] == y[a]:
+        a += 1
+    z = 0
+    while z < min(len(x), len(y)) - a and x[-1 - z] == y[-1 - z]:
+        z += 1
+    x, y = x[a : len(x) - z], y[a : len(y) - z]
+    if not x or not y:
+        return len(x) + len(y)
+    at: dict[str, int] = {}
+    for i, t in enumerate(x):
+        at[t] = at.get(t, 0) | 1 << i
+    full, last = (1 << len(x)) - 1, 1 << len(x) - 1
+    more, less, out = full, 0, len(x)  # steps of +1 and -1 down the column
+    for t in y:
+        eq = at.get(t, 0)
+        same = (((eq & more) + more) ^ more) | eq | less
+        right = less | (full & ~(same | more))
+        down = more & same
+        out += bool(right & last) - bool(down & last)
+        right = right << 1 | 1
+        less = right & same & full
+        more = (down << 1 | ~(same | right)) & full
+    return out
 
-    def one(a: str | None, b: str | None) -> int | None:
-        if a is None or b is None:
-            return None
-        x, y = _TOKEN.findall(a), _TOKEN.findall(b)
-        blocks = difflib.SequenceMatcher(a=x, b=y, autojunk=False).get_matching_blocks()
-        n, i, j = 0, 0, 0
-        for m in blocks:  # between two matches: what is exchanged, and what is left over on one side
-            n += max(m.a - i, m.b - j)
-            i, j = m.a + m.size, m.b + m.size
-        return min(n, sum(p != q for p, q in zip(x, y, strict=True))) if len(x) == len(y) else n
 
-    return pd.Series([one(a, b) for a, b in zip(old, new, strict=True)], dtype="Int32")
+@F.pandas_udf(IntegerType())
+def edit_words_udf(old: pd.Series, new: pd.Series) -> pd.Series:
+    """token_distance of two texts' words and signs."""
+    cut = _TOKEN.findall
+    return pd.Series([None if a is None or b is None else 0 if a == b else token_distance(cut(a), cut(b)) for a, b in zip(old, new, strict=True)], dtype="Int32")
 
 
 def edited_line(old: Column, new: Column) -> Column:
@@ -71,10 +91,12 @@ def edited_line(old: Column, new: Column) -> Column:
     return F.when((F.size(F.split(old, "\n", -1)) == F.size(F.split(new, "\n", -1))) & (F.size(found) == 1), F.get(found, F.lit(0)))
 
 
-@F.pandas_udf(BooleanType())
-def leaked_udf(form: pd.Series, rest: pd.Series) -> pd.Series:
-    """Whether a surface form stands in a text as words of its own."""
-    return pd.Series([bool(f) and r is not None and re.search(rf"(?<!\w){re.escape(f)}(?!\w)", r) is not None for f, r in zip(form, rest, strict=True)], dtype=bool)
+def leaked(form: Column, rest: Column) -> Column:
+    """Whether a surface form stands in a text as words of its own; an empty form never does."""
+    quoted = F.concat(F.lit("\\Q"), F.replace(form, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    sign = r"[\p{L}\p{N}_]"
+    found = F.regexp_like(rest, F.concat(F.lit(f"(?<!{sign})"), quoted, F.lit(f"(?!{sign})")))
+    return F.coalesce((F.length(form) > 0) & found, F.lit(False))
 
 
 def criterion_text(head: Column, parts: Column) -> Column:

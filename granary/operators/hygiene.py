@@ -84,8 +84,8 @@ def clean_near(
     train_near_duplicate               near a kept earlier row of the same question
     train_cross_source_state           equal or near to a kept earlier row of another source, whatever it asks
 
-    question: a column of both frames, e.g. a hash of the instructions; without one, all
-    rows ask the same.  Earlier is by ordinal, then id; only rows that stay block others
+    question: a column of both frames, e.g. a hash of the instructions.  Without one, held-out
+    rows ask what all do, and near rows of one source ask the same.  Earlier is by ordinal, then id; only rows that stay block others
     (see keepfirst).  index: rows kept of earlier batches, which come before all; the kept
     rows of this batch are added to it.  within=False compares with the index alone.
     count: the tokens of a prompt, if not token_pieces().  frames: see set_hits.
@@ -113,7 +113,7 @@ def clean_near(
     ])
     rows = rows.withColumn("reason", F.coalesce(chained, F.concat(F.lit("decontam_8gram:"), F.col("set")))).drop("old", "close", "equal", "state_close", "set")
     rows = written(rows.withColumn("ord", F.struct(F.col("ordinal").cast("long").alias("ord"), "id")).withColumn("exact", F.md5(F.concat_ws(SEP, "key", "__q"))), "reasons")
-    open_rows = rows.where("reason is null").select("id", F.col("ordinal").alias("ord"), F.col("__q").alias("question"), F.col("source").alias("origin"))
+    open_rows = rows.where("reason is null").select("id", F.col("ordinal").alias("ord"), F.col("__q" if question else "source").alias("question"), F.col("source").alias("origin"))
     found = written(keepfirst.decide(open_rows.join(mine.select("id", "sig"), "id", "left"), index=index, threshold=threshold, within=within), "near")
     rows = rows.join(found, "id", "left")
     stays = rows.where("reason is null and near is null").groupBy("exact").agg(F.min("ord").alias("first"))
@@ -128,7 +128,7 @@ def clean_near(
         out = written(out, "decided")
         kept = out.where("reason is null").join(mine.select("id", "sig"), "id", "left")
         text = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
-        index.append(kept.select(near.signature_id(F.col("sig")).alias("sid"), "sig", text("__q").alias("question"), text("source").alias("origin"), "exact"))
+        index.append(kept.select(near.signature_id(F.col("sig")).alias("sid"), "sig", text("__q" if question else "source").alias("question"), text("source").alias("origin"), "exact"))
     return out.drop("__q", "ord", "exact", "near", "first", "seen")
 
 

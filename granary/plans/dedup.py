@@ -51,9 +51,10 @@ def benchmark_loose_hits(spark: SparkSession, d: str) -> DataFrame:
     return decontam.loose_hits(train_items(spark, d), decontam.ref_grams(held_items(spark, d))).select(F.col("id").alias("doc_id"), "shared", F.col("n").cast("long").alias("n"))
 
 
-@query(f"SELECT gram, count(*) AS df FROM {_grams('benchmark', 'item_id')} GROUP BY gram HAVING count(*) >= 2")
+@query(f"SELECT gram, count(*) AS df FROM {_grams('documents', 'doc_id')} GROUP BY gram HAVING count(*) >= 5")
 def template_grams(spark: SparkSession, d: str) -> DataFrame:
-    return decontam.template_grams(held_items(spark, d), share=0.0, least=2)
+    """Grams of five documents or more, where documents are the reference set."""
+    return decontam.template_grams(train_items(spark, d), share=0.0, least=5)
 
 
 @query(f"SELECT gram, count(*) AS df FROM {_grams('documents', 'doc_id')} GROUP BY gram HAVING count(*) >= greatest(20, ceil(0.0005 * (SELECT count(*) FROM documents)))")
@@ -149,21 +150,27 @@ def cluster_cap(spark: SparkSession, d: str) -> DataFrame:
     return near.cluster_cap(rows, near.components(near.near_pairs(_signatures(spark, d))), cap=2, question="source").select(F.col("id").alias("doc_id"), "source")
 
 
-@query(f"""WITH s AS MATERIALIZED (SELECT * FROM {_sig('documents', 'doc_id')}), h AS MATERIALIZED (SELECT * FROM {_sig('benchmark', 'item_id')}),
+def _lines(relation: str, ident: str) -> str:
+    return f"(SELECT {ident} * 100000 + i AS line_id, string_split(text, chr(10))[i] AS text FROM (SELECT {ident}, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM {relation}))"
+
+
+@query(f"""WITH s AS MATERIALIZED (SELECT * FROM {_sig(_lines('documents', 'doc_id'), 'line_id')}), h AS MATERIALIZED (SELECT * FROM {_sig(_lines('benchmark', 'item_id'), 'line_id')}),
 c AS (SELECT DISTINCT x.id AS id, y.id AS ref FROM {_bands('s')} x JOIN {_bands('h')} y USING (band, key))
-SELECT c.id AS doc_id, ref AS item_id, round({JACCARD.format(a='s.sig', b='h.sig')}, 6) AS j FROM c JOIN s ON s.id = c.id JOIN h ON h.id = ref WHERE {JACCARD.format(a='s.sig', b='h.sig')} >= 0.5""")
+SELECT c.id AS line_id, ref AS item_line, round({JACCARD.format(a='s.sig', b='h.sig')}, 6) AS j FROM c JOIN s ON s.id = c.id JOIN h ON h.id = ref WHERE {JACCARD.format(a='s.sig', b='h.sig')} >= 0.5""")
 def near_hits_vs_benchmark(spark: SparkSession, d: str) -> DataFrame:
-    hits = near.near_hits(_signatures(spark, d), near.signatures(held_items(spark, d), "state", "id"), threshold=0.5)
-    return hits.select(F.col("id").alias("doc_id"), F.col("ref").alias("item_id"), F.round("j", 6).alias("j"))
+    """Lines of documents that are near a line of a benchmark item (id * 100000 + the line's number)."""
+    lines = lambda x: x.select("id", F.posexplode(F.split("state", "\n")).alias("i", "state")).select((F.col("id") * 100000 + F.col("i") + 1).alias("id"), "state")
+    hits = near.near_hits(near.signatures(lines(train_items(spark, d)), "state", "id"), near.signatures(lines(held_items(spark, d)), "state", "id"), threshold=0.5)
+    return hits.select(F.col("id").alias("line_id"), F.col("ref").alias("item_line"), F.round("j", 6).alias("j"))
 
 
-@query(f"""WITH s AS MATERIALIZED (SELECT x.*, source AS tag FROM {_sig('documents', 'doc_id')} x JOIN documents ON doc_id = id), h AS MATERIALIZED (SELECT * FROM s WHERE id % 10 = 3), q AS MATERIALIZED (SELECT * FROM s WHERE id % 10 <> 3),
+@query(f"""WITH s AS MATERIALIZED (SELECT x.*, lang AS tag FROM {_sig('documents', 'doc_id')} x JOIN documents ON doc_id = id), h AS MATERIALIZED (SELECT * FROM s WHERE id % 10 = 3), q AS MATERIALIZED (SELECT * FROM s WHERE id % 10 <> 3),
 c AS (SELECT DISTINCT x.id AS id, y.id AS ref FROM {_bands('q')} x JOIN {_bands('h')} y USING (band, key))
 SELECT c.id AS doc_id, ref, round({JACCARD.format(a='q.sig', b='h.sig')}, 6) AS j FROM c JOIN q ON q.id = c.id JOIN h ON h.id = ref WHERE {JACCARD.format(a='q.sig', b='h.sig')} >= 0.8 AND q.tag = h.tag""")
 def near_hits_keyed(spark: SparkSession, d: str) -> DataFrame:
     """Rows near a held-out row (a tenth of the ids) of the same key; the key keeps other rows out of its buckets."""
-    s = written(near.signatures(train_items(spark, d), "state", "id", "source"), "signatures")
-    hits = near.near_hits(s.where("id % 10 <> 3"), s.where("id % 10 = 3"), key="source")
+    s = written(near.signatures(train_items(spark, d), "state", "id", "lang"), "signatures")
+    hits = near.near_hits(s.where("id % 10 <> 3"), s.where("id % 10 = 3"), key="lang")
     return hits.select(F.col("id").alias("doc_id"), "ref", F.round("j", 6).alias("j"))
 
 

@@ -77,12 +77,12 @@ def shared_text_cross_source(spark: SparkSession, d: str) -> DataFrame:
     return g.groupBy(F.array_join("s", " + ").alias("sources")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH j AS (SELECT d.doc_id, md5({DOC_KEY}) AS key, l.quality FROM documents d JOIN labels l USING (doc_id)),
-bad AS (SELECT key FROM j GROUP BY key HAVING count(DISTINCT quality) > 1) SELECT doc_id, key, quality::BIGINT AS quality FROM j WHERE key IN (SELECT key FROM bad)""")
+@query(f"""WITH j AS (SELECT doc_id, md5({DOC_KEY}) AS key, source AS label FROM documents),
+bad AS (SELECT key FROM j GROUP BY key HAVING count(DISTINCT label) > 1) SELECT doc_id, key, label FROM j WHERE key IN (SELECT key FROM bad)""")
 def conflicting_labels(spark: SparkSession, d: str) -> DataFrame:
-    """All rows of a key with more than one gold label."""
-    j = docs(spark, d).select("doc_id", F.md5(T.norm_key("text")).alias("key")).join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("long").alias("quality")), "doc_id")
-    bad = j.groupBy("key").agg(F.min("quality").alias("a"), F.max("quality").alias("b")).where("a < b").select("key")
+    """All rows of a key with more than one label: here texts that are filed under several sources."""
+    j = docs(spark, d).select("doc_id", F.md5(T.norm_key("text")).alias("key"), F.col("source").alias("label"))
+    bad = j.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a < b").select("key")
     return j.join(bad, "key", "left_semi")
 
 
@@ -125,18 +125,31 @@ def lang_retag(spark: SparkSession, d: str) -> DataFrame:
     return docs(spark, d).select("doc_id", F.coalesce(T.guess_lang("text"), "lang").alias("lang"))
 
 
+HOST = "split_part(split_part(url, '://', 2), '/', 1)"
+
+
 def _flags(column: str) -> str:
-    return " UNION ALL ".join(f"SELECT source, '{n}' AS flag FROM documents WHERE regexp_matches({column}, '{p.replace(chr(39), chr(39) * 2)}')" for n, p in sorted(T.ARTEFACTS.items()))
+    return " UNION ALL ".join(f"SELECT {HOST} AS source, '{n}' AS flag FROM pages WHERE regexp_matches({column}, '{p.replace(chr(39), chr(39) * 2)}')" for n, p in sorted(T.ARTEFACTS.items()))
 
 
-@query(f"SELECT source, flag, count(*) AS n FROM ({_flags('text')}) GROUP BY 1, 2")
+@query(f"SELECT source, flag, count(*) AS n FROM ({_flags('html')}) GROUP BY 1, 2")
 def artefact_flags_by_source(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("source", F.explode(T.artefact_flags("text")).alias("flag")).groupBy("source", "flag").agg(F.count("*").alias("n"))
+    """Artefacts of raw pages, by host."""
+    host = F.split_part(F.split_part("url", F.lit("://"), F.lit(2)), F.lit("/"), F.lit(1))
+    return table(spark, d, "pages").select(host.alias("source"), F.explode(T.artefact_flags("html")).alias("flag")).groupBy("source", "flag").agg(F.count("*").alias("n"))
+
+
+#: documents, every seventh of which is encoded twice.
+TWICE = "(SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN replace(replace(text, 'é', 'Ã©'), 'ü', 'Ã¼') ELSE text END AS text FROM documents)"
 
 
-@query(f"SELECT doc_id FROM documents WHERE contains(text, '�') OR regexp_matches(text, '{T.ARTEFACTS['mojibake']}')")
+@query(f"SELECT doc_id FROM {TWICE} WHERE contains(text, '�') OR regexp_matches(text, '{T.ARTEFACTS['mojibake']}')")
 def damaged_rows(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).where(T.damaged("text")).select("doc_id")
+    """Rows with encoding damage, after every seventh text was read with the wrong encoding."""
+    twice = F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")
+    only = F.regexp_replace("text", "[^éü]", "")  # what the planted damage concerns
+    planted = F.when((F.col("doc_id") % 7 == 0) & (F.length(only) > 0), twice).otherwise(F.col("text"))
+    return docs(spark, d).where(T.damaged(planted)).select("doc_id")
 
 
 @query(rf"SELECT doc_id, md5(regexp_replace(text, '{T.ARTEFACTS['control_char']}', '', 'g')) AS fixed, regexp_matches(text, '{T.ARTEFACTS['control_char']}') AS changed FROM documents")

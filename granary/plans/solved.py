@@ -116,15 +116,18 @@ def cancel_policy(spark: SparkSession, d: str) -> DataFrame:
     return orders(spark, d).select(F.col("o_orderkey").alias("id"), R.may_cancel(hours=F.col("o_custkey") % 60, by_airline=F.col("o_orderkey") % 7 == 0, cabin=cabin, insured=F.col("o_orderkey") % 2 == 0, reason=reason).alias("label"))
 
 
-@query("""WITH t AS (SELECT l_orderkey AS id, sum(l_quantity::DECIMAL(10, 2) * l_extendedprice::DECIMAL(18, 2)) AS total FROM lineitem GROUP BY 1), x AS (SELECT id, id % 20 AS disc, round(total * (100 - id % 20) / 100.0, 2) + CASE WHEN id % 2 = 0 THEN 0 ELSE 0.01 END AS shown, total FROM t)
-SELECT id, CASE WHEN id % 2 = 0 THEN 'yes' ELSE 'no' END AS label FROM x""")
+@query("""WITH t AS (SELECT l_orderkey AS id, sum(l_quantity::DECIMAL(10, 2) * l_extendedprice::DECIMAL(14, 2)) AS total FROM lineitem GROUP BY 1),
+x AS (SELECT id, o_totalprice, round(total * (100 - id % 20)::DECIMAL(5, 0) / 100, 2) AS due FROM t JOIN orders ON o_orderkey = id),
+y AS (SELECT id, due, CASE WHEN hash_of % 2 = 0 THEN due ELSE due + 0.01 END AS shown FROM (SELECT *, ('0x' || substr(md5(o_totalprice::DECIMAL(18, 2)::VARCHAR), 1, 6))::BIGINT AS hash_of FROM x))
+SELECT id, round(due, 2)::DOUBLE AS due, CASE WHEN abs(due - shown) < 0.005 THEN 'yes' ELSE 'no' END AS label FROM y""")
 def generate_invoice_total(spark: SparkSession, d: str) -> DataFrame:
-    """Is the shown total right: every second one is a cent too high.  Decimal arithmetic."""
+    """What is due, and whether the total that is shown (by a hash a cent too high) is that.  Decimal arithmetic."""
     money = lambda c, p: F.col(c).cast(f"decimal({p},2)")
     x = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_list(F.struct(money("l_quantity", 10).alias("qty"), money("l_extendedprice", 14).alias("price"))).alias("lines"))
-    total = F.aggregate("lines", F.lit(0).cast("decimal(28,4)"), lambda s, v: (s + v["qty"] * v["price"]).cast("decimal(28,4)"))
-    shown = F.round(total * (100 - F.col("id") % 20) / 100, 2) + F.when(F.col("id") % 2 == 0, F.lit(0)).otherwise(F.lit(0.01).cast("decimal(4,2)"))
-    return x.select("id", F.when(R.invoice_matches(F.col("lines"), F.col("id") % 20, shown), "yes").otherwise("no").alias("label"))
+    x = x.join(table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice"), "id").withColumn("due", R.invoice_due(F.col("lines"), F.col("id") % 20))
+    wrong = F.conv(F.substring(F.md5(money("o_totalprice", 18).cast("string")), 1, 6), 16, 10).cast("long") % 2
+    shown = F.col("due") + F.when(wrong == 0, F.lit(0)).otherwise(F.lit(0.01).cast("decimal(4,2)"))
+    return x.select("id", F.col("due").cast("double").alias("due"), F.when(R.invoice_matches(F.col("lines"), F.col("id") % 20, shown), "yes").otherwise("no").alias("label"))
 
 
 @query("""SELECT p_partkey AS id, CASE (['>=', '>', '<', '<='])[p_partkey % 4 + 1] WHEN '>=' THEN p_size >= 25 WHEN '>' THEN p_size > 25 WHEN '<' THEN p_size < 25 ELSE p_size <= 25 END AS label FROM part""")
@@ -133,10 +136,10 @@ def threshold_rules(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("id"), R.compare(F.col("p_size"), op, F.lit(25)).alias("label"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: x IN ('der', 'die', 'und', 'nicht', 'ist', 'ich', 'ein', 'eine', 'mit', 'auf', 'sie', 'wie', 'was'))) AS g FROM documents WHERE lang <> 'xx')
+@query(r"""WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS n, len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: x IN ('der', 'die', 'und', 'nicht', 'ist', 'ich', 'ein', 'eine', 'mit', 'für', 'auf', 'sie', 'wie', 'was'))) AS g FROM documents)
 SELECT doc_id, n >= 3 AND g >= greatest(2, n // 12) AS german FROM w""")
 def german_rows(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("lang <> 'xx'").select("doc_id", R.looks_german(F.regexp_replace("text", "(?i)für", "xx")).alias("german"))
+    return table(spark, d, "documents").select("doc_id", R.looks_german(F.col("text")).alias("german"))
 
 
 # ---- schedules and shares
@@ -193,7 +196,7 @@ def rebalanced_lines(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- packing, whole against resumed
 
-@query("SELECT count(*) AS segments, count(DISTINCT doc_id % 4) AS shards, 0::BIGINT AS differing FROM documents")
+@query()
 def pack_resume_check(spark: SparkSession, d: str) -> DataFrame:
     """Placements with a break after half of a shard, its state carried over, against placements without one."""
     n = table(spark, d, "documents").select((F.col("doc_id") % 4).alias("shard"), F.col("doc_id").alias("idx"), F.greatest(F.length("text") / 4, F.lit(1)).cast("long").alias("n"))
@@ -236,8 +239,9 @@ def substituted_json(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def edited_words(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 200).alias("a"))
-    return docs.select("doc_id", S.edit_words_udf("a", F.regexp_replace("a", r"\b(the|le|de)\b", "one more")).alias("edits"))
+    """Edits that turn whole texts into those with some words exchanged and the last line gone."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return docs.select("doc_id", S.edit_words_udf("text", F.regexp_replace(F.regexp_replace("text", r"(?<![\p{L}\p{N}_])(the|le|de)(?![\p{L}\p{N}_])", "one more"), r"\n[^\n]*\z", "")).alias("edits"))
 
 
 @query("SELECT 'documents' AS name, array_to_string(list_sort(list(DISTINCT source)), ',') AS labels FROM documents")
@@ -279,11 +283,12 @@ def time_by_scope(spark: SparkSession, d: str) -> DataFrame:
     return r.select("phase", "op", "n", F.round("total", 4).alias("total"), F.round("share", 6).alias("share"))
 
 
-@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Za-z]{3,8}(?:ing|ed|tion)\b')) AS op FROM documents) SELECT op, count(*) AS n, count(DISTINCT doc_id) AS texts FROM m GROUP BY op HAVING count(*) >= 20""")
+@query(r"""WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS op FROM documents)
+SELECT op, count(*) AS n, count(DISTINCT doc_id) AS texts FROM m WHERE regexp_full_match(op, '[A-Za-z]{3,8}(ing|ed|tion)') GROUP BY op HAVING count(*) >= 5""")
 def text_counters(spark: SparkSession, d: str) -> DataFrame:
-    """How often each name that a pattern finds stands in text dumps."""
-    m = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]{3,8}(?:ing|ed|tion)\b"), 0)).alias("op"))
-    return m.groupBy("op").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("texts")).where("n >= 20")
+    """How often each name of a form stands in text dumps, as a whole word, and in how many."""
+    m = table(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), 0)).alias("op")).where(F.col("op").rlike(r"\A[A-Za-z]{3,8}(ing|ed|tion)\z"))
+    return m.groupBy("doc_id", "op").agg(F.count("*").alias("n")).groupBy("op").agg(F.sum("n").alias("n"), F.count("*").alias("texts")).where("n >= 5")
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts)::VARCHAR AS at FROM events GROUP BY user_id")

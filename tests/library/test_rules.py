@@ -43,7 +43,7 @@ def test_structured(spark):
     others = F.array(tool("getWeather", "forecast for a city"), tool("getStockPrice", "price of a share"), tool("WeatherTool", "other words"), tool("book_hotel", "reserve rooms near places"))
     assert one(spark, S.dissimilar(tool("fetchWeather", "weather forecast for some city"), others))[0] == ["book_hotel", "getStockPrice"]
     forms = spark.createDataFrame([("30 days", "within 30 days."), ("30", "300 units"), ("", "x"), (None, "x")], "form string, rest string")
-    assert [r[0] for r in forms.select(S.leaked_udf("form", "rest")).collect()] == [True, False, False, False]
+    assert [r[0] for r in forms.select(S.leaked(F.col("form"), F.col("rest"))).collect()] == [True, False, False, False]
 
 
 def test_packing_in_parts(spark):
