@@ -46,7 +46,7 @@ from pyspark.sql.window import Window
 from ._common import arrow_map, release_memory, session, table, written
 
 #: Bytes of text whose suffixes are counted at once, and suffixes that any part may have.
-SLICE_BYTES, LARGE = 12 << 20, 200_000
+SLICE_BYTES, LARGE = 8 << 20, 200_000
 PIECES, SPACES = "[.,;:!?\n\x0B\f\r]", "[ \t]+"
 PACKED = "part string, level int, lang string, suffixes long, words long, packed binary"
 

@@ -36,7 +36,6 @@ import hashlib
 import json
 import uuid
 import zlib
-from array import array
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
@@ -46,7 +45,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ._common import arrow_map, release_memory, session, table, work_path
 
@@ -54,9 +53,9 @@ MAGIC = b"TOKSHRD1"
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("at", "<u8"), ("size", "<u8"), ("tokens", "<u8"), ("start", "<u8")])
 ENCODED = "doc_id long, ids binary"
 #: Bytes of texts that are split at once.
-SLICE = 8 << 20
+SLICE = 12 << 20
 #: Chunks whose ids a worker remembers, and bytes of a batch of documents that is read back.
-CACHE, READ_BYTES = 1_200_000, 4 << 20
+CACHE, READ_BYTES = 2_000_000, 4 << 20
 #: Signs that are cut from a chunk's end where a letter or digit stands before them.
 SIGNS, LETTER_LAST = ".,;:!?", "[A-Za-z0-9À-ÖØ-öø-ɏ]$"
 
@@ -64,52 +63,73 @@ SIGNS, LETTER_LAST = ".,;:!?", "[A-Za-z0-9À-ÖØ-öø-ɏ]$"
 # ---- encoding
 
 class _Chunks:
-    """The ids of chunks seen, on end in one array: by what a chunk follows and its text the number of its entry."""
+    """The ids of chunks seen, on end in one array; by what a chunk follows, its text and the number of its entry."""
 
-    def __init__(self, library: Callable[[list[str]], list[bytes]]) -> None:
-        self.library = library
+    def __init__(self, library: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], line_end: int) -> None:
+        self.library, self.line_end = library, line_end
         self.clear()
 
     def clear(self) -> None:
-        self.entry: tuple[dict[str, int], ...] = ({}, {}, {})
-        self.tails: dict[str, bytes] = {}
+        self.words = [pa.array([], pa.string())] * 3
+        self.entries = [np.empty(0, np.int64)] * 3
+        self.tails: dict[str, np.ndarray] = {}
         self.ids, self.starts = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64)
         self.n = 0  # entries; entry i has ids starts[i] to starts[i + 1]
 
-    def _add(self, kind: int, words: list[str], packed: list[bytes]) -> None:
-        new = np.frombuffer(b"".join(packed), np.uint32)
-        begin, end = int(self.starts[self.n]), int(self.starts[self.n]) + len(new)
+    def _add(self, kind: int, words: pa.Array, new: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        begin, end, m = int(self.starts[self.n]), int(self.starts[self.n]) + len(new), len(words)
         while end > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        while self.n + len(words) >= len(self.starts):
+        while self.n + m >= len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
         self.ids[begin:end] = new
-        self.starts[self.n + 1 : self.n + 1 + len(words)] = begin + np.cumsum([len(x) // 4 for x in packed])
-        self.entry[kind].update(zip(words, range(self.n, self.n + len(words)), strict=True))
-        self.n += len(words)
+        self.starts[self.n + 1 : self.n + 1 + m] = begin + np.cumsum(sizes)
+        numbers = np.arange(self.n, self.n + m)
+        self.words[kind], self.entries[kind] = pa.concat_arrays([self.words[kind], words]), np.concatenate([self.entries[kind], numbers])
+        self.n += m
+        return numbers
 
     def find(self, kind: int, words: pa.Array) -> np.ndarray:
         """The entries of different words; those that aren't there are encoded, a stem and the signs at its end apart."""
-        spelled, entry = words.to_numpy(zero_copy_only=False).tolist(), self.entry[kind]
-        got = list(map(entry.get, spelled))
-        missing = [i for i, x in enumerate(got) if x is None]
-        if missing:
-            new = words.take(pa.array(missing))
-            stems = pc.utf8_rtrim(new, characters=SIGNS)
-            stems = pc.if_else(pc.match_substring_regex(stems, LETTER_LAST), stems, new).to_numpy(zero_copy_only=False).tolist()  # a match ends between a letter or digit and a sign
-            self._encode(kind, [x for x in dict.fromkeys(stems) if x not in entry])
-            with_tail = [(w, x, w[len(x) :]) for w, x in zip([spelled[i] for i in missing], stems, strict=True) if len(w) > len(x)]
-            tails = list({t for _, _, t in with_tail} - self.tails.keys())
-            self.tails.update(zip(tails, self.library(tails), strict=True))
-            self._add(kind, [w for w, _, _ in with_tail], [self.ids[self.starts[i := entry[x]] : self.starts[i + 1]].tobytes() + self.tails[t] for _, x, t in with_tail])
-            for i in missing:
-                got[i] = entry[spelled[i]]
-        return np.array(got, np.int64)
-
-    def _encode(self, kind: int, words: list[str]) -> None:
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            self._add(kind, part, self.library([("", " ", "\n")[kind] + w for w in part]))
+        stems = pc.utf8_rtrim(words, characters=SIGNS)
+        stems = pc.if_else(pc.match_substring_regex(stems, LETTER_LAST), stems, words)  # a match ends between a letter or digit and a sign
+        at = pc.index_in(pa.concat_arrays([words, stems]), value_set=self.words[kind]).fill_null(-1).to_numpy()
+        entry = np.full(len(at), -1, np.int64)
+        entry[at >= 0] = self.entries[kind][at[at >= 0]]
+        out, of_stem = entry[: len(words)], entry[len(words) :]
+        missing = np.flatnonzero(out < 0)
+        if len(missing):
+            need = missing[of_stem[missing] < 0]
+            new = stems.take(pa.array(need)).dictionary_encode()
+            of_stem[need] = self._encode(kind, new.dictionary)[new.indices.to_numpy()]
+            cut = missing[pc.not_equal(stems, words).to_numpy(zero_copy_only=False)[missing]]
+            out[missing] = of_stem[missing]
+            if len(cut):
+                longer = words.take(pa.array(cut))
+                ends = [w[len(x) :] for w, x in zip(_strings(longer), _strings(stems.take(pa.array(cut))), strict=True)]
+                tails = list(set(ends) - self.tails.keys())
+                ids, sizes = self.library(tails)
+                self.tails.update(zip(tails, np.split(ids, np.cumsum(sizes)[:-1]) if tails else [], strict=True))
+                begins, stops = self.starts[of_stem[cut]].tolist(), self.starts[of_stem[cut] + 1].tolist()
+                parts = [y for i, j, t in zip(begins, stops, ends, strict=True) for y in (self.ids[i:j], self.tails[t])]
+                lens = np.fromiter(map(len, parts), np.int64, len(parts))
+                out[cut] = self._add(kind, longer, np.concatenate(parts), lens[::2] + lens[1::2])
+        return out
+
+    def _encode(self, kind: int, words: pa.Array) -> np.ndarray:
+        numbers = [np.empty(0, np.int64)]
+        for at in range(0, len(words), 5_000):
+            part = words[at : at + 5_000]
+            if kind < 2:
+                numbers.append(self._add(kind, part, *self.library([" " * kind + w for w in _strings(part)])))
+            else:  # a line end is a match of its own
+                ids, sizes = self.library(_strings(part))
+                numbers.append(self._add(kind, part, np.insert(ids, np.cumsum(sizes) - sizes, self.line_end), sizes + 1))
+        return np.concatenate(numbers)
+
+
+def _strings(x: pa.Array) -> list[str]:
+    return x.to_numpy(zero_copy_only=False).tolist()
 
 
 class Encoder:
@@ -123,10 +143,21 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = not special
-        self.known = _Chunks(self.library)
-
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        (self.line_end,) = self.tokenizer.encode("\n", add_special_tokens=False).ids  # of a byte-level vocabulary
+        self.known = _Chunks(self.pieces, self.line_end)
+
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of short texts on end, and their numbers.  Texts without line ends go to the library on lines of one text; no other id holds a line end."""
+        if texts and not any(not x or "\n" in x for x in texts):
+            ids = self.library(["\n".join(texts)])[0]
+            cuts = np.flatnonzero(ids == self.line_end)
+            if len(cuts) == len(texts) - 1:
+                return ids[ids != self.line_end], np.diff(np.r_[-1, cuts, len(ids)]) - 1
+        each = self.library(texts)
+        return np.concatenate([np.empty(0, np.uint32), *each]), np.array([len(x) for x in each], np.int64)
 
     def encode(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts on end, and each text's number of ids; end_id is added to each."""
@@ -168,7 +199,7 @@ class Encoder:
         sizes = np.where(used, starts[entry + 1] - starts[entry], 0)
         counts = np.add.reduceat(sizes, first[:-1])
         others = np.flatnonzero(whole)
-        alone = [np.frombuffer(x, np.uint32) for x in self.library(texts.take(pa.array(others)).to_pylist())] if len(others) else []
+        alone = self.library(texts.take(pa.array(others)).to_pylist()) if len(others) else []
         counts[others] = [len(x) for x in alone]
         counts += end_id is not None
         place = np.cumsum(counts) - counts
@@ -371,26 +402,15 @@ class _Part(InputPartition):
     start: int
 
 
-_PUSHED = {EqualTo: lambda s, v: s["first"] <= v <= s["last"], GreaterThan: lambda s, v: s["last"] > v, GreaterThanOrEqual: lambda s, v: s["last"] >= v, LessThan: lambda s, v: s["first"] < v, LessThanOrEqual: lambda s, v: s["first"] <= v}
-_ROWS = {EqualTo: np.equal, GreaterThan: np.greater, GreaterThanOrEqual: np.greater_equal, LessThan: np.less, LessThanOrEqual: np.less_equal}
-
-
 class _Reader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path, self.filters = path, []
-
-    def pushFilters(self, filters: list) -> Iterator:
-        for f in filters:
-            if getattr(f, "attribute", None) == ("doc_id",) and type(f) in (*_PUSHED, In) and (type(f) is not In or all(x is not None for x in f.value)):
-                self.filters.append(f)
-            else:
-                yield f
+    def __init__(self, path: str, doc_ids: list[int] | None) -> None:
+        self.path, self.wanted = path, doc_ids if doc_ids is None else sorted(set(doc_ids))
 
     def partitions(self) -> list[_Part]:
         def may(s: dict) -> bool:
-            if not self.filters or s["last"] is None:
-                return not self.filters
-            return all(any(s["first"] <= v <= s["last"] for v in f.value) if type(f) is In else _PUSHED[type(f)](s, f.value) for f in self.filters)
+            if self.wanted is None:
+                return True
+            return s["last"] is not None and bisect.bisect_left(self.wanted, s["first"]) < bisect.bisect_right(self.wanted, s["last"])
 
         return [_Part(s["file"], s["start"]) for s in Shards(self.path).manifest["shards"] if may(s)]
 
@@ -399,8 +419,8 @@ class _Reader(DataSourceReader):
             return
         shards = Shards(self.path)
         index = shards.index(part.file)
-        for f in self.filters:  # null ids meet no filter
-            index = index[(index["has_id"] > 0) & (np.isin(index["doc_id"], list(f.value)) if type(f) is In else _ROWS[type(f)](index["doc_id"], f.value))]
+        if self.wanted is not None:
+            index = index[(index["has_id"] > 0) & np.isin(index["doc_id"], self.wanted)]
         fs, at = _store(f"{self.path}/{part.file}")
         with fs.open_input_file(at) as f:
             begin = 0
@@ -417,7 +437,8 @@ class _Reader(DataSourceReader):
 
 class TokenShards(DataSource):
     """Format "token_shards".  Written: doc_id, ids (binary, 4 bytes an id), one shard for each partition, to the option path, whose
-    dictionary.bin is there.  Read: doc_id, start, n_tokens, ids; comparisons with doc_id leave out shards and frames."""
+    dictionary.bin is there.  Read: doc_id, start, n_tokens, ids; the option doc_ids (JSON list) leaves out shards and frames of
+    others.  (No pushed filter: Spark would keep the first one for a frame's other uses.)"""
 
     @classmethod
     def name(cls) -> str:
@@ -431,11 +452,10 @@ class TokenShards(DataSource):
         return _Writer(o["path"], int(o.get("width", 4)), int(o.get("level", 3)), o.get("vocabulary", ""))
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options["path"])
+        return _Reader(self.options["path"], json.loads(self.options["doc_ids"]) if "doc_ids" in self.options else None)
 
 
 def _registered(spark: SparkSession) -> SparkSession:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(TokenShards)
     return spark
 
@@ -459,9 +479,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, *, end_id: int
     made.write.format("token_shards").mode("append").options(width=width, level=level, vocabulary=hashlib.sha256(tokenizer_json.encode()).hexdigest()).save(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start (ids of all documents before), n_tokens, ids of the documents in the folder."""
-    return _registered(spark).read.format("token_shards").load(path)
+def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
+    """doc_id, start (ids of all documents before), n_tokens, ids of the documents in the folder, or of some (a list for lookups; larger sides join)."""
+    reader = _registered(spark).read.format("token_shards")
+    return (reader if doc_ids is None else reader.option("doc_ids", json.dumps([int(i) for i in doc_ids]))).load(path)
 
 
 def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,10 +238,11 @@ def test_token_files(spark, tokenizer_json, library, sf_dir):
     shards = token_files.Shards(path)
     assert [x.tolist() for x in shards.get(4)] == [[*library(texts[4]), 0]] * 4
     assert shards.get(777) == [] and shards.get(-3)[0].tolist() == [*library(texts[-3]), 0]
-    one = token_files.read_tokens(spark, path).where("doc_id = 4")
+    one = token_files.read_tokens(spark, path, [4])
     assert one.count() == 4 and one.rdd.getNumPartitions() < token_files.read_tokens(spark, path).rdd.getNumPartitions()
-    assert sorted(r.doc_id for r in token_files.read_tokens(spark, path).where("doc_id in (1, 6) or doc_id is null").collect() if r.doc_id) == [1, 6]
-    assert token_files.read_tokens(spark, path).where("doc_id > 4 and doc_id <= 5").count() == 1
+    assert sorted(r.doc_id for r in token_files.read_tokens(spark, path, [1, 6, 777]).collect()) == [1, 6] and token_files.read_tokens(spark, path, [777]).count() == 0
+    twice = token_files.read_tokens(spark, path)
+    assert (twice.where("doc_id = 5").count(), twice.where("doc_id = 6").count(), twice.where("doc_id is null").count()) == (1, 1, 2)
     delete_path(spark, path)
 
 
