@@ -53,7 +53,7 @@ MAGIC = b"TOKSHRD1"
 INDEX = np.dtype([("doc_id", "<i8"), ("has_id", "u1"), ("at", "<u8"), ("size", "<u8"), ("tokens", "<u8"), ("start", "<u8")])
 ENCODED = "doc_id long, ids binary"
 #: Bytes of texts that are split at once.
-SLICE = 12 << 20
+SLICE = 8 << 20
 #: Chunks whose ids a worker remembers, and bytes of a batch of documents that is read back.
 CACHE, READ_BYTES = 2_000_000, 4 << 20
 #: Signs that are cut from a chunk's end where a letter or digit stands before them.
