@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("keys_text", "dedup", "mixing", "scoring", "sequences", "jobs", "adapted", "solved")
+MODULES = ("keys_text", "dedup", "mixing", "scoring", "sequences", "jobs", "adapted", "solved", "streams")
 
 
 def _entries() -> dict[str, tuple]:
