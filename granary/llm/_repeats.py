@@ -22,8 +22,9 @@ What a task gathers is its share of hashes: each block sends an anchor, phrase o
 window once, so a passage that a third of all documents holds gives a row for each
 block, not for each document, and a hot anchor's neighbours are dealt over all tasks.
 
-Blocks of documents are a bucketed table in the warehouse, dropped at the end; each
-pass joins its answers to it without moving texts.
+Blocks of documents are a bucketed table whose files lie in the shared folder; each pass
+joins its answers to it without moving texts.  Table, blocks and answers are dropped at
+the end, whether the result could be written or not.
 """
 
 from __future__ import annotations
@@ -163,8 +164,8 @@ def bucket_of(number: int, buckets: int) -> int:
     return (h - (1 << 32) if h >> 31 else h) % buckets
 
 
-def blocks(docs: DataFrame, name: str) -> DataFrame:
-    """block, ids, texts: documents packed by size, in a bucketed table `name` of as many buckets as there are shuffle partitions.
+def blocks(docs: DataFrame, name: str, path: str) -> DataFrame:
+    """block, ids, texts: documents packed by size, in a bucketed table `name` at path, of as many buckets as there are shuffle partitions.
 
     Blocks are numbered so that all of a task's blocks belong to one bucket: each task
     writes one file, no text is shuffled, and yet each later join by block finds the
@@ -202,7 +203,7 @@ def blocks(docs: DataFrame, name: str) -> DataFrame:
         release_memory()
 
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "block long, ids array<long>, texts array<string>")
-    packed.write.bucketBy(n, "block").option("compression", "zstd").option("parquet.block.size", str(32 << 20)).saveAsTable(name)
+    packed.write.bucketBy(n, "block").option("compression", "zstd").option("parquet.block.size", str(32 << 20)).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
@@ -512,10 +513,18 @@ def removed(
     windows are sent and compared as 128-bit hashes.
     """
     spark = session(docs)
-    table_name = f"{name}_{uuid.uuid4().hex}"
-    table = blocks(docs, table_name)
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    folder, wide = work_path(spark, name), same is not None
+    table_name, folder = f"{name}_{uuid.uuid4().hex}", work_path(spark, name)
+    try:
+        table = blocks(docs, table_name, f"{folder}/blocks")
+        return _removed(table, folder, name=name, tokens=tokens, length=length, group=group, finish=finish, schema=schema, same=same)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table_name}")
+        delete_path(spark, folder)
+
+
+def _removed(table: DataFrame, folder: str, *, name: str, tokens: Callable, length: int, group: int, finish: Callable, schema: str, same: Callable | None) -> DataFrame:
+    spark = table.sparkSession
+    tasks, wide = int(spark.conf.get("spark.sql.shuffle.partitions")), same is not None
 
     def each(what: Callable[[int, list, list[str], list[dict], Block], pa.RecordBatch]) -> Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]:
         """A function of blocks, one of which is held at a time."""
@@ -567,7 +576,4 @@ def removed(
     def end(_: int, ids: list, texts: list[str], got: list[dict], block: Block) -> pa.RecordBatch:
         return finish(ids, block.tokens, block.covered(got, wide))
 
-    out = written(arrow_map(per_block(answers), each(end), schema), f"{name}-removed")
-    delete_path(spark, folder)
-    spark.sql(f"DROP TABLE {table_name}")
-    return out
+    return written(arrow_map(per_block(answers), each(end), schema), f"{name}-removed")

@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -14,6 +15,7 @@ pytest.importorskip("granary.llm")
 
 from granary.llm import _repeats, bpe, decontaminate, extraction, hosts, lattice, minhash, secrets, substrings, suffixes, toxicity  # noqa: E402
 from granary.llm import queries as registered  # noqa: E402
+from granary.llm._common import shared_dir  # noqa: E402
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Columns whose names operators use themselves.
@@ -728,11 +730,25 @@ def test_words_that_polynomial_hashes_confuse(spark):
     assert got == {1: 0, 2: 0, 3: 50}
 
 
-def test_tables_are_dropped(spark):
+def test_tables_are_dropped(spark, monkeypatch):
     df = passages(spark)
     before = spark.catalog.listTables()
     assert substrings.dedup(df).count() == df.count()
     assert [t.name for t in spark.catalog.listTables()] == [t.name for t in before]
+    shared = Path(shared_dir(spark).removeprefix("file://"))
+    assert not list(shared.glob("substrings-*/blocks"))
+    real, paths = _repeats._removed, []
+
+    def fails(table, folder, **how):
+        paths.extend(table.inputFiles())
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(_repeats, "_removed", fails)
+    with pytest.raises(RuntimeError, match="lost"):
+        substrings.dedup(df)
+    monkeypatch.setattr(_repeats, "_removed", real)
+    assert paths and all(str(shared) in x for x in paths)  # the corpus copy lies in the shared folder
+    assert [t.name for t in spark.catalog.listTables()] == [t.name for t in before] and not any(Path(x.removeprefix("file://").removeprefix("file:")).exists() for x in paths)
 
 
 def test_word_tokens(monkeypatch):
