@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.tables import work_path
+from ..functions.tokens import PromptTokenizer
 from ..sources import traces
+from ..sources.repos import Registry, Repository
 from ..sources.tables import table
 
 Q: dict[str, tuple] = {}
@@ -39,3 +41,25 @@ def trace_scopes(spark: SparkSession, d: str) -> DataFrame:
     x = traces.device_events(traces.trace_events(spark, written_traces(spark, d), {"ph": ["M", "X"]}, range_bytes=1 << 20))
     scope = F.get_json_object("args", "$.scope").cast("long")
     return x.groupBy(scope.alias("scope"), F.col("name").alias("op")).agg(F.count("*").alias("n"), F.round(F.sum("dur"), 4).alias("total"), F.max("ts").alias("last"))
+
+
+@query("""SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderkey BETWEEN 1000 AND 9000 AND o_custkey > 100 GROUP BY 1""")
+def ranged_repository(spark: SparkSession, d: str) -> DataFrame:
+    """A repository of range-dealt files, of which those outside a range of keys are never opened."""
+    root = work_path(spark, "repository")
+    table(spark, d, "orders").repartitionByRange(16, "o_orderkey").write.parquet(f"{root}/main")
+    registry = Registry()
+    registry.register(Repository("orders", root, {"main": {"train": "main/*"}}))
+    registry.index(spark, "orders", ["o_orderkey"])
+    rows = registry.load(spark, "orders", "main", "train", columns=["o_orderpriority", "o_totalprice"], where=F.col("o_custkey") > 100, between={"o_orderkey": (1000, 9000)})
+    return rows.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query()
+def prompt_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Token counts of texts by a public vocabulary whose answer letters are tokens of their own."""
+    import public_tokenizers
+
+    tokens = PromptTokenizer.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    tokens.letter_ids()
+    return table(spark, d, "documents").select("doc_id", tokens.count(F.col("text")).alias("n_tokens"))
