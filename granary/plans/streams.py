@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import contrast
 from ..operators.tables import work_path
 from ..functions.tokens import PromptTokenizer
 from ..sources import traces
@@ -63,3 +64,10 @@ def prompt_tokens(spark: SparkSession, d: str) -> DataFrame:
     tokens = PromptTokenizer.read(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
     tokens.letter_ids()
     return table(spark, d, "documents").select("doc_id", tokens.count(F.col("text")).alias("n_tokens"))
+
+
+@query()
+def contrastive_returns(spark: SparkSession, d: str) -> DataFrame:
+    """Groups of contrastive rows on returns, one for each order, whole or rejected."""
+    worlds = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.to_date("o_orderdate").alias("day"), F.col("o_custkey").alias("customer"))
+    return contrast.contrastive(worlds, "key", contrast.return_group, contrast.in_time)
