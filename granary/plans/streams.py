@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import contrast
+from ..operators import align, contrast
 from ..operators.tables import work_path
 from ..functions.tokens import PromptTokenizer
 from ..sources import traces
@@ -71,3 +71,16 @@ def contrastive_returns(spark: SparkSession, d: str) -> DataFrame:
     """Groups of contrastive rows on returns, one for each order, whole or rejected."""
     worlds = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.to_date("o_orderdate").alias("day"), F.col("o_custkey").alias("customer"))
     return contrast.contrastive(worlds, "key", contrast.return_group, contrast.in_time)
+
+
+@query("""WITH o AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS place, doc_id, doc_id || ' ' || md5(text) AS line FROM documents),
+t AS (SELECT place, line FROM o WHERE doc_id % 3 <> 1), f AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, line FROM o WHERE doc_id % 41 <> 7),
+c AS (SELECT -1 AS place, -1 AS i UNION ALL SELECT place, i FROM t JOIN f USING (line)),
+g AS (SELECT i AS i0, place AS at0, lead(i) OVER (ORDER BY i) - i AS size, lead(i) OVER (ORDER BY i) - i = lead(place) OVER (ORDER BY place) - place AS even FROM c),
+r AS (SELECT at0 + f.i - i0 AS place, line FROM f JOIN g ON f.i > i0 AND f.i < i0 + size WHERE even)
+SELECT place, line, false AS restored FROM t UNION ALL SELECT place, line, true FROM r WHERE place NOT IN (SELECT place FROM t)""")
+def realigned_lines(spark: SparkSession, d: str) -> DataFrame:
+    """A file of which a third of the lines was thinned out, restored from a later build that lacks some others."""
+    x = table(spark, d, "documents").select("doc_id", F.concat_ws(" ", F.col("doc_id").cast("string"), F.md5("text")).alias("line"))
+    places = lambda df, name: align.running(align.in_parts(df, "doc_id"), "doc_id", name, F.lit(1), "sum").withColumn(name, F.col(name) - 1)
+    return align.realigned(places(x.where("doc_id % 41 <> 7"), "i"), places(x, "at").where("doc_id % 3 <> 1")).withColumnRenamed("at", "place")
