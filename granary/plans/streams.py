@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import align, contrast
+from ..operators import align, contrast, reservoir
 from ..operators.tables import work_path
 from ..functions.tokens import PromptTokenizer
 from ..sources import traces
@@ -84,3 +84,9 @@ def realigned_lines(spark: SparkSession, d: str) -> DataFrame:
     x = table(spark, d, "documents").select("doc_id", F.concat_ws(" ", F.col("doc_id").cast("string"), F.md5("text")).alias("line"))
     places = lambda df, name: align.running(align.in_parts(df, "doc_id"), "doc_id", name, F.lit(1), "sum").withColumn(name, F.col(name) - 1)
     return align.realigned(places(x.where("doc_id % 41 <> 7"), "i"), places(x, "at").where("doc_id % 3 <> 1")).withColumnRenamed("at", "place")
+
+
+@query()
+def thinned_reservoir(spark: SparkSession, d: str) -> DataFrame:
+    """A sample of fixed size of which all English rows and a thirty-third of the others are eligible; no sort of the input."""
+    return reservoir.reservoir(table(spark, d, "documents"), 200, kept=F.col("lang") == "en", share=1 / 33, ident="doc_id", seed=1234).select("doc_id", "lang", F.md5("text").alias("text"))
