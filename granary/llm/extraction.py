@@ -13,7 +13,14 @@ elements that HTML itself sets apart (nav, aside, footer, form, script ...) and
 whose text other pages of the same host have as well: what pages agree on is the host's
 template, not the article.  Words of class, id and role label nothing and decide nothing: they are seen, each word, and whether one of a
 list (comments, adverts ...) is among them, of the element itself alone.  All parameters are smoothed counts.  Without such
-pages the model's built-in expectations are used.
+pages the model's built-in expectations (BUILTIN) are used.
+
+Readers' comments are told by repetition: two or more siblings of one shape, each of
+which begins with a short text that is no sentence and goes on with longer ones, and of
+which something says that people answer here: a date or "reply" in each, or a word of
+class or id of the siblings, what holds them or its parent.  An element whose class or id
+names comments is such a thread, too, unless it holds the article or most of the page.
+A thread is seen of all its elements, and training never labels it content.
 
 Defined results.  A null or empty html gives an empty text.  Malformed and cut-off pages
 are parsed as far as they go; a reference that can't be decoded stays as it is.  Rows are
@@ -49,8 +56,15 @@ LOOSE = frozenset("object button canvas svg".split())
 #: Elements that a sibling's start ends, and the elements that this search stays within.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: What an observation counts at most (others: 1.2), and what it counts where training hasn't seen it.
-BOUND = {"beside": 3.5}
-EXPECTED = {"beside": -3.5}
+BOUND = {"beside": 3.5, "thread": 8.0}
+EXPECTED = {"beside": -3.5, "thread": -8.0}
+#: The same where nothing was trained.
+BUILTIN = EXPECTED | {"tag:p": 1.0, "tag:h1": 0.8, "tag:h2": 0.5, "tag:h3": 0.5, "links:0": 0.6, "links:1": 0.2, "links:2": -0.8, "links:3": -1.2, "links:none": -0.3, "stops:0": -0.4, "stops:1": 0.8, "stops:2": 1.0, "stops:3": 0.8} | {f"size:{i}": -0.6 for i in range(5)} | {f"size:{i}": 0.4 for i in range(7, 13)}
+#: Words of class and id that name readers' comments, and words that may.
+COMMENT_WORDS = frozenset("comment comments replies disqus respond".split())
+PEOPLE_WORDS = COMMENT_WORDS | frozenset("reply response responses thread discussion discussions feedback post posts user users author avatar review reviews".split())
+_DATED = re.compile(r"\b(19|20)\d\d\b|\b\d+ (second|minute|hour|day|week|month|year)s? ago\b|\b\d\d?:\d\d\b", re.I)
+_REPLY = re.compile(r"(reply|answer|respond|like|quote)s?( to)?\b", re.I)
 #: Elements that hold the main text whatever their class says.
 WHOLE = frozenset("html body main article".split())
 #: Words of class, id and role that elements beside the main text often have.
@@ -65,12 +79,12 @@ _TOKENS = re.compile(r"[a-z]+")
 class Node:
     """block: the nearest element from here up that isn't inline; chars, link_chars, stops: of the text within, once the page is parsed."""
 
-    __slots__ = ("tag", "tokens", "parent", "block", "chars", "link_chars", "stops", "apart", "hidden", "closed")
+    __slots__ = ("tag", "tokens", "parent", "block", "chars", "link_chars", "stops", "apart", "hidden", "closed", "thread")
 
     def __init__(self, tag: str, tokens: frozenset[str], parent: int, block: int) -> None:
         self.tag, self.tokens, self.parent, self.block = tag, tokens, parent, block
         self.chars = self.link_chars = self.stops = 0
-        self.apart = self.hidden = self.closed = False
+        self.apart = self.hidden = self.closed = self.thread = False
 
 
 class _Parser(HTMLParser):
@@ -184,7 +198,54 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         up = p.nodes[node.parent]
         up.chars, up.link_chars, up.stops = up.chars + node.chars, up.link_chars + node.link_chars, up.stops + node.stops
     runs = [(n, _SPACE.sub(" ", "".join(parts)).strip()) for n, parts in p.runs]
-    return p.nodes, [(n, t) for n, t in runs if t]
+    runs = [(n, t) for n, t in runs if t]
+    _mark_threads(p.nodes, runs)
+    return p.nodes, runs
+
+
+#: Levels up to which a text counts for the elements around it, and its first texts that are looked at.
+LEVELS, FIRST = 6, 4
+
+
+def _mark_threads(nodes: list[Node], runs: list[tuple[int, str]]) -> None:
+    """Sets thread for readers' comments and all within them; see the module's text."""
+    holds: set[int] = set()  # elements around an article or main
+    for i, n in enumerate(nodes):
+        if n.tag in ("article", "main"):
+            while i > 0 and i not in holds:
+                holds.add(i)
+                i = nodes[i].parent
+    texts: dict[int, list[str]] = {}
+    for i, t in runs:
+        for _ in range(LEVELS):
+            if i <= 0:
+                break
+            mine = texts.setdefault(i, [])
+            if len(mine) < FIRST:
+                mine.append(t)
+            i = nodes[i].parent
+    siblings: dict[tuple, list[int]] = {}
+    for i in texts:
+        if nodes[i].tag not in INLINE and nodes[i].tag not in WHOLE and not nodes[i].apart:
+            siblings.setdefault((nodes[i].parent, nodes[i].tag, nodes[i].tokens), []).append(i)
+
+    def spoken(i: int) -> bool:
+        first, rest = texts[i][0], texts[i][1:]
+        return len(first) <= 40 and (first[-1] not in ".!?" or len(first.split()) <= 3) and any(len(t) > 20 or t[-1] in ".!?" for t in rest)
+
+    for (up, _, tokens), items in siblings.items():
+        if len(items) < 2 or not all(spoken(i) for i in items):
+            continue
+        dated = all(any(_DATED.search(t) or _REPLY.fullmatch(t) for t in texts[i]) for i in items)
+        around = tokens | (nodes[up].tokens if nodes[up].tag not in WHOLE else frozenset()) | (nodes[nodes[up].parent].tokens if nodes[up].parent > 0 and nodes[nodes[up].parent].tag not in WHOLE else frozenset())
+        if dated or around & PEOPLE_WORDS:
+            for i in items:
+                nodes[i].thread = i not in holds
+            if nodes[up].tokens & PEOPLE_WORDS and nodes[up].tag not in WHOLE and up not in holds:
+                nodes[up].thread = True
+    for i, n in enumerate(nodes[1:], 1):
+        named = n.tokens & COMMENT_WORDS and n.tag not in WHOLE and i not in holds and 10 * n.chars < 7 * nodes[0].chars
+        n.thread = n.thread or bool(named) or nodes[n.parent].thread
 
 
 def seen(node: Node) -> list[str]:
@@ -195,6 +256,8 @@ def seen(node: Node) -> list[str]:
     out += [f"word:{w}" for w in node.tokens]
     if node.tokens & APART_WORDS and node.tag not in WHOLE:
         out.append("beside")
+    if node.thread:
+        out.append("thread")
     return out
 
 
@@ -222,7 +285,7 @@ def self_labels(nodes: list[Node], template: frozenset[int] = frozenset()) -> li
         return None
     out = [0] * len(nodes)
     for i, n in enumerate(nodes):
-        if i and not n.apart and i not in template and (out[n.parent] or n.tag in ("article", "main")):
+        if i and not n.apart and not n.thread and i not in template and (out[n.parent] or n.tag in ("article", "main")):
             out[i] = 1
     return out
 
@@ -230,10 +293,11 @@ def self_labels(nodes: list[Node], template: frozenset[int] = frozenset()) -> li
 def marginals(model: Model, nodes: list[Node]) -> list[float]:
     """P(content) of each node: messages from the leaves to the root, and back."""
     n = len(nodes)
+    expected = EXPECTED if model.weight else BUILTIN
     own = [1.0] * n  # likelihood ratio content : not, of what is seen
     for i, node in enumerate(nodes):
         if i:
-            own[i] = math.exp(max(-30.0, min(30.0, sum(model.weight.get(s, EXPECTED.get(s, 0.0)) for s in seen(node)))))
+            own[i] = math.exp(max(-30.0, min(30.0, sum(model.weight.get(s, expected.get(s, 0.0)) for s in seen(node)))))
     tie = [model.tie[group(x)] for x in nodes]
     up = [(1.0, 1.0)] * n  # a node's message to its parent, for the parent's labels 0 and 1
     down_in = [(1.0, 1.0)] * n  # the product of the children's messages

@@ -434,6 +434,45 @@ def test_extraction_class_words_decide_nothing(page_model, html, want):
     assert 1 in extraction.self_labels(nodes) and not any(n.apart for n in nodes)
 
 
+SHAPES = {
+    "name and paragraph": "<div><b>Ann</b><p>{0}</p></div><div><b>Bob B.</b><p>{0}{0}</p></div>", "list": "<ul><li><span>Ann</span><p>{0}</p></li><li><span>Bob</span><p>I think so too.</p></li></ul>",
+    "heads": "<h3>Two answers</h3><div><h4>Ann</h4><p>{0}</p></div><div><h4>Bob</h4><p>{0}</p></div>", "dated": "<div><span>Ann</span> <time>2 days ago</time><div>{0}</div></div><div><span>Bob</span> <time>3 days ago</time><div>{0}</div></div>",
+    "many": "<div><b>A reader</b><p>{0}</p><a href=x>Reply</a></div>" * 30,
+}
+
+
+@pytest.mark.parametrize("shape", sorted(SHAPES))
+@pytest.mark.parametrize("name", ["comments", "thread", "feedback", "responses", "discussion", "user-posts"])
+def test_extraction_leaves_comments_out(page_model, shape, name):
+    told = f"<h1>Title</h1><p>{SENTENCE * 3}</p><p>Second {SENTENCE * 2}</p>"
+    want = "\n\n".join(["Title", (SENTENCE * 3).strip(), ("Second " + SENTENCE * 2).strip()])
+    block = SHAPES[shape].format("Someone says a thing here, and more of it. ")
+    for page in (f"<article>{told}</article><div class={name}>{block}</div>", f"<article>{told}<section id={name}>{block}</section></article>", f"<main><article>{told}</article><section class={name}>{block}</section></main>"):
+        got = extraction.extract(page_model, f"<body>{page}</body>")
+        assert [b for b in got.split("\n\n") if b not in ("Two answers",)] == want.split("\n\n"), page[:200]
+
+
+@pytest.mark.parametrize("block", ["<p>{0}</p><p>{0}</p>", "<div>{0}</div>", "<h4>Ann</h4><p>{0}</p>", "<ul><li>{0}</li></ul>", "<div><div><p>{0}</p></div></div>"])
+def test_extraction_of_named_comments_of_any_shape(page_model, block):
+    page = f"<body><article><h1>T</h1><p>{SENTENCE * 4}</p><section id=comments>{block.format('Someone says a thing here, and more of it. ')}</section></article>"
+    assert extraction.extract(page_model, page) == f"T\n\n{(SENTENCE * 4).strip()}"
+
+
+def test_extraction_keeps_what_only_looks_like_comments(page_model):
+    parts = "".join(f"<section><h2>Part {i}</h2><p>{SENTENCE}</p></section>" for i in range(3))
+    talk = "".join(f"<div><b>{n}</b><p>{SENTENCE}</p></div>" for n in ("Interviewer", "Guest", "Interviewer"))
+    for page, n in ((f"<article>{parts}</article>", 6), (f"<article><h1>A talk</h1>{talk}</article>", 7), (f"<div class='post comments-open'><article><h1>T</h1><p>{SENTENCE}</p></article></div>", 2), (f"<article><dl><dt>Word</dt><dd>{SENTENCE}</dd><dt>Other</dt><dd>{SENTENCE}</dd></dl></article>", 4)):
+        assert len(extraction.extract(page_model, f"<body>{page}</body>").split("\n\n")) == n, page[:80]
+
+
+@pytest.mark.parametrize("holder", ["<div id=content>{0}</div>", "<div class=page><div class=text>{0}</div></div>", "<table><tr><td>{0}</td></tr></table>", "<section>{0}</section>"])
+def test_extraction_without_training(holder):
+    told = f"<h1>Title</h1><p>{SENTENCE * 3}</p><p>{SENTENCE * 2}</p><p>{SENTENCE}</p>"
+    page = f"<body><div class=header><a href=/>Home</a> <a href=/a>About</a></div><ul class=menu><li><a href=/1>One</a></li><li><a href=/2>Two</a></li></ul>{holder.format(told)}<div class=comments><div><b>Ann</b><p>{SENTENCE}</p></div><div><b>Bob</b><p>{SENTENCE}</p></div></div><div class=footer><p>All rights reserved</p></div></body>"
+    want = ["Title", (SENTENCE * 3).strip(), (SENTENCE * 2).strip(), SENTENCE.strip()]
+    assert extraction.extract(extraction.Model(), page).split("\n\n") == want
+
+
 @pytest.mark.parametrize("html", [
     "<html><head><title>T</title><body><article><p>{0}</p></article></body></html>", "<head><meta charset=utf-8><title>T</title><article><p>{0}</p></article>",
     "<head><noscript><style>p{{}}</style><body><article><p>{0}</p></article>", "<body><article><object data=x><p>{0}</p></article>",
