@@ -401,6 +401,13 @@ def test_training_helps(spark, sf_dir, pieces):
     assert mean(2) > mean(1) > mean(0)
 
 
+def test_hosts_and_scores_of_empty_tables(spark, pieces):
+    empty = spark.createDataFrame([], "doc_id long, text string, source string")
+    assert hosts.verdicts(empty).count() == 0 and lattice.score(empty, pieces).count() == 0
+    nothing = spark.createDataFrame([(1, None, None), (2, "", "s")], "doc_id long, text string, source string")
+    assert hosts.verdicts(nothing).count() == 2 and lattice.score(nothing, pieces).count() == 2
+
+
 # ---- 6 extraction
 
 SENTENCE = "This is a sentence of the story, with commas and words. "
