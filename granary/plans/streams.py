@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import align, contrast, reservoir
+from ..operators import align, contrast, fitting, reservoir
 from ..operators.tables import work_path
 from ..functions.tokens import PromptTokenizer
 from ..sources import traces
 from ..sources.repos import Registry, Repository
-from ..sources.tables import table
+from ..sources.tables import PRED, predictions, table
 
 Q: dict[str, tuple] = {}
 
@@ -90,3 +90,25 @@ def realigned_lines(spark: SparkSession, d: str) -> DataFrame:
 def thinned_reservoir(spark: SparkSession, d: str) -> DataFrame:
     """A sample of fixed size of which all English rows and a thirty-third of the others are eligible; no sort of the input."""
     return reservoir.reservoir(table(spark, d, "documents"), 200, kept=F.col("lang") == "en", share=1 / 33, ident="doc_id", seed=1234).select("doc_id", "lang", F.md5("text").alias("text"))
+
+
+@query()
+def vector_scaling_left_out(spark: SparkSession, d: str) -> DataFrame:
+    """Temperature and place biases of choices, fitted for each tier on all other tiers, and the mean loss there."""
+    x = predictions(spark, d).where("type = 'choice'")
+    return fitting.vector_scaling(x, "tier", places=4, left_out=True).select("tier", F.round(1 / F.col("t"), 4).alias("inverse_t"), F.transform("bias", lambda b: F.round(b, 4)).alias("bias"), F.round("nll", 6).alias("nll"), "n")
+
+
+@query()
+def beta_calibration(spark: SparkSession, d: str) -> DataFrame:
+    """Beta calibration of yes-or-no rows by tier."""
+    x = predictions(spark, d).where("type = 'noul'").select("tier", F.get("p", F.lit(1)).alias("p"), F.col("gold").cast("double").alias("y"))
+    return fitting.beta_scaling(x, "tier").select("tier", *[F.round(c, 4).alias(c) for c in "abc"], F.round("nll", 6).alias("nll"), "n")
+
+
+@query("""WITH p AS (SELECT type, k, i - 1 AS place, avg(exp(logits[i] - list_max(logits)) / list_sum([exp(x - list_max(logits)) FOR x IN logits])) AS m FROM (SELECT *, unnest(range(1, len(logits) + 1)) AS i FROM pred WHERE type IN ('choice', 'noul')) GROUP BY 1, 2, 3 HAVING count(*) >= 20)
+SELECT id, place, round(logits[place + 1] - ln(m), 6) AS logit FROM pred JOIN p USING (type, k)""".replace("WITH p", f"WITH {PRED}, p", 1))
+def batch_calibrated_logits(spark: SparkSession, d: str) -> DataFrame:
+    """Logits less the log of the mean probability of their place, without labels."""
+    x = fitting.batch_calibrated(predictions(spark, d).select("id", "type", "logits")).where("type <> 'score'")
+    return x.select("id", F.posexplode("logits").alias("place", "logit")).select("id", F.col("place").cast("long").alias("place"), F.round("logit", 6).alias("logit"))
