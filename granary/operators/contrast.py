@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.structured import token_distance
+from .near import spread
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 ROLES = ("a", "b", "unk", "aux")
@@ -112,7 +113,7 @@ def contrastive(worlds: DataFrame, key: str, make: Callable[[dict, random.Random
                     return
             yield ("rejected", None, None, None, None, tries, why)
 
-    return worlds.lateralJoin(Emit(F.struct(*worlds.columns).outer())).select(key, *[c.split()[0] for c in SCHEMA.split(", ")])
+    return spread(worlds).lateralJoin(Emit(F.struct(*worlds.columns).outer())).select(key, *[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 # ---- a base: is a return in time
