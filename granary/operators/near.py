@@ -175,17 +175,23 @@ def exact_jaccard(left: DataFrame, right: DataFrame, *, n: int = 5, threshold: f
     """(id, ref, j) of all pairs at the threshold or more.
 
     Two sets at the threshold share one of each one's size - ceil(threshold * size) + 1
-    rarest shingles: only these meet, so a shingle that is common joins no rows, and
+    first shingles, in any order that both follow: those of one side alone come first and
+    fall out at once, then the rarer ones.  So a shingle that is common joins no rows, and
     candidates are verified on the whole sets.
     """
-    a = written(left.select("id", T.gram_hashes(T.words("state"), n, whole=True).alias("s")).where(F.size("s") > 0), "left")
-    b = written(right.select(F.col("id").alias("ref"), T.gram_hashes(T.words("state"), n, whole=True).alias("s")).where(F.size("s") > 0), "right")
-    often = a.select(F.explode("s").alias("g")).union(b.select(F.explode("s").alias("g"))).groupBy("g").agg(F.count("*").alias("n"))
-
-    def rare(df: DataFrame, name: str) -> DataFrame:
-        ranked = df.select(name, F.size("s").alias("size"), F.explode("s").alias("g")).join(often, "g").groupBy(name, "size").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("s"))
-        return ranked.select(name, F.explode(F.slice("s", 1, F.col("size") - F.ceil(F.round(threshold * F.col("size"), 9)).cast("int") + 1)).alias("x")).select(name, "x.g")
-
-    met = rare(a, "id").join(rare(b, "ref"), "g").select("id", "ref").distinct()
+    sets = lambda df, name: written(spread(df).select(F.col("id").alias(name), T.gram_hashes(T.words("state"), n, whole=True).alias("s")).where(F.size("s") > 0), name)
+    a, b = sets(left, "id"), sets(right, "ref")
+    grams = lambda df, name: df.select(name, F.size("s").alias("size"), F.explode("s").alias("g"))
+    of_a = written(grams(a, "id").join(grams(b, "ref").select("g").distinct(), "g", "left_semi"), "shared")
+    of_b = written(grams(b, "ref").join(of_a.select("g").distinct(), "g", "left_semi"), "shared")
+    often = of_a.select("g").union(of_b.select("g")).groupBy("g").agg(F.count("*").alias("n"))
+
+    def first(df: DataFrame, name: str) -> DataFrame:
+        ranked = df.join(often, "g").groupBy(name, "size").agg(F.sort_array(F.collect_list(F.struct("n", "g"))).alias("s"))
+        alone = F.col("size") - F.size("s")
+        prefix = F.col("size") - F.ceil(F.round(threshold * F.col("size"), 9)).cast("int") + 1 - alone
+        return ranked.select(name, F.explode(F.slice("s", 1, F.greatest(prefix, F.lit(0)))).alias("x")).select(name, "x.g")
+
+    met = first(of_a, "id").join(first(of_b, "ref"), "g").select("id", "ref").distinct()
     both = met.join(a, "id").join(b.withColumnRenamed("s", "t"), "ref").select("id", "ref", F.size("s").alias("na"), F.size("t").alias("nb"), F.size(F.array_intersect("s", "t")).alias("both"))
     return both.withColumn("j", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("j") >= threshold).select("id", "ref", "j")

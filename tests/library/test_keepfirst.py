@@ -128,3 +128,20 @@ def test_leaked(spark):
     rows = [("a.b", "xa.b a.b", True), ("a.b", "axb", False), ("c\\E+", "see c\\E+ here", True), ("é", "été é", True), ("é", "été", False), ("", "x", False), (None, "x", False), ("x", None, False)]
     df = spark.createDataFrame(rows, "form string, rest string, want boolean")
     assert all(r.want == r.got for r in df.select("want", S.leaked(F.col("form"), F.col("rest")).alias("got")).collect())
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_exact_jaccard_finds_all(spark, n):
+    rng = random.Random(n)
+    rows = lambda k: [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(14)))) for i in range(k)]
+    left, right = rows(120), rows(60)
+
+    def shingles(t):
+        w = t.split()
+        return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} - {()}
+
+    for threshold in (0.3, 0.8, 1.0):
+        pairs = [(a, b, shingles(t), shingles(u)) for a, t in left for b, u in right]
+        want = sorted((a, b) for a, b, x, y in pairs if x and y and len(x & y) / len(x | y) >= threshold)
+        got = near.exact_jaccard(*(spark.createDataFrame(x, "id long, state string") for x in (left, right)), n=n, threshold=threshold)
+        assert sorted((r.id, r.ref) for r in got.collect()) == want and want
