@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.tables import written
+
 
 def count_rows(spark: SparkSession, path: str) -> DataFrame:
     """n: lines that aren't blank."""
@@ -85,13 +87,14 @@ def chosen_groups(spark: SparkSession, path: str, group: str, by: str, per: int,
 
 
 def load_references(sets: dict[str, Callable[[], DataFrame]]) -> tuple[dict[str, DataFrame], dict[str, str]]:
-    """The reference sets that can be read, and of the others why not: a check against fewer sets than asked for is never silent."""
+    """The reference sets that can be read, and of the others why not: a check against fewer sets than asked for is never silent.
+
+    Each set is read whole, once, into a table of its own, so a damaged file anywhere in it counts.
+    """
     found, failed = {}, {}
     for name, load in sets.items():
         try:
-            df = load()
-            df.limit(1).count()
-            found[name] = df
+            found[name] = written(load(), "reference")
         except Exception as e:  # noqa: BLE001  whatever a source raises is what is recorded
             failed[name] = f"{type(e).__name__}: {e}".splitlines()[0]
     return found, failed
