@@ -11,6 +11,12 @@ share in a count-min sketch, which never counts too little, and answers each blo
 often its anchors occur.  A window is in no more documents than its anchor, so windows
 whose anchor is counted in one document only are done with, and none is lost.
 
+Substring dedup of words sketches the windows themselves, too: each block counts its
+windows in a count-min sketch, cuts it by ranges of counters, a task merges a range of all
+blocks' sketches, and answers each block whether the counters that it hit are 2 or more.
+A window that all rows count once is in one place only; a phrase of such windows alone is
+done with.
+
 Phrases.  Each different phrase that is left, as a 128-bit hash of its bytes, is dealt by
 that hash; an occurrence in a larger document than the smallest is removed whole.  Where
 an anchor occurs in other phrases too (at the ends of a passage), the windows of the
@@ -107,6 +113,23 @@ class Tokens:
         return np.frombuffer(b"".join(got), U).reshape(-1, 2)
 
 
+def window_numbers(numbers: np.ndarray, length: int) -> np.ndarray:
+    """A 64-bit number of each window of length tokens, equal for equal windows; windows across documents are there, too."""
+    m = len(numbers) - length + 1
+    up, down = power(CHUNK + 8 * length)
+    out = []
+    for lo in range(0, max(m, 0), CHUNK):
+        tok = numbers[lo : min(lo + CHUNK, m) + length - 1]
+        total = np.zeros(len(tok) + 1, U)
+        np.cumsum(tok * up[: len(tok)], out=total[1:])
+        out.append(mix((total[length:] - total[:-length]) * down[: len(tok) - length + 1]))
+    return np.concatenate(out) if out else np.empty(0, U)
+
+
+#: Rows of the windows' sketch, and counters of each row that a task merges.
+DEPTH, COUNTERS = 2, 1 << 24
+
+
 class Phrases:
     """The phrases of a token sequence in which document d has tokens bounds[d] to bounds[d+1].
 
@@ -226,7 +249,8 @@ def _by_task(task: np.ndarray, tasks: int) -> tuple[np.ndarray, np.ndarray]:
 class Block:
     """A block's anchors, phrases and windows as the passes need them, each dealt to tasks; answers: what the earlier passes said."""
 
-    def __init__(self, ids: list[int | None], tokens: Tokens, length: int, group: int, tasks: int) -> None:
+    def __init__(self, ids: list[int | None], tokens: Tokens, length: int, group: int, tasks: int, sketch: bool = False) -> None:
+        self.sketch = sketch
         self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
         self.tokens, self.tasks, self.length = tokens, tasks, length
         self.phrases = Phrases(tokens.numbers, tokens.bounds, length, group)
@@ -238,8 +262,44 @@ class Block:
         self.anchor, self.anchor_of = np.unique(self.phrases.anchor, return_inverse=True)
         self.anchor_order, self.anchor_starts = _by_task((mix(self.anchor ^ U(0x5851F42D4C957F2D)) % U(self.tasks)).astype(np.int64), self.tasks)
 
+    def deal_sketch(self) -> None:
+        """This block's sketch of its windows: of each row the counters that aren't 0, in order, their values, and each window's counter; and where tasks' ranges begin."""
+        p = self.phrases
+        n = p.last - p.first + 1
+        self.phrase_starts = np.cumsum(n) - n
+        start = np.repeat(p.first - self.phrase_starts, n) + np.arange(int(n.sum()))
+        h = window_numbers(self.tokens.numbers, self.length)[start]
+        self.counters = []
+        for d in range(DEPTH):
+            c = (mix(h + U((0x9E3779B97F4A7C15 * (d + 7)) & 0xFFFFFFFFFFFFFFFF)) % U(self.tasks * COUNTERS)).astype(np.int64)
+            own, of, value = np.unique(c, return_inverse=True, return_counts=True)
+            self.counters.append((own, value, of, np.searchsorted(own, np.arange(self.tasks + 1) * COUNTERS)))
+
+    def sketch_part(self, k: int) -> bytes:
+        """What task k merges of this block's sketch: for each row the number of counters, their distances and their values."""
+        import zstandard
+
+        parts = []
+        for own, value, _, cut in self.counters:
+            s = slice(cut[k], cut[k + 1])
+            parts.append(np.array([s.stop - s.start], np.uint32).tobytes() + np.diff(own[s] - k * COUNTERS, prepend=0).astype(np.uint32).tobytes() + np.minimum(value[s], 255).astype(np.uint8).tobytes())
+        return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+    def maybe_repeated(self, bits: dict[int, bytes]) -> np.ndarray:
+        """Of each phrase whether the merged sketch counts one of its windows twice or more."""
+        flag = np.ones(int(self.phrases.last.sum() - self.phrases.first.sum()) + len(self.phrases.first), bool)
+        said = [np.zeros(len(own), bool) for own, _, _, _ in self.counters]
+        for k, packed in bits.items():
+            sizes = [int(cut[k + 1] - cut[k]) for _, _, _, cut in self.counters]
+            got = np.unpackbits(np.frombuffer(packed, np.uint8), count=sum(sizes)).astype(bool)
+            for d, part in enumerate(_split(got, np.array(sizes))):
+                said[d][self.counters[d][3][k] : self.counters[d][3][k + 1]] = part
+        for d, (_, _, of, _) in enumerate(self.counters):
+            flag &= said[d][of]
+        return np.logical_or.reduceat(flag, self.phrase_starts) if len(self.phrase_starts) else np.empty(0, bool)
+
     def sent_anchors(self) -> Iterator[tuple[int, bytes, bytes, bytes]]:
-        """task, (none), of each anchor a 31-bit cell and whether several documents of the block have it, how often it occurs."""
+        """task, this block's sketch (if asked for), of each anchor a 31-bit cell and whether several documents of the block have it, how often it occurs."""
         n = np.minimum(np.bincount(self.anchor_of, minlength=len(self.anchor)), MANY)
         several = np.zeros(len(self.anchor), U)
         if len(self.anchor):
@@ -249,20 +309,27 @@ class Block:
         cell = ((mix(self.anchor + U(0x9E3779B97F4A7C15)) >> U(33)) << U(1) | several).astype(np.uint32)
         for k in range(self.tasks):
             x = self.anchor_order[self.anchor_starts[k] : self.anchor_starts[k + 1]]
-            if len(x):
-                yield k, b"", cell[x].tobytes(), n[x].astype(np.uint16).tobytes()
+            part = self.sketch_part(k) if self.sketch else b""
+            if len(x) or self.sketch:
+                yield k, part, cell[x].tobytes(), n[x].astype(np.uint16).tobytes()
 
     # -- phrases
 
     def deal_phrases(self, answers: list[dict]) -> None:
         """The phrases whose anchor may be in several documents (`of`) and their classes of equal ones; a class stands for its first occurrence, in `rep`."""
         self.deal_anchors()
-        count = np.zeros(len(self.anchor), np.int64)
+        count, bits = np.zeros(len(self.anchor), np.int64), {}
         for x in answers:
             if x["round"] == 0:
-                count[self.anchor_order[self.anchor_starts[x["task"]] : self.anchor_starts[x["task"] + 1]]] = np.frombuffer(x["data"], np.uint16)
+                mine = self.anchor_order[self.anchor_starts[x["task"]] : self.anchor_starts[x["task"] + 1]]
+                count[mine] = np.frombuffer(x["data"], np.uint16, len(mine))
+                bits[x["task"]] = x["data"][2 * len(mine) :]
         p = self.phrases
-        self.of = np.flatnonzero(count[self.anchor_of] > 0)
+        wanted = count[self.anchor_of] > 0
+        if self.sketch:
+            self.deal_sketch()
+            wanted &= self.maybe_repeated(bits)
+        self.of = np.flatnonzero(wanted)
         h = self.tokens.hashes(p.first[self.of], p.last[self.of] + self.length - 1)
         doc = self.ids[p.doc[self.of]]
         task = (h[:, 0] % U(self.tasks)).astype(np.int64)
@@ -415,7 +482,29 @@ def _anchor_answers(key: tuple, t: pa.Table) -> pa.Table:
     cells, sizes = _joined(t, "keys", np.uint32)
     n, _ = _joined(t, "counts", np.uint16)
     count = np.minimum(sketched(cells >> np.uint32(1), cells & np.uint32(1), n), MANY).astype(np.uint16)
-    return _answered(key, t, 0, [x.tobytes() for x in _split(count, sizes)])
+    return _answered(key, t, 0, [x.tobytes() + b for x, b in zip(_split(count, sizes), merged_sketches([x.as_py() for x in t["docs"]]), strict=True)])
+
+
+def merged_sketches(parts: list[bytes]) -> list[bytes]:
+    """Of each block's part of the sketch its counters, as bits: 1 where all blocks' values together are 2 or more."""
+    import zstandard
+
+    unzip = zstandard.ZstdDecompressor()
+    if not any(parts):
+        return [b""] * len(parts)
+    total = [np.zeros(COUNTERS, np.uint16) for _ in range(DEPTH)]
+
+    def rows(x: bytes) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        data, at = unzip.decompress(x), 0
+        for d in range(DEPTH):
+            m = int(np.frombuffer(data, np.uint32, 1, at)[0])
+            yield d, np.cumsum(np.frombuffer(data, np.uint32, m, at + 4).astype(np.int64)), np.frombuffer(data, np.uint8, m, at + 4 + 4 * m)
+            at += 4 + 5 * m
+
+    for x in parts:
+        for d, own, value in rows(x):
+            total[d][own] = np.minimum(total[d][own] + value, 1000)  # a block has each counter once
+    return [np.packbits(np.concatenate([total[d][own] > 1 for d, own, _ in rows(x)])).tobytes() for x in parts]
 
 
 def _phrase_answers(key: tuple, t: pa.Table) -> pa.Table:
@@ -506,23 +595,25 @@ def removed(
     finish: Callable[[list[int | None], Tokens, np.ndarray], pa.RecordBatch],
     schema: str,
     same: Callable[[list[bytes], np.ndarray], np.ndarray] | None = None,
+    sketch: bool = False,
 ) -> DataFrame:
     """Applies finish(ids, tokens, gone) to each block; gone marks the tokens to remove.
 
     same(contents, windows of each unit): numbers of groups of equal windows; without it
-    windows are sent and compared as 128-bit hashes.
+    windows are sent and compared as 128-bit hashes.  sketch: only windows that a merged
+    count-min sketch of all blocks' windows counts twice or more are grouped.
     """
     spark = session(docs)
     table_name, folder = f"{name}_{uuid.uuid4().hex}", work_path(spark, name)
     try:
         table = blocks(docs, table_name, f"{folder}/blocks")
-        return _removed(table, folder, name=name, tokens=tokens, length=length, group=group, finish=finish, schema=schema, same=same)
+        return _removed(table, folder, name=name, tokens=tokens, length=length, group=group, finish=finish, schema=schema, same=same, sketch=sketch)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table_name}")
         delete_path(spark, folder)
 
 
-def _removed(table: DataFrame, folder: str, *, name: str, tokens: Callable, length: int, group: int, finish: Callable, schema: str, same: Callable | None) -> DataFrame:
+def _removed(table: DataFrame, folder: str, *, name: str, tokens: Callable, length: int, group: int, finish: Callable, schema: str, same: Callable | None, sketch: bool) -> DataFrame:
     spark = table.sparkSession
     tasks, wide = int(spark.conf.get("spark.sql.shuffle.partitions")), same is not None
 
@@ -532,7 +623,7 @@ def _removed(table: DataFrame, folder: str, *, name: str, tokens: Callable, leng
         def one(r: pa.RecordBatch) -> pa.RecordBatch:
             ids, texts = r["ids"][0].as_py(), r["texts"][0].as_py()
             answers = r["answers"][0].as_py() or [] if "answers" in r.schema.names else []
-            return what(r["block"][0].as_py(), ids, texts, answers, Block(ids, tokens(texts), length, group, tasks))
+            return what(r["block"][0].as_py(), ids, texts, answers, Block(ids, tokens(texts), length, group, tasks, sketch))
 
         def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             for i in range(batch.num_rows):
@@ -549,6 +640,8 @@ def _removed(table: DataFrame, folder: str, *, name: str, tokens: Callable, leng
 
     def anchors(block: Block, answers: list[dict]) -> Iterator:
         block.deal_anchors()
+        if sketch:
+            block.deal_sketch()
         return block.sent_anchors()
 
     def phrases(block: Block, answers: list[dict]) -> Iterator:

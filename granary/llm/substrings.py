@@ -1,14 +1,13 @@
 """Substring dedup over words, with a count-min prefilter.
 
-A first pass counts, in a count-min sketch that is merged from all blocks' counts and
-dealt over the tasks, the anchors of all windows (see _repeats).  A window is in no more
-documents than its anchor, so the merged counters overestimate what each window counts;
-windows that are estimated in one document only are done with.  The second step exactly
-groups the rest, and loses none: phrases and then windows are compared as 128-bit hashes
-of their words, joined by one space.
-
-Each task sizes its part of the sketch by the anchors that it gets: nothing of it is
-broadcast or collected, and it filters alike at every size.
+A first pass counts windows in a count-min sketch (see _repeats): each block of documents
+fills one of its own, cut by ranges of counters; a task merges a range of all blocks'
+sketches and tells each block which of the counters that it hit are 2 or more.  Merged
+counters overestimate, so a window that is counted once in any row is in one place only,
+and none that repeats is lost.  The second step exactly groups the windows that are left,
+through the phrases that they make up, as 128-bit hashes of their words, joined by one
+space.  Counters are a fixed number for each task, and tasks follow the input; nothing of
+the sketch is broadcast or collected, and it filters alike at every size.
 
 Defined results.  A null or blank text has no words; texts of fewer words than the
 window keep all.  A null doc_id counts as larger than all others (its windows remove
@@ -34,7 +33,7 @@ HASHED_BYTES = 1 << 18
 
 
 def word_tokens(texts: list[str]) -> Tokens:
-    """The words of all texts, joined by one space each; the numbers are polynomial hashes, which only choose anchors."""
+    """The words of all texts, joined by one space each; the numbers are polynomial hashes, which only choose anchors and counters."""
     parts = [t.encode() for t in texts]
     raw = np.frombuffer(b"\n".join(parts), np.uint8)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
@@ -83,7 +82,7 @@ def dedup(docs: DataFrame, *, text: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * text
-    return removed(docs, name="substrings", tokens=word_tokens, length=WINDOW, group=GROUP, finish=finish, schema=schema)
+    return removed(docs, name="substrings", tokens=word_tokens, length=WINDOW, group=GROUP, finish=finish, schema=schema, sketch=True)
 
 
 def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -823,6 +823,33 @@ def test_sketch_never_underestimates():
     assert sum(g > 0 for c, g in zip(cell.tolist(), got.tolist(), strict=True) if docs[c] == 1) < 0.1 * len(cell)
 
 
+def test_merged_sketches_lose_no_window(monkeypatch):
+    """Windows of several blocks: what the merged sketch says against exact counts, with few counters, too."""
+    rng = random.Random(8)
+    shared = [f"s{i}" for i in range(80)]
+    texts = [[" ".join((shared[a : a + 60] if rng.random() < 0.5 else []) + [f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(120))]) for a in [rng.randrange(20)] for _ in range(5)] for _ in range(4)]
+    exact = Counter()
+    for block in texts:
+        for t in block:
+            w = t.split()
+            exact.update(tuple(w[i : i + 50]) for i in range(len(w) - 49))
+    for counters in (1 << 24, 1 << 6):
+        monkeypatch.setattr(_repeats, "COUNTERS", counters)
+        blocks = [_repeats.Block(list(range(5)), substrings.word_tokens(b), 50, 25, 3, True) for b in texts]
+        for b in blocks:
+            b.deal_sketch()
+        bits = [_repeats.merged_sketches([b.sketch_part(k) for b in blocks]) for k in range(3)]
+        flagged = wrong = 0
+        for i, (b, block) in enumerate(zip(blocks, texts, strict=True)):
+            got = b.maybe_repeated({k: bits[k][i] for k in range(3)})
+            words = [w for t in block for w in t.split()]
+            for first, last, flag in zip(b.phrases.first.tolist(), b.phrases.last.tolist(), got.tolist(), strict=True):
+                repeated = any(exact[tuple(words[j : j + 50])] > 1 for j in range(first, last + 1))
+                assert flag or not repeated
+                flagged, wrong = flagged + flag, wrong + (flag and not repeated)
+        assert flagged and (wrong == 0 or counters == 1 << 6)
+
+
 def test_phrases_cover_all_windows():
     import numpy as np
 
