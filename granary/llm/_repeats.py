@@ -24,7 +24,9 @@ phrase's first occurrence are compared one by one: dealt by anchor, or each on i
 where the sketch counts an anchor HOT times or more.  The last pass turns the answers
 into covered tokens.
 
-What a task gathers is its share of hashes: each block sends an anchor, phrase or hot
+Work is dealt into pieces that follow the texts' bytes, however many shuffle partitions
+there are; a task takes the pieces that it gets one after another.  What a piece gathers is
+its share of hashes: each block sends an anchor, phrase or hot
 window once, so a passage that a third of all documents holds gives a row for each
 block, not for each document, and a hot anchor's neighbours are dealt over all tasks.
 
@@ -54,6 +56,8 @@ _INV = pow(_BASE, -1, 1 << 64)
 CHUNK = 1 << 18
 #: Bytes of text in a block of documents; a longer text is a block of its own.
 BLOCK_BYTES = 4 << 20
+#: Bytes of text for each piece that the work is dealt into.
+PIECE_BYTES = 12 << 20
 #: Counts beyond this are not told apart.
 MANY = 65_535
 #: Occurrences of an anchor from which its windows are dealt each on its own: fewer are some MB of a task.
@@ -187,28 +191,36 @@ def bucket_of(number: int, buckets: int) -> int:
     return (h - (1 << 32) if h >> 31 else h) % buckets
 
 
-def blocks(docs: DataFrame, name: str, path: str) -> DataFrame:
-    """block, ids, texts: documents packed by size, in a bucketed table `name` at path, of as many buckets as there are shuffle partitions.
+def pieces(docs: DataFrame) -> int:
+    """How many pieces the work is dealt into: the shuffle partitions, and more where these would get more than PIECE_BYTES of text each."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PIECE_BYTES))
 
-    Blocks are numbered so that all of a task's blocks belong to one bucket: each task
-    writes one file, no text is shuffled, and yet each later join by block finds the
+
+def blocks(docs: DataFrame, name: str, path: str, n: int) -> DataFrame:
+    """block, ids, texts: documents packed by size, in a bucketed table `name` at path, of n buckets.
+
+    Blocks are numbered so that they go round the buckets, whatever the size of the
+    input's partitions: no text is shuffled, and yet each later join by block finds the
     table dealt as it needs it.
     """
-    spark = session(docs)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    session(docs)
+    parts = docs._jdf.rdd().getNumPartitions()  # noqa: SLF001
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        number = part << 36
+        number, bucket = part << 36, part % n
         ids: list[int | None] = []
         texts: list[str] = []
         size = 0
 
         def out() -> pa.RecordBatch:
-            nonlocal number
+            nonlocal number, bucket
             number += 1
-            while bucket_of(number, n) != part % n:
+            while bucket_of(number, n) != bucket:
                 number += 1
+            bucket = (bucket + parts) % n
             return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([texts], pa.list_(pa.string()))], names=["block", "ids", "texts"])
 
         for batch in batches:
@@ -225,9 +237,11 @@ def blocks(docs: DataFrame, name: str, path: str) -> DataFrame:
         del ids, texts
         release_memory()
 
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pack, "block long, ids array<long>, texts array<string>")
-    packed.write.bucketBy(n, "block").option("compression", "zstd").option("parquet.block.size", str(32 << 20)).option("path", path).saveAsTable(name)
-    return spark.table(name)
+    packed = docs.mapInArrow(pack, "block long, ids array<long>, texts array<string>")
+    # the size of a row group is looked at after each row, not after the first hundred, which may be 400 MB
+    small = {"compression": "zstd", "parquet.block.size": str(32 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
+    packed.write.bucketBy(n, "block").options(**small).option("path", path).saveAsTable(name)
+    return docs.sparkSession.table(name)
 
 
 _SENT = pa.schema([("task", pa.int32()), ("block", pa.int64()), ("docs", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -264,6 +278,9 @@ class Block:
 
     def deal_sketch(self) -> None:
         """This block's sketch of its windows: of each row the counters that aren't 0, in order, their values, and each window's counter; and where tasks' ranges begin."""
+        import zstandard
+
+        self.compressed = zstandard.ZstdCompressor(level=1).compress
         p = self.phrases
         n = p.last - p.first + 1
         self.phrase_starts = np.cumsum(n) - n
@@ -277,13 +294,11 @@ class Block:
 
     def sketch_part(self, k: int) -> bytes:
         """What task k merges of this block's sketch: for each row the number of counters, their distances and their values."""
-        import zstandard
-
         parts = []
         for own, value, _, cut in self.counters:
             s = slice(cut[k], cut[k + 1])
             parts.append(np.array([s.stop - s.start], np.uint32).tobytes() + np.diff(own[s] - k * COUNTERS, prepend=0).astype(np.uint32).tobytes() + np.minimum(value[s], 255).astype(np.uint8).tobytes())
-        return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+        return self.compressed(b"".join(parts))
 
     def maybe_repeated(self, bits: dict[int, bytes]) -> np.ndarray:
         """Of each phrase whether the merged sketch counts one of its windows twice or more."""
@@ -478,6 +493,18 @@ def sketched(cell: np.ndarray, several: np.ndarray, n: np.ndarray, depth: int =
     return np.where(docs > 1, occurs, 0)
 
 
+def _trimmed(reply: Callable[[tuple, pa.Table], pa.Table]) -> Callable[[tuple, pa.Table], pa.Table]:
+    """reply, which gives back a piece's memory before the next one."""
+
+    def answers(key: tuple, t: pa.Table) -> pa.Table:
+        try:
+            return reply(key, t)
+        finally:
+            release_memory()
+
+    return answers
+
+
 def _anchor_answers(key: tuple, t: pa.Table) -> pa.Table:
     cells, sizes = _joined(t, "keys", np.uint32)
     n, _ = _joined(t, "counts", np.uint16)
@@ -606,16 +633,16 @@ def removed(
     spark = session(docs)
     table_name, folder = f"{name}_{uuid.uuid4().hex}", work_path(spark, name)
     try:
-        table = blocks(docs, table_name, f"{folder}/blocks")
-        return _removed(table, folder, name=name, tokens=tokens, length=length, group=group, finish=finish, schema=schema, same=same, sketch=sketch)
+        tasks = pieces(docs)
+        table = blocks(docs, table_name, f"{folder}/blocks", tasks)
+        return _removed(table, folder, tasks, name=name, tokens=tokens, length=length, group=group, finish=finish, schema=schema, same=same, sketch=sketch)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table_name}")
         delete_path(spark, folder)
 
 
-def _removed(table: DataFrame, folder: str, *, name: str, tokens: Callable, length: int, group: int, finish: Callable, schema: str, same: Callable | None, sketch: bool) -> DataFrame:
-    spark = table.sparkSession
-    tasks, wide = int(spark.conf.get("spark.sql.shuffle.partitions")), same is not None
+def _removed(table: DataFrame, folder: str, tasks: int, *, name: str, tokens: Callable, length: int, group: int, finish: Callable, schema: str, same: Callable | None, sketch: bool) -> DataFrame:
+    wide = same is not None
 
     def each(what: Callable[[int, list, list[str], list[dict], Block], pa.RecordBatch]) -> Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]]:
         """A function of blocks, one of which is held at a time."""
@@ -658,12 +685,12 @@ def _removed(table: DataFrame, folder: str, *, name: str, tokens: Callable, leng
         every = answers[0]
         for a in answers[1:]:
             every = every.unionByName(a)
-        got = every.groupBy("block").agg(F.collect_list(F.struct("task", "round", "data")).alias("answers"))
+        got = every.repartition(tasks, "block").groupBy("block").agg(F.collect_list(F.struct("task", "round", "data")).alias("answers"))
         return table.join(got.hint("shuffle_hash"), "block", "left")
 
     answers: list[DataFrame] = []
     for what, reply in ((anchors, _anchor_answers), (phrases, _phrase_answers), (windows, _window_answers(length, group, same))):
-        dealt = arrow_map(per_block(answers), sent(what), _SENT_SQL).groupBy("task").applyInArrow(reply, _ANSWER_SQL)
+        dealt = arrow_map(per_block(answers), sent(what), _SENT_SQL).groupBy("task").applyInArrow(_trimmed(reply), _ANSWER_SQL)
         answers.append(written(dealt, f"round-{len(answers)}", folder))
 
     def end(_: int, ids: list, texts: list[str], got: list[dict], block: Block) -> pa.RecordBatch:

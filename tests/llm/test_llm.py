@@ -850,6 +850,29 @@ def test_merged_sketches_lose_no_window(monkeypatch):
         assert flagged and (wrong == 0 or counters == 1 << 6)
 
 
+def test_pieces_follow_the_texts_and_not_the_partitions(spark, tmp_path, monkeypatch):
+    """One partition of texts, few shuffle partitions: what a piece gets is bounded, blocks go round all buckets, and row groups stay small."""
+    import pyarrow.parquet as pq
+
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, " ".join(str(rng.random()) for _ in range(500))) for i in range(60)], "doc_id long, text string").coalesce(1)
+    size = docs.selectExpr("sum(octet_length(text))").first()[0]
+    monkeypatch.setattr(_repeats, "PIECE_BYTES", 50_000)
+    monkeypatch.setattr(_repeats, "BLOCK_BYTES", 20_000)
+    n = _repeats.pieces(docs)
+    assert n == -(-size // 50_000) > 4
+    got = _repeats.blocks(docs, "pieces_test", f"file://{tmp_path}/blocks", n)
+    try:
+        assert sorted(i for r in got.select("ids").collect() for i in r.ids) == list(range(60))
+        assert len({_repeats.bucket_of(r.block, n) for r in got.select("block").collect()}) == n
+        assert max(pq.ParquetFile(f).metadata.num_rows for f in (tmp_path / "blocks").glob("*.parquet")) <= 3
+    finally:
+        spark.sql("DROP TABLE pieces_test")
+    few = suffixes.dedup(docs).collect()
+    monkeypatch.setattr(_repeats, "PIECE_BYTES", 12 << 20)
+    assert sorted(few) == sorted(suffixes.dedup(docs).collect())
+
+
 def test_phrases_cover_all_windows():
     import numpy as np
 
