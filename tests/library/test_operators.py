@@ -233,3 +233,41 @@ def test_microbatches(spark):
     df = spark.createDataFrame([(1, i, t + timedelta(seconds=i if i < 70 else 9999)) for i in range(72)], "shard long, id long, ts timestamp")
     got = [r.n for r in monitors.microbatches(df, "id", 64, 60, "ts", "shard").orderBy("batch").collect()]
     assert got == [61, 9, 2]
+
+
+def test_gram_hashes_of_whole_batches():
+    """The vectorized hashes against hashlib, at the edges of a block of MD5, too, and the minima against the formula."""
+    import hashlib
+
+    import numpy as np
+    import pyarrow as pa
+
+    from granary.operators import near, shingles
+
+    rows = [["a"], [], None, ["a", "b"], ["é" * 9, "ß" * 9, "日本", "x"], *[["y" * n, "z"] for n in range(40, 70)], [f"w{i % 50}" for i in range(20_000)]]
+    kind = pa.list_(pa.field("element", pa.string(), nullable=False))
+    grams = [[] if not w else [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)] for w in rows]
+    want = [[int(hashlib.md5(g.encode()).hexdigest()[:7], 16) for g in gs] for gs in grams]
+    got, counts = shingles.gram_hashes(pa.array(rows, kind), 3)
+    assert counts.tolist() == [len(x) for x in want] and got.tolist() == [h for x in want for h in x]
+    part, _ = shingles.gram_hashes(pa.array(rows, kind).slice(3), 3)
+    assert part.tolist() == [h for x in want[3:] for h in x]
+    least = near.minima(got, counts[counts > 0], 128)
+    assert least.tolist() == [[min((a * h + b) % near.PRIME for h in set(x)) for a, b in near.coefficients(128)] for x in want if x]
+    assert shingles.gram_hashes(pa.array([[], None], kind), 3)[0].size == 0 and near.minima(np.empty(0, np.uint32), np.empty(0, np.int64), 128).shape == (0, 128)
+
+
+def test_signatures_of_parts_of_a_batch(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from granary.operators import near
+
+    df = spark.createDataFrame([(i, None if i % 7 == 3 else [f"w{(i * j) % 11}" for j in range(i % 9)]) for i in range(50)], "id long, w array<string>").coalesce(1)
+    sigs = lambda: {r.id: r.sig for r in df.select("id", near.signature(F.col("w")).alias("sig")).collect()}
+    whole = sigs()
+    assert all(len(s) == (0 if i % 7 == 3 or i % 9 == 0 else near.PERMS) for i, s in whole.items())
+    from granary.operators.shingles import gram_hashes
+    import pyarrow as pa
+
+    assert whole[8] == near.minima(*gram_hashes(pa.array([[f"w{(8 * j) % 11}" for j in range(8)]], pa.list_(pa.string())), 3), near.PERMS)[0].tolist()
+    assert df.where("false").select(near.signature(F.col("w")).alias("sig")).count() == 0
