@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -20,16 +20,19 @@ def grams(df: DataFrame, *keep: str, n: int = 8, text: str = "state") -> DataFra
     return spread(df).select(*keep, F.explode(T.gram_hashes(T.words(text), n)).alias("gram"))
 
 
+def _common(df: DataFrame, share: float, least: int) -> Column:
+    """Of grams with df: whether max(least, ceil(share * rows)) rows or more have them."""
+    return F.col("df") >= F.greatest(F.lit(least), F.ceil(F.lit(share) * df.agg(F.count("*")).scalar()))
+
+
 def template_hashes(df: DataFrame, *, n: int = 8, share: float = 0.01, least: int = 5) -> DataFrame:
     """(gram, df): grams in max(least, ceil(share * rows)) rows or more; they say nothing about a source."""
-    limit = F.greatest(F.lit(least), F.ceil(F.lit(share) * df.agg(F.count("*")).scalar()))
-    return grams(df, n=n).groupBy("gram").agg(F.count("*").alias("df")).where(F.col("df") >= limit)
+    return grams(df, n=n).groupBy("gram").agg(F.count("*").alias("df")).where(_common(df, share, least))
 
 
 def template_grams(df: DataFrame, *, n: int = 8, share: float = 0.01, least: int = 5) -> DataFrame:
-    """template_hashes with the grams' texts, each read from one row that has it."""
-    at = df.select("id", F.explode(T.gram_hashes(T.words("state"), n)).alias("gram"))
-    one = at.join(template_hashes(df, n=n, share=share, least=least), "gram").groupBy("gram", "df").agg(F.min("id").alias("id"))
+    """template_hashes with the grams' texts, each read from one row that has it, which the same aggregate names: all grams are made and moved once."""
+    one = grams(df, "id", n=n).groupBy("gram").agg(F.count("*").alias("df"), F.min("id").alias("id")).where(_common(df, share, least))
     wanted = one.groupBy("id").agg(F.collect_list(F.struct("gram", "df")).alias("wanted"))
     w = df.select("id", T.words("state").alias("w")).join(wanted, "id")
     place = lambda x: F.array_position(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.xxhash64(F.slice("w", i, n))), x["gram"])
