@@ -271,3 +271,14 @@ def test_signatures_of_parts_of_a_batch(spark, monkeypatch):
 
     assert whole[8] == near.minima(*gram_hashes(pa.array([[f"w{(8 * j) % 11}" for j in range(8)]], pa.list_(pa.string())), 3), near.PERMS)[0].tolist()
     assert df.where("false").select(near.signature(F.col("w")).alias("sig")).count() == 0
+
+
+def test_guess_lang_counts_whole_words(spark):
+    """Apostrophes around a word are no part of it, letters beside it are; Arrow batches of tables are bounded by bytes."""
+    from granary.sources.tables import table
+
+    texts = ["''the' and the and'' the 'is", "the,the the-l'the the'x is is is is", "le la les et est été", "les lesx xles thé", "'" * 5000]
+    assert [value(spark, T.guess_lang(F.lit(x), min_hits=5)) for x in texts] == ["en", "en", "fr", None, None]
+    table(spark, "/root/testdata/sf0.001", "documents")
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(16 << 20)
+    assert T.guess_lang("t")._jc.toString().count("transform") == 0
