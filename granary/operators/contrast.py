@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.structured import token_distance
-from .near import spread
 
 TOKEN = re.compile(r"\w+|[^\w\s]")
 ROLES = ("a", "b", "unk", "aux")
@@ -97,6 +96,12 @@ def members(group: Group, solve: Callable[[dict], str | None], unknown: str, rol
     return out
 
 
+def _dealt(worlds: DataFrame) -> DataFrame:
+    """worlds' rows dealt evenly: they are small and cost much each, and a file of few row groups gives few tasks rows, however it is split."""
+    spark = worlds.sparkSession
+    return worlds.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def contrastive(worlds: DataFrame, key: str, make: Callable[[dict, random.Random], Group], solve: Callable[[dict], str | None], *, unknown: str = "unknown", tries: int = 5, max_edit: int = 8, roles: tuple[str, ...] = ROLES, seed: int = 0) -> DataFrame:
     """worlds' key with SCHEMA: the rows of each row's group, by a table function of one row at a time, next to Spark's own scan."""
 
@@ -113,7 +118,7 @@ def contrastive(worlds: DataFrame, key: str, make: Callable[[dict, random.Random
                     return
             yield ("rejected", None, None, None, None, tries, why)
 
-    return spread(worlds).lateralJoin(Emit(F.struct(*worlds.columns).outer())).select(key, *[c.split()[0] for c in SCHEMA.split(", ")])
+    return _dealt(worlds).lateralJoin(Emit(F.struct(*worlds.columns).outer())).select(key, *[c.split()[0] for c in SCHEMA.split(", ")])
 
 
 # ---- a base: is a return in time

@@ -69,3 +69,13 @@ def test_hopeless_groups(spark):
     got = C.contrastive(worlds, "key", C.return_group, lambda facts: "yes", tries=2).collect()
     assert [(r.role, r.tries, r.rejected, r.state) for r in got] == [("rejected", 2, "same_label", None)]
     assert C.contrastive(worlds.where(F.lit(False)), "key", C.return_group, C.in_time).count() == 0
+
+
+def test_rows_of_one_partition_are_dealt(spark):
+    """A table whose rows all lie in one of many partitions is dealt evenly."""
+    from granary.operators import contrast
+    from pyspark.sql import functions as F
+
+    skewed = spark.range(400).repartition(16, F.lit(1))
+    sizes = [r["n"] for r in contrast._dealt(skewed).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism) and max(sizes) <= 2 * min(sizes)
