@@ -52,25 +52,32 @@ def clean(train: DataFrame, held: DataFrame, **options: int) -> DataFrame:
     return without_duplicates(reasons(train, held, **options))
 
 
-def set_hits(train: DataFrame, refs: DataFrame, *, frames: DataFrame | None = None, own_share: float = 0.0005, own_least: int = 20, need: int = 1) -> DataFrame:
+def own_frames(rows: DataFrame, refs: DataFrame, *, own_share: float = 0.0005, own_least: int = 20, shared: DataFrame | None = None) -> DataFrame:
+    """(source, gram): grams of refs in max(own_least, own_share * rows) rows or more of a source.  shared: the rows' grams that refs have, where they are known."""
+    limits = rows.groupBy("source").agg(F.greatest(F.lit(own_least), F.ceil(F.lit(own_share) * F.count("*"))).alias("limit"))
+    told = decontam.grams(rows, "id", "source").join(refs.select("gram").distinct(), "gram") if shared is None else shared
+    return told.select("id", "source", "gram").distinct().groupBy("source", "gram").agg(F.count("*").alias("n")).join(limits, "source").where("n >= limit").select("source", "gram")
+
+
+def set_hits(train: DataFrame, refs: DataFrame, *, frames: DataFrame | None = None, own: DataFrame | None = None, own_share: float = 0.0005, own_least: int = 20, need: int = 1) -> DataFrame:
     """(id, set): the first reference set, by name, of which one row shares `need` grams or more with a row of train.
 
     A gram in max(own_least, own_share * rows) rows or more of a row's own source is that
     source's frame, and no hit.  refs: set, ref, gram, as of decontam.named_ref_grams.
     frames: the rows that tell frames, if not train (all of a source, where train is a batch of it).
+    own: what own_frames() found in such rows, so that batches don't read them again.
     """
-    limits = (train if frames is None else frames).groupBy("source").agg(F.greatest(F.lit(own_least), F.ceil(F.lit(own_share) * F.count("*"))).alias("limit"))
     shared = written(decontam.grams(train, "id", "source").join(refs, "gram"), "shared")
-    told = shared if frames is None else decontam.grams(frames, "id", "source").join(refs.select("gram").distinct(), "gram")
-    common = told.select("id", "source", "gram").distinct().groupBy("source", "gram").agg(F.count("*").alias("n")).join(limits, "source").where("n >= limit")
-    common = common.select(F.col("source").alias("__s"), F.col("gram").alias("__g"))
+    if own is None:
+        own = own_frames(train if frames is None else frames, refs, own_share=own_share, own_least=own_least, shared=shared if frames is None else None)
+    common = own.select(F.col("source").alias("__s"), F.col("gram").alias("__g"))
     left = shared.join(common, shared["source"].eqNullSafe(F.col("__s")) & (F.col("gram") == F.col("__g")), "left_anti")
     return left.groupBy("id", "set", "ref").agg(F.count("*").alias("n")).where(F.col("n") >= need).groupBy("id").agg(F.min("set").alias("set"))
 
 
 def clean_near(
     train: DataFrame, held: DataFrame, *, limit: int = 4096, threshold: float = 0.8, question: str | None = None, min_chars: int = 40, need: int = 1,
-    refs: DataFrame | None = None, index: keepfirst.KeptIndex | None = None, within: bool = True, count: Column | None = None, frames: DataFrame | None = None,
+    refs: DataFrame | None = None, index: keepfirst.KeptIndex | None = None, within: bool = True, count: Column | None = None, frames: DataFrame | None = None, own: DataFrame | None = None,
 ) -> DataFrame:
     """The whole chain, train with key and reason.  The first that holds counts:
 
@@ -88,7 +95,7 @@ def clean_near(
     rows ask what all do, and near rows of one source ask the same.  Earlier is by ordinal, then id; only rows that stay block others
     (see keepfirst).  index: rows kept of earlier batches, which come before all; the kept
     rows of this batch are added to it.  within=False compares with the index alone.
-    count: the tokens of a prompt, if not token_pieces().  frames: see set_hits.
+    count: the tokens of a prompt, if not token_pieces().  frames, own: see set_hits.
     """
     ask = F.col(question).cast("string") if question else F.lit(None).cast("string")
     asked = lambda df: df.withColumn("__q", F.coalesce(F.concat(F.lit("="), ask), F.lit("")))
@@ -104,7 +111,7 @@ def clean_near(
         rows = rows.join(state, "id", "left")
     else:
         rows = rows.withColumn("state_close", F.lit(None).cast("boolean"))
-    rows = rows.join(set_hits(train, refs, frames=frames, need=need), "id", "left") if refs is not None else rows.withColumn("set", F.lit(None).cast("string"))
+    rows = rows.join(set_hits(train, refs, frames=frames, own=own, need=need), "id", "left") if refs is not None else rows.withColumn("set", F.lit(None).cast("string"))
     old = F.col("old")
     chained = reason([
         ("equals_heldout", F.col("equal").isNotNull()), ("train_near_heldout", F.col("close").isNotNull()),

@@ -110,6 +110,14 @@ def test_reference_sets_and_frames(spark):
     assert len(hygiene.set_hits(train.where("id < 5"), refs).collect()) == 5
 
 
+def test_own_frames_are_found_once_for_all_batches(spark):
+    frame = "this frame of words stands in front of every single row"
+    refs = decontam.named_ref_grams({"b": spark.createDataFrame([(1, f"{frame} of the set")], "id long, state string")}, least=5)
+    train = spark.createDataFrame([(i, f"{frame} {i} {i} {i}", "s") for i in range(30)] + [(41, f"{frame} too", "t")], "id long, state string, source string")
+    own = hygiene.own_frames(train, refs)
+    assert dict(map(tuple, hygiene.set_hits(train.where("id < 5 or id = 41"), refs, own=own).collect())) == {41: "b"}
+
+
 def test_near_hits_with_key_and_tag(spark):
     rng = random.Random(2)
     w = words(rng)
