@@ -20,8 +20,8 @@ def paired_delta(a: DataFrame, b: DataFrame, *, least: int = 3) -> DataFrame:
 
 
 def median(a: Column) -> Column:
-    """Median of an array, the mean of the middle two for an even number."""
-    return F.transform(F.array(F.array_sort(a)), lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2)[0]
+    """Median of an array without nulls, the mean of the middle two for an even number."""
+    return F.transform(F.array(F.sort_array(a)), lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) / 2)[0]
 
 
 def rolling_median(df: DataFrame, run: str, step: str, value: str, last: int = 20) -> DataFrame:

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from statistics import median
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,8 +31,8 @@ class SpikeRule:
         spike = False
         if len(kept) >= self.least:
             m = median(kept)
-            mad = 1.4826 * median(abs(v - m) for v in kept)
-            spike = not math.isfinite(value) or value > m + self.k * max(mad, 1e-6)
+            # at or under the median it is no spike, whatever the MAD
+            spike = not math.isfinite(value) or value > m and value > m + self.k * max(1.4826 * median([abs(v - m) for v in kept]), 1e-6)
         if not spike and math.isfinite(value):
             kept.append(value)
             del kept[: -self.history]
@@ -39,15 +40,21 @@ class SpikeRule:
 
 
 def spikes(df: DataFrame, key: str, step: str, value: str, rule: SpikeRule = SpikeRule()) -> DataFrame:
-    """key, step, value, spike in batch.  A key's rows meet in one task as (step, value) pairs, in order."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(step)
-        kept: list[float] = []
-        return pdf.assign(spike=[rule.step(kept, float(v)) for v in pdf[value]])
+    """key, step, value, spike in batch.  A key's rows lie one after another in a task, in order; a batch has rows of many keys, and only the last one's history goes on to the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, kept = (), []
+        for batch in batches:
+            found = []
+            for k, v in zip(batch[key].to_pylist(), batch[value].to_pylist(), strict=True):
+                if last != (k,):
+                    last, kept = (k,), []
+                found.append(rule.step(kept, math.nan if v is None else v))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.bool_())], names=[*batch.schema.names, "spike"])
 
     kinds = {c: t for c, t in df.dtypes}
-    return df.select(key, step, value).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {step} {kinds[step]}, {value} double, spike boolean")
+    rows = df.select(key, step, F.col(value).cast("double").alias(value)).repartition(key).sortWithinPartitions(key, step)
+    return rows.mapInArrow(run, f"{key} {kinds[key]}, {step} {kinds[step]}, {value} double, spike boolean")
 
 
 def spike_stream(stream: DataFrame, key: str, step: str, value: str, rule: SpikeRule = SpikeRule()) -> DataFrame:

@@ -55,3 +55,26 @@ def test_count_time_errors_and_restart(rocks, tmp_path):
     got = wait(18)
     q.stop()
     assert read().count() == 18 and [got[i].answer for i in range(200, 204)] == ["A", "B", "C", "D"]
+
+
+def test_spikes_keep_each_history_across_batches(spark):
+    """Many keys in one task, in batches of 7 rows, against one fold for each key."""
+    from granary.streaming import monitors
+
+    value = lambda k, s: {0: 90.0, 3: None, 5: float("nan")}.get((s * s + (k or 5)) % 11, 1 + 0.01 * s)
+    rows = [(k, s, value(k, s)) for k in (None, 1, 2, 3) for s in range(40)]
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.createDataFrame(rows, "run long, step int, loss double").repartition(3)
+        frame = monitors.spikes(df, "run", "step", "loss")
+        got = {(r.run, r.step): r.spike for r in frame.collect()}
+        plan = frame._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    rule, want = monitors.SpikeRule(), {}
+    for key in (None, 1, 2, 3):
+        kept = []
+        want |= {(k, s): rule.step(kept, float("nan") if v is None else v) for k, s, v in rows if k == key}
+    assert got == want and {True, False} == set(want.values())
+    assert "FlatMapGroups" not in plan  # no call for each key
