@@ -45,6 +45,11 @@ def ref_grams(refs: DataFrame, *, n: int = 8, share: float = 0.01, least: int =
     return grams(refs.withColumnRenamed("id", "ref"), "ref", n=n).join(template_hashes(refs, n=n, share=share, least=least), "gram", "left_anti")
 
 
+def known_grams(refs: DataFrame, *, n: int = 8, share: float = 0.01, least: int = 5) -> DataFrame:
+    """(gram) the distinct grams of ref_grams, for where it doesn't matter which reference row has one."""
+    return grams(refs, n=n).groupBy("gram").agg(F.count("*").alias("df")).where(~_common(refs, share, least)).select("gram")
+
+
 def named_ref_grams(sets: dict[str, DataFrame], *, n: int = 8, share: float = 0.01, least: int = 5) -> DataFrame:
     """(set, ref, gram) of several reference sets, each without its own templates."""
     parts = [ref_grams(df, n=n, share=share, least=least).withColumn("set", F.lit(name)) for name, df in sorted(sets.items())]
@@ -61,6 +66,15 @@ def gram_hits(df: DataFrame, reference: DataFrame, *, n: int = 8, need: int = 1)
     return grams(df, "id", n=n).join(reference, "gram").groupBy("id", *by, "ref").agg(F.count("*").alias("shared")).where(F.col("shared") >= need)
 
 
+def hit_ids(df: DataFrame, reference: DataFrame, *, n: int = 8) -> DataFrame:
+    """(id): rows that share a gram with reference, as gram_hits has them.
+
+    No pair of a row and a reference row is made: where reference grows with df, as held-out rows
+    do, pairs grow with the square of a frequent gram.
+    """
+    return grams(df, "id", n=n).join(reference, "gram", "left_semi").select("id").distinct()
+
+
 def loose_hits(df: DataFrame, reference: DataFrame, *, n: int = 8, min_shared: int = 25, min_share: float = 0.2) -> DataFrame:
     """(id, shared, n): rows with min_shared grams of the whole set, or min_share of their own."""
     own = df.select("id", T.gram_hashes(T.words("state"), n).alias("grams"))

@@ -29,15 +29,21 @@ def too_long(text: Column | str, limit: int, count: Column | None = None) -> Col
     return F.when(F.octet_length(text) <= limit, F.lit(False)).otherwise((token_pieces(text) if count is None else count) > limit)
 
 
+def too_short(text: str, least: int) -> Column:
+    """Fewer than least letters, digits and _; where a text's begin has as many, the rest isn't read."""
+    bare = lambda c: F.length(F.regexp_replace(c, r"[^\p{L}\p{N}_]", ""))
+    return F.when(bare(F.substring(text, 1, 10 * least)) >= least, F.lit(False)).otherwise(bare(F.col(text)) < least)
+
+
 def reasons(train: DataFrame, held: DataFrame, *, min_chars: int = 40, need: int = 1) -> DataFrame:
     """train with key and reason: equals_heldout, shares_8gram, too_short, damaged, or null."""
     train = near.spread(train)
-    rows = train.withColumn("key", F.md5(T.norm_key("state")))
+    # what texts tell is told before the joins, which move no text that the caller doesn't ask for
+    rows = train.withColumn("key", F.md5(T.norm_key("state"))).withColumn("__short", too_short("state", min_chars)).withColumn("__damaged", T.damaged("state"))
     equal = held.select(F.md5(T.norm_key("state")).alias("key")).distinct().withColumn("equal", F.lit(True))
-    hit = decontam.gram_hits(train, decontam.ref_grams(held), need=need).select("id").distinct().withColumn("hit", F.lit(True))
-    bare = F.length(F.regexp_replace("state", r"[^\p{L}\p{N}_]", ""))
-    flagged = rows.join(equal, "key", "left").join(hit, "id", "left")
-    return flagged.withColumn("reason", reason([("equals_heldout", F.col("equal").isNotNull()), ("shares_8gram", F.col("hit").isNotNull()), ("too_short", bare < min_chars), ("damaged", T.damaged("state"))])).drop("equal", "hit")
+    hit = decontam.hit_ids(train, decontam.known_grams(held)) if need <= 1 else decontam.gram_hits(train, decontam.ref_grams(held), need=need).select("id").distinct()
+    flagged = rows.join(equal, "key", "left").join(hit.withColumn("hit", F.lit(True)), "id", "left")
+    return flagged.withColumn("reason", reason([("equals_heldout", F.col("equal").isNotNull()), ("shares_8gram", F.col("hit").isNotNull()), ("too_short", F.col("__short")), ("damaged", F.col("__damaged"))])).drop("equal", "hit", "__short", "__damaged")
 
 
 def without_duplicates(rows: DataFrame) -> DataFrame:

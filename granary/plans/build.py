@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.keys import group_held_out, part_of
 from ..operators import decontam, hygiene, metrics, mixture, near, sampling
+from ..operators.tables import written
 
 
 def build_mix(items: DataFrame, benchmark: DataFrame, *, cap: int = 100_000, per_mille: int = 100) -> dict[str, DataFrame]:
@@ -15,8 +16,12 @@ def build_mix(items: DataFrame, benchmark: DataFrame, *, cap: int = 100_000, per
     held = items.where(group_held_out(F.col("id"), per_mille)).withColumn("part", part_of(F.col("id")))
     rest = items.where(~group_held_out(F.col("id"), per_mille))
     against = held.select("id", "state").unionByName(benchmark.select("id", "state"))
-    cleaned = hygiene.clean(rest, against)
-    train = sampling.cap_per_group(cleaned.where("reason is null").drop("reason", "key"), "source", cap)
+    # train and drops both read what was found, a row without its text for each of rest; the three columns tell a row's reason even where ids repeat
+    judged = hygiene.reasons(rest.withColumn("text", F.md5("state")), against).select("id", "ordinal", "text", "source", "key", "reason")
+    cleaned = hygiene.without_duplicates(written(judged, "reasons"))
+    kept = cleaned.where("reason is null").select(F.col("id").alias("__i"), F.col("ordinal").alias("__o"), F.col("text").alias("__t"))
+    same = F.col("id").eqNullSafe(F.col("__i")) & F.col("ordinal").eqNullSafe(F.col("__o")) & F.md5("state").eqNullSafe(F.col("__t"))
+    train = sampling.cap_per_group(rest.join(kept, same, "left_semi"), "source", cap)
     drops = cleaned.where("reason is not null").groupBy("source", "reason").agg(F.count("*").alias("n"))
     return {"train": train, "held": held, "drops": drops}
 
@@ -60,7 +65,7 @@ def quality_report(items: DataFrame, held: DataFrame) -> DataFrame:
     n = F.size(T.words("state"))
     rows = items.select("id", "source", key.alias("key"), n.alias("n"), T.damaged("state").alias("damaged"), F.size(T.artefact_flags("state")).alias("flags"))
     first = rows.groupBy("key").agg(F.min("id").alias("first"))
-    hit = decontam.gram_hits(items, decontam.ref_grams(held)).select("id").distinct().withColumn("hit", F.lit(1))
+    hit = decontam.hit_ids(items, decontam.known_grams(held)).withColumn("hit", F.lit(1))
     x = rows.join(first, "key").join(hit, "id", "left")
     return x.groupBy("source").agg(
         F.count("*").alias("n_rows"), F.count_if(F.col("id") > F.col("first")).alias("duplicates"), F.count("hit").alias("benchmark_hits"), F.count_if(F.col("n") < 10).alias("short"),

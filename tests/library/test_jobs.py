@@ -1,12 +1,15 @@
 """Stores, catalogue, whole jobs and calibrators."""
 
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from granary.functions import text as T
 from granary.functions import translation as X
-from granary.operators import calibration, campaign
+from granary.functions.keys import group_held_out
+from granary.operators import calibration, campaign, decontam, hygiene
 from granary.plans import build
 from granary.sources import adapters, store
 
@@ -83,6 +86,51 @@ def test_build_and_extend(spark):
     assert sorted(r.id for r in build.extend_mix(base, more, bench).where("source = 'new'").collect()) == [101]
 
 
+def test_build_makes_no_pairs_and_finds_reasons_once(spark):
+    # each of 30 frames is in many rows of both parts, and no template: pairs of such rows grow with their square
+    frame = lambda k: " ".join(f"f{k}x{j}" for j in range(9))
+    rows = [(i, f"{frame(i % 30)} own{i} text{i}", f"s{i % 3}", "en", i) for i in range(600)]
+    rows += [(1000 + i, " ".join(f"k{i}x{j}" for j in range(12)), f"s{i % 3}", "en", i) for i in range(300)]
+    rows += [(2000, None, "s0", "en", 2000), (2001, "", "s1", "en", 2001), (2002, "\u00c3\u00a9 damaged " + "word " * 20, "s1", "en", None), (2003, "k1x1", "s2", "en", 2003)]
+    rows += [(2004, "twice the same id " + "a" * 60, "s0", "en", 2004), (2004, "twice the same id", "s0", "en", 2004), (2004, "twice the same ID! " + "A" * 60, "s0", "en", 2005)]
+    items = spark.createDataFrame(rows, "id long, state string, source string, lang string, ordinal long")
+    bench = spark.createDataFrame([(1, "an item of a benchmark that no row has, with words enough")], "id long, state string")
+    m = build.build_mix(items, bench)
+    against = m["held"].select("id", "state").unionByName(bench)
+    rest = items.where(~group_held_out(F.col("id"), 100))
+    assert m["held"].count() + rest.count() == len(rows)
+    limit = max(5, math.ceil(0.01 * against.count()))
+    keys = against.select(F.md5(T.norm_key("state")).alias("key")).distinct().withColumn("equal", F.lit(1))
+    hit = decontam.gram_hits(rest, decontam.ref_grams(against)).select("id").distinct().withColumn("hit", F.lit(1))
+    plain = rest.withColumn("key", F.md5(T.norm_key("state"))).join(keys, "key", "left").join(hit, "id", "left").withColumn("reason", F.expr(
+        r"CASE WHEN equal = 1 THEN 'equals_heldout' WHEN hit = 1 THEN 'shares_8gram' WHEN length(regexp_replace(state, r'[^\p{L}\p{N}_]', '')) < 40 THEN 'too_short' WHEN contains(state, '\u00c3\u00a9') THEN 'damaged' END"))
+    want = hygiene.without_duplicates(plain).select("id", "state", "source", "reason").collect()
+    assert limit == 5 and sum(r.reason == "shares_8gram" for r in want) > 100
+    order = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted(map(tuple, m["train"].select("id", "state", "source").collect()), key=order) == sorted(((r.id, r.state, r.source) for r in want if r.reason is None), key=order)
+    assert {(r.source, r.reason): r.n for r in m["drops"].collect()} == Counter((r.source, r.reason) for r in want if r.reason)
+    plan = hygiene.reasons(rest, against)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "ref#" not in plan
+    assert m["drops"].inputFiles() and all("/reasons" in f for f in m["drops"].inputFiles())
+    counted = hygiene.reasons(rest, against).groupBy("source", "reason").count()._jdf.queryExecution().optimizedPlan().toString()
+    assert "state#" not in counted[: counted.index("Join")]
+
+
+@pytest.mark.parametrize("n", [1, 3, 8])
+def test_gram_hashes_are_those_of_arrays(spark, n):
+    w = F.split(F.lit("a b c d e f g h i a b c d e f g h i é"), " ")
+    got, want = spark.range(1).select(T.gram_hashes(w, n), F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.xxhash64(F.slice(w, i, n))))).first()
+    assert got == want
+
+
+def test_short_and_damaged_at_their_edges(spark):
+    rows = [("a" * 39,), ("a" * 40,), ("-" * 1000 + "a" * 39,), ("-" * 1000 + "a" * 40,), ("é!" * 40,), ("",), (None,), ("Â word Ã",), ("don\u00e2\u20ac\u2122t",), ("\u00c2\u00a0",), ("\ufffd",)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string")
+    got = df.select("i", hygiene.too_short("t", 40), T.damaged("t")).orderBy("i").collect()
+    assert [r[1] for r in got] == [True, False, True, False, False, True, None, True, True, True, True]
+    assert [r[2] for r in got] == [False] * 6 + [None, False, True, True, True]
+
+
 def test_platt(spark):
     import random
 
