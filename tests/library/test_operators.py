@@ -100,6 +100,31 @@ def test_near_work_is_whole(spark):
     assert near.near_pairs(s.union(t), threshold=0.3).where("b = a + 1000").count() >= 80
 
 
+def test_band_filter(spark, monkeypatch):
+    """Rows that have a band in common with the index are all signed, whatever the filter's size; a filter of enough bits leaves out the others."""
+    rng = random.Random(1)
+    text = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    index = [(i, text(40)) for i in range(50)]
+    edited = [(1000 + i, x.rsplit(" ", i % 12)[0]) for i, x in index]
+    others = [(2000 + i, text(1 + i % 40)) for i in range(400)] + [(9000, ""), (9001, None)]
+    of = lambda x: spark.createDataFrame(x, "id long, state string")
+    held = near.signatures(of(index), "state", "id").cache()
+    every = near.signatures(of(edited + others), "state", "id")
+    keys = lambda s: s.select("id", F.explode(near.band_keys(F.col("sig"))).alias("k"))
+    met = {r.id for r in keys(every).join(keys(held).select("k"), "k").collect()}
+    want = sorted(map(tuple, near.near_hits(every, held, threshold=0.5).collect()))
+    assert len(met) > 40 and len(want) == 50
+    for least, most, few in ((1 << 16, 1 << 22, True), (1, 4, False)):
+        monkeypatch.setattr(near, "FILTER_WORDS", (least, most))
+        some = near.signatures(of(edited + others), "state", "id", meets=near.band_filter(held))
+        got = {r.id: r.sig for r in some.collect()}
+        assert met <= set(got) and (len(got) < len(met) + 5) == few
+        assert got == {r.id: r.sig for r in every.collect() if r.id in got}
+        assert sorted(map(tuple, near.near_hits(some, held, threshold=0.5).collect())) == want
+    none = near.band_filter(held.limit(0))
+    assert near.signatures(of(edited), "state", "id", meets=none).count() == 0
+
+
 def test_components_chain(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(30, 31)], "a long, b long")
     got = dict(map(tuple, near.components(pairs).collect()))

@@ -2,6 +2,7 @@
 
 import math
 import os
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -55,6 +56,16 @@ def test_query_on_larger_tables(spark, name):
     assert len(want) and rows(got, sorted(got.columns)) == rows(want, sorted(want.columns))
 
 
+def test_near_hits_vs_benchmark_writes_little(spark):
+    """Signatures of lines that are near no line of the benchmark aren't written: 1 KB each, several times what the documents take."""
+    at = "/root/testdata/sf0.01"
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    files = lambda: {p: p.stat().st_size for p in shared.rglob("*.parquet")} if shared.exists() else {}
+    before = files()
+    assert catalog.queries()["near_hits_vs_benchmark"](spark, at).count() == 28
+    assert sum(n for p, n in files().items() if p not in before) < os.path.getsize(f"{at}/documents.parquet") / 2
+
+
 def test_entry_module():
     import __spark_entry__
 
