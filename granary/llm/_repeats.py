@@ -635,7 +635,7 @@ def removed(
     try:
         tasks = pieces(docs)
         table = blocks(docs, table_name, f"{folder}/blocks", tasks)
-        return _removed(table, folder, tasks, name=name, tokens=tokens, length=length, group=group, finish=finish, schema=schema, same=same, sketch=sketch)
+        return _removed(table, folder, tasks=tasks, name=name, tokens=tokens, length=length, group=group, finish=finish, schema=schema, same=same, sketch=sketch)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {table_name}")
         delete_path(spark, folder)
